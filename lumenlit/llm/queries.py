@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlit.llm import media, mixing, shuffling, simhash
+from lumenlit.llm import media, mixing, packing, shuffling, simhash
 from lumenlit.llm.common import documents, ship
 
 ORACLE_SQL: dict[str, str] = {}
@@ -52,6 +52,13 @@ def op3_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_column_generation_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ship(spark)
+    return packing.pack(packing.pieces(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json")))
+
+
 def op5_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     return simhash.near_duplicates(documents(spark, sf_dir)).select("doc_id", simhash.hexed(F.col("fp")).alias("fingerprint"), "component_id")
@@ -93,6 +100,7 @@ SELECT doc_id, size, source_size, round(target, 4) AS target, CAST(size * (floor
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_columns": op1_media_columns,
     "op3_external_shuffle": op3_external_shuffle,
+    "op4_column_generation_packing": op4_column_generation_packing,
     "op5_simhash_components": op5_simhash_components,
     "op8_source_mix": op8_source_mix,
 }
