@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlit.llm import media, mixing, packing, shuffling, simhash
-from lumenlit.llm.common import documents, ship
+from lumenlit.llm import media, mixing, packing, quality, shuffling, simhash
+from lumenlit.llm.common import documents, salt_of_doc, ship
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -64,6 +64,15 @@ def op5_simhash_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir)).select("doc_id", simhash.hexed(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op6_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(salt_of_doc() != 0).select("doc_id", F.col("quality").alias("label"))
+    field = quality.train(docs, labels)
+    scored = quality.scored(docs.select("doc_id", "text"), field)
+    return scored.select("doc_id", (salt_of_doc() == 0).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "source", mixing.words(F.col("text")).alias("size"))
     mixed = mixing.mix(docs)
@@ -102,5 +111,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_external_shuffle": op3_external_shuffle,
     "op4_column_generation_packing": op4_column_generation_packing,
     "op5_simhash_components": op5_simhash_components,
+    "op6_crf_quality": op6_crf_quality,
     "op8_source_mix": op8_source_mix,
 }
