@@ -21,6 +21,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -228,8 +229,6 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
 
 def scored(df: DataFrame, field: Field, text: str = "text", out: str = "score") -> DataFrame:
     """All rows with the score of their whole text; a column named ``out`` is replaced."""
-    import pandas as pd
-
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series(score(texts.tolist(), field), dtype="float64")
 
