@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlit.llm import media, mixing, packing, quality, shuffling, simhash
+from lumenlit.llm import hmm, media, mixing, packing, quality, shuffling, simhash
 from lumenlit.llm.common import documents, salt_of_doc, ship
 
 ORACLE_SQL: dict[str, str] = {}
@@ -35,6 +35,13 @@ def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_hidden_markov_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    docs = documents(spark, sf_dir).select("doc_id", "text", (salt_of_doc() != 1).alias("training"))
+    scores, lexicon, _ = hmm.language_scores(docs)
+    return scores.select("doc_id", (salt_of_doc() == 1).alias("held_out"), "n_tokens", "n_known", F.lit(lexicon.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+
+
 def op3_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
     docs = documents(spark, sf_dir).select("doc_id", "text", size.alias("size"))
@@ -108,6 +115,7 @@ SELECT doc_id, size, source_size, round(target, 4) AS target, CAST(size * (floor
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_columns": op1_media_columns,
+    "op2_hidden_markov_scores": op2_hidden_markov_scores,
     "op3_external_shuffle": op3_external_shuffle,
     "op4_column_generation_packing": op4_column_generation_packing,
     "op5_simhash_components": op5_simhash_components,
