@@ -40,3 +40,15 @@ def persisted(df: DataFrame) -> DataFrame:
 def salt_of_doc(doc_id: str | Column = "doc_id", folds: int = 5) -> Column:
     """crc32 of the id as text, modulo ``folds`` (null ids: as the empty text)."""
     return F.crc32(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit("")).cast("string")) % folds
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a Parquet table in the checkpoint folder, which all executors share."""
+    import uuid
+
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        persisted(df.sparkSession.range(0))
+    path = f"{context.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlit.llm import hmm, media, mixing, packing, quality, shuffling, simhash
+from lumenlit.llm import hmm, media, mixing, packing, quality, shuffling, simhash, substrings
 from lumenlit.llm.common import documents, salt_of_doc, ship
 
 ORACLE_SQL: dict[str, str] = {}
@@ -80,6 +80,11 @@ def op6_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (salt_of_doc() == 0).alias("held_out"), "score", (F.col("score") >= quality.THRESHOLD).cast("int").alias("predicted"))
 
 
+def op7_fixed_block_anchors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    return substrings.substring_dedup(documents(spark, sf_dir))
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select("doc_id", "source", mixing.words(F.col("text")).alias("size"))
     mixed = mixing.mix(docs)
@@ -120,5 +125,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_column_generation_packing": op4_column_generation_packing,
     "op5_simhash_components": op5_simhash_components,
     "op6_crf_quality": op6_crf_quality,
+    "op7_fixed_block_anchors": op7_fixed_block_anchors,
     "op8_source_mix": op8_source_mix,
 }
