@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlit.llm import hmm, media, mixing, packing, quality, shuffling, simhash, substrings
+from lumenlit.llm import binary_search, hmm, media, mixing, packing, quality, shuffling, simhash, substrings, templates
 from lumenlit.llm.common import documents, salt_of_doc, ship
 
 ORACLE_SQL: dict[str, str] = {}
@@ -118,6 +118,28 @@ WITH RECURSIVE sized AS (
 SELECT doc_id, size, source_size, round(target, 4) AS target, CAST(size * (floor(rate) + CAST(u < rate - floor(rate) AS INT)) AS BIGINT) AS taken FROM rated
 """
 
+def op9_log_template_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = templates.drop_recurring_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"), F.length("text").alias("kept_chars"))
+
+
+def op10_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    codes = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(F.col("vec_id").alias("id"), binary_search.signs(F.col("embedding")).alias("code"))
+    return binary_search.top_k(codes.where("id % 100 = 0"), codes)
+
+
+ORACLE_SQL["op10_multi_index_hashing"] = """
+WITH codes AS (
+  SELECT vec_id AS id, list_transform(embedding, lambda x: x > 0) AS bits FROM embeddings
+), pairs AS (
+  SELECT q.id AS query_id, r.id AS neighbor_id, CAST(list_sum(list_transform(list_zip(q.bits, r.bits), lambda z: CAST(z[1] <> z[2] AS INT))) AS INT) AS distance
+  FROM codes q JOIN codes r ON q.id % 100 = 0 AND r.id <> q.id
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) AS INT) AS rank, neighbor_id, distance
+FROM pairs QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) <= 10
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_columns": op1_media_columns,
     "op2_hidden_markov_scores": op2_hidden_markov_scores,
@@ -127,4 +149,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_crf_quality": op6_crf_quality,
     "op7_fixed_block_anchors": op7_fixed_block_anchors,
     "op8_source_mix": op8_source_mix,
+    "op10_multi_index_hashing": op10_multi_index_hashing,
+    "op9_log_template_lines": op9_log_template_lines,
 }
