@@ -1,10 +1,64 @@
-"""From raw documents to packed training sequences, in stages."""
+"""From raw documents to packed training sequences: five stages of the training-data operators.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last return
+the columns of ``documents``, with ``n_chars`` following the text.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from lumenlit.llm import mixing, packing, quality, simhash, templates
+from lumenlit.llm.common import salt_of_doc, ship, stored
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+TOKENIZER = "word_bpe_49k.json"
+#: Words in a shingle of the near-duplicate stage.
+SHINGLE = 5
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score is 0.3 or more; learnt without the held-out fifth of the labels."""
+    ship(spark)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(salt_of_doc() != 0).select("doc_id", F.col("quality").alias("label"))
+    field = quality.train(docs, labels)
+    return quality.scored(docs, field).where(F.col("score") >= quality.THRESHOLD).select(*COLUMNS)
+
+
+def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Lines of recurring templates go, but stay in their first document."""
+    kept = templates.drop_recurring_lines(docs)
+    return kept.withColumn("n_chars", F.when(F.col("n_dropped") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of linked fingerprints stays."""
+    ship(spark)
+    return simhash.keep_one(docs, shingle=SHINGLE).select(*COLUMNS)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as their source's repetition rate says."""
+    sized = docs.withColumn("size", mixing.words(F.col("text")))
+    return mixing.emit(mixing.mix(sized)).select(*COLUMNS)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of token sequences: a row for each, copies of a document each on their own."""
+    import public_tokenizers
+
+    ship(spark)
+    return packing.pack(packing.pieces(docs, public_tokenizers.path(TOKENIZER)))
+
 
-STAGES: list = []
+STAGES = [
+    ("quality classifier", keep_good),
+    ("line dedup", drop_lines),
+    ("SimHash near-dedup", drop_near_duplicates),
+    ("source mixing", mix_sources),
+    ("packing", pack_sequences),
+]
 
 #: SQL can't express the trained classifier, so the stages are tested against brute force.
 ORACLE_SQL = None
@@ -12,6 +66,6 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))  # written and read again, as each stage reads its input more than once
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -16,7 +16,7 @@ bounds the broadcast list of the crowded ones.
 
 Defined results: null and white-space texts have fingerprint 0 and are linked like any
 other; texts shorter than a shingle are one shingle; repeated rows share a fingerprint; an
-empty table gives an empty one; the caller's other columns stay.
+empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -220,10 +220,21 @@ def links(distinct: DataFrame, column: str = "fp", chunk: int = CHUNK) -> DataFr
 
 
 def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """``doc_id``, ``fp`` long and ``component_id`` (smallest id reachable over links) for each row."""
-    printed = persisted(df.select(F.col(doc_id).alias("doc_id"), fingerprint(F.col(text), shingle).alias("fp")))
+    """``doc_id``, ``print`` (hash of the text), ``fp`` long, ``root`` (smallest fingerprint reachable) and
+    ``component_id`` (smallest id reachable) for each row."""
+    printed = persisted(df.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("print"), fingerprint(F.col(text), shingle).alias("fp")))
     distinct = printed.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     roots = components(links(distinct), "a", "b")
     labelled = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     smallest = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return printed.join(labelled.join(smallest, "root").select("fp", "component_id"), "fp").select("doc_id", "fp", "component_id")
+    return printed.join(labelled.join(smallest, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "print", "fp", "root", "component_id")
+
+
+def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """The rows of ``df`` without near duplicates: of each component the row of smallest id stays (null ids last)."""
+    last = F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1))
+    found = near_duplicates(df, doc_id, text, shingle)
+    best = found.groupBy("root").agg(F.min(F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("i"), "print")).alias("b"))
+    best = best.select(F.col("b.i").alias("_id"), F.col("b.print").alias("_print"))
+    keyed = df.withColumns({"_id": last, "_print": F.xxhash64(text)})
+    return keyed.join(best, ["_id", "_print"], "left_semi").dropDuplicates(["_id", "_print"]).drop("_id", "_print")
