@@ -15,7 +15,7 @@ each on its own; an empty table gives an empty one.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -24,59 +24,74 @@ from pyspark.sql import functions as F
 
 from lumenlit.llm.common import persisted
 from lumenlit.llm.cutting_stock import plan
+from lumenlit.llm.words import portions
 
 LENGTH = 4096
 UNIT = 8
 END = 2
 #: Words whose ids a Python worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 500_000
+#: Closing marks that such a tokenizer parts from the letters before them.
+MARKS = b".,!?;:|$%&*#"
 #: Pieces in a ranked group, on average.
-GROUP = 20_000
+GROUP = 2_000
 _tokenizers: dict[str, object] = {}
 
 
 class WordTokenizer:
-    """Ids of whole texts for tokenizers that never join what ASCII white space parts."""
+    """Ids of whole texts for lower-casing tokenizers that never join what ASCII white space parts.
+
+    Words met in two portions are kept, up to ``REMEMBERED``; words met once are forgotten soon.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.ids: dict[bytes, bytes] = {}
+        self.kept: dict[bytes, bytes] = {}
+        self.young: dict[bytes, bytes] = {}
 
-    def learn(self, words: set[bytes]) -> None:
-        if len(self.ids) + len(words) > REMEMBERED:
-            self.ids = {}
-        parts: dict[bytes, tuple[bytes, ...]] = {}
+    def lookup(self, words: Iterable[bytes]) -> tuple[dict[bytes, bytes], list[bytes]]:
+        kept, young, found, unknown = self.kept, self.young, {}, []
         for w in words:
-            core = w.rstrip(b".,!?;:|$%&*#")
-            simple = core and len(core) < len(w) and core.decode().isalpha()
-            parts[w] = (core, w[len(core) :]) if simple else (w,)
-        new = list({p for x in parts.values() for p in x if p not in self.ids})
-        for p, e in zip(new, self.tokenizer.encode_batch_fast([p.decode() for p in new], add_special_tokens=False), strict=True):
-            self.ids[p] = np.array(e.ids, "<u4").tobytes()
-        for w, x in parts.items():
-            if len(x) > 1:
-                self.ids[w] = b"".join(self.ids[p] for p in x)
+            ids = kept.get(w)
+            if ids is None and (ids := young.get(w)) is not None and len(kept) < REMEMBERED:
+                kept[w] = ids
+            if ids is None:
+                unknown.append(w)
+            else:
+                found[w] = ids
+        return found, unknown
+
+    def learn(self, words: list[bytes]) -> dict[bytes, bytes]:
+        new = self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)
+        ids = {w: np.array(e.ids, "<u4").tobytes() for w, e in zip(words, new, strict=True)}
+        if len(self.young) > REMEMBERED // 2:
+            self.young = {}
+        self.young |= ids
+        return ids
+
+    def known(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """The ids of each word; a word with closing marks is looked up in two parts."""
+        found, unknown = self.lookup(words)
+        parts = {w: (core, w[len(core) :]) for w in unknown if len(core := w.rstrip(MARKS)) < len(w) and core and core.decode().isalpha()}
+        pieces, left = self.lookup({x for p in parts.values() for x in p} | {w for w in unknown if w not in parts})
+        pieces |= self.learn(left)
+        for w in unknown:
+            if w in parts:
+                found[w] = pieces[parts[w][0]] + pieces[parts[w][1]]
+            else:
+                found[w] = pieces[w]
+        return found
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """The ids of each text as little-endian 32-bit numbers."""
-        at, most = 0, 4 << 20
-        while at < len(texts):
-            size, some = 0, []
-            while at < len(texts) and (not some or size < most):
-                some.append(texts[at].split())
-                size += len(texts[at])
-                at += 1
-            words = set().union(*some)
-            unknown = words - self.ids.keys()
-            if unknown:
-                if len(self.ids) + len(unknown) > REMEMBERED:
-                    self.ids, unknown = {}, words
-                self.learn(unknown)
+        for part in portions(texts, 6 << 20):
+            some = [t.lower().split() for t in texts[part]]
+            ids = self.known(set().union(*some))
             for w in some:
-                yield b"".join(map(self.ids.__getitem__, w))
+                yield b"".join(map(ids.__getitem__, w))
 
 
 def tokenizer(path: str) -> WordTokenizer:
