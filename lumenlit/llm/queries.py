@@ -119,6 +119,7 @@ SELECT doc_id, size, source_size, round(target, 4) AS target, CAST(size * (floor
 """
 
 def op9_log_template_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
     kept = templates.drop_recurring_lines(documents(spark, sf_dir).select("doc_id", "text"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256"), F.length("text").alias("kept_chars"))
 
