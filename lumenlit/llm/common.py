@@ -39,7 +39,8 @@ def persisted(df: DataFrame) -> DataFrame:
 
 def salt_of_doc(doc_id: str | Column = "doc_id", folds: int = 5) -> Column:
     """crc32 of the id as text, modulo ``folds`` (null ids: as the empty text)."""
-    return F.crc32(F.coalesce(F.col(doc_id) if isinstance(doc_id, str) else doc_id, F.lit("")).cast("string")) % folds
+    column = F.col(doc_id) if isinstance(doc_id, str) else doc_id
+    return F.crc32(F.coalesce(column.cast("string"), F.lit(""))) % folds
 
 
 def stored(df: DataFrame) -> DataFrame:

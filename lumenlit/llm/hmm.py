@@ -234,7 +234,7 @@ def trained(training: DataFrame, lex: Lexicon, states: int = STATES, rounds: int
     """Baum-Welch over all training documents; a round's counts are summed by symbol over the tasks."""
     chosen = training.where(F.col("doc_id").isNotNull()).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(START_DOCUMENTS)
     sample = training.join(F.broadcast(chosen.distinct()), "doc_id").select("text").limit(START_DOCUMENTS).collect()
-    sample.sort()
+    sample.sort(key=lambda r: bytes(r["text"] or b""))
     model = begun(lex, [bytes(r["text"] or b"") for r in sample], states)
     spark = training.sparkSession
     names = [f"c{i}" for i in range(states)]

@@ -132,7 +132,7 @@ def op10_multi_index_hashing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE_SQL["op10_multi_index_hashing"] = """
 WITH codes AS (
-  SELECT vec_id AS id, list_transform(embedding, lambda x: x > 0) AS bits FROM embeddings
+  SELECT vec_id AS id, list_transform(embedding, lambda x: x > 0) AS bits FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
 ), pairs AS (
   SELECT q.id AS query_id, r.id AS neighbor_id, CAST(list_sum(list_transform(list_zip(q.bits, r.bits), lambda z: CAST(z[1] <> z[2] AS INT))) AS INT) AS distance
   FROM codes q JOIN codes r ON q.id % 100 = 0 AND r.id <> q.id
