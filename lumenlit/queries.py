@@ -210,7 +210,7 @@ def parse_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     return papers(spark, sf_dir).select("id", text.parse_year(F.expr(_YEAR_FORM), 2024).alias("year"))
 
 
-@query(r"SELECT doc_id, array_to_string(list_transform(list_filter(list_transform(string_split(tags, ';'), lambda t: trim(t)), lambda t, i: t <> '' AND list_position(list_transform(string_split(tags, ';'), lambda u: trim(u)), t) = i)[1:20], lambda t: left(t, 40)), '|') AS tags FROM (SELECT doc_id, replace(replace(replace(left(replace(text, chr(10), ' '), 300), ',', ';'), '，', ';'), '；', ';') AS tags FROM documents)")
+@query("WITH c AS (SELECT doc_id, replace(replace(replace(left(replace(text, chr(10), ' '), 300), ',', ';'), '，', ';'), '；', ';') AS tags FROM documents), t AS (SELECT doc_id, list_transform(list_filter(list_transform(string_split(tags, ';'), lambda t: trim(t)), lambda t: t <> ''), lambda t: left(t, 40)) AS a FROM c) SELECT doc_id, array_to_string(list_filter(a, lambda t, i: list_position(a, t) = i)[1:20], '|') AS tags FROM t")
 def split_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = F.substring(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")), 1, 300)
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.split_tags(raw), "|").alias("tags"))
