@@ -44,13 +44,14 @@ def clean_text(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.translate(text_or_empty(c), " ​", " "), r"\s+", " "))
 
 
-def _folded(texts: pd.Series) -> pd.Series:
-    return texts.map(lambda t: "".join(x for x in unicodedata.normalize("NFKD", t) if not unicodedata.combining(x)), na_action="ignore")
-
-
 def fold_accents(c: Column) -> Column:
     """Compatibility decomposition without combining marks."""
-    return F.pandas_udf(_folded, "string")(c)
+
+    # Defined here so that it travels to the workers by value.
+    def fold(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: "".join(x for x in unicodedata.normalize("NFKD", t) if not unicodedata.combining(x)), na_action="ignore")
+
+    return F.pandas_udf(fold, "string")(c)
 
 
 def normalize_title(c: Column, ascii_only: bool = False) -> Column:

@@ -23,17 +23,15 @@ CONTAINED_LENGTH, CLOSE, CLOSE_SHORT, SHORT_TITLE = 40, 0.90, 0.95, 40
 SERIES = r"(?i)^[\s.,;:—\-–]*(?:[IVXL]{1,6}\.?(?=[\s:.—\-–]|$)|\d{1,2}\.?(?=[\s:.—\-–]|$)|part\b|pt\.?\b)"
 
 
-def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:
-    out = []
-    for x, y in zip(a, b, strict=True):
-        m = SequenceMatcher(None, x, y)
-        out.append(m.ratio() if m.quick_ratio() >= CLOSE else 0.0)
-    return pd.Series(out, dtype="float64")
-
-
 def title_ratio(a: Column, b: Column) -> Column:
     """Ratcliff-Obershelp similarity, 0 where its upper bound is below the threshold."""
-    return F.pandas_udf(_ratios, "double")(a, b)
+
+    # Defined here so that it travels to the workers by value.
+    def ratios(x: pd.Series, y: pd.Series) -> pd.Series:
+        pairs = (SequenceMatcher(None, u, v) for u, v in zip(x, y, strict=True))
+        return pd.Series([m.ratio() if m.quick_ratio() >= CLOSE else 0.0 for m in pairs], dtype="float64")
+
+    return F.pandas_udf(ratios, "double")(a, b)
 
 
 def first_of(library: DataFrame, key: str) -> DataFrame:

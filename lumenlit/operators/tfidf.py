@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenlit.functions.text import grams, tokens
+from lumenlit.operators.graph import shared_folder
 
 
 def english_stop_words() -> list[str]:
@@ -37,14 +38,15 @@ class Fitted:
     def transform(self, counts: DataFrame) -> DataFrame:
         """``doc``, ``term``, ``w``: normalised weights; terms outside the vocabulary are dropped."""
         raw = counts.join(self.vocabulary.select("term", "idf"), "term").withColumn("w", (1 + F.log("n")) * F.col("idf"))
-        norms = raw.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-        return raw.join(norms, "doc").select("doc", "term", (F.col("w") / F.col("norm")).alias("w"))
+        # The window holds one document's terms, and takes one shuffle where a join with the norms would take two.
+        norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy("doc")))
+        return raw.select("doc", "term", (F.col("w") / norm).alias("w"))
 
 
 def fit(counts: DataFrame, n_docs: int, min_df: int | float = 1, max_df: int | float = 1.0, max_features: int | None = None) -> Fitted:
     """Whole numbers bound document counts, fractions shares; ties in ``max_features`` go to the smaller term."""
     bound = lambda x: x * n_docs if isinstance(x, float) else x
-    terms = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"), F.sum("n").alias("tf"))
+    terms = counts.groupBy("term").agg(F.count(F.when(F.col("n") > 0, 1)).alias("df"), F.sum("n").alias("tf"))
     terms = terms.where((F.col("df") >= bound(min_df)) & (F.col("df") <= bound(max_df)))
     if max_features is not None:
         terms = terms.orderBy(F.desc("tf"), "term").limit(max_features)
@@ -64,7 +66,8 @@ def relevance(profile: str, docs: DataFrame, doc_id: str, text: Column, stop: li
     query = spark.range(1).select(F.lit(-1).cast("long").alias("doc"), F.lit(profile).alias("t"))
     own = term_counts(query, "doc", F.col("t"), stop, pairs)
     counts = term_counts(docs, doc_id, text, stop, pairs)
-    df = counts.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    # The count reads n, so that both uses of the term table are one shuffle.
+    df = counts.groupBy("term").agg(F.count(F.when(F.col("n") > 0, 1)).alias("df"))
     mine = own.select("term", F.col("n").alias("qn"))
     # The profile adds one to the document count of its own terms.
     idf = df.join(F.broadcast(mine), "term", "left").select("term", "qn", (F.log((F.lit(n_docs) + 1) / (F.col("df") + F.when(F.col("qn").isNotNull(), 1).otherwise(0) + 1)) + 1).alias("idf"))
@@ -72,9 +75,11 @@ def relevance(profile: str, docs: DataFrame, doc_id: str, text: Column, stop: li
     dots = weighted.groupBy("doc").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.coalesce(F.sum(F.when(F.col("qn").isNotNull(), F.col("w") * (1 + F.log("qn")) * F.col("idf"))), F.lit(0.0)).alias("dot"))
     cosine = F.when(F.col("norm") > 0, F.col("dot") / F.col("norm")).otherwise(0.0)
     base = docs.select(F.col(doc_id).alias("doc")).join(dots.select("doc", cosine.alias("c")), "doc", "left").withColumn("c", F.coalesce("c", F.lit(0.0)))
-    top = base.agg(F.max("c").alias("top"))
     if not own.limit(1).count():
-        return base.select("doc", F.lit(0.5).alias("relevance"))
+        return docs.select(F.col(doc_id).alias("doc"), F.lit(0.5).alias("relevance"))
+    shared_folder(base)
+    base = base.checkpoint()  # two numbers a document, read for the largest and for all
+    top = base.agg(F.max("c").alias("top"))
     scaled = F.least(F.lit(1.0), F.pow(F.col("c") / F.col("top"), F.lit(0.7)))
     return base.crossJoin(F.broadcast(top)).select("doc", F.when(F.col("top") > 0, F.round(scaled, 4)).otherwise(0.0).alias("relevance"))
 

@@ -2,7 +2,8 @@
 
 Stages: library, merged candidates, anti-join with the library, history, enrichment,
 ranking with a relevance floor, top-N. ``Recommendation.plan`` returns the DataFrame of a
-stage; only writing a report or a history starts work.
+stage; all of it is lazy, but for the ids that linkage leaves and the cosines,
+which are checkpointed.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 from lumenlit.functions import scoring
 from lumenlit.functions.text import normalize_title, strip_latex
 from lumenlit.operators import linkage, merging, ranking, tfidf
+from lumenlit.operators.graph import shared_folder
 
 STAGES = ("candidates", "new", "history", "enriched", "scored", "ranked", "top")
 
@@ -65,7 +67,10 @@ class Recommendation:
         df = self.pools.orderBy("pool", "row").limit(o.candidate_cap) if o.candidate_cap else self.pools
         if stop_at == "candidates":
             return df
-        df = linkage.not_in_library(df, self.library, similar=o.fuzzy)
+        # What linkage leaves is kept as ids, since every later stage reads it more than once.
+        shared_folder(df)
+        new = linkage.not_in_library(df, self.library, similar=o.fuzzy).select("id").checkpoint()
+        df = df.join(new, "id", "left_semi")
         if stop_at == "new":
             return df
         if self.history is not None:
