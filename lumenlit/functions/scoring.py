@@ -63,5 +63,6 @@ def bar(value: Column, width: int = 10) -> Column:
 
 
 def judged(score: Column) -> Column:
-    """A judge's 0..100 as 0..1."""
-    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), score.try_cast("double") / 100))
+    """A judge's 0..100 as 0..1; null if it is no number."""
+    number = score.try_cast("double")
+    return F.when(number.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), number / 100)))

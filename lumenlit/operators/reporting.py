@@ -13,7 +13,7 @@ HEADER = "| # | 论文 | 日期 | 相关 | 时效 | 重要 | 总分 | 引用 | 
 RULE = "|---|---|---|---|---|---|---|---|---|"
 STAMP = r"生成时间\s*(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})"
 FLAG_WORDS = {"🆕新": "新", "⭐经典": "经典", "📖已发表": "已发表"}
-FILE_NAME = r"arxiv_recommend_(\d{8})_(\d{6})(?:_(.*))?\.md$"
+FILE_NAME = r"recommend_(\d{8})_(\d{6})(?:_(.*))?\.md$"
 
 
 def table_rows(ranked: DataFrame, as_of: Column) -> DataFrame:

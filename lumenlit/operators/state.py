@@ -13,7 +13,9 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenlit.functions.extract import depth_covers
+from lumenlit.functions.extract import auto_tags, depth_covers
+from lumenlit.functions.scoring import judged
+from lumenlit.functions.text import split_tags
 
 #: Fields that a new explanation replaces, and those that each run refreshes.
 EXPLANATION = ("title", "summary", "ideas")
@@ -148,3 +150,30 @@ def scan_stats(plan: DataFrame) -> DataFrame:
 def newest_by(df: DataFrame, key: str, order: list) -> DataFrame:
     n = F.row_number().over(Window.partitionBy(key).orderBy(*order))
     return df.withColumn("_n", n).where("_n = 1").drop("_n")
+
+
+def index_stats(listing: DataFrame, index: DataFrame, wanted_depth: str) -> DataFrame:
+    """Files on disk against the index: ``on_disk``, ``indexed``, ``pending`` (not yet read), ``shallower`` (read less deeply)."""
+    there = listing.select("path", F.lit(True).alias("_there")).distinct()
+    joined = there.join(index.select("path", "depth", "status"), "path", "full_outer")
+    here, known = F.col("_there").isNotNull(), F.col("status").isNotNull()
+    return joined.agg(F.count_if(here).alias("on_disk"), F.count_if(known).alias("indexed"), F.count_if(here & ~known).alias("pending"), F.count_if(here & known & ~depth_covers(F.col("depth"), F.lit(wanted_depth))).alias("shallower"))
+
+
+def library_records(index: DataFrame, tags: DataFrame) -> DataFrame:
+    """Index rows with their tags: junk goes, blank titles become the file's stem, automatic tags are added."""
+    stem = F.regexp_replace(F.element_at(F.split("path", "/"), -1), r"\.[^.]*$", "")
+    joined = index.where(F.col("kind") != "junk").join(tags.select("path", F.col("tags").alias("_tags")), "path", "left")
+    title = F.when(F.trim(F.coalesce("title", F.lit(""))) == "", stem).otherwise(F.col("title"))
+    return joined.withColumns({"title": title, "tags": split_tags(F.col("_tags")), "auto_tags": auto_tags(F.col("journal"), F.col("arxiv_id"), F.col("status"))}).drop("_tags")
+
+
+def judged_scores(replies: DataFrame, batch: DataFrame) -> DataFrame:
+    """Scores of a judge's replies: ``id``, ``score`` 0..1, ``reason`` of at most 120 characters.
+
+    ``replies`` has ``n`` (order) and ``scores`` (array of id, score, reason as text); ids
+    that weren't asked for and scores that aren't numbers go, later duplicates win.
+    """
+    each = replies.select("n", F.posexplode("scores").alias("i", "s")).select("n", "i", F.col("s.id").alias("id"), judged(F.col("s.score")).alias("score"), F.substring("s.reason", 1, 120).alias("reason"))
+    last = F.struct("n", "i")
+    return each.where("score is not null").join(batch.select("id"), "id", "left_semi").groupBy("id").agg(F.max_by("score", last).alias("score"), F.max_by("reason", last).alias("reason"))

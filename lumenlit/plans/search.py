@@ -10,7 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Field prefixes of the expression language, and what they search.
@@ -65,3 +65,15 @@ def predicate(query: str, columns: Mapping[str, Column], categories: Sequence[st
         out = term if out is None else out | term if op == "OR" else out & ~term if op == "ANDNOT" else out & term
     out = F.lit(True) if out is None else out
     return out & columns["category"].isin(*categories) if categories and "category" in columns else out
+
+
+def search_table(papers: DataFrame, query: str, categories: Sequence[str] = (), limit: int = 2000) -> DataFrame:
+    """The newest papers of a table that the expression finds, with the expression as ``query``."""
+    names = [n for n in sorted(set(FIELDS.values())) if n in papers.columns]
+    found = papers.where(predicate(query, {n: F.col(n) for n in names}, categories))
+    return found.orderBy(F.desc("published"), "arxiv_id").limit(limit).withColumn("query", F.lit(query))
+
+
+def by_ids(papers: DataFrame, ids: DataFrame) -> DataFrame:
+    """The papers with given identifiers (column ``arxiv_id``), each once."""
+    return papers.join(ids.select("arxiv_id").distinct(), "arxiv_id", "left_semi")

@@ -629,3 +629,38 @@ def search_expr(spark: SparkSession, sf_dir: str) -> DataFrame:
 def library_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     hay = F.lower(F.concat_ws(" ", "title", "source", "category", "doi", "arxiv_id"))
     return papers(spark, sf_dir).where(hay.contains("src1 en")).select("id")
+
+
+@query(f"WITH {_FILES}, d AS (SELECT coalesce(l.path, i.path) AS path, l.path IS NOT NULL AS here, i.path IS NOT NULL AS known, i.covers FROM listing l FULL JOIN idx i ON l.path = i.path) SELECT count(*) FILTER (here) AS on_disk, count(*) FILTER (known) AS indexed, count(*) FILTER (here AND NOT known) AS pending, count(*) FILTER (here AND known AND NOT covers) AS shallower FROM d")
+def index_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return state.index_stats(*_files(spark, sf_dir), "sections")
+
+
+@query(f"WITH {_PAPERS} SELECT id, title, CASE WHEN journal_ref <> '' THEN 'published' ELSE '' END || CASE WHEN journal_ref <> '' AND arxiv_id <> '' THEN '|' ELSE '' END || CASE WHEN arxiv_id <> '' THEN 'arXiv' ELSE '' END AS auto_tags, CASE WHEN id % 3 = 0 THEN category || '|' || source ELSE '' END AS tags FROM papers WHERE id % 19 <> 0")
+def library_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = papers(spark, sf_dir).withColumns({"path": F.concat(F.lit("/x/"), F.col("id").cast("string"), F.lit(".pdf")), "kind": F.when(F.col("id") % 19 == 0, "junk").otherwise("paper"), "status": F.lit("ok"), "journal": F.col("journal_ref")})
+    tags = df.where("id % 3 = 0").select("path", F.concat_ws("; ", "category", "source").alias("tags"))
+    return state.library_records(df, tags).select("id", "title", F.array_join("auto_tags", "|").alias("auto_tags"), F.array_join("tags", "|").alias("tags"))
+
+
+@query("SELECT event_id AS id, round(least(1.0, greatest(0.0, floor(value * 10) / 1000)), 4) AS score FROM events WHERE event_id % 3 = 0")
+def judged_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    one = lambda score, n: events.select(F.lit(n).alias("n"), F.array(F.struct(F.col("event_id").alias("id"), score.alias("score"), F.col("event_type").alias("reason"))).alias("scores"))
+    replies = one(F.lit("7"), 0).unionByName(one((F.floor(F.col("value") * 10) / 10).cast("string"), 1)).unionByName(one(F.lit("n/a"), 2))
+    return state.judged_scores(replies, events.where("event_id % 3 = 0").select(F.col("event_id").alias("id"))).select("id", F.round("score", 4).alias("score"))
+
+
+@query(f"WITH {_PAPERS} SELECT id FROM papers WHERE {_has('the', 'title', 'abstract', 'category', 'comments', 'journal_ref', 'doi', 'arxiv_id')} ORDER BY published DESC NULLS LAST, arxiv_id LIMIT 50")
+def search_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = papers(spark, sf_dir).where("arxiv_id <> ''").withColumn("arxiv_id", F.concat("arxiv_id", F.lit("-"), F.lpad(F.col("id").cast("string"), 9, "0")))
+    return search.search_table(df, "the", limit=50).select("id")
+
+
+ORACLE_SQL["search_table"] = ORACLE_SQL["search_table"].replace("FROM papers WHERE", "FROM papers WHERE arxiv_id <> '' AND").replace("NULLS LAST, arxiv_id", "NULLS LAST, arxiv_id, id")
+
+
+@query(f"WITH {_PAPERS} SELECT id FROM papers WHERE arxiv_id IN (SELECT arxiv_id FROM papers WHERE id % 50 = 0 AND arxiv_id <> '')")
+def lookup_by_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = papers(spark, sf_dir)
+    return search.by_ids(df, df.where("id % 50 = 0 and arxiv_id <> ''")).select("id")
