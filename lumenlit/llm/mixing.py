@@ -6,7 +6,8 @@ with the fraction as its probability. The hash is md5 of the seed and the id, so
 takes the same copies, and SQL can say the same.
 
 Only the table of sources (a row each) is ranked and joined; a hot source costs nothing,
-as its rows are summed before the shuffle. Null sources are one source, last in order;
+as its rows are summed before the shuffle and no row moves to meet its source's rate (up
+to a checked number of sources; beyond it, a salted join). Null sources are one source, last in order;
 null texts have size 0; sources of size 0 get target and rate 0; repeated rows are taken
 alike; an empty table gives an empty one.
 """
@@ -16,11 +17,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenlit.llm.common import WORD
+from lumenlit.llm.common import WORD, persisted
 
 MAX_RATE = 3.0
 WEIGHTS = (1, 2, 3)
 SEED = "mix-1"
+#: A table of sources with no more rows than this is broadcast (about 60 bytes a row); beyond it the join is salted.
+BROADCAST_SOURCES = 50_000
+SALTS = 64
 
 
 def words(text: Column) -> Column:
@@ -60,8 +64,14 @@ def mix(df: DataFrame, source: str = "source", size: str = "size", doc_id: str =
     Columns of the input with those names are replaced.
     """
     df = df.drop("source_size", "target", "rate", "copies")
-    targets = source_targets(df, source, size, weights, max_rate)
-    joined = df.join(targets, F.col(source).eqNullSafe(F.col("_source"))).drop("_source")
+    targets = persisted(source_targets(df, source, size, weights, max_rate))
+    if targets.count() <= BROADCAST_SOURCES:
+        joined = df.join(F.broadcast(targets), F.col(source).eqNullSafe(F.col("_source"))).drop("_source")
+    else:
+        # A hot source's rows are dealt over SALTS tasks, and each source is there once for each.
+        salted = targets.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        own = df.withColumn("_own", F.pmod(F.xxhash64(doc_id, size), F.lit(SALTS)).cast("int"))
+        joined = own.join(salted, F.col(source).eqNullSafe(F.col("_source")) & (F.col("_own") == F.col("_salt"))).drop("_source", "_own", "_salt")
     whole = F.floor("rate")
     return joined.withColumn("copies", (whole + (draw(F.col(doc_id), seed) < F.col("rate") - whole).cast("long")).cast("int"))
 

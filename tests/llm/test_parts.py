@@ -228,3 +228,10 @@ def test_line_dedup_keeps_extra_columns(spark):
     assert line in out[0].text and all(line not in out[i].text for i in range(1, 8)) and out[3].note == "keep" and out[3].n_lines == 3
     copies = spark.createDataFrame([(i, f"first things first here\n{line} 5\nand last") for i in range(8)], "doc_id long, text string")
     assert all(r.n_dropped == 0 for r in templates.drop_recurring_lines(copies).collect())
+
+
+def test_mixing_with_many_sources_is_the_same(spark, monkeypatch):
+    df = spark.createDataFrame([(i, f"s{i % 7}" if i % 5 else None, i % 50) for i in range(400)], "doc_id long, source string, size long")
+    few = sorted(map(repr, mixing.mix(df).collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", 0)
+    assert sorted(map(repr, mixing.mix(df).collect())) == few and len(few) == 400
