@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from lumenlit.functions import extract, scoring, text
 from lumenlit.operators import linkage, merging, ranking, reporting, state, tfidf
 from lumenlit.plans import profile, recommend, search
+from lumenlit.session import spread
 from lumenlit.sources import feeds
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -36,7 +37,8 @@ LEFT JOIN {labels} l ON d.doc_id = l.doc_id
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name == "documents" else df
 
 
 def papers(spark: SparkSession, sf_dir: str) -> DataFrame:
