@@ -14,6 +14,12 @@ than ``CHUNK`` are cut into a grid of home chunks and replica chunks, so a task
 holds an unbounded anchor and no link is lost. There are 524,288 anchors at most, which
 bounds the broadcast list of the crowded ones.
 
+``near_duplicates`` can also work on wide fingerprints (``WIDE`` words of 64 bits, each with
+its own anchors), whose distance tells how alike two shingle sets are: sets of Jaccard
+similarity 0.8 differ in 15 % of the bits on average. Links within ``WIDE_BITS`` bits are
+found where a block differs in one bit at most (always up to 17 bits in all) and mostly
+where it differs in two or three.
+
 Defined results: null and white-space texts have fingerprint 0 and are linked like any
 other; texts shorter than a shingle are one shingle; repeated rows share a fingerprint; an
 empty table gives an empty one.
@@ -30,6 +36,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lumenlit.llm import words
 from lumenlit.llm.common import persisted
 from lumenlit.llm.components import components
 
@@ -44,22 +51,43 @@ CODE = 15
 CHUNK = 8192
 #: Pairs compared in one step.
 PAIRS = 1 << 21
+#: Words of a wide fingerprint, and the bits in which linked ones may differ.
+WIDE = 3
+WIDE_BITS = 34
+#: Shingles whose bits are counted in one step.
+STEP = 1 << 15
+
+
+def simhashes(text: str | None, shingle: int = SHINGLE, width: int = 1) -> np.ndarray:
+    """The fingerprint of a text as ``width`` unsigned 64-bit numbers; the first is that of XXH64 itself."""
+    tokens = (text or "").encode().lower().split()  # bytes: A-Z and the six ASCII white-space characters only
+    if not tokens:
+        return np.zeros(width, np.uint64)
+    joined = b" ".join(tokens)
+    ends = np.cumsum(np.fromiter(map(len, tokens), np.int64, len(tokens)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    n = max(1, len(tokens) - shingle + 1)
+    last = ends[min(shingle, len(tokens)) - 1 :]
+    digest = xxhash.xxh64_intdigest
+    total = np.zeros(64 * width, np.int64)
+    for i in range(0, n, STEP):
+        first = np.array([digest(joined[a:b], SEED) for a, b in zip(starts[i : min(n, i + STEP)].tolist(), last[i : i + STEP].tolist(), strict=True)], "<u8")
+        hashes = np.stack([first, *(words.mix(first, salt) for salt in range(1, width))], axis=1).astype("<u8")
+        total += np.unpackbits(hashes.view(np.uint8).reshape(len(first), 8 * width), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * total > n, bitorder="little").view("<u8")
 
 
 def simhash(text: str | None, shingle: int = SHINGLE) -> int:
     """The fingerprint of a text as a signed 64-bit number."""
-    words = (text or "").encode().lower().split()  # bytes: A-Z and the six ASCII white-space characters only
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = np.concatenate(([0], ends[:-1] + 1))
-    n = max(1, len(words) - shingle + 1)
-    digest = xxhash.xxh64_intdigest
-    hashes = [digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), ends[min(shingle, len(words)) - 1 :].tolist(), strict=True)]
-    bits = np.unpackbits(np.array(hashes, "<u8").view(np.uint8).reshape(n, 8), axis=1, bitorder="little")
-    over = 2 * bits.sum(axis=0, dtype=np.int64) > n
-    return int(np.packbits(over, bitorder="little").view("<i8")[0])
+    return int(simhashes(text, shingle).view("<i8")[0])
+
+
+def node(fingerprints: np.ndarray) -> np.ndarray:
+    """A signed 64-bit name for each row of fingerprint words; that of a single word is the word."""
+    name = fingerprints[:, 0].astype(np.uint64)
+    for i in range(1, fingerprints.shape[1]):
+        name = words.mix(name, i) ^ fingerprints[:, i]
+    return name.view(np.int64)
 
 
 def fingerprint(text: Column, shingle: int = SHINGLE) -> Column:
@@ -71,6 +99,16 @@ def fingerprint(text: Column, shingle: int = SHINGLE) -> Column:
     return F.pandas_udf(of, "long")(text)
 
 
+def wide_fingerprint(text: Column, shingle: int = SHINGLE) -> Column:
+    """A struct of ``wide``, the fingerprint's ``WIDE`` words as bytes, and ``fp``, a long that names it."""
+
+    def of(texts: pd.Series) -> pd.DataFrame:
+        found = np.stack([simhashes(t, shingle, WIDE) for t in texts]) if len(texts) else np.empty((0, WIDE), np.uint64)
+        return pd.DataFrame({"wide": [x.tobytes() for x in found], "fp": node(found)})
+
+    return F.pandas_udf(of, "wide binary, fp long")(text)
+
+
 def hexed(fingerprint_column: Column) -> Column:
     return F.lpad(F.lower(F.hex(fingerprint_column)), 16, "0")
 
@@ -95,8 +133,8 @@ def _near_codewords(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return tuple(map(np.concatenate, (rows, words, far)))
 
 
-def anchors(fingerprints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row, anchor and whether it is the home, for all anchors within two bits in each block."""
+def _anchors(fingerprints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The same for one word: all anchors within two bits in each block."""
     bits = fingerprints.view(np.uint64)
     rows, keys, homes = [], [], []
     for block, (first, width) in enumerate(BLOCKS):
@@ -114,20 +152,34 @@ def anchors(fingerprints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarra
     return tuple(map(np.concatenate, (rows, keys, homes)))
 
 
+def anchors(fingerprints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Row, anchor and whether it is the home, over all words (columns) of the fingerprints."""
+    each = [_anchors(np.ascontiguousarray(word)) for word in fingerprints.reshape(len(fingerprints), -1).T]
+    return np.concatenate([r for r, _, _ in each]), np.concatenate([k | i << 24 for i, (_, k, _) in enumerate(each)]), np.concatenate([h for _, _, h in each])
+
+
+def _words(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+    """A row of 64-bit words for each fingerprint, be it a long or bytes."""
+    if pa.types.is_integer(column.type):
+        return np.ascontiguousarray(np.asarray(column, np.int64)).view(np.uint64).reshape(-1, 1)
+    data = column.to_pylist()
+    return np.frombuffer(b"".join(data), "<u8").reshape(len(data), -1) if data else np.empty((0, WIDE), np.uint64)
+
+
 def _replicas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        all_of = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
-        for i in range(0, len(all_of), 4096):
-            fp = all_of[i : i + 4096]
-            row, key, home = anchors(fp)
-            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(home), pa.array(fp[row])], ["anchor", "home", "fp"])
+        for i in range(0, batch.num_rows, 4096):
+            fp = batch.column(0).slice(i, 4096)
+            row, key, home = anchors(_words(fp))
+            yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(home), fp.take(pa.array(row))], ["anchor", "home", "fp"])
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        _, key, _ = anchors(batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64))
-        keys, n = np.unique(key, return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["anchor", "n"])
+        for i in range(0, batch.num_rows, 4096):
+            _, key, _ = anchors(_words(batch.column(0).slice(i, 4096)))
+            keys, n = np.unique(key, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["anchor", "n"])
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -149,7 +201,7 @@ def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[linked], nodes[label[linked]]
 
 
-def _linked(fp: np.ndarray, key: np.ndarray, home: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _linked(fp: np.ndarray, key: np.ndarray, home: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
     """A forest of the links in whole cells; rows are sorted by cell."""
     start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
     size = np.diff(np.append(start, len(key)))
@@ -157,16 +209,17 @@ def _linked(fp: np.ndarray, key: np.ndarray, home: np.ndarray) -> tuple[np.ndarr
     at = np.flatnonzero(home & (size[cell] > 1))
     work = size[cell[at]]
     found_a, found_b, i = [], [], 0
+    name = node(fp)
     cut = np.concatenate(([0], np.cumsum(work)))
     while i < len(at):
-        j = max(i + 1, int(np.searchsorted(cut, cut[i] + PAIRS, "right")) - 1)
+        j = max(i + 1, int(np.searchsorted(cut, cut[i] + PAIRS // fp.shape[1], "right")) - 1)
         mine, n = at[i:j], work[i:j]
         left = np.repeat(mine, n)
         right = np.arange(len(left)) - np.repeat(cut[i:j] - cut[i], n) + np.repeat(start[cell[mine]], n)
-        a, b = fp[left], fp[right]
-        hit = (np.bitwise_count(a ^ b) <= MAX_BITS) & (a != b)
+        far = np.bitwise_count(fp[left] ^ fp[right]).sum(axis=1, dtype=np.int64)
+        hit = (far <= most) & (far > 0)
         if hit.any():
-            x, y = _forest(a[hit].view(np.int64), b[hit].view(np.int64))
+            x, y = _forest(name[left[hit]], name[right[hit]])
             found_a.append(x)
             found_b.append(y)
         i = j
@@ -175,13 +228,13 @@ def _linked(fp: np.ndarray, key: np.ndarray, home: np.ndarray) -> tuple[np.ndarr
     return _forest(np.concatenate(found_a), np.concatenate(found_b))
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """Links of cells that arrive sorted; the last cell of a batch waits for the next."""
     kept: list[pa.Table] = []
 
     def edges(table: pa.Table) -> pa.RecordBatch:
         cell = table.column("cell").to_numpy()
-        a, b = _linked(table.column("fp").to_numpy().view(np.uint64), cell, table.column("home").to_numpy())
+        a, b = _linked(_words(table.column("fp")), cell, table.column("home").to_numpy(), most)
         return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     for batch in batches:
@@ -202,10 +255,10 @@ def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield edges(pa.concat_tables(kept))
 
 
-def links(distinct: DataFrame, column: str = "fp", chunk: int = CHUNK) -> DataFrame:
-    """Edges ``a``, ``b`` that connect what is linked among distinct fingerprints (longs)."""
+def links(distinct: DataFrame, column: str = "fp", chunk: int = CHUNK, most: int = MAX_BITS) -> DataFrame:
+    """Edges ``a``, ``b`` that connect what is linked among distinct fingerprints (longs, or bytes, whose names they give)."""
     fps = distinct.select(F.col(column).alias("fp"))
-    replicas = fps.mapInArrow(_replicas, "anchor long, home boolean, fp long")
+    replicas = fps.mapInArrow(_replicas, f"anchor long, home boolean, fp {fps.schema['fp'].dataType.simpleString()}")
     crowded = fps.mapInArrow(_counts, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") > chunk)
     crowded = crowded.select("anchor", F.ceil(F.col("n") / chunk).cast("int").alias("parts"))
     sized = replicas.join(F.broadcast(crowded), "anchor", "left")
@@ -216,24 +269,25 @@ def links(distinct: DataFrame, column: str = "fp", chunk: int = CHUNK) -> DataFr
     as_replica = sized.select("anchor", "fp", F.lit(False).alias("home"), F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0))).otherwise(F.transform(every, lambda i: i * F.col("parts") + mine))).alias("part"))
     cells = as_home.unionByName(as_replica).withColumn("cell", F.col("anchor") * F.lit(1 << 32) + F.col("part"))
     sorted_cells = cells.select("cell", "home", "fp").repartition("cell").sortWithinPartitions("cell")
-    return sorted_cells.mapInArrow(_compare, "a long, b long")
+    return sorted_cells.mapInArrow(lambda batches: _compare(batches, most), "a long, b long")
 
 
-def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
+def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, wide: bool = False) -> DataFrame:
     """``doc_id``, ``print`` (hash of the text), ``fp`` long, ``root`` (smallest fingerprint reachable) and
-    ``component_id`` (smallest id reachable) for each row."""
-    printed = persisted(df.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("print"), fingerprint(F.col(text), shingle).alias("fp")))
-    distinct = printed.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
-    roots = components(links(distinct), "a", "b")
+    ``component_id`` (smallest id reachable) for each row; with ``wide``, ``fp`` names a wide fingerprint."""
+    found = df.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("print"), (wide_fingerprint if wide else fingerprint)(F.col(text), shingle).alias("fp"))
+    printed = persisted(found.select("doc_id", "print", "fp.fp", "fp.wide") if wide else found)
+    distinct = printed.groupBy("fp").agg(F.min("doc_id").alias("first_id"), *([F.first("wide").alias("wide")] if wide else []))
+    roots = components(links(distinct, "wide", most=WIDE_BITS) if wide else links(distinct), "a", "b")
     labelled = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     smallest = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"))
     return printed.join(labelled.join(smallest, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "print", "fp", "root", "component_id")
 
 
-def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
+def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, wide: bool = False) -> DataFrame:
     """The rows of ``df`` without near duplicates: of each component the row of smallest id stays (null ids last)."""
     last = F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1))
-    found = near_duplicates(df, doc_id, text, shingle)
+    found = near_duplicates(df, doc_id, text, shingle, wide)
     best = found.groupBy("root").agg(F.min(F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("i"), "print")).alias("b"))
     best = best.select(F.col("b.i").alias("_id"), F.col("b.print").alias("_print"))
     keyed = df.withColumns({"_id": last, "_print": F.xxhash64(text)})

@@ -46,6 +46,60 @@ def test_every_close_pair_shares_a_home_anchor():
     assert home.sum() == 3 and len(set(key.tolist())) == len(key)
 
 
+def edited(base, changes, r):
+    words = list(base)
+    for at in r.sample(range(len(words)), changes):
+        words[at] = f"other{r.random()}"
+    return " ".join(words)
+
+
+def alike(a, b):
+    a, b = ({tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_wide_fingerprints_find_similar_texts_and_no_others(spark):
+    r = random.Random(11)
+    bases = [[f"w{r.randrange(2000)}" for _ in range(400)] for _ in range(60)]
+    near = [edited(b, 4, r) for b in bases]
+    far = [edited(b, 40, r) for b in bases]
+    texts = [" ".join(b) for b in bases] + near + far
+    assert all(alike(a, b) > 0.8 for a, b in zip(texts, near, strict=False)) and all(alike(a, b) < 0.5 for a, b in zip(texts, far, strict=False))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.component_id for x in simhash.near_duplicates(df, shingle=5, wide=True).collect()}
+    assert sum(got[60 + i] == i for i in range(60)) >= 57
+    assert sum(got[120 + i] != 120 + i for i in range(60)) <= 3
+    assert all(got[i] == i for i in range(60))
+
+
+def test_wide_links_within_a_block_are_all_found(spark):
+    r = np.random.default_rng(3)
+    base = r.integers(0, 2**63, (20, simhash.WIDE)).astype(np.uint64)
+    rows = [base]
+    for bits in (1, 9, 17):
+        moved = base.copy()
+        for x in moved:
+            for bit in r.choice(64 * simhash.WIDE, bits, replace=False):
+                x[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
+        rows.append(moved)
+    fps = np.concatenate(rows)
+    name = simhash.node(fps)
+    df = spark.createDataFrame([(bytearray(x.tobytes()),) for x in fps], "wide binary")
+    for chunk in (simhash.CHUNK, 3):
+        edges = simhash.links(df, "wide", chunk, simhash.WIDE_BITS)
+        root = {x.node: x.root for x in components.components(edges, "a", "b").collect()}
+        group = [root.get(int(n), int(n)) for n in name]
+        assert all(len({group[i + 20 * k] for k in range(4)}) == 1 for i in range(20)) and len(set(group)) == 20
+
+
+def test_bits_of_long_texts_are_counted_in_steps(monkeypatch):
+    text = " ".join(str(i * i) for i in range(500))
+    whole = simhash.simhashes(text, 4, 2)
+    monkeypatch.setattr(simhash, "STEP", 7)
+    assert (simhash.simhashes(text, 4, 2) == whole).all() and whole[0] == np.uint64(simhash.simhash(text) % 2**64)
+    assert (simhash.simhashes(None, 4, 3) == 0).all()
+
+
 def test_crowded_anchors_lose_nothing(spark):
     centre = 0x0F0F33335555AAAA
     codes = sorted({centre ^ (1 << a) ^ (1 << b) for a, b in itertools.combinations(range(0, 60, 3), 2)} | {random.Random(1).getrandbits(63) for _ in range(50)})
