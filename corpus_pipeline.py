@@ -34,9 +34,9 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked fingerprints stays."""
+    """One document of each group of linked wide fingerprints stays; links mean a similarity of about 0.8 or more."""
     ship(spark)
-    return simhash.keep_one(docs, shingle=SHINGLE).select(*COLUMNS)
+    return simhash.keep_one(docs, shingle=SHINGLE, wide=True).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
