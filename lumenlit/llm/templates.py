@@ -6,9 +6,8 @@ lines that agree in at least ``SIMILARITY`` of their places share a template, in
 varying places are fields as well. A template that recurs in at least ``min_docs``
 documents is dropped everywhere but in its first document (smallest id).
 
-A document counts if it is the first to show the line between its two neighbours: copies
-of one document repeat its lines in the same surroundings and count once, so a group of
-copies alone makes no template; it is left to document dedup.
+Documents with the same text count once (by the hash of the whole text), so a group of
+exact copies alone makes no template; it is left to document dedup.
 
 Lines are told apart by 64-bit hashes, made in Arrow batches without a Python object for
 each word; counting, joining and dropping is done on those numbers. Leaves are never
@@ -18,9 +17,8 @@ key is its centre, and a join verifies the agreement. Counting happens before an
 a line that millions of documents share is one row from each task.
 
 Defined results: null texts stay null and empty ones empty, without lines; blank lines
-stay, and so do lines of fewer than ``MIN_TOKENS`` tokens, which say too little; rows with
-equal id and text are one document and all get its result; null ids come last and are one
-document for counting; an empty table gives an empty one. Other columns stay.
+stay; rows with equal id and text are one document and all get its result; null ids come
+last; an empty table gives an empty one. Other columns stay.
 """
 
 from __future__ import annotations
@@ -38,7 +36,6 @@ from lumenlit.llm.common import stored
 SIMILARITY = 0.8
 DEPTH = 3
 MIN_DOCS = 5
-MIN_TOKENS = 4
 #: Slots of the filter that tells tasks which leaves may recur (one byte each).
 SLOTS = 1 << 20
 LAST = (1 << 63) - 1
@@ -71,11 +68,6 @@ class Lines:
             has = self.n > i
             leaf[has] = words.mix(leaf[has] ^ mixed[self.begin[has] + i], 17)
         self.leaf = leaf
-        none = np.zeros(1, np.uint64)
-        same = self.text[1:] == self.text[:-1]
-        before = np.concatenate((none, np.where(same, self.h[:-1], 0)))[: len(self.h)]
-        after = np.concatenate((np.where(same, self.h[1:], 0), none))[: len(self.h)]
-        self.around = words.mix(before * np.uint64(3) + words.mix(after, 19), 23)
 
 
 def _long(x: np.ndarray) -> pa.Array:
@@ -87,10 +79,8 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts = batch.column("text").to_pylist()
         for part in words.portions(texts, 4 << 20):
             own = Lines(texts[part])
-            at = np.flatnonzero(own.n >= MIN_TOKENS)
-            of = own.text[at]
             ids, prints = batch.column("id").to_numpy()[part], batch.column("print").to_numpy()[part]
-            yield pa.RecordBatch.from_arrays([_long(x) for x in (ids[of], prints[of], own.place[at], own.h[at], own.leaf[at], own.around[at])], ["id", "print", "place", "h", "leaf", "around"])
+            yield pa.RecordBatch.from_arrays([_long(x) for x in (ids[own.text], prints[own.text], own.place, own.h, own.leaf)], ["id", "print", "place", "h", "leaf"])
 
 
 def _keyed(df: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -98,9 +88,8 @@ def _keyed(df: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row for every line of at least ``MIN_TOKENS`` tokens: ``id``, ``print`` (hash of the text),
-    ``place``, ``h``, ``leaf`` (hash of length and leading tokens), ``around`` (hash of both neighbours)."""
-    return _keyed(df, doc_id, text).mapInArrow(_find, "id long, print long, place long, h long, leaf long, around long")
+    """A row for every line with words: ``id``, ``print`` (hash of the text), ``place``, ``h``, ``leaf`` (hash of length and leading tokens)."""
+    return _keyed(df, doc_id, text).mapInArrow(_find, "id long, print long, place long, h long, leaf long")
 
 
 def line_tokens(df: DataFrame, crowded: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -116,7 +105,7 @@ def line_tokens(df: DataFrame, crowded: DataFrame, doc_id: str, text: str) -> Da
             texts = batch.column(0).to_pylist()
             for part in words.portions(texts, 4 << 20):
                 own = Lines(texts[part])
-                at = np.flatnonzero((own.n >= MIN_TOKENS) & slots[own.leaf.view(np.int64) % SLOTS])
+                at = np.flatnonzero(slots[own.leaf.view(np.int64) % SLOTS])
                 at = at[np.unique(own.h[at], return_index=True)[1]]
                 token = own.token.view(np.int64)
                 offsets = np.concatenate(([0], np.cumsum(own.n[at]))).astype(np.int32)
@@ -151,13 +140,16 @@ def recurring(df: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str
 
     ``found`` is ``lines(df)``.
     """
-    shown = stored(found.groupBy("leaf", "h", "around").agg(F.min("id").alias("first")))
+    shown = stored(found.groupBy("leaf", "h", "print").agg(F.min("id").alias("first")))
     crowded = shown.groupBy("leaf").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("a"), F.max("h").alias("b")).where((F.col("n") >= min_docs) & (F.col("a") != F.col("b"))).select("leaf")
     joined = generalised(line_tokens(df, crowded, doc_id, text), similarity)
-    named = shown.join(joined, "h", "left").select("h", "first", F.coalesce("cluster", "h").alias("cluster"))
-    firsts = named.groupBy("cluster", "first").agg(F.count(F.lit(1)).alias("n"))
-    counts = firsts.groupBy("cluster").agg(F.count(F.lit(1)).alias("documents"), F.min("first").alias("first_id")).where(F.col("documents") >= min_docs)
-    return named.select("h", "cluster").distinct().join(counts, "cluster").select("h", "cluster", "documents", "first_id")
+    members = stored(joined.unionByName(joined.select(F.col("cluster").alias("h"), "cluster").distinct()))
+    count = [F.count(F.lit(1)).alias("documents"), F.min("first").alias("first_id")]
+    # A line on its own has a row for each text already; lines of one cluster may share texts.
+    alone = shown.groupBy("h").agg(*count).where(F.col("documents") >= min_docs).join(members, "h", "left_anti").withColumn("cluster", F.col("h"))
+    texts = shown.join(members, "h").groupBy("cluster", "print").agg(F.min("first").alias("first"))
+    counts = texts.groupBy("cluster").agg(*count).where(F.col("documents") >= min_docs)
+    return members.join(counts, "cluster").unionByName(alone).select("h", "cluster", "documents", "first_id")
 
 
 def drop_recurring_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> DataFrame:

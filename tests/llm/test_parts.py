@@ -284,6 +284,15 @@ def test_line_dedup_keeps_extra_columns(spark):
     assert all(r.n_dropped == 0 for r in templates.drop_recurring_lines(copies).collect())
 
 
+def test_lines_of_shared_blocks_and_short_lines_recur(spark):
+    block = ["all of this may be copied", "by whom it may concern here", "and nobody is liable for it", "The End"]
+    df = spark.createDataFrame([(i, "\n".join([f"some words of {w}", *block, f"more of {w} alone"])) for i, w in enumerate("abcdefg")], "doc_id long, text string")
+    out = {r.doc_id: r for r in templates.drop_recurring_lines(df).collect()}
+    assert out[0].n_dropped == 0 and all(out[i].n_dropped == 4 and out[i].text == f"some words of {w}\nmore of {w} alone" for i, w in enumerate("abcdefg") if i)
+    few = templates.drop_recurring_lines(df.where("doc_id < 4").unionByName(df.where("doc_id < 4").withColumn("doc_id", F.col("doc_id") + 10)))
+    assert all(r.n_dropped == 0 for r in few.collect())  # eight documents, but four texts
+
+
 def test_mixing_with_many_sources_is_the_same(spark, monkeypatch):
     df = spark.createDataFrame([(i, f"s{i % 7}" if i % 5 else None, i % 50) for i in range(400)], "doc_id long, source string, size long")
     few = sorted(map(repr, mixing.mix(df).collect()))
