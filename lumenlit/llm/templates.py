@@ -11,10 +11,14 @@ exact copies alone makes no template; it is left to document dedup.
 
 Lines are told apart by 64-bit hashes, made in Arrow batches without a Python object for
 each word; counting, joining and dropping is done on those numbers. Leaves are never
-collected. Lines that differ in d places agree in one of d + 1 pieces of their tokens, so
-each distinct line of a leaf that may recur is keyed by its pieces; the least line of a
-key is its centre, and a join verifies the agreement. Counting happens before any join, so
-a line that millions of documents share is one row from each task.
+collected. Lines of a leaf that differ in d places agree in one of d + 1 pieces of the
+tokens after the leading ones, so each distinct line of a leaf that may recur is keyed by
+its pieces. First the lines of a key are compared with its least line, which brings most
+of a template together; then, in each key whose lines are still of several groups, every
+line with every line of another group. So templates are the connected components of all
+pairs that agree, whichever other lines share a key. Keys of more than ``CHUNK`` lines
+are cut into a grid of cells. Counting happens before any join, so a line that millions
+of documents share is one row from each task.
 
 Defined results: null texts stay null and empty ones empty, without lines; blank lines
 stay; rows with equal id and text are one document and all get its result; null ids come
@@ -32,12 +36,16 @@ from pyspark.sql import functions as F
 
 from lumenlit.llm import words
 from lumenlit.llm.common import stored
+from lumenlit.llm.components import components
 
 SIMILARITY = 0.8
 DEPTH = 3
 MIN_DOCS = 5
 #: Slots of the filter that tells tasks which leaves may recur (one byte each).
 SLOTS = 1 << 20
+#: Lines of a key which are compared in one piece, and tokens compared in one step.
+CHUNK = 4096
+STEP = 1 << 21
 LAST = (1 << 63) - 1
 _DIGIT = np.zeros(256, bool)
 _DIGIT[48:58] = True
@@ -77,7 +85,7 @@ def _long(x: np.ndarray) -> pa.Array:
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column("text").to_pylist()
-        for part in words.portions(texts, 4 << 20):
+        for part in words.portions(texts, 2 << 20):
             own = Lines(texts[part])
             ids, prints = batch.column("id").to_numpy()[part], batch.column("print").to_numpy()[part]
             yield pa.RecordBatch.from_arrays([_long(x) for x in (ids[own.text], prints[own.text], own.place, own.h, own.leaf)], ["id", "print", "place", "h", "leaf"])
@@ -103,7 +111,7 @@ def line_tokens(df: DataFrame, crowded: DataFrame, doc_id: str, text: str) -> Da
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            for part in words.portions(texts, 4 << 20):
+            for part in words.portions(texts, 2 << 20):
                 own = Lines(texts[part])
                 at = np.flatnonzero(slots[own.leaf.view(np.int64) % SLOTS])
                 at = at[np.unique(own.h[at], return_index=True)[1]]
@@ -116,23 +124,116 @@ def line_tokens(df: DataFrame, crowded: DataFrame, doc_id: str, text: str) -> Da
     return found.join(crowded, "leaf", "left_semi").groupBy("leaf", "h").agg(F.first("t").alias("t"))
 
 
-def generalised(distinct: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """``h``, ``cluster`` for lines that join a smaller one (by hash) of their leaf.
+def _tokens(column: pa.ListArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All tokens, and where those of each line begin and how many they are."""
+    offsets = column.offsets.to_numpy()
+    return column.values.to_numpy(), offsets[:-1].astype(np.int64), np.diff(offsets).astype(np.int64)
+
+
+def _places(start: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers from each start on, ``n`` of each."""
+    return np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - start, n)
+
+
+def _allowed(n: np.ndarray, similarity: float) -> np.ndarray:
+    """In how many places lines of ``n`` tokens may differ."""
+    return n - np.ceil(n * similarity - 1e-9).astype(np.int64)
+
+
+def _pieces(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(0, batch.num_rows, 1024):
+            part = batch.slice(i, 1024)
+            token, start, n = _tokens(part.column("t"))
+            pieces = _allowed(n, similarity) + 1
+            row = np.repeat(np.arange(len(n)), pieces)
+            at = _places(np.zeros(len(n), np.int64), pieces)
+            lead = np.minimum(n, DEPTH)[row]
+            rest = n[row] - lead
+            # The place within the line goes into the sum, which is one for each run of tokens.
+            place = _places(np.zeros(len(n), np.int64), n).astype(np.uint64)
+            flat = token[_places(start, n)].view(np.uint64)
+            sums = np.concatenate((np.zeros(1, np.uint64), np.cumsum(words.mix(flat + place * np.uint64(0x9E3779B97F4A7C15), 29), dtype=np.uint64)))
+            first = (np.cumsum(n) - n)[row] + lead
+            value = sums[first + (at + 1) * rest // pieces[row]] - sums[first + at * rest // pieces[row]]
+            leaf = part.column("leaf").to_numpy().view(np.uint64)[row]
+            key = words.mix(value + words.mix(leaf + at.astype(np.uint64), 31), 37)
+            yield pa.RecordBatch.from_arrays([_long(key), _long(part.column("h").to_numpy()[row])], ["key", "h"])
+
+
+def _agreeing(table: pa.Table, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of lines of different groups that agree, in whole cells; rows are sorted by cell."""
+    cell, h, group, leaf = (table.column(c).to_numpy() for c in ("cell", "h", "root", "leaf"))
+    token, start, n = _tokens(table.column("t").combine_chunks())
+    after = np.searchsorted(cell, cell, "right") - np.arange(len(cell)) - 1
+    cost = np.concatenate(([0], np.cumsum(after * n)))
+    found_a, found_b, i = [], [], 0
+    while i < len(cell):
+        j = max(i + 1, int(np.searchsorted(cost, cost[i] + STEP, "right")) - 1)
+        left = np.repeat(np.arange(i, j), after[i:j])
+        right = _places(np.arange(i, j) + 1, after[i:j])
+        at = np.flatnonzero((group[left] != group[right]) & (leaf[left] == leaf[right]) & (n[left] == n[right]))
+        left, right = left[at], right[at]
+        if len(left):
+            size = n[left]
+            differs = token[_places(start[left], size)] != token[_places(start[right], size)]
+            hit = np.add.reduceat(differs.astype(np.int64), np.cumsum(size) - size) <= _allowed(size, similarity)
+            found_a.append(h[left[hit]])
+            found_b.append(h[right[hit]])
+        i = j
+    none = np.empty(0, np.int64)
+    return np.concatenate([none, *found_a]), np.concatenate([none, *found_b])
+
+
+def _compare(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Pairs in cells that arrive sorted; the last cell of a batch waits for the next."""
+    kept: list[pa.Table] = []
+
+    def edges(table: pa.Table) -> pa.RecordBatch:
+        a, b = _agreeing(table, similarity)
+        return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        last = kept[-1].column("cell")[-1].as_py() if kept else None
+        kept.append(pa.Table.from_batches([batch]))
+        cell = batch.column("cell").to_numpy()
+        if cell[-1] == last:
+            continue
+        table = pa.concat_tables(kept)
+        whole = int(np.searchsorted(table.column("cell").to_numpy(), cell[-1]))
+        if whole:
+            yield edges(table.slice(0, whole))
+        kept = [table.slice(whole)]
+    if kept:
+        yield edges(pa.concat_tables(kept))
+
+
+def generalised(distinct: DataFrame, similarity: float = SIMILARITY, chunk: int = CHUNK) -> DataFrame:
+    """``h``, ``cluster`` for lines that share a template with a smaller one (by hash) of their leaf.
 
     ``distinct`` has ``leaf``, ``h`` and ``t`` without repeats.
     """
-    pieces = F.floor(F.size("t") * (1 - similarity) + 1e-9).cast("int") + 1
-    size = F.ceil(F.size("t") / pieces).cast("int")
-    keyed = distinct.select("leaf", "h", "t", F.explode(F.transform(F.sequence(F.lit(0), pieces - 1), lambda i: F.xxhash64(i, F.slice("t", i * size + 1, size)))).alias("piece"))
-    centres = keyed.groupBy("leaf", "piece").agg(F.min_by("t", "h").alias("ct"), F.min("h").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    lined = stored(distinct)
+    keyed = lined.select("leaf", "h", "t").mapInArrow(lambda batches: _pieces(batches, similarity), "key long, h long")
+    centres = keyed.groupBy("key").agg(F.min("h").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = stored(keyed.join(centres, "key").select("key", "h", "centre", "n"))
+    pairs = shared.where("h <> centre").select("h", "centre").distinct()
+    other = lined.select(F.col("leaf").alias("l"), F.col("h").alias("centre"), F.col("t").alias("ct"))
     same = F.size(F.filter(F.zip_with("t", "ct", lambda a, b: a == b), lambda x: x))
-    near = keyed.join(centres, ["leaf", "piece"]).where("h <> centre").where(same >= F.ceil(F.size("t") * similarity - 1e-9))
-    # Every later step reads this small table, so it is written once.
-    first = stored(near.groupBy("h").agg(F.min("centre").alias("centre")))
-    # A centre may have a smaller centre of its own; two steps up bring neighbours of a centre to one name.
-    up = first.select(F.col("h").alias("centre"), F.col("centre").alias("above"))
-    once = first.join(up, "centre", "left").select("h", F.coalesce("above", "centre").alias("centre"))
-    return once.join(up, "centre", "left").select("h", F.coalesce("above", "centre").alias("cluster"))
+    checked = pairs.join(lined, "h").join(other, "centre").where((F.col("leaf") == F.col("l")) & (F.size("t") == F.size("ct")))
+    near = stored(checked.where(same >= F.ceil(F.size("t") * similarity - 1e-9)).select(F.col("h").alias("a"), F.col("centre").alias("b")))
+    rooted = shared.join(components(near, "a", "b").withColumnRenamed("node", "h"), "h", "left").select("key", "h", "n", F.coalesce("root", "h").alias("root"))
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
+    parts = F.ceil(F.col("n") / chunk).cast("int")
+    mine = F.pmod(F.xxhash64("h"), parts).cast("int")
+    # A cell of the grid has two chunks of a key's lines, so any two lines meet.
+    cells = F.transform(F.sequence(F.lit(0), parts - 1), lambda i: F.xxhash64("key", F.least(i, mine), F.greatest(i, mine)))
+    dealt = rooted.join(mixed, "key").select("h", "root", F.explode(cells).alias("cell")).join(lined, "h")
+    dealt = dealt.select("cell", "h", "root", "leaf", "t").repartition("cell").sortWithinPartitions("cell")
+    found = dealt.mapInArrow(lambda batches: _compare(batches, similarity), "a long, b long")
+    return components(near.unionByName(found), "a", "b").select(F.col("node").alias("h"), F.col("root").alias("cluster"))
 
 
 def recurring(df: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> DataFrame:

@@ -293,6 +293,29 @@ def test_lines_of_shared_blocks_and_short_lines_recur(spark):
     assert all(r.n_dropped == 0 for r in few.collect())  # eight documents, but four texts
 
 
+def test_other_lines_never_hide_a_template(spark):
+    r = random.Random(12)
+    word = lambda: "".join(r.choice("klmnopqrst") for _ in range(8))
+    lines = [f"A B C d {word()} e f g {word()} k" for _ in range(30)] + [" ".join(["A B C d", *(word() for _ in range(6))]) for _ in range(300)]
+    lines += [" ".join(["A B C", *(word() for _ in range(4)), "x", *(word() for _ in range(2)), "y z" + " u" * 13]) for _ in range(30)]  # 25 tokens, too far apart
+    lines += [" ".join("P Q R a b c d e f g h i j k l m n o p q s t u v w".split()[:i] + [word()] + "P Q R a b c d e f g h i j k l m n o p q s t u v w".split()[i + 1 :]) for i in range(3, 25)]
+    r.shuffle(lines)
+    df = spark.createDataFrame([(i, f"{x}\n{word()}") for i, x in enumerate(lines)], "doc_id long, text string")
+    tokens = [x.split() for x in lines]
+    name = list(range(len(lines)))
+    for _ in range(len(lines)):
+        before = list(name)
+        for x, a in enumerate(tokens):
+            name[x] = min(name[y] for y, b in enumerate(tokens) if len(a) == len(b) and a[:3] == b[:3] and 5 * sum(u == v for u, v in zip(a, b, strict=True)) >= 4 * len(a))
+        if name == before:
+            break
+    want = {i for i, n in enumerate(name) if n != i and name.count(n) >= 5}
+    assert {x.doc_id for x in templates.drop_recurring_lines(df).where("n_dropped > 0").collect()} == want and len(want) == 50
+    found = templates.line_tokens(df, templates.lines(df).select("leaf").distinct(), "doc_id", "text")
+    whole = {tuple(x) for x in templates.generalised(found).collect()}
+    assert whole == {tuple(x) for x in templates.generalised(found, chunk=7).collect()} and len(whole) == 50
+
+
 def test_mixing_with_many_sources_is_the_same(spark, monkeypatch):
     df = spark.createDataFrame([(i, f"s{i % 7}" if i % 5 else None, i % 50) for i in range(400)], "doc_id long, source string, size long")
     few = sorted(map(repr, mixing.mix(df).collect()))
