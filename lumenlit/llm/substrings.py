@@ -3,18 +3,28 @@
 Every document is cut into non-overlapping reference blocks of ten words; every rolling
 ten-word window of every document probes them. A repeat of twenty words holds a whole
 reference block of its earlier place, so each repeat has a hit at both places. Around
-each hit the twenty-word windows are compared over all documents by a 64-bit hash (within
-as many partitions), runs of repeated windows being the maximal repeats, and every word
-of a window that also starts earlier is removed.
-
-Blocks travel packed: a task sends one entry for a block and portion of text (about five
-bytes), however often the portion has it, so a passage that many documents share costs
-an entry for each portion and not one for each pair. Texts travel compressed, twice.
+each hit the twenty-word windows are compared over all documents by a 64-bit hash, runs
+of repeated windows being the maximal repeats, and every word of a window that also
+starts earlier is removed.
+
+Documents are put in order once (by id, then by the hash of the text) and packed into
+portions of text, numbered in that order. So a window is late if a portion of smaller
+number has it, or an earlier place of its own portion, and what travels is hashes alone,
+a portion's distinct ones, sorted and packed (about three bytes a word for blocks, six
+for the windows around hits): a passage that many documents share costs an entry for
+each portion and not one for each pair. Blocks are matched by 28 bits in addition to
+those of their group, which finds every hit and few others; windows by all 64 bits.
+
+A group of hashes is what one task holds; rows stay packed while a portion has some
+hundred hashes in each group. At the defaults that is so up to about a terabyte of text;
+beyond it raise ``portion`` and ``group`` together, as far as a task's memory goes.
 
 Windows are judged on the input. Defined results: null and empty texts have no words;
 documents shorter than a window keep everything; rows with equal id and text are one
 document and all get its result; rows with equal id and different text are ordered by a
-hash of the text; null ids come last; an empty table gives an empty one.
+hash of the text; null ids come last; an empty table gives an empty one; a text longer
+than a portion is a portion of its own; other columns of the input, whatever their names,
+are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -36,8 +46,11 @@ from lumenlit.llm.common import stored
 WINDOW = 20
 BLOCK = 10
 #: Entries in a group, on average, and bytes of text in a portion.
-GROUP = 1_500_000
+GROUP = 2_000_000
 PORTION = 6 << 20
+#: Bits of a block's hash that are compared in addition to its group's.
+BLOCK_BITS = 28
+LAST = (1 << 63) - 1
 _B = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -60,254 +73,264 @@ def rolled(key: np.ndarray, width: int) -> np.ndarray:
     return words.mix(out, 5) if out is not None and done == width else np.empty(0, np.uint64)
 
 
-def _tokens(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    data, first = words.buffer(texts)
-    a, b = words.spans(data)
-    return words.hashes(data, a, b), np.searchsorted(a, first)
+def _cuts(sorted_key: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    return np.flatnonzero(np.concatenate(([True], sorted_key[1:] != sorted_key[:-1]))) if len(sorted_key) else np.empty(0, np.int64)
 
 
-def _portion(serial: int) -> int:
-    return TaskContext.get().partitionId() << 32 | serial
+def packed(values: np.ndarray, width: int) -> bytes:
+    """Sorted numbers of ``width`` bits: how many share each high part, then the low parts in whole bytes."""
+    n = len(values)
+    high = width % 8
+    while high + 8 <= 16 and 1 << (high + 8) <= 2 * n:
+        high += 8
+    low = width - high
+    counts = np.bincount((values >> np.uint64(low)).astype(np.int64), minlength=1 << high)
+    size = 1 if counts.max(initial=0) < 256 else 4
+    head = np.array([n, high, size], "<u4").tobytes()
+    parts = np.ascontiguousarray(values.astype("<u8")).view(np.uint8).reshape(n, 8)[:, : low // 8]
+    return head + counts.astype(f"<u{size}").tobytes() + parts.tobytes()
 
 
-def _whole(bounds: np.ndarray, n: int, width: int) -> np.ndarray:
-    """Which of the first ``n`` places begin a run that stays within its text."""
-    ok = np.ones(n, bool)
-    for b in bounds[1:-1]:
-        ok[max(0, b - width + 1) : b] = False
-    return ok
+def unpacked(data: bytes, width: int) -> np.ndarray:
+    n, high, size = np.frombuffer(data, "<u4", 3).tolist()
+    low = width - high
+    counts = np.frombuffer(data, f"<u{size}", 1 << high, 12)
+    parts = np.zeros((n, 8), np.uint8)
+    parts[:, : low // 8] = np.frombuffer(data, np.uint8, offset=12 + size * (1 << high)).reshape(n, low // 8)
+    return parts.view("<u8").ravel() | np.repeat(np.arange(1 << high, dtype=np.uint64) << np.uint64(low), counts)
 
 
-def _steps(places: np.ndarray, wide: bool) -> bytes:
-    """Rising numbers as differences; the largest number of the width means: that many more."""
-    most, kind = (65535, np.uint16) if wide else (255, np.uint8)
-    gap = np.diff(places, prepend=0)
-    over, rest = np.divmod(gap, most)
-    end = np.cumsum(over + 1)
-    out = np.full(int(end[-1]) if len(end) else 0, most, kind)
-    out[end - 1] = rest
-    return out.tobytes()
+def _table(columns: list, schema: pa.Schema) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 
 
-def _places(data: bytes, wide: bool) -> np.ndarray:
-    gap = np.frombuffer(data, np.uint16 if wide else np.uint8)
-    return np.cumsum(gap, dtype=np.int64)[gap < (65535 if wide else 255)]
+def _compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    pack = zstandard.ZstdCompressor(level=3)
+    for batch in batches:
+        texts = batch.column(3)
+        small = pa.array((pack.compress(texts[i].as_buffer()) for i in range(len(texts))), pa.binary())
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], small], ["id", "known", "print", "packed"])
 
 
-def _cuts(sorted_key: np.ndarray) -> np.ndarray:
-    return np.flatnonzero(np.concatenate(([True], sorted_key[1:] != sorted_key[:-1]))) if len(sorted_key) else np.empty(0, np.int64)
+PORTIONS = "portion long, ids binary, known binary, times binary, sizes binary, packed binary"
+
+
+def _portions(size: int):
+    """Rows of documents in order to rows of portions; equal rows become one document with its ``times``."""
+    schema = pa.schema([("portion", pa.int64()), *((c, pa.binary()) for c in ("ids", "known", "times", "sizes", "packed"))])
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pack, unpack = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
+        serial, own, texts, held, last = 0, [], [], 0, None
+
+        def row() -> pa.RecordBatch:
+            ids, known, times = (np.array(c, k) for c, k in zip(zip(*own, strict=True), ("<i8", "u1", "<i8"), strict=True))
+            sizes = np.array([len(t) for t in texts], "<i8")
+            whole = pack.compress(b"".join(x for t in texts for x in (t, b"\n")))
+            number = TaskContext.get().partitionId() << 32 | serial
+            return _table([[number], *([x.tobytes()] for x in (ids, known, times, sizes)), [whole]], schema)
+
+        for batch in batches:
+            for i, known, key, small in zip(*(batch.column(c).to_pylist() for c in ("id", "known", "print", "packed")), strict=True):
+                if last == (i, key, known):
+                    own[-1][2] += 1
+                    continue
+                text = unpack.decompress(small)
+                if own and held + len(text) > size:
+                    yield row()
+                    serial, own, texts, held = serial + 1, [], [], 0
+                own.append([i, known, 1])
+                texts.append(text)
+                held, last = held + len(text), (i, key, known)
+        if own:
+            yield row()
+
+    return make
+
+
+class Portion:
+    """The words of a portion's texts."""
+
+    def __init__(self, row: dict) -> None:
+        self.data = np.frombuffer(zstandard.ZstdDecompressor().decompress(row["packed"]), np.uint8)
+        self.sizes = np.frombuffer(row["sizes"], "<i8")
+        self.first = np.concatenate(([0], np.cumsum(self.sizes + 1)))
+        a, b = words.spans(self.data)
+        self.bounds = np.searchsorted(a, self.first)
+        self.key = words.hashes(self.data, a, b)
+
+    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """The hash of the run from each word on, and which words begin a run within their text."""
+        h = rolled(self.key, width)
+        whole = np.ones(len(h), bool)
+        for b in self.bounds[1:-1]:
+            whole[max(0, b - width + 1) : b] = False
+        return h, np.flatnonzero(whole)
+
+    def anchors(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct hashes of blocks, which are a reference block here, how often each occurs, and the hash at each place."""
+        h, at = self.windows(BLOCK)
+        anchor = (at - self.bounds[np.searchsorted(self.bounds, at, "right") - 1]) % BLOCK == 0
+        order = np.argsort(h[at], kind="stable")
+        ranked = h[at][order]
+        first = _cuts(ranked)
+        if not len(first):
+            return ranked, np.empty(0, bool), np.empty(0, np.int64), h
+        return ranked[first], np.maximum.reduceat(anchor[order], first), np.diff(np.append(first, len(ranked))), h
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            yield batch.slice(i, 1).to_pylist()[0]
 
 
-ENTRY = "group int, kind int, portion long, a binary, b binary"
+ENTRIES = "group int, portion long, hashes binary, anchors binary"
+_ENTRIES = pa.schema([("group", pa.int32()), ("portion", pa.int64()), ("hashes", pa.binary()), ("anchors", pa.binary())])
+FOUND = "portion long, group int, hashes binary"
+_FOUND = pa.schema([("portion", pa.int64()), ("group", pa.int32()), ("hashes", pa.binary())])
 
 
-def _rows(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True) if rows else [[]] * len(types), types, strict=True)], names)
+def _split(hashes: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """Groups of sorted hashes (by the first bits), and where each begins (and the last ends)."""
+    group = (hashes >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(hashes), np.int64)
+    first = _cuts(group)
+    return group[first], np.append(first, len(group))
 
 
-def _entry_rows(rows: list[tuple]) -> pa.RecordBatch:
-    return _rows(rows, ["group", "kind", "portion", "a", "b"], [pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.binary()])
+def _low(hashes: np.ndarray, bits: int, width: int) -> np.ndarray:
+    """The ``width`` bits after the first ``bits``."""
+    return hashes >> np.uint64(64 - bits - width) & np.uint64((1 << width) - 1)
 
 
-def hit_places(docs: DataFrame, groups_bits: int) -> DataFrame:
-    """``id``, ``print``, ``hits``: places (32-bit numbers) where a block of the document recurs somewhere."""
-    groups, wide = 1 << groups_bits, groups_bits > 6
+def _first_bits(table: pa.Table, width: int) -> np.ndarray:
+    """The first bits (a group's and ``width`` more) of all hashes found in a portion, in order."""
+    found = [unpacked(x, width) | np.uint64(g << width) for g, x in zip(table.column("group").to_pylist(), table.column("hashes").to_pylist(), strict=True)]
+    return np.sort(np.concatenate(found)) if found else np.empty(0, np.uint64)
+
+
+def _is_in(values: np.ndarray, ordered: np.ndarray) -> np.ndarray:
+    if not len(ordered):
+        return np.zeros(len(values), bool)
+    return ordered[np.minimum(np.searchsorted(ordered, values), len(ordered) - 1)] == values
+
+
+def _told(group: int, portion: np.ndarray, value: np.ndarray, width: int) -> pa.Table:
+    """A row for each portion with its values, both sorted."""
+    cut = np.append(_cuts(portion), len(portion))
+    rows = [(int(portion[i]), group, packed(value[i:j], width)) for i, j in zip(cut[:-1], cut[1:], strict=True)]
+    return pa.Table.from_batches([_table([list(c) for c in zip(*rows, strict=True)] or [[], [], []], _FOUND)])
+
+
+def block_hits(table: DataFrame, bits: int) -> DataFrame:
+    """``portion``, ``group``, ``hashes`` of blocks that another portion has too and that are a reference block in one of them."""
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        serial = 0
-        for batch in batches:
-            texts = [t or b"" for t in batch.column("text").to_pylist()]
-            keys = np.stack([batch.column("id").to_numpy(), batch.column("print").to_numpy()], axis=1)
-            for part in words.portions(texts, PORTION):
-                key, bounds = _tokens(texts[part])
-                portion, serial = _portion(serial), serial + 1
-                rows = [(portion % groups, 2, portion, keys[part].astype("<i8").tobytes(), bounds.astype("<u4").tobytes())]
-                h = rolled(key, BLOCK)
-                at = np.flatnonzero(_whole(bounds, len(h), BLOCK))
-                if len(at):
-                    place = at - bounds[np.searchsorted(bounds, at, "right") - 1]
-                    order = np.argsort(h[at], kind="stable")
-                    first = _cuts(h[at][order])
-                    times = np.diff(np.append(first, len(order)))
-                    anchor = np.maximum.reduceat((place % BLOCK == 0)[order].astype(np.uint8), first)
-                    local = np.sort(at[order][np.repeat(times > 1, times)])
-                    rows.append((portion % groups, 1, portion, local.astype("<u4").tobytes(), None))
-                    one = at[order][first]
-                    group = (h[one] >> np.uint64(64 - groups_bits)).astype(np.int64) if groups_bits else np.zeros(len(one), np.int64)
-                    rest = (h[one] >> np.uint64(32 - groups_bits) & np.uint64(0xFFFFFFFE)).astype("<u4") | anchor
-                    order = np.lexsort((one, group))
-                    group, rest, one = group[order], rest[order], one[order]
-                    cut = np.append(_cuts(group), len(group))
-                    rows += [(int(group[i]), 0, portion, rest[i:j].tobytes(), _steps(one[i:j], wide)) for i, j in zip(cut[:-1], cut[1:], strict=True)]
-                yield _entry_rows(rows)
+        for row in _rows(batches):
+            hashes, anchor, _, _ = Portion(row).anchors()
+            groups, cut = _split(hashes, bits)
+            # Hashes that agree in all bits that are kept are one entry, an anchor if one of them is.
+            for g, i, j in zip(groups.tolist(), cut[:-1], cut[1:], strict=True):
+                low = _low(hashes[i:j], bits, BLOCK_BITS)
+                first = _cuts(low)
+                marks = np.packbits(np.maximum.reduceat(anchor[i:j], first)).tobytes()
+                yield _table([[g], [row["portion"]], [packed(low[first], BLOCK_BITS)], [marks]], _ENTRIES)
 
     def meet(table: pa.Table) -> pa.Table:
-        out, hashes, portions, places = [], [], [], []
-        kinds = table.column("kind").to_numpy()
-        for i, kind in enumerate(kinds):
-            portion, a, b = (table.column(c)[i].as_py() for c in ("portion", "a", "b"))
-            if kind:
-                out.append((0, int(kind), portion, a, b))
-            else:
-                hashes.append(np.frombuffer(a, "<u4"))
-                places.append(_places(b, wide))
-                portions.append(np.full(len(hashes[-1]), portion))
-        if hashes:
-            h, portion, place = map(np.concatenate, (hashes, portions, places))
-            order = np.argsort(h, kind="stable")
-            first = _cuts(h[order] >> 1)
-            times = np.diff(np.append(first, len(order)))
-            anchor = np.maximum.reduceat(h[order] & 1, first)
-            hit = np.sort(order[np.repeat((times > 1) & (anchor > 0), times)])
-            cut = np.append(_cuts(portion[hit]), len(hit))
-            out += [(0, 1, int(portion[hit[i]]), place[hit[i:j]].astype("<u4").tobytes(), None) for i, j in zip(cut[:-1], cut[1:], strict=True)]
-        return pa.Table.from_batches([_entry_rows(out)])
-
-    def by_document(table: pa.Table) -> pa.Table:
-        keys = bounds = None
-        found = [np.empty(0, np.int64)]
-        for kind, a, b in zip(*(table.column(c).to_pylist() for c in ("kind", "a", "b")), strict=True):
-            if kind == 2:
-                keys, bounds = np.frombuffer(a, "<i8").reshape(-1, 2), np.frombuffer(b, "<u4").astype(np.int64)
-            else:
-                found.append(np.frombuffer(a, "<u4").astype(np.int64))
-        place = np.unique(np.concatenate(found))
-        text = np.searchsorted(bounds, place, "right") - 1
-        cut = np.append(_cuts(text), len(text))
-        rows = [(int(keys[text[i]][0]), int(keys[text[i]][1]), (place[i:j] - bounds[text[i]]).astype("<u4").tobytes()) for i, j in zip(cut[:-1], cut[1:], strict=True)]
-        return pa.Table.from_batches([_rows(rows, ["id", "print", "hits"], [pa.int64(), pa.int64(), pa.binary()])])
-
-    met = docs.select("id", "print", "text").mapInArrow(blocks, ENTRY).groupBy("group").applyInArrow(meet, ENTRY)
-    return met.groupBy("portion").applyInArrow(by_document, "id long, print long, hits binary").groupBy("id", "print").agg(F.max("hits").alias("hits"))
-
-
-def _prepare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Results of documents without a hit; number, compressed text and hits of the others."""
-    unpack = zstandard.ZstdDecompressor()
-    serial, index, size, portion = 0, 0, 0, None
-    names = ["id", "print", "n_words", "kept_sha256", "portion", "index", "packed", "hits"]
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-    for batch in batches:
+        values, rows = [], table.column("portion").to_pylist()
+        for k, (data, marks) in enumerate(zip(table.column("hashes").to_pylist(), table.column("anchors").to_pylist(), strict=True)):
+            low = unpacked(data, BLOCK_BITS)
+            anchor = np.unpackbits(np.frombuffer(marks, np.uint8), count=len(low)).astype(np.uint64)
+            values.append(low << np.uint64(64 - BLOCK_BITS) | np.uint64(k << 1) | anchor)
+        both = np.sort(np.concatenate(values))
+        low = both >> np.uint64(64 - BLOCK_BITS)
+        first = _cuts(low)
+        times = np.diff(np.append(first, len(low)))
+        anchor = np.maximum.reduceat(both & np.uint64(1), first) > 0
+        hit = both[np.repeat(anchor & (times > 1), times)]
+        portion = np.array(rows)[(hit >> np.uint64(1) & np.uint64((1 << (63 - BLOCK_BITS)) - 1)).astype(np.int64)]
+        order = np.argsort(portion, kind="stable")
+        return _told(table.column("group")[0].as_py(), portion[order], hit[order] >> np.uint64(64 - BLOCK_BITS), BLOCK_BITS)
+
+    return table.mapInArrow(blocks, ENTRIES).groupBy("group").applyInArrow(meet, FOUND)
+
+
+def late_windows(table: DataFrame, hits: DataFrame, block_bits: int, bits: int) -> DataFrame:
+    """``portion``, ``group``, ``hashes`` of windows around hits that a portion before it has too."""
+
+    def windows(left: pa.Table, right: pa.Table) -> pa.Table:
         rows = []
-        for i, p, packed, hits in zip(*(batch.column(c).to_pylist() for c in ("id", "print", "packed", "hits")), strict=True):
-            w = unpack.decompress(packed).split()
-            if hits is None:
-                rows.append((i, p, len(w), hashlib.sha256(b" ".join(w)).hexdigest(), None, None, None, None))
-                continue
-            if portion is None or size > PORTION // 3:
-                portion, serial, index, size = _portion(serial), serial + 1, 0, 0
-            rows.append((i, p, len(w), None, portion, index, packed, hits))
-            index, size = index + 1, size + len(packed)
-        yield _rows(rows, names, types)
-
-
-def removals(table: DataFrame, groups_bits: int) -> DataFrame:
-    """Rows ``portion``, ``codes``: document index and start (32-bit numbers) of windows that also start earlier."""
-    groups = 1 << groups_bits
-
-    def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        unpack = zstandard.ZstdDecompressor()
-        for batch in batches:
-            texts = [unpack.decompress(x) for x in batch.column("packed").to_pylist()]
-            cols = {c: batch.column(c).to_numpy() for c in ("id", "print", "portion", "index")}
-            hits = batch.column("hits").to_pylist()
-            for part in words.portions(texts, PORTION):
-                key, bounds = _tokens(texts[part])
-                h = rolled(key, WINDOW)
-                mark = np.zeros(len(key) + 1, np.int64)
-                for b, x in zip(bounds[:-1], hits[part], strict=True):
-                    mark[1 + b + np.frombuffer(x, "<u4").astype(np.int64)] = 1
-                mark = np.cumsum(mark)
-                reach = WINDOW - BLOCK + 1
-                at = np.flatnonzero(_whole(bounds, len(h), WINDOW) & (mark[reach : reach + len(h)] > mark[: len(h)]))
-                if not len(at):
-                    continue
-                text = np.searchsorted(bounds, at, "right") - 1
-                start = at - bounds[text]
-                own = {c: x[part] for c, x in cols.items()}
-                rank = np.empty(len(own["id"]), np.int64)
-                rank[np.lexsort((own["print"], own["id"]))] = np.arange(len(rank))
-                order = np.lexsort((start, rank[text], h[at]))
-                first = np.zeros(len(order), bool)
-                first[_cuts(h[at][order])] = True
-                rows = []
-                late = np.sort(order[~first])
-                cut = np.append(_cuts(own["portion"][text[late]]), len(late))
-                for i, j in zip(cut[:-1], cut[1:], strict=True):
-                    x = late[i:j]
-                    portion = int(own["portion"][text[x[0]]])
-                    rows.append((portion % groups, 1, portion, np.stack([own["index"][text[x]], start[x]], axis=1).astype("<u4").tobytes(), None))
-                one = np.sort(order[first])
-                group = (h[at[one]] % np.uint64(groups)).astype(np.int64)
-                by = np.lexsort((one, own["portion"][text[one]], group))
-                one, group = one[by], group[by]
-                portions = own["portion"][text[one]]
-                cut = np.append(np.flatnonzero(np.concatenate(([True], (group[1:] != group[:-1]) | (portions[1:] != portions[:-1])))), len(one))
-                for i, j in zip(cut[:-1], cut[1:], strict=True):
-                    x = one[i:j]
-                    runs = np.append(_cuts(text[x]), len(x))
-                    docs = text[x[runs[:-1]]]
-                    table = np.stack([own["id"][docs], own["print"][docs], own["index"][docs], np.diff(runs)], axis=1).astype("<i8").tobytes()
-                    rows.append((int(group[i]), 0, int(portions[i]), (h[at[x]] // np.uint64(groups)).astype("<u8").tobytes() + start[x].astype("<u4").tobytes(), table))
-                yield _entry_rows(rows)
+        for row in left.to_pylist():
+            p = Portion(row)
+            hashes, anchor, times, block = p.anchors()
+            own = hashes[anchor & (times > 1)]
+            shared = _first_bits(right, BLOCK_BITS)
+            mark = _is_in(block, own) | _is_in(block >> np.uint64(64 - block_bits - BLOCK_BITS), shared)
+            before = np.concatenate(([0], np.cumsum(mark)))
+            h, at = p.windows(WINDOW)
+            reach = WINDOW - BLOCK + 1
+            # Places whose block runs over the end of a text may be marked; that only adds windows.
+            near = np.unique(h[at[before[at + reach] > before[at]]])
+            groups, cut = _split(near, bits)
+            rows += [(g, row["portion"], packed(_low(near[i:j], bits, 64 - bits), 64 - bits), None) for g, i, j in zip(groups.tolist(), cut[:-1], cut[1:], strict=True)]
+        return pa.Table.from_batches([_table([list(c) for c in zip(*rows, strict=True)] or [[], [], [], []], _ENTRIES)])
 
     def meet(table: pa.Table) -> pa.Table:
-        out, parts = [], []
-        for kind, portion, a, b in zip(*(table.column(c).to_pylist() for c in ("kind", "portion", "a", "b")), strict=True):
-            if kind:
-                out.append((portion, a))
-                continue
-            n = len(a) // 12
-            docs = np.frombuffer(b, "<i8").reshape(-1, 4)
-            of = np.repeat(docs[:, :3], docs[:, 3], axis=0)
-            parts.append((np.frombuffer(a[: 8 * n], "<u8"), of[:, 0], of[:, 1], of[:, 2], np.frombuffer(a[8 * n :], "<u4"), np.full(n, portion)))
-        if parts:
-            h, i, p, index, start, portion = (np.concatenate(x) for x in zip(*parts, strict=True))
-            order = np.lexsort((start, p, i, h))
-            new = np.zeros(len(order), bool)
-            new[_cuts(h[order])] = True
-            late = order[~new]
-            late = late[np.lexsort((start[late], index[late], portion[late]))]
-            cut = np.append(_cuts(portion[late]), len(late))
-            out += [(int(portion[late[a]]), np.stack([index[late[a:b]], start[late[a:b]]], axis=1).astype("<u4").tobytes()) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-        return pa.Table.from_batches([_rows(out, ["portion", "codes"], [pa.int64(), pa.binary()])])
-
-    return table.where("hits is not null").mapInArrow(windows, ENTRY).groupBy("group").applyInArrow(meet, "portion long, codes binary")
-
-
-def _finish(texts: pa.Table, codes: pa.Table) -> pa.Table:
-    unpack = zstandard.ZstdDecompressor()
-    blobs = [np.frombuffer(x, "<u4").reshape(-1, 2).astype(np.int64) for x in codes.column("codes").to_pylist()]
-    code = np.concatenate(blobs) if blobs else np.empty((0, 2), np.int64)
-    code = code[np.argsort(code[:, 0], kind="stable")]
-    rows = []
-    for i, p, index, packed in zip(*(texts.column(c).to_pylist() for c in ("id", "print", "index", "packed")), strict=True):
-        w = unpack.decompress(packed).split()
-        start = code[slice(*np.searchsorted(code[:, 0], [index, index + 1])), 1]
-        edge = np.zeros(len(w) + WINDOW + 1, np.int64)
-        np.add.at(edge, start, 1)
-        np.add.at(edge, start + WINDOW, -1)
-        keep = np.cumsum(edge)[: len(w)] == 0
-        rows.append((i, p, len(w), int(len(w) - keep.sum()), hashlib.sha256(b" ".join(compress(w, keep.tolist()))).hexdigest()))
-    return pa.Table.from_batches([_rows(rows, ["id", "print", "n_words", "n_removed", "kept_sha256"], [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string()])])
-
-
-def substring_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``doc_id``, ``n_words``, ``n_removed`` and ``kept_sha256`` for each row of ``df``."""
-    last = F.lit((1 << 63) - 1)
-    docs = df.select(F.col(doc_id).alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), last).alias("id"), F.xxhash64(text).alias("print"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
+        number = np.array(table.column("portion").to_pylist())
+        data = table.column("hashes").to_pylist()
+        order = np.argsort(number, kind="stable")
+        values = [unpacked(data[i], 64 - bits) for i in order]
+        portion = np.repeat(number[order], [len(v) for v in values])
+        value = np.concatenate(values)
+        by = np.argsort(value, kind="stable")
+        late = np.ones(len(by), bool)
+        late[_cuts(value[by])] = False
+        late = np.sort(by[late])  # portions in order again, and each one's values as they came
+        return _told(table.column("group")[0].as_py(), portion[late], value[late], 64 - bits)
+
+    near = table.groupBy("portion").cogroup(hits.groupBy("portion")).applyInArrow(windows, ENTRIES)
+    return near.groupBy("group").applyInArrow(meet, FOUND)
+
+
+def finished(table: DataFrame, late: DataFrame) -> DataFrame:
+    """``doc_id``, ``n_words``, ``n_removed`` and ``kept_sha256`` of every row."""
+    schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_sha256", pa.string())])
+
+    def finish(left: pa.Table, right: pa.Table) -> pa.Table:
+        rows = []
+        for row in left.to_pylist():
+            p = Portion(row)
+            h, at = p.windows(WINDOW)
+            again = np.ones(len(at), bool)
+            order = np.argsort(h[at], kind="stable")
+            again[order[_cuts(h[at][order])]] = False
+            values = [unpacked(x, 64 - int(b)) | np.uint64(g << (64 - int(b))) for g, b, x in zip(*(right.column(c).to_pylist() for c in ("group", "bits", "hashes")), strict=True)]
+            before = np.sort(np.concatenate(values)) if values else np.empty(0, np.uint64)
+            start = at[again | _is_in(h[at], before)]
+            edge = np.bincount(start, minlength=len(p.key) + WINDOW + 1) - np.bincount(start + WINDOW, minlength=len(p.key) + WINDOW + 1)
+            keep = np.cumsum(edge)[: len(p.key)] == 0
+            ids, known, times = (np.frombuffer(row[c], k).tolist() for c, k in (("ids", "<i8"), ("known", "u1"), ("times", "<i8")))
+            raw = p.data.tobytes()
+            for d in range(len(ids)):
+                w = raw[p.first[d] : p.first[d] + p.sizes[d]].split()
+                mine = keep[p.bounds[d] : p.bounds[d + 1]]
+                n = int(mine.sum())
+                kept = w if n == len(w) else compress(w, mine.tolist())
+                rows += [(ids[d] if known[d] else None, len(w), len(w) - n, hashlib.sha256(b" ".join(kept)).hexdigest())] * times[d]
+        return pa.Table.from_batches([_table([list(c) for c in zip(*rows, strict=True)] or [[], [], [], []], schema)])
+
+    return table.groupBy("portion").cogroup(late.groupBy("portion")).applyInArrow(finish, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+
+
+def substring_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", portion: int = PORTION, group: int = GROUP) -> DataFrame:
+    """``doc_id`` (as a long), ``n_words``, ``n_removed`` and ``kept_sha256`` for each row of ``df``."""
+    docs = df.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("id"), F.col(doc_id).cast("long").isNotNull().alias("known"), F.xxhash64(text).alias("print"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    bits = max(0, (int(size) // 6 // GROUP).bit_length())
-
-    def compressed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pack = zstandard.ZstdCompressor(level=3)
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([pack.compress(t) for t in batch.column(2).to_pylist()], pa.binary())], ["id", "print", "packed"])
-
-    packed = docs.select("id", "print", "text").mapInArrow(compressed, "id long, print long, packed binary").groupBy("id", "print").agg(F.first("packed").alias("packed"))
-    joined = packed.join(hit_places(docs, bits), ["id", "print"], "left")
-    table = stored(joined.mapInArrow(_prepare, "id long, print long, n_words long, kept_sha256 string, portion long, index long, packed binary, hits binary"))
-    hit = table.where("hits is not null").select("id", "print", "portion", "index", "packed")
-    ended = hit.groupBy("portion").cogroup(removals(table, max(0, bits - 1)).groupBy("portion")).applyInArrow(_finish, "id long, print long, n_words long, n_removed long, kept_sha256 string")
-    clean = table.where("hits is null").select("id", "print", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256")
-    return docs.select("doc_id", "id", "print").join(ended.unionByName(clean), ["id", "print"]).select("doc_id", "n_words", "n_removed", "kept_sha256")
+    bits = (int(size) // 6 // group).bit_length()
+    small = docs.mapInArrow(_compressed, "id long, known boolean, print long, packed binary")
+    ordered = small.repartitionByRange("id", "print").sortWithinPartitions("id", "print", "known")
+    table = stored(ordered.mapInArrow(_portions(portion), PORTIONS))
+    window_bits = max(0, bits - 1)
+    late = late_windows(table, block_hits(table, bits), bits, window_bits).withColumn("bits", F.lit(window_bits))
+    return finished(table, late)

@@ -2,6 +2,7 @@
 
 import itertools
 import random
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -229,13 +230,21 @@ def test_rolled_windows(width):
     assert len(substrings.rolled(key[: width - 1], width)) == 0
 
 
-def test_packed_places():
-    r = random.Random(8)
-    for top in (3, 300, 100_000):
-        places = np.cumsum([r.randint(1, top) for _ in range(500)])
-        for wide in (False, True):
-            assert (substrings._places(substrings._steps(places, wide), wide) == places).all()
-    assert len(substrings._places(b"", False)) == 0
+@pytest.mark.parametrize("width", [12, 28, 57, 60, 64])
+def test_packed_hashes(width):
+    r = np.random.default_rng(width)
+    for n in (0, 1, 7, 300, 5000):
+        values = np.sort(r.integers(0, 2**63, n).astype(np.uint64) * np.uint64(2) >> np.uint64(64 - width))
+        assert (substrings.unpacked(substrings.packed(values, width), width) == values).all()
+    many = np.zeros(1000, np.uint64)
+    assert (substrings.unpacked(substrings.packed(many, width), width) == many).all()
+
+
+def test_small_portions_and_groups_find_the_same(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id long, text string, id string, print string, portion long")
+    whole = Counter(map(tuple, substrings.substring_dedup(df).collect()))
+    assert Counter(map(tuple, substrings.substring_dedup(df, portion=3000, group=60).collect())) == whole
+    assert len(rows) == sum(whole.values())
 
 
 def test_nearest_codes_are_exact():
