@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from lumenlit.session import spread
 
 #: A word: a run of characters other than the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
+_stored: list[str] = []
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,33 +27,57 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
 
 
-def persisted(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the cluster's shared folder.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names, which all executors share.
 
-    The folder is ``spark.checkpoint.dir``; only where that is unset (tests, one
-    machine) a folder beside the warehouse is used.
+    Where it is unset, one beside the warehouse is used by a session on a single machine;
+    a cluster needs the setting.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = spark.conf.get("spark.checkpoint.dir", "")
+        if not folder and not context.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
-    return df.checkpoint()
+    return context.getCheckpointDir()
 
 
-def salt_of_doc(doc_id: str | Column = "doc_id", folds: int = 5) -> Column:
-    """crc32 of the id as text, modulo ``folds`` (null ids: as the empty text)."""
-    column = F.col(doc_id) if isinstance(doc_id, str) else doc_id
-    return F.crc32(F.coalesce(column.cast("string"), F.lit(""))) % folds
+def persisted(df: DataFrame) -> DataFrame:
+    """Cut the lineage with a reliable checkpoint in the shared folder."""
+    checkpoint_folder(df.sparkSession)
+    return df.checkpoint()
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a Parquet table in the checkpoint folder, which all executors share."""
-    import uuid
-
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        persisted(df.sparkSession.range(0))
-    path = f"{context.getCheckpointDir()}/table-{uuid.uuid4().hex}"
+    """Cut the lineage with a Parquet table in the shared folder; ``drop_stored`` deletes it."""
+    path = f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _stored.append(path)
     return df.sparkSession.read.parquet(path)
+
+
+def drop_stored(spark: SparkSession) -> int:
+    """Delete the tables that this session's queries have stored so far, once their results are written."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    n = len(_stored)
+    while _stored:
+        path = jvm.org.apache.hadoop.fs.Path(_stored.pop())
+        path.getFileSystem(conf).delete(path, True)
+    return n
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """Names like the given ones that no column of the table has, whatever its case."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def salt_of_doc(doc_id: str | Column = "doc_id", folds: int = 5) -> Column:
+    """crc32 of the id as text, modulo ``folds`` (null ids: as the empty text)."""
+    column = F.col(doc_id) if isinstance(doc_id, str) else doc_id
+    return F.crc32(F.coalesce(column.cast("string"), F.lit(""))) % folds
