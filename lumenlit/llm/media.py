@@ -1,16 +1,19 @@
 """Media columns: ISO media containers built, walked and indexed inside Spark.
 
 ``store`` wraps bytes losslessly in an ISO base media file (one track of 8-bit
-samples); ``describe`` walks the nested boxes of any such file, decodes its sample
-tables and returns codec, duration and the byte ranges of its keyframes; the payload
-itself is never decoded. ``read_back`` fetches the bytes which those ranges name.
+samples); ``describe_tracks`` walks the nested boxes of any such file, decodes the sample
+tables of every track, in the movie's own boxes and in its fragments (``moof``), and
+returns codec, duration and the byte ranges of keyframes; the payload itself is never
+decoded. ``describe`` is the same for the first track, and ``read_back`` fetches the
+bytes which those ranges name.
 
 Every function works on one row at a time inside an Arrow batch, so memory is bounded
-by Spark's batch size (bytes) and the largest single file.
+by Spark's batch and the largest single file; a file of any length is walked whole.
 
 Defined results: a null or empty payload is stored as one block of zero bytes by
-``pad``; ``describe`` of null gives null; of bytes that are no ISO media file, a row
-with ``valid`` false and no tracks; repeated rows give equal rows. Columns are named by
+``pad``; ``describe`` of null gives null; of bytes that are no ISO media file or break
+off, a row with ``valid`` false and nothing else (``describe_tracks``: null); a track
+that has neither sample tables nor fragments has no samples; repeated rows give equal rows. Columns are named by
 the caller, so other columns of the table never clash with the operator's own.
 """
 
@@ -33,6 +36,10 @@ DESCRIPTION = (
     " keyframe_ranges array<struct<first_sample: long, samples: long, offset: long, length: long>>,"
     " media_ranges array<struct<offset: long, length: long>>"
 )
+TRACKS = (
+    "array<struct<track: long, handler: string, codec: string, timescale: long, duration: long, samples: long, chunks: long, fragments: long, keyframes: long,"
+    " keyframe_ranges: array<struct<first_sample: long, samples: long, offset: long, length: long>>, media_ranges: array<struct<offset: long, length: long>>>>"
+)
 #: Boxes that hold other boxes.
 NESTED = {b"moov", b"trak", b"mdia", b"minf", b"stbl", b"dinf", b"edts", b"udta"}
 
@@ -123,62 +130,153 @@ def _numbers(data: memoryview, at: tuple[int, int], width: str = "I", each: int
     return list(flat) if each == 1 else [flat[i : i + each] for i in range(0, len(flat), each)]
 
 
-def _track(data: memoryview, start: int, end: int) -> tuple:
-    """The description of a track from its sample tables."""
+class _Track:
+    """What is known of a track: its samples fall into runs of the file."""
+
+    def __init__(self, box: dict[bytes, tuple[int, int]], data: memoryview) -> None:
+        at = box[b"tkhd"][0] if b"tkhd" in box else None
+        self.number = 0 if at is None else struct.unpack_from(">I", data, at + (20 if data[at] == 1 else 12))[0]
+        self.handler = bytes(data[box[b"hdlr"][0] + 8 : box[b"hdlr"][0] + 12]).decode("latin-1") if b"hdlr" in box else ""
+        self.codec = bytes(data[box[b"stsd"][0] + 12 : box[b"stsd"][0] + 16]).decode("latin-1")
+        at = box[b"mdhd"][0]
+        self.timescale, self.duration = struct.unpack_from(">IQ", data, at + 20) if data[at] == 1 else struct.unpack_from(">II", data, at + 12)
+        self.samples = self.chunks = self.fragments = 0
+        self.keyframes: list[list[int]] = []
+        self.media: list[list[int]] = []
+
+    def take(self, place: int, lengths: Iterator[tuple[int, bool]]) -> int:
+        """Samples one after another from a place on: length and whether it is a keyframe."""
+        begin = place
+        for length, key in lengths:
+            self.samples += 1
+            if key:
+                last = self.keyframes[-1] if self.keyframes else None
+                if last and last[2] + last[3] == place and last[0] + last[1] == self.samples:
+                    last[1], last[3] = last[1] + 1, last[3] + length
+                else:
+                    self.keyframes.append([self.samples, 1, place, length])
+            place += length
+        self.chunks += 1
+        if self.media and self.media[-1][0] + self.media[-1][1] == begin:
+            self.media[-1][1] += place - begin
+        elif place > begin:
+            self.media.append([begin, place - begin])
+        return place
+
+    def told(self) -> dict:
+        return {
+            "track": self.number, "handler": self.handler, "codec": self.codec, "timescale": self.timescale, "duration": self.duration, "samples": self.samples, "chunks": self.chunks,
+            "fragments": self.fragments, "keyframes": sum(k[1] for k in self.keyframes),
+            "keyframe_ranges": [dict(zip(("first_sample", "samples", "offset", "length"), r, strict=True)) for r in self.keyframes],
+            "media_ranges": [dict(zip(("offset", "length"), r, strict=True)) for r in self.media],
+        }
+
+
+def _tabled(data: memoryview, start: int, end: int) -> _Track:
+    """A track with the samples of its own tables."""
     box = _tables(data, start, end, {})
-    codec = bytes(data[box[b"stsd"][0] + 12 : box[b"stsd"][0] + 16]).decode("latin-1")
-    at = box[b"mdhd"][0]
-    timescale, duration = struct.unpack_from(">IQ", data, at + 20) if data[at] == 1 else struct.unpack_from(">II", data, at + 12)
+    track = _Track(box, data)
+    if b"stsz" not in box:
+        return track
     same, n = struct.unpack_from(">II", data, box[b"stsz"][0] + 4)
     if not same and box[b"stsz"][0] + 12 + 4 * n > box[b"stsz"][1]:
         raise ValueError("a table is cut off")
     sizes = None if same else struct.unpack_from(f">{n}I", data, box[b"stsz"][0] + 12)
-    places = _numbers(data, box[b"co64"], "Q") if b"co64" in box else _numbers(data, box[b"stco"])
-    runs = _numbers(data, box[b"stsc"], each=3)
+    places = _numbers(data, box[b"co64"], "Q") if b"co64" in box else _numbers(data, box[b"stco"]) if b"stco" in box else []
+    runs = _numbers(data, box[b"stsc"], each=3) if places else []
     keys = set(_numbers(data, box[b"stss"])) if b"stss" in box else None
-    media, ranges, sample, run = [], [], 0, -1
+    run = -1
     for chunk, place in enumerate(places, 1):
         if run + 1 < len(runs) and runs[run + 1][0] == chunk:
             run += 1
         if run < 0:
             raise ValueError("a chunk has no count")
-        begin = place
-        for _ in range(min(runs[run][1], n - sample)):
-            sample += 1
-            length = same or sizes[sample - 1]
-            if keys is None or sample in keys:
-                last = ranges[-1] if ranges else None
-                if last and last[2] + last[3] == place and last[0] + last[1] == sample:
-                    last[1], last[3] = last[1] + 1, last[3] + length
-                else:
-                    ranges.append([sample, 1, place, length])
-            place += length
-        if place > len(data):
+        own = range(track.samples, min(n, track.samples + runs[run][1]))
+        if track.take(place, ((same or sizes[i], keys is None or i + 1 in keys) for i in own)) > len(data):
             raise ValueError("a chunk lies outside the file")
-        if media and media[-1][0] + media[-1][1] == begin:
-            media[-1][1] += place - begin
-        else:
-            media.append([begin, place - begin])
-    if sample != n:
+    if track.samples != n:
         raise ValueError("samples have no chunk")
-    return codec, timescale, duration, n, len(places), sum(r[1] for r in ranges), ranges, media
+    return track
 
 
-def description(media: bytes | None) -> dict | None:
+def _fragment(data: memoryview, head: int, start: int, end: int, tracks: dict[int, _Track], defaults: dict[int, tuple]) -> None:
+    """The runs of a movie fragment, which begins at ``head``; places count from there unless it says otherwise."""
+    place = head
+    for kind, a, b in walk(data, start, end):
+        if kind != b"traf":
+            continue
+        inner = list(walk(data, a, b))
+        at = next(x for k, x, _ in inner if k == b"tfhd")
+        flags, number = struct.unpack_from(">II", data, at)
+        flags &= 0xFFFFFF
+        at += 8
+        _, duration, size, kinds = defaults.get(number, (1, 0, 0, 0))
+        base = place if not flags & 0x20000 else head
+        if flags & 1:
+            base, at = struct.unpack_from(">Q", data, at)[0], at + 8
+        at += 4 * bool(flags & 2)
+        if flags & 8:
+            duration, at = struct.unpack_from(">I", data, at)[0], at + 4
+        if flags & 16:
+            size, at = struct.unpack_from(">I", data, at)[0], at + 4
+        if flags & 32:
+            kinds, at = struct.unpack_from(">I", data, at)[0], at + 4
+        place, track = base, tracks[number]
+        track.fragments += 1
+        for x in (x for k, x, _ in inner if k == b"trun"):
+            flags, count = struct.unpack_from(">II", data, x)
+            x += 8
+            if flags & 1:
+                place, x = base + struct.unpack_from(">i", data, x)[0], x + 4
+            first = None
+            if flags & 4:
+                first, x = struct.unpack_from(">I", data, x)[0], x + 4
+            fields = [f for f in (0x100, 0x200, 0x400, 0x800) if flags & f]
+            if x + 4 * count * len(fields) > b:
+                raise ValueError("a run is cut off")
+            rows = struct.iter_unpack(f">{len(fields)}I", data[x : x + 4 * count * len(fields)]) if fields else [()] * count
+            lengths = []
+            for i, row in enumerate(rows):
+                told = dict(zip(fields, row, strict=True))
+                track.duration += told.get(0x100, duration)
+                own = first if i == 0 and first is not None else told.get(0x400, kinds)
+                lengths.append((told.get(0x200, size), not own & 0x10000))
+            place = track.take(place, iter(lengths))
+            if place > len(data):
+                raise ValueError("a run lies outside the file")
+
+
+def all_tracks(media: bytes | None) -> list[dict] | None:
+    """Every track of a file, or None if it is no whole ISO media file."""
     if media is None:
         return None
-    names = ("codec", "timescale", "duration", "samples", "chunks", "keyframes", "keyframe_ranges", "media_ranges")
     try:
         data = memoryview(media)
-        moov = next((a, b) for kind, a, b in walk(data, 0, len(data)) if kind == b"moov")
-        trak = next((a, b) for kind, a, b in walk(data, *moov) if kind == b"trak")
-        values = _track(data, *trak)
+        boxes, heads, at = list(walk(data, 0, len(data))), [], 0
+        for _, _, stop in boxes:
+            heads.append(at)
+            at = stop
+        moov = next((a, b) for kind, a, b in boxes if kind == b"moov")
+        inner = list(walk(data, *moov))
+        tracks = [_tabled(data, a, b) for kind, a, b in inner if kind == b"trak"]
+        extends = [x for kind, a, b in inner if kind == b"mvex" for x in walk(data, a, b) if x[0] == b"trex"]
+        defaults = {n: tuple(rest) for n, *rest in (struct.unpack_from(">5I", data, a + 4) for _, a, _ in extends)}
+        numbered = {t.number: t for t in tracks}
+        for (kind, a, b), head in zip(boxes, heads, strict=True):
+            if kind == b"moof":
+                _fragment(data, head, a, b, numbered, defaults)
+        return [t.told() for t in tracks] or None
     except (ValueError, KeyError, IndexError, StopIteration, struct.error):
-        return {"valid": False} | dict.fromkeys(names)
-    out = {"valid": True} | dict(zip(names, values, strict=True))
-    out["keyframe_ranges"] = [dict(zip(("first_sample", "samples", "offset", "length"), r, strict=True)) for r in out["keyframe_ranges"]]
-    out["media_ranges"] = [dict(zip(("offset", "length"), r, strict=True)) for r in out["media_ranges"]]
-    return out
+        return None
+
+
+def description(media: bytes | None) -> dict | None:
+    """The first track."""
+    if media is None:
+        return None
+    tracks = all_tracks(media)
+    names = ("codec", "timescale", "duration", "samples", "chunks", "keyframes", "keyframe_ranges", "media_ranges")
+    return {"valid": bool(tracks)} | (dict.fromkeys(names) if not tracks else {c: tracks[0][c] for c in names})
 
 
 def _stored(payload: pd.Series) -> pd.Series:
@@ -201,6 +299,11 @@ def describe(media: Column) -> Column:
     return F.pandas_udf(_described, DESCRIPTION)(media)
 
 
+def describe_tracks(media: Column) -> Column:
+    """An array with codec, duration and byte ranges of every track, fragments included."""
+    return F.pandas_udf(lambda m: m.map(all_tracks, na_action="ignore"), TRACKS)(media)
+
+
 def read_back(media: Column, ranges: Column) -> Column:
     """The bytes of a file in the given ranges, joined."""
     return F.aggregate(ranges, F.lit(b""), lambda acc, r: F.concat(acc, F.substring(media, (r["offset"] + 1).cast("int"), r["length"].cast("int"))))
