@@ -7,8 +7,9 @@ states emit symbols and classes; a word within its class has the smoothed share
 count, the same in every state: an ordinary hidden Markov model over words with tied
 emissions, which sums to one, whose state-dependent part is bounded by constants.
 
-States start from contrasting documents of a bounded sample (``START_DOCUMENTS`` of
-smallest hashed id); then every Baum-Welch round makes expected counts of all training
+States start from all training documents, each of which gives its counts to the state
+that its words point to (on which side of some seeded random planes through the corpus's
+mean they lie); then every Baum-Welch round makes expected counts of all training
 documents in Spark's tasks, sums them over tasks by symbol, and re-estimates. Scores are
 the exact likelihood by the scaled forward recursion, plus the shares of words in their
 classes, for which rare words are joined to their counts; only words that make up a
@@ -16,7 +17,8 @@ classes, for which rare words are joined to their counts; only words that make u
 
 A word is known by 54 bits of a hash and its class. Defined results: null and empty texts
 are the end token alone; without training rows the counts are zero and states uniform;
-repeated rows score alike.
+repeated rows score alike; texts of any length are read whole; other columns of the
+input, whatever their names, are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -37,8 +39,6 @@ STATES = 8
 SYMBOLS = 1 << 16
 KNOWN = 1 << 20
 CLASSES = 1024
-START_DOCUMENTS = 300
-START_ROUNDS = 12
 ROUNDS = 2
 #: Weight, in tokens, of the unigram model in each state's emissions.
 PRIOR = 200.0
@@ -158,25 +158,28 @@ def estimated(unigram: np.ndarray, starts: np.ndarray, steps: np.ndarray, emits:
     return Model((starts + 0.5) / (starts + 0.5).sum(), steps / steps.sum(axis=1, keepdims=True), emit)
 
 
-def begun(lexicon: Lexicon, texts: list[bytes | None], states: int = STATES, rounds: int = START_ROUNDS) -> Model:
-    """States that begin as contrasting documents of a sample, after some rounds over it."""
-    unigram = lexicon.unigram
-    if not texts:
-        return estimated(unigram, np.zeros(states), np.zeros((states, states)), np.zeros((len(unigram), states)))
-    key, bounds = tokens(texts)
-    symbol, bounds = sequence(lexicon, key, bounds, _find(lexicon, key))
-    long = np.flatnonzero(np.diff(bounds) >= 30)
-    long = long if len(long) >= states else np.arange(len(texts))
-    share = np.stack([np.bincount(symbol[bounds[d] : bounds[d + 1]], minlength=len(unigram)) for d in long[:200]]).astype(float)
-    root = np.sqrt(share / share.sum(axis=1, keepdims=True))
-    seeds = [int(np.argmin(root @ np.sqrt(unigram)))]
-    while len(seeds) < states:
-        seeds.append(int(np.argmin((root @ root[seeds].T).max(axis=1))))
-    emits = share[seeds].T + 20 * unigram[:, None]
-    model = estimated(unigram, np.ones(states), np.full((states, states), 1.0) + 40 * np.eye(states), 50 * emits)
-    for _ in range(rounds):
-        model = estimated(unigram, *expected(model, symbol, bounds))
-    return model
+def planes(symbols: int, states: int) -> np.ndarray:
+    """A side (1 or -1) of each symbol for each of the planes that part documents into ``states``."""
+    bits = max(1, (states - 1).bit_length())
+    h = words.mix(np.arange(symbols, dtype=np.uint64), 23)
+    return np.stack([(h >> np.uint64(8 * i) & np.uint64(1)).astype(float) * 2 - 1 for i in range(bits)], axis=1)
+
+
+def parted(unigram: np.ndarray, states: int, symbol: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts of starts, steps and emissions if every document is in one state from end to end."""
+    side = planes(len(unigram), states)
+    value = np.add.reduceat(side[symbol] - unigram @ side, bounds[:-1], axis=0)
+    state = (value > 0) @ (1 << np.arange(side.shape[1])) % states
+    length = np.diff(bounds)
+    emits = np.bincount(symbol * states + np.repeat(state, length), minlength=len(unigram) * states).reshape(-1, states)
+    return np.bincount(state, minlength=states).astype(float), np.diag(np.bincount(state, length - 1, states)), emits.astype(float)
+
+
+def begun(unigram: np.ndarray, starts: np.ndarray, steps: np.ndarray, emits: np.ndarray) -> Model:
+    """The first model: documents stay in a state mostly, and a fifth of what a state says is what all say."""
+    total = emits.sum(axis=0)
+    steps = steps + (0.05 * steps.sum() + 1) / len(starts) ** 2
+    return estimated(unigram, starts + 1, steps, emits + 0.25 * total * unigram[:, None])
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, slice, list]]:
@@ -230,35 +233,38 @@ def lexicon(counts: DataFrame, ends: int) -> Lexicon:
     return Lexicon(keys, n, symbol, int(is_own.sum()), ends, total, distinct + (ends > 0), mass)
 
 
-def trained(training: DataFrame, lex: Lexicon, states: int = STATES, rounds: int = ROUNDS) -> Model:
-    """Baum-Welch over all training documents; a round's counts are summed by symbol over the tasks."""
-    chosen = training.where(F.col("doc_id").isNotNull()).select("doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(START_DOCUMENTS)
-    sample = training.join(F.broadcast(chosen.distinct()), "doc_id").select("text").limit(START_DOCUMENTS).collect()
-    sample.sort(key=lambda r: bytes(r["text"] or b""))
-    model = begun(lex, [bytes(r["text"] or b"") for r in sample], states)
-    spark = training.sparkSession
+def gathered(training: DataFrame, lex: Lexicon, model: Model | None, states: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Counts over all training documents, summed by symbol over the tasks: those of ``parted`` without a model, else expected ones."""
+    shared = training.sparkSession.sparkContext.broadcast((lex, model))
     names = [f"c{i}" for i in range(states)]
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lex, model = shared.value
+        unigram = lex.unigram
+        sums = [np.zeros(states), np.zeros((states, states)), np.zeros((len(unigram), states))]
+        for _, _, texts in _batches(batches):
+            key, bounds = tokens(texts)
+            seen = sequence(lex, key, bounds, _find(lex, key))
+            for s, x in zip(sums, expected(model, *seen) if model else parted(unigram, states, *seen), strict=True):
+                s += x
+        used = np.flatnonzero(sums[2].any(axis=1))
+        table = np.concatenate([sums[0][None], sums[1], sums[2][used]])
+        index = np.concatenate((np.arange(-states - 1, 0), used))
+        yield pa.RecordBatch.from_arrays([pa.array(index), *(pa.array(table[:, i].copy()) for i in range(states))], ["symbol", *names])
+
+    made = training.select("text").mapInArrow(work, "symbol long, " + ", ".join(f"{c} double" for c in names))
+    got = made.groupBy("symbol").agg(*(F.sum(c).alias(c) for c in names)).toArrow()  # a row for each symbol
+    index, table = got.column("symbol").to_numpy(), np.stack([got.column(c).to_numpy() for c in names], axis=1)
+    full = np.zeros((len(lex.unigram) + states + 1, states))
+    full[index + states + 1] = table
+    return full[0], full[1 : states + 1], full[states + 1 :]
+
+
+def trained(training: DataFrame, lex: Lexicon, states: int = STATES, rounds: int = ROUNDS) -> Model:
+    """A first model from all training documents, then rounds of Baum-Welch over all of them."""
+    model = begun(lex.unigram, *gathered(training, lex, None, states))
     for _ in range(rounds):
-        shared = spark.sparkContext.broadcast((lex, model))
-
-        def work(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            lex, model = shared.value
-            sums = [np.zeros(states), np.zeros((states, states)), np.zeros_like(model.emit)]
-            for _, _, texts in _batches(batches):
-                key, bounds = tokens(texts)
-                for s, x in zip(sums, expected(model, *sequence(lex, key, bounds, _find(lex, key))), strict=True):
-                    s += x
-            used = np.flatnonzero(sums[2].any(axis=1))
-            table = np.concatenate([sums[0][None], sums[1], sums[2][used]])
-            index = np.concatenate((np.arange(-states - 1, 0), used))
-            yield pa.RecordBatch.from_arrays([pa.array(index), *(pa.array(table[:, i].copy()) for i in range(states))], ["symbol", *names])
-
-        made = training.select("text").mapInArrow(work, "symbol long, " + ", ".join(f"{c} double" for c in names))
-        got = made.groupBy("symbol").agg(*(F.sum(c).alias(c) for c in names)).toArrow()  # a row for each symbol
-        index, table = got.column("symbol").to_numpy(), np.stack([got.column(c).to_numpy() for c in names], axis=1)
-        full = np.zeros((len(model.emit) + states + 1, states))
-        full[index + states + 1] = table
-        model = estimated(lex.unigram, full[0], full[1 : states + 1], full[states + 1 :])
+        model = estimated(lex.unigram, *gathered(training, lex, model, states))
     return model
 
 
