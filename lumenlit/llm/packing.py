@@ -4,12 +4,14 @@ Each document is tokenised once, whole; runs of ``length`` tokens become pieces
 own and the rest one piece more. Only the histogram of piece lengths (in classes of
 ``unit`` tokens, at most ``length / unit`` of them) goes to the driver, where column
 generation turns it into patterns. Pieces are ranked within their class by counts of
-hashed groups, so no class, however hot, is sorted in one task; rank r of a class takes
-the r-th place that the patterns have for it.
+groups of hashed content, so no class, however hot, is sorted in one task; rank r of a
+class takes the r-th place that the patterns have for it. Order comes from ids and
+content alone, so the sequences don't depend on files or partitions.
 
 Defined results: null and empty texts are the end token alone; a text longer than a
 sequence is cut every ``length`` tokens; equal documents and repeated rows are packed
-each on its own; an empty table gives an empty one.
+each on its own; an empty table gives an empty one; other columns of the input, whatever
+their names, are neither read nor returned.
 """
 
 from __future__ import annotations
@@ -122,21 +124,24 @@ def pieces(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
     return docs.mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
-def ranked(df: DataFrame, key: str, row: str, group: int = GROUP) -> DataFrame:
-    """``rank`` long within each key, from 0 and without gaps, however many rows a key has."""
+PIECE = ("doc_id", "start", "length", "ids_crc32", "doc_tokens")
+
+
+def ranked(df: DataFrame, key: str, group: int = GROUP) -> DataFrame:
+    """Pieces with their ``rank`` long within each key, from 0 and without gaps, however many pieces a key has."""
     groups = max(1, df.count() // group)
-    hashed = df.withColumn("_group", F.pmod(F.xxhash64(row), F.lit(groups)))
+    hashed = df.withColumn("_group", F.pmod(F.xxhash64(*PIECE), F.lit(groups)))
     counts = hashed.groupBy(key, "_group").count()
     before = Window.partitionBy(key).orderBy("_group").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select(key, "_group", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before"))
-    within = F.row_number().over(Window.partitionBy(key, "_group").orderBy(row)) - 1
+    within = F.row_number().over(Window.partitionBy(key, "_group").orderBy(*PIECE)) - 1
     return hashed.withColumn("_within", within).join(first, [key, "_group"]).withColumn("rank", F.col("_before") + F.col("_within")).drop("_group", "_within", "_before")
 
 
 def pack(cut: DataFrame, length: int = LENGTH, unit: int = UNIT, gap: float = 0.002) -> DataFrame:
     """The pieces with ``sequence_id`` and ``offset`` (gapless from 0 in each sequence)."""
     capacity = length // unit
-    stored = persisted(cut.withColumn("size", F.ceil(F.col("length") / unit).cast("int")).withColumn("row", F.monotonically_increasing_id()))
+    stored = persisted(cut.withColumn("size", F.ceil(F.col("length") / unit).cast("int")))
     demand = np.zeros(capacity + 1, np.int64)
     for r in stored.groupBy("size").count().collect():  # a row for each class
         demand[r["size"]] = r["count"]
@@ -148,10 +153,10 @@ def pack(cut: DataFrame, length: int = LENGTH, unit: int = UNIT, gap: float = 0.
         first += times
     table = cut.sparkSession.createDataFrame(runs, "size int, _from long, _to long, _each long, _first long")
     # Runs: one for each size in a pattern, so bounded by the classes and not by the documents.
-    placed = ranked(stored, "size", "row").join(F.broadcast(table), "size").where("rank >= _from and rank < _to")
+    placed = ranked(stored, "size").join(F.broadcast(table), "size").where("rank >= _from and rank < _to")
     placed = placed.withColumn("sequence_id", F.expr("_first + (rank - _from) div _each"))
-    earlier = Window.partitionBy("sequence_id").orderBy(F.desc("length"), "row").rowsBetween(Window.unboundedPreceding, -1)
-    return placed.withColumn("offset", F.coalesce(F.sum("length").over(earlier), F.lit(0))).drop("size", "row", "rank", "_from", "_to", "_each", "_first")
+    earlier = Window.partitionBy("sequence_id").orderBy(F.desc("length"), *PIECE).rowsBetween(Window.unboundedPreceding, -1)
+    return placed.withColumn("offset", F.coalesce(F.sum("length").over(earlier), F.lit(0))).drop("size", "rank", "_from", "_to", "_each", "_first")
 
 
 def manifest(packed: DataFrame) -> DataFrame:
