@@ -6,13 +6,17 @@ take the label of the document; scaled forward-backward gives each line's margin
 document's raw quality is the mean of them weighted by line length, which a logistic
 curve fitted on the same sample turns into the score.
 
-The sample is the ``max_documents`` labelled documents of smallest hashed id; that bound
-(a documented parameter) is what the driver holds. Scoring reads every whole text, in
-portions of bounded size.
+The sample is taken in the order of hashed ids: labelled documents as long as there are
+no more than ``max_documents`` and their texts have no more than ``max_bytes`` together
+(one that is too long for what is left is passed over); those two bounds, documented
+parameters, are what the driver holds. In the fit both labels weigh alike, and a
+document weighs as ``MAX_LINES`` lines at most, so one very long text can't decide it.
+Scoring reads every whole text, in portions of bounded size.
 
 Defined results: null and empty texts are one empty line and get a score as any other;
-null labels aren't learnt from; of repeated label rows each counts; without any label of
-both kinds every score is the prior (0.5 without labels); repeated rows score alike.
+null labels aren't learnt from; repeated rows are learnt from once; without any label of
+both kinds every score is the prior (0.5 without labels); repeated rows score alike; other
+columns, whatever their names, stay.
 """
 
 from __future__ import annotations
@@ -29,6 +33,9 @@ from pyspark.sql import functions as F
 from lumenlit.llm import words
 
 MAX_DOCUMENTS = 6000
+MAX_BYTES = 32 << 20
+#: Lines that a document counts as at most in the fit.
+MAX_LINES = 20
 THRESHOLD = 0.3
 #: Shape features of a line, each repeated for the line before and after.
 SHAPE = ("bias", "bytes", "words", "capitals", "marks", "exclaims", "bars", "symbols", "digits", "again", "distinct", "word_length", "ended", "empty", "repeated")
@@ -117,8 +124,8 @@ class Field:
     curve: tuple[float, float]
 
 
-def marginals(emit: np.ndarray, bounds: np.ndarray, steps: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """P(good) of each line, expected transitions (2 x 2) and log-partition of each text.
+def marginals(emit: np.ndarray, bounds: np.ndarray, steps: np.ndarray, weight: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """P(good) of each line, expected transitions (2 x 2, summed by the texts' weights) and log-partition of each text.
 
     ``emit`` has the log-potential of good (bad: 0); texts are walked side by side, and
     each step is scaled, so long texts neither overflow nor vanish.
@@ -139,10 +146,11 @@ def marginals(emit: np.ndarray, bounds: np.ndarray, steps: np.ndarray) -> tuple[
         alpha[at] = p / scale[at][:, None]
     beta = np.ones((len(emit), 2))
     moves = np.zeros((2, 2))
+    own = np.ones(len(lines)) if weight is None else weight[order]
     for t in range(len(still) - 2, -1, -1):
         at = begin[: still[t + 1]] + t
         ahead = local[at + 1] * beta[at + 1] / scale[at + 1][:, None]
-        moves += e * (alpha[at].T @ ahead)
+        moves += e * ((alpha[at] * own[: still[t + 1], None]).T @ ahead)
         beta[at] = ahead @ e.T
     good = alpha * beta
     log_z = np.add.reduceat(np.log(scale) + shift, bounds[:-1]) if len(bounds) > 1 else np.zeros(0)
@@ -168,14 +176,18 @@ def fit(features: np.ndarray, size: np.ndarray, bounds: np.ndarray, label: np.nd
     inner = np.ones(len(y), bool)
     inner[bounds[:-1]] = False
     pair = np.flatnonzero(inner)
+    # Both labels weigh alike, and a document as MAX_LINES lines at most.
+    weight = np.minimum(lines, MAX_LINES) / lines
+    mass = np.array([(weight * lines)[label == k].sum() for k in (0, 1)])
+    weight = weight * (mass.sum() / 2 / mass)[label]
+    of_line = np.repeat(weight, lines)
     seen = np.zeros((2, 2))
-    np.add.at(seen, (y[pair - 1].astype(int), y[pair].astype(int)), 1)
-    # A document counts as a few lines at most, whatever its length, and both labels alike.
+    np.add.at(seen, (y[pair - 1].astype(int), y[pair].astype(int)), of_line[pair])
     parts = np.concatenate([np.zeros(WIDTH), np.zeros(4)])
     m, v = np.zeros_like(parts), np.zeros_like(parts)
     for i in range(1, rounds + 1):
-        good, moves, _ = marginals(features @ parts[:WIDTH], bounds, parts[WIDTH:].reshape(2, 2))
-        slope = np.concatenate([features.T @ (good - y), (moves - seen).ravel()]) / len(y) + ridge * parts
+        good, moves, _ = marginals(features @ parts[:WIDTH], bounds, parts[WIDTH:].reshape(2, 2), weight)
+        slope = np.concatenate([features.T @ (of_line * (good - y)), (moves - seen).ravel()]) / of_line.sum() + ridge * parts
         m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
         parts -= rate * (m / (1 - 0.9**i)) / (np.sqrt(v / (1 - 0.99**i)) + 1e-8)
     weights, steps = parts[:WIDTH].copy(), parts[WIDTH:].reshape(2, 2).copy()
@@ -203,12 +215,26 @@ def score(texts: list[bytes | None], field: Field) -> np.ndarray:
     return np.concatenate(out) if out else np.zeros(0)
 
 
-def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "label", doc_id: str = "doc_id", max_documents: int = MAX_DOCUMENTS) -> Field:
-    """Fit on the ``max_documents`` labels of smallest hashed id; the features are made in Spark's tasks."""
-    chosen = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("label"))
-    chosen = chosen.orderBy(F.xxhash64("_id"), "_id", "label").limit(max_documents)
-    # The chosen labels are at most max_documents rows of two numbers.
-    sample = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("binary").alias("text")).join(F.broadcast(chosen), "_id").select("text", "label")
+def sampled(docs: DataFrame, labels: DataFrame, text: str, label: str, doc_id: str, max_documents: int, max_bytes: int) -> DataFrame:
+    """``text``, ``label`` of the sample: labelled rows in the order of hashed ids, within both bounds."""
+    named = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("_id"), F.col(label).cast("int").alias("label"))
+    named = named.orderBy(F.xxhash64("_id"), "_id", "label").limit(max_documents)  # rows of two numbers
+    own = docs.select(F.col(doc_id).alias("_id"), F.col(text).cast("binary").alias("text")).join(F.broadcast(named), "_id")
+    order = [F.xxhash64("_id"), F.col("_id"), F.col("label"), F.xxhash64("text")]
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")
+    taken, total = set(), 0
+    for r in own.select("_id", "label", F.xxhash64("text").alias("print"), size).orderBy(*order[:3], "print").limit(max_documents).collect():  # four numbers a row
+        if total + r["size"] <= max_bytes:
+            total += r["size"]
+            taken.add((r["_id"], r["label"], r["print"]))
+    spark = docs.sparkSession
+    chosen = spark.createDataFrame(sorted(taken), f"_id {own.schema['_id'].dataType.simpleString()}, label int, print long")
+    return own.withColumn("print", F.xxhash64("text")).join(F.broadcast(chosen), ["_id", "label", "print"]).dropDuplicates(["_id", "label", "print"]).select("text", "label")
+
+
+def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "label", doc_id: str = "doc_id", max_documents: int = MAX_DOCUMENTS, max_bytes: int = MAX_BYTES) -> Field:
+    """Fit on the sample that the two bounds allow; the features are made in Spark's tasks."""
+    sample = sampled(docs, labels, text, label, doc_id, max_documents, max_bytes)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -219,7 +245,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
                 cols = [pa.array([features[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()), pa.array([size[a:b].astype("<i8").tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()), pa.array(n), pa.array(labels[part], pa.int32())]
                 yield pa.RecordBatch.from_arrays(cols, ["features", "size", "lines", "label"])
 
-    got = sample.mapInArrow(make, "features binary, size binary, lines long, label int").collect()  # max_documents rows at most
+    got = sample.mapInArrow(make, "features binary, size binary, lines long, label int").collect()  # of the sample, so within its bounds
     got.sort(key=lambda r: (r["label"], bytes(r["features"])))
     features = np.frombuffer(b"".join(bytes(r["features"]) for r in got), np.float32).reshape(-1, WIDTH)
     size = np.frombuffer(b"".join(bytes(r["size"]) for r in got), "<i8")
