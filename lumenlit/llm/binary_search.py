@@ -6,18 +6,21 @@ segment, all values at growing radius; once the lookups up to radius s in the fi
 segments and s - 1 in the rest are done, every code within 4 s + j has been seen, and the
 search ends when the kth verified distance is no more than that.
 
-Rows are cut into blocks by hash and queries into groups, both of bounded size; a task
-indexes one block and searches it for one group, and the k best of all blocks are the
-exact answer, since each block's answer is exact. Nothing is capped or approximated.
+Rows are cut into blocks of bounded size by hash, and each row is sent once, to its
+block. A task indexes a block and streams the queries past it, which are sent to every
+block; the k best of all blocks are the exact answer, since each block's answer is exact.
+Nothing is capped or approximated.
 
 Defined results: null vectors have no code and are neither found nor searched; a row is
 not its own neighbour (rows are told apart by id, so repeated ids are neighbours of no
 row of that id); ties go to the smaller id; fewer rows than k give what there is; an
-empty table gives an empty one.
+empty table gives an empty one; other columns, whatever their names, are neither read
+nor returned.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import combinations
 
 import numpy as np
@@ -27,9 +30,8 @@ from pyspark.sql import functions as F
 
 SEGMENTS, WIDTH = 4, 16
 K = 10
-#: Rows in a block and queries in a group, on average.
+#: Rows in a block, on average.
 BLOCK = 250_000
-QUERIES = 5_000
 _masks: dict[int, np.ndarray] = {}
 
 
@@ -84,24 +86,40 @@ class Index:
         return list(zip(far[best].tolist(), ids[best].tolist(), strict=True))
 
 
-def top_k(queries: DataFrame, rows: DataFrame, k: int = K, block: int = BLOCK, group: int = QUERIES) -> DataFrame:
+def _search(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Answers of each block, whose rows come before its queries."""
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+    now, index = None, None
+    for batch in batches:
+        block, asked, ids, codes = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("block", "asked", "id", "code"))
+        cut = np.append(np.flatnonzero(np.diff(block * 2 + asked, prepend=-1)), len(block))
+        for i, j in zip(cut[:-1], cut[1:], strict=True):
+            if block[i] != now:
+                held, now, index = [], block[i], None
+            if not asked[i]:
+                held.append((codes[i:j].view(np.uint64), ids[i:j]))
+                continue
+            if not held:  # a block without rows
+                continue
+            if index is None:
+                index = Index(*(np.concatenate(x) for x in zip(*held, strict=True)))
+            found = [(q, c, d, x) for q, c in zip(ids[i:j].tolist(), codes[i:j], strict=True) for d, x in index.nearest(c.view(np.uint64), q, k)]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([int(x) for x in c], pa.int64()) for c in zip(*found, strict=True)], ["query_id", "code", "distance", "neighbor_id"])
+
+
+def top_k(queries: DataFrame, rows: DataFrame, k: int = K, block: int = BLOCK) -> DataFrame:
     """``query_id``, ``rank`` (from 1), ``neighbor_id``, ``distance`` of the k nearest rows of each query.
 
     Both tables have ``id`` long and ``code`` long; queries with equal ids are one query if their codes agree.
     """
     rows = rows.where("id is not null and code is not null").select("id", "code")
     queries = queries.where("id is not null and code is not null").select("id", "code").distinct()
-    blocks, groups = max(1, -(-rows.count() // block)), max(1, -(-queries.count() // group))
-    # Block and group numbers are constants of bounded count, so each row is sent once for each group, each query once for each block.
-    left = queries.withColumn("g", F.pmod(F.xxhash64("id", "code"), F.lit(groups)).cast("int")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    right = rows.withColumn("b", F.pmod(F.xxhash64(F.col("id"), F.monotonically_increasing_id()), F.lit(blocks)).cast("int")).withColumn("g", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))))
-
-    def search(asked: pa.Table, held: pa.Table) -> pa.Table:
-        index = Index(held.column("code").to_numpy().view(np.uint64), held.column("id").to_numpy())
-        found = [(q, c, d, i) for q, c in zip(asked.column("id").to_pylist(), asked.column("code").to_numpy(), strict=True) for d, i in index.nearest(c.view(np.uint64), q, k)]
-        names, cols = ["query_id", "code", "distance", "neighbor_id"], zip(*found, strict=True) if found else [[]] * 4
-        return pa.table([pa.array([int(x) for x in c], pa.int64()) for c in cols], names=names)
-
-    found = left.groupBy("g", "b").cogroup(right.groupBy("g", "b")).applyInArrow(search, "query_id long, code long, distance long, neighbor_id long")
+    blocks = max(1, -(-rows.count() // block))
+    number = F.pmod(F.xxhash64(F.col("id"), F.monotonically_increasing_id()), F.lit(blocks))
+    held = rows.select(number.alias("block"), F.lit(0).alias("asked"), "id", "code")
+    asked = queries.select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.lit(1).alias("asked"), "id", "code")
+    met = held.unionByName(asked).repartition("block").sortWithinPartitions("block", "asked")
+    found = met.mapInArrow(lambda batches: _search(batches, k), "query_id long, code long, distance long, neighbor_id long")
     order = Window.partitionBy("query_id", "code").orderBy("distance", "neighbor_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "neighbor_id", F.col("distance").cast("int").alias("distance"))
