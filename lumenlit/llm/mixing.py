@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenlit.llm.common import WORD, persisted
+from lumenlit.llm.common import WORD, persisted, unused
 
 MAX_RATE = 3.0
 WEIGHTS = (1, 2, 3)
@@ -64,14 +64,15 @@ def mix(df: DataFrame, source: str = "source", size: str = "size", doc_id: str =
     Columns of the input with those names are replaced.
     """
     df = df.drop("source_size", "target", "rate", "copies")
-    targets = persisted(source_targets(df, source, size, weights, max_rate))
+    name, salt, own = unused(df, "named", "salt", "own")
+    targets = persisted(source_targets(df.select(source, size), source, size, weights, max_rate).withColumnRenamed("_source", name))
     if targets.count() <= BROADCAST_SOURCES:
-        joined = df.join(F.broadcast(targets), F.col(source).eqNullSafe(F.col("_source"))).drop("_source")
+        joined = df.join(F.broadcast(targets), F.col(source).eqNullSafe(F.col(name))).drop(name)
     else:
         # A hot source's rows are dealt over SALTS tasks, and each source is there once for each.
-        salted = targets.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        own = df.withColumn("_own", F.pmod(F.xxhash64(doc_id, size), F.lit(SALTS)).cast("int"))
-        joined = own.join(salted, F.col(source).eqNullSafe(F.col("_source")) & (F.col("_own") == F.col("_salt"))).drop("_source", "_own", "_salt")
+        salted = targets.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        dealt = df.withColumn(own, F.pmod(F.xxhash64(doc_id, size), F.lit(SALTS)).cast("int"))
+        joined = dealt.join(salted, F.col(source).eqNullSafe(F.col(name)) & (F.col(own) == F.col(salt))).drop(name, own, salt)
     whole = F.floor("rate")
     return joined.withColumn("copies", (whole + (draw(F.col(doc_id), seed) < F.col("rate") - whole).cast("long")).cast("int"))
 

@@ -9,7 +9,9 @@ a task that runs again on another executor gives the same rows.
 
 Keys that many rows share (nulls, repeated rows) are found by a count and spread over
 all buckets by the place of the row in the input. Columns must be orderable. An empty
-table gives an empty one; rows that are equal stay as many as they are.
+table gives an empty one; rows that are equal stay as many as they are; other columns may
+have any names. A bucket is a task: at 100 TB raise ``bucket_bytes`` to what a task can
+sort (1 GB makes 100,000 of them).
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lumenlit.llm.common import unused
+
 #: Bytes of records in a bucket, on average.
 BUCKET_BYTES = 16 << 20
 #: A table of bucket offsets with no more rows than this is broadcast (24 bytes a row).
@@ -34,13 +38,14 @@ def external_shuffle(df: DataFrame, key: str, size: str, seed: int = 42, bucket_
     buckets = max(1, -(-(total["bytes"] or 0) // bucket_bytes))
     crowd = max(1000, -(-total["rows"] // (4 * buckets)))
     # At most four crowded keys for each bucket exist, so their list is bounded by the number of buckets.
-    crowded = df.groupBy(F.col(key).alias("_key")).count().where(F.col("count") > crowd).select("_key", F.lit(True).alias("_crowded"))
+    hot, flag, hashed = unused(df, "key", "crowded", "h")
+    crowded = df.groupBy(F.col(key).alias(hot)).agg(F.count(F.lit(1)).alias(flag)).where(F.col(flag) > crowd).select(hot, F.lit(True).alias(flag))
     few = 4 * buckets <= BROADCAST_ROWS
-    scattered = df.join(F.broadcast(crowded) if few else crowded, F.col(key).eqNullSafe(F.col("_key")), "left")
-    salt = F.when(F.col("_crowded"), F.monotonically_increasing_id())
+    scattered = df.join(F.broadcast(crowded) if few else crowded, F.col(key).eqNullSafe(F.col(hot)), "left")
+    salt = F.when(F.col(flag), F.monotonically_increasing_id())
     h = F.xxhash64(F.lit(seed), F.col(key), salt)
     names = df.columns
-    scattered = scattered.select(F.pmod(h, F.lit(buckets)).cast("int").alias("bucket"), F.struct(F.xxhash64(F.lit(seed + 1), F.col(key)).alias("h"), *(F.col(c) for c in names)).alias("record"))
+    scattered = scattered.select(F.pmod(h, F.lit(buckets)).cast("int").alias("bucket"), F.struct(F.xxhash64(F.lit(seed + 1), F.col(key)).alias(hashed), *(F.col(c) for c in names)).alias("record"))
     shuffled = (
         scattered.repartitionById(buckets, F.col("bucket"))
         .groupBy("bucket")

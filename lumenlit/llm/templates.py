@@ -22,7 +22,8 @@ of documents share is one row from each task.
 
 Defined results: null texts stay null and empty ones empty, without lines; blank lines
 stay; rows with equal id and text are one document and all get its result; null ids come
-last; an empty table gives an empty one. Other columns stay.
+last; an empty table gives an empty one; a text of any length is read whole. Other columns
+stay, whatever their names.
 """
 
 from __future__ import annotations
@@ -34,8 +35,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lumenlit.functions.text import let
 from lumenlit.llm import words
-from lumenlit.llm.common import stored
+from lumenlit.llm.common import stored, unused
 from lumenlit.llm.components import components
 
 SIMILARITY = 0.8
@@ -259,15 +261,17 @@ def drop_recurring_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "tex
     drop = recurring(df, found, doc_id, text, min_docs, similarity)
     hit = found.select("id", "print", "place", "h").join(drop.select("h", "first_id"), "h").where("id <> first_id")
     # A document's dropped places; repeated rows give the same place twice, which the set joins.
-    places = hit.groupBy("id", "print").agg(F.collect_set(F.col("place").cast("int")).alias("_places"))
-    places = places.select(F.col("id").alias("_id"), F.col("print").alias("_print"), "_places")
-    own = df.drop("n_lines", "n_dropped").withColumns({"_id": F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)), "_print": F.xxhash64(text)})
-    joined = own.join(places, ["_id", "_print"], "left")
+    own_id, own_print, gone = unused(df.drop("n_lines", "n_dropped"), "id", "print", "places")
+    places = hit.groupBy("id", "print").agg(F.collect_set(F.col("place").cast("int")).alias(gone)).withColumnsRenamed({"id": own_id, "print": own_print})
+    own = df.drop("n_lines", "n_dropped").withColumns({own_id: F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)), own_print: F.xxhash64(text)})
+    joined = own.join(places, [own_id, own_print], "left")
     split = F.split(F.col(text), "\n")
-    kept = F.array_join(F.filter(split, lambda x, i: ~F.array_contains("_places", i)), "\n")
+    # The places that stay are found by one hashed set, so a text of many lines and many drops costs their sum.
+    stay = F.array_except(F.sequence(F.lit(0), F.size(split) - 1), F.col(gone))
+    kept = F.array_join(let(split, lambda x: F.transform(stay, lambda i: F.get(x, i))), "\n")
     return (
         joined.withColumn("n_lines", F.coalesce(F.size(split), F.lit(0)))
-        .withColumn("n_dropped", F.coalesce(F.size("_places"), F.lit(0)))
-        .withColumn(text, F.when(F.col("_places").isNull(), F.col(text)).otherwise(kept))
-        .drop("_id", "_print", "_places")
+        .withColumn("n_dropped", F.coalesce(F.size(gone), F.lit(0)))
+        .withColumn(text, F.when(F.col(gone).isNull(), F.col(text)).otherwise(kept))
+        .drop(own_id, own_print, gone)
     )
