@@ -1,4 +1,4 @@
-"""Connected components by smallest label, for linkage."""
+"""Connected components for linkage, by alternating large-star and small-star steps."""
 
 from __future__ import annotations
 
@@ -7,26 +7,41 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(df: DataFrame) -> None:
-    """Checkpoints go to the folder the cluster names, else beside the warehouse."""
+    """Checkpoints go to the folder the cluster names; a session on one machine may put them beside the warehouse."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", "") or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+        folder = spark.conf.get("spark.checkpoint.dir", "")
+        if not folder and spark.sparkContext.master.split("[")[0] != "local":
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+        spark.sparkContext.setCheckpointDir(folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
 
 
-def smallest_reachable(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+def _moved(pairs: DataFrame, own: DataFrame) -> DataFrame:
+    """Each pair's far end with the smallest neighbour of its near end (column ``m``)."""
+    return own.join(pairs.groupBy("u").agg(F.min("v").alias("m")), "u")
+
+
+def smallest_reachable(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """``id``, ``component`` for all rows of ``nodes`` (column ``id``); ``edges`` has ``a`` and ``b``.
 
-    Each round takes the smallest label among a node and its neighbours, then the label of
-    that label, and is checkpointed; it ends when no label changes.
+    Every round hangs a node's larger neighbours, then its smaller ones, on the smallest
+    one, and is checkpointed; distances shrink by half or more, so rounds are few. A hub's
+    edges are counted down to its smallest neighbour before the join, which Spark may split.
     """
     shared_folder(nodes)
-    both = edges.select("a", "b").union(edges.select("b", "a")).distinct().checkpoint()
-    labels = nodes.select("id", F.col("id").alias("component")).checkpoint()
-    while True:
-        seen = both.join(labels, F.col("b") == F.col("id")).groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near"))
-        low = labels.join(seen, "id", "left").select("id", F.least("component", "near").alias("low"), "component")
-        above = low.select(F.col("id").alias("low"), F.col("low").alias("above"))
-        new = low.join(above, "low", "left").select("id", F.least("low", F.coalesce("above", "low")).alias("new"), "component").checkpoint()
-        if not new.where("new <> component").limit(1).count():
-            return labels
-        labels = new.select("id", F.col("new").alias("component"))
+    now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct().checkpoint()
+    sign = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    before = sign(now)
+    for _ in range(max_rounds):
+        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        large = _moved(both, both.where("v > u")).select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v").distinct()
+        small = _moved(large, large).select("v", "m", "u")
+        now = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct().checkpoint()
+        after = sign(now)
+        if after == before:
+            break
+        before = after
+    else:
+        raise RuntimeError("components did not settle")
+    roots = now.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("_root"))
+    return nodes.select("id").join(roots, "id", "left").select("id", F.coalesce("_root", "id").alias("component"))

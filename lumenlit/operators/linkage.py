@@ -3,7 +3,10 @@
 Tables have ``id`` (position: the smaller wins), ``arxiv_id``, ``doi`` and ``norm_title``
 (normalised, blank if unknown). The three equal-key rules are left joins with the first
 library row of each key; the fuzzy rules compare only titles that share a word of five
-letters or more, and every cheap bound comes before the ratio's Arrow UDF.
+letters or more. A contained title brings only its rarest inner word, which any title that
+contains it has; similar ones meet by word and band of length. Titles travel with the
+word, a pair comes from its rarest common word alone, and every cheap bound comes before
+the ratio's Arrow UDF.
 """
 
 from __future__ import annotations
@@ -15,7 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenlit.functions.text import significant_tokens
-from lumenlit.operators.graph import smallest_reachable
+from lumenlit.operators.graph import shared_folder, smallest_reachable
 
 # Thresholds of the fuzzy rules.
 CONTAINED_LENGTH, CLOSE, CLOSE_SHORT, SHORT_TITLE = 40, 0.90, 0.95, 40
@@ -51,26 +54,59 @@ def conflict(a: DataFrame | str, b: str) -> Column:
     return differ("arxiv_id") | differ("doi")
 
 
+def _ranked_words(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Significant words of both tables with how many titles have them."""
+    word = lambda df: df.select(F.explode(significant_tokens(F.col("norm_title"))).alias("token"))
+    return word(left).unionByName(word(right)).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+
+
+def _with_words(df: DataFrame, counts: DataFrame) -> DataFrame:
+    """Rows with ``words``: their significant words, the rarest first."""
+    each = df.select("id", F.explode(significant_tokens(F.col("norm_title"))).alias("token")).join(counts, "token")
+    words = each.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "token"))), lambda x: x["token"]).alias("words"))
+    return df.select("id", "arxiv_id", "doi", "norm_title").join(words, "id")
+
+
+def _contained(short: DataFrame, long: DataFrame, a: str, b: str, strictly: bool) -> DataFrame:
+    """Pairs of a title of ``CONTAINED_LENGTH`` or more in ``short`` that lies in one of ``long``."""
+    inner = F.expr("filter(words, w -> array_contains(slice(split(norm_title, ' '), 2, greatest(size(split(norm_title, ' ')) - 2, 0)), w))")
+    # An inner word is whole in every title that contains this one; without any, all words are tried.
+    keys = F.when(F.size(inner) > 0, F.slice(inner, 1, 1)).otherwise(F.col("words"))
+    x = short.where(F.length("norm_title") >= CONTAINED_LENGTH).withColumn("token", F.explode(keys)).alias("x")
+    y = long.withColumn("token", F.explode("words")).alias("y")
+    t, u = F.col("x.norm_title"), F.col("y.norm_title")
+    longer = F.length(t) < F.length(u) if strictly else F.length(t) <= F.length(u)
+    found = x.join(y, F.col("x.token") == F.col("y.token")).where(longer & (F.instr(u, t) > 0) & ~conflict("x", "y") & ~is_series(t, u))
+    return found.select(F.col("x.id").alias(a), F.col("y.id").alias(b)).distinct()
+
+
+#: Letters in a band of length; similar titles lie in the same or in neighbouring bands of their own width.
+BAND = 1.25
+
+
 def fuzzy_pairs(left: DataFrame, right: DataFrame, similar: bool = True) -> DataFrame:
     """``a``, ``b``, ``rule`` (4 contained, 5 similar), ``ratio`` for pairs that share a significant word."""
-    names = ["id", "arxiv_id", "doi", "norm_title"]
-    x = left.select(*names).alias("x")
-    y = right.select(*names).alias("y")
-    blocks = lambda df, n: df.select(F.col("id").alias(n), F.explode(significant_tokens(F.col("norm_title"))).alias("token"))
-    shared = blocks(left, "a").join(blocks(right, "b"), "token").select("a", "b").distinct()
-    pairs = shared.join(x, F.col("a") == F.col("x.id")).join(y, F.col("b") == F.col("y.id")).where(~conflict("x", "y"))
-    t, u = F.col("x.norm_title"), F.col("y.norm_title")
-    short, long = F.when(F.length(t) <= F.length(u), t).otherwise(u), F.when(F.length(t) <= F.length(u), u).otherwise(t)
-    contained = (F.length(short) >= CONTAINED_LENGTH) & (F.instr(long, short) > 0) & ~is_series(short, long)
-    found = pairs.where(contained).select("a", "b", F.lit(4).alias("rule"), F.lit(None).cast("double").alias("ratio"))
+    counts = _ranked_words(left, right)
+    x, y = _with_words(left, counts), _with_words(right, counts)
+    found = _contained(x, y, "a", "b", False).unionByName(_contained(y, x, "b", "a", True)).distinct()
+    found = found.select("a", "b", F.lit(4).alias("rule"), F.lit(None).cast("double").alias("ratio"))
     if not similar:
         return found
-    gap = F.abs(F.length(t) - F.length(u))
+    # Similar titles differ in length by less than BAND, so each meets its own band and the next ones.
+    band = F.floor(F.log(F.greatest(F.length("norm_title"), F.lit(1))) / F.log(F.lit(BAND))).cast("int")
+    p = x.withColumn("band", F.explode(F.array(band - 1, band, band + 1))).withColumn("token", F.explode("words")).alias("x")
+    q = y.withColumn("band", band).withColumn("token", F.explode("words")).alias("y")
+    t, u = F.col("x.norm_title"), F.col("y.norm_title")
+    short, long = F.when(F.length(t) <= F.length(u), t).otherwise(u), F.when(F.length(t) <= F.length(u), u).otherwise(t)
     limit = F.when(F.length(t) < SHORT_TITLE, CLOSE_SHORT).otherwise(CLOSE)
     # No ratio can pass twice the shorter length over both lengths.
     bound = 2.0 * F.length(short) / (F.length(t) + F.length(u))
-    near = pairs.where((gap <= F.greatest(F.lit(20.0), 0.35 * F.length(t))) & (bound >= limit) & ~contained & (~(F.instr(long, short) > 0) | ~is_series(short, long)))
-    scored = near.select("a", "b", limit.alias("limit"), title_ratio(t, u).alias("ratio")).where("ratio >= limit")
+    rarest = F.col("x.token") == F.get(F.array_intersect("x.words", "y.words"), 0)
+    meet = p.join(q, (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band"))).where(rarest & ~conflict("x", "y"))
+    # Another part of a series isn't contained, but may still be similar.
+    inside = (F.instr(long, short) > 0) & (F.length(short) >= CONTAINED_LENGTH) & ~is_series(short, long)
+    near = meet.where((F.abs(F.length(t) - F.length(u)) <= F.greatest(F.lit(20.0), 0.35 * F.length(t))) & (bound >= limit) & ~inside)
+    scored = near.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), limit.alias("limit"), title_ratio(t, u).alias("ratio")).where("ratio >= limit")
     return found.unionByName(scored.select("a", "b", F.lit(5).alias("rule"), "ratio"))
 
 
@@ -114,10 +150,28 @@ def absorbed(library: DataFrame, components: DataFrame, fields: list[str]) -> Da
     return joined.groupBy("component").agg(*(first(c) for c in fields), F.count(F.lit(1)).alias("merged"))
 
 
-def first_wins(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """Rows that are the first of each of their keys in turn (blank keys never clash)."""
-    for key in keys:
-        blank = F.coalesce(F.col(key), F.lit("")) == ""
-        n = F.row_number().over(Window.partitionBy(F.when(blank, F.concat(F.lit("\0"), F.col(order).cast("string"))).otherwise(F.lower(F.col(key)))).orderBy(order))
-        df = df.withColumn("_n", n).where("_n = 1").drop("_n")
-    return df
+def first_wins(df: DataFrame, keys: list[str], order: str, max_rounds: int = 100) -> DataFrame:
+    """Rows that, taken in order, share no key with a row that was taken before (blank keys never clash).
+
+    A row that isn't taken bars nobody. Rounds settle that without going row by row: the
+    first undecided row of each of its keys is taken, what shares a key with it goes, and
+    what is left goes into the next round. ``order`` is unique.
+    """
+    shared_folder(df)
+    names = [f"_k{i}" for i in range(len(keys))]
+    plain = lambda c: F.nullif(F.lower(F.coalesce(F.col(c).cast("string"), F.lit(""))), F.lit(""))
+    left = df.select(F.col(order).alias("_o"), *(plain(k).alias(n) for k, n in zip(keys, names, strict=True))).checkpoint()
+    taken = left.select("_o").limit(0)
+    for _ in range(max_rounds):
+        if left.isEmpty():
+            return df.join(taken.withColumnRenamed("_o", order), order, "left_semi")
+        first = left
+        for n in names:
+            least = left.where(F.col(n).isNotNull()).groupBy(n).agg(F.min("_o").alias("_least"))
+            first = first.join(least, n, "left").where(F.col("_least").isNull() | (F.col("_least") == F.col("_o"))).select("_o", *names)
+        first = first.checkpoint()
+        rest = left.join(first.select("_o"), "_o", "left_anti")
+        for n in names:
+            rest = rest.join(first.where(F.col(n).isNotNull()).select(n).distinct(), n, "left_anti").select("_o", *names)
+        taken, left = taken.unionByName(first.select("_o")), rest.checkpoint()
+    raise RuntimeError("too many rounds")

@@ -10,15 +10,16 @@ import hashlib
 import json
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenlit.functions.extract import auto_tags, depth_covers
 from lumenlit.functions.scoring import judged
 from lumenlit.functions.text import split_tags
 
-#: Fields that a new explanation replaces, and those that each run refreshes.
+#: Fields that a new explanation replaces in a run and on its own, and those that each run refreshes.
 EXPLANATION = ("title", "summary", "ideas")
+EXPLAINED = ("summary", "ideas", "profile_fp")
 REFRESHED = ("authors", "published", "journal", "categories", "citations")
 
 
@@ -79,12 +80,19 @@ def upsert_history(old: DataFrame, batch: DataFrame) -> DataFrame:
     )
 
 
-def save_explanations(old: DataFrame, explained: DataFrame) -> DataFrame:
-    """Only the explanation columns of known rows change."""
-    e = explained.select("arxiv_id", *(F.col(c).alias(f"_{c}") for c in EXPLANATION), F.lit(True).alias("_new"))
-    joined = old.join(e, "arxiv_id", "left")
-    values = {c: F.when(F.col("_new"), F.col(f"_{c}")).otherwise(F.col(c)) for c in EXPLANATION}
-    return joined.withColumns(values | {"analyzed": F.col("analyzed") | F.coalesce("_new", F.lit(False))}).drop("_new", *(f"_{c}" for c in EXPLANATION))
+def save_explanations(old: DataFrame, explained: DataFrame, as_of: Column) -> DataFrame:
+    """Only the explanation columns of known rows change; unknown rows come in as seen once, now, with score 0.
+
+    ``explained`` has ``arxiv_id``, ``title``, ``report`` and the columns of ``EXPLAINED``, one row for each identifier.
+    """
+    e = explained.where(F.coalesce(F.trim("arxiv_id"), F.lit("")) != "")
+    e = e.select("arxiv_id", *(F.coalesce(c, F.lit("")).alias(f"_{c}") for c in ("title", "report", *EXPLAINED)), F.lit(True).alias("_new"))
+    joined = old.withColumn("_known", F.lit(True)).join(e, "arxiv_id", "full_outer")
+    values = {c: F.when(F.col("_new"), F.col(f"_{c}")).otherwise(F.col(c)) for c in EXPLAINED}
+    fresh = {"title": F.col("_title"), "report": F.col("_report"), "first_at": as_of, "last_at": as_of, "times": F.lit(1), "best_score": F.lit(0.0)}
+    types = {f.name: f.dataType for f in old.schema}
+    values |= {c: F.when(F.col("_known"), F.col(c)).otherwise(v.cast(types[c])) for c, v in fresh.items()}
+    return joined.withColumns(values | {"analyzed": F.coalesce("analyzed", F.lit(False)) | F.coalesce("_new", F.lit(False))}).select(*old.columns)
 
 
 def reusable(history: DataFrame, wanted: DataFrame, profile_fp: str) -> DataFrame:
@@ -113,6 +121,53 @@ def missing_metadata(history: DataFrame) -> DataFrame:
     return history.where(blank("authors") | blank("published"))
 
 
+def history_totals(history: DataFrame) -> DataFrame:
+    """One row: how many papers there are, how many are explained, and the last run."""
+    return history.agg(F.count(F.lit(1)).alias("total"), F.count_if("analyzed").alias("analyzed"), F.max("last_at").alias("last_run"))
+
+
+def repaired(history: DataFrame, source: DataFrame) -> DataFrame:
+    """Rows with blank authors or date take the five refreshed columns of ``source``, where it has the paper; nothing else changes."""
+    wanted = missing_metadata(history).select("arxiv_id")
+    found = source.join(wanted, "arxiv_id", "left_semi").select("arxiv_id", *(F.col(c).alias(f"_{c}") for c in REFRESHED), F.lit(True).alias("_found")).dropDuplicates(["arxiv_id"])
+    joined = history.join(found, "arxiv_id", "left")
+    return joined.withColumns({c: F.when(F.col("_found"), F.col(f"_{c}")).otherwise(F.col(c)) for c in REFRESHED}).drop("_found", *(f"_{c}" for c in REFRESHED))
+
+
+def append_turns(chat: DataFrame, turns: DataFrame, conversation: str = "arxiv_id", order: str = "id", text: str = "content") -> DataFrame:
+    """The conversations with new turns behind; blank turns and those of no conversation go.
+
+    ``order`` counts on from the largest number there is, in the order of the new turns' own.
+    """
+    last = chat.agg(F.coalesce(F.max(order), F.lit(0)).alias("_last"))
+    said = turns.where((F.coalesce(F.trim(F.col(conversation).cast("string")), F.lit("")) != "") & (F.trim(F.coalesce(text, F.lit(""))) != ""))
+    return chat.unionByName(said.crossJoin(F.broadcast(last)).withColumn(order, F.col(order) + F.col("_last")).drop("_last").select(*chat.columns))
+
+
+def clear_conversations(chat: DataFrame, ids: DataFrame, conversation: str = "arxiv_id") -> DataFrame:
+    """The conversations without those of the given papers; the history isn't touched."""
+    return chat.join(ids.select(conversation).distinct(), conversation, "left_anti")
+
+
+def indexed_at(index: DataFrame, paths: DataFrame) -> DataFrame:
+    """Index rows of the given paths."""
+    return index.join(paths.select("path").distinct(), "path", "left_semi")
+
+
+def newest_readable(index: DataFrame, contents: DataFrame) -> DataFrame:
+    """For each content hash (``sha1``) the readable row that was seen last."""
+    some = index.where(F.col("status").isin("ok", "notext") & (F.coalesce("sha1", F.lit("")) != "")).join(contents.select("sha1").distinct(), "sha1", "left_semi")
+    rest = [c for c in index.columns if c != "sha1"]
+    last = some.groupBy("sha1").agg(F.max_by(F.struct(*rest), F.struct("seen_at", "path")).alias("_row"))
+    return last.select("sha1", *(F.col(f"_row.{c}").alias(c) for c in rest)).select(*index.columns)
+
+
+def current_index(index: DataFrame, version: int, column: str = "version") -> DataFrame:
+    """The index if it was made by this version, else an empty one: it is derived from the files and made anew."""
+    other = index.where(~F.col(column).eqNullSafe(F.lit(version))).select(F.lit(1).alias("_other")).limit(1)
+    return index.join(F.broadcast(other), F.lit(True), "left_anti")
+
+
 def set_tags(tags: DataFrame, changes: DataFrame) -> DataFrame:
     """``path``, ``tags``: changed rows replace old ones, and blank tags delete."""
     kept = tags.join(changes.select("path"), "path", "left_anti")

@@ -170,3 +170,85 @@ def test_pipeline_stops_anywhere(spark):
     run = recommend.Recommendation(pools, pools.limit(0), "spin chains", recommend.Options(as_of="2024-01-01 00:00:00", min_relevance=0.0, top_n=5, fuzzy=False, candidate_cap=10))
     assert run.plan("candidates").count() == 10 and run.plan("scored").count() == 10 and run.plan("top").count() == 5
     assert recommend.Options(as_of="x").override(top_n=3, tau_days=None).top_n == 3
+
+
+def test_first_wins_in_order(spark):
+    rows = [(1, "a", "t1"), (2, "b", "t1"), (3, "b", "t3"), (4, "", "t3"), (5, None, ""), (6, "B", "t6"), (7, "c", "t6"), (8, "d", "t8"), (9, "D", "t1")]
+    r = random.Random(4)
+    rows += [(i, r.choice("efghijkl"), f"u{r.randrange(12)}") for i in range(10, 60)]
+    want, ids, titles = [], set(), set()
+    for n, a, t in rows:
+        key = (a or "").lower()
+        if (key and key in ids) or (t and t in titles):
+            continue
+        want.append(n)
+        ids |= {key} - {""}
+        titles |= {t} - {""}
+    df = spark.createDataFrame(rows, "n int, a string, t string")
+    assert sorted(x.n for x in linkage.first_wins(df, ["a", "t"], "n").collect()) == want
+    assert linkage.first_wins(df.limit(0), ["a", "t"], "n").count() == 0
+
+
+def test_fuzzy_pairs_against_all_pairs(spark):
+    r = random.Random(9)
+    vocabulary = ["quantum", "lattice", "spin", "of", "the", "models", "frustrated", "magnets", "dynamics", "in", "two", "dimensions", "part", "ii", "networks", "tensor"]
+    titles = [" ".join(r.choice(vocabulary) for _ in range(r.randint(2, 11))) for _ in range(70)]
+    titles += [t + r.choice([" ii", " and beyond", "s", ": more"]) for t in titles[:30]] + [t.replace("quantum", "quantom") for t in titles[30:45]] + ["", "ab"]
+    rows = [(i, r.choice(["", "", "i1", "i2"]), "", t) for i, t in enumerate(titles)]
+    left, right = rows[:70], rows[70:]
+    series = __import__("re").compile(linkage.SERIES.replace("(?i)", ""), 2)
+    want = {}
+    for a, ia, _, t in left:
+        for b, ib, _, u in right:
+            if not {w for w in t.split() if len(w) >= 5} & {w for w in u.split() if len(w) >= 5} or (ia and ib and ia != ib):
+                continue
+            short, long = (t, u) if len(t) <= len(u) else (u, t)
+            tail = long[long.find(short) + len(short) :]
+            if short in long and len(short) >= 40 and not series.match(tail):
+                want[a, b] = 4
+            elif abs(len(t) - len(u)) <= max(20, 0.35 * len(t)):
+                ratio = SequenceMatcher(None, t, u).ratio()
+                if ratio >= (0.95 if len(t) < 40 else 0.9):
+                    want[a, b] = 5
+    got = {(x.a, x.b): x.rule for x in linkage.fuzzy_pairs(papers(spark, left), papers(spark, right)).collect()}
+    assert got == want and set(want.values()) == {4, 5} and len(want) > 8
+
+
+def test_explanations_reach_unknown_papers(spark):
+    old = spark.createDataFrame([("a", 1, 0.5, False, "", "", "", "T", "r1", None, None)], "arxiv_id string, times int, best_score double, analyzed boolean, summary string, ideas string, profile_fp string, title string, report string, first_at timestamp, last_at timestamp")
+    new = spark.createDataFrame([("a", "x", "r2", "why", "i", "fp"), ("b", "New", "r2", "because", "", "fp"), (" ", "", "", "z", "", "")], "arxiv_id string, title string, report string, summary string, ideas string, profile_fp string")
+    out = {x.arxiv_id: x for x in state.save_explanations(old, new, F.lit("2024-01-01 00:00:00").cast("timestamp")).collect()}
+    assert set(out) == {"a", "b"}
+    assert (out["a"].title, out["a"].times, out["a"].report, out["a"].summary, out["a"].analyzed) == ("T", 1, "r1", "why", True)
+    assert (out["b"].title, out["b"].times, out["b"].best_score, out["b"].report, out["b"].analyzed, str(out["b"].first_at)) == ("New", 1, 0.0, "r2", True, "2024-01-01 00:00:00")
+
+
+def test_a_long_chain_and_a_hub_are_components(spark):
+    from lumenlit.operators.graph import smallest_reachable
+
+    edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 300)] + [(7, 7)]
+    nodes = spark.createDataFrame([(i,) for i in [*range(41), *range(100, 400), 999]], "id long")
+    got = {x.id: x.component for x in smallest_reachable(nodes, spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {i: 0 for i in range(41)} | {i: 100 for i in range(100, 400)} | {999: 999}
+
+
+def test_history_and_reports_fill_each_other(spark):
+    history = spark.createDataFrame([("a", "", "", "", "", "", None, "s", "i", True, 3, "2024"), ("b", "X", "2020-01-01", "J", "c", "T", 5, "", "", False, 1, "2023")], "arxiv_id string, authors string, published string, journal string, categories string, title string, citations int, summary string, ideas string, analyzed boolean, times int, last_at string")
+    items = spark.createDataFrame([("a", 2, "late", "2021-01-01", "K", "d", "U", "9"), ("a", 1, "first", "", "", "", "V", "—"), ("c", 3, "p", "q", "", "", "W", "1"), ("", 4, "", "", "", "", "", "")], "arxiv_id string, place int, authors string, published string, journal string, categories string, title string, citations string")
+    out = {x.arxiv_id: x for x in merging.history_with_reports(history, items).collect()}
+    assert (out["a"].authors, out["a"].published, out["a"].title, out["a"].citations) == ("first", "", "V", None) and (out["b"].authors, out["b"].citations) == ("X", 5)
+    back = {(x.arxiv_id, x.place): x for x in merging.items_with_history(items, history).collect()}
+    assert len(back) == 3 and (back["a", 1].summary, back["a", 1].seen_times, back["c", 3].seen_before, back["c", 3].analyzed) == ("s", 3, False, False)
+
+
+def test_conversations_and_index_lookups(spark):
+    chat = spark.createDataFrame([(1, "a", "user", "q"), (4, "b", "user", "r")], "id int, arxiv_id string, role string, content string")
+    more = spark.createDataFrame([(1, "a", "assistant", "x"), (2, "", "user", "y"), (3, "c", "user", "  ")], "id int, arxiv_id string, role string, content string")
+    assert {tuple(x) for x in state.append_turns(chat, more).collect()} == {(1, "a", "user", "q"), (4, "b", "user", "r"), (5, "a", "assistant", "x")}
+    assert {x.arxiv_id for x in state.clear_conversations(chat, chat.where("arxiv_id = 'a'")).collect()} == {"b"}
+    index = spark.createDataFrame([("p", "h", "ok", 1, 7), ("q", "h", "ok", 3, 7), ("r", "h", "error", 9, 7), ("s", "", "ok", 1, 7)], "path string, sha1 string, status string, seen_at int, version int")
+    assert [x.path for x in state.newest_readable(index, index.select("sha1")).collect()] == ["q"]
+    assert {x.path for x in state.indexed_at(index, index.where("seen_at = 1")).collect()} == {"p", "s"}
+    assert state.current_index(index, 7).count() == 4 and state.current_index(index, 8).count() == 0
+    mixed = index.unionByName(index.withColumn("version", F.lit(6)))
+    assert state.current_index(mixed, 7).count() == 0
