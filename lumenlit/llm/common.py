@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import os
 import uuid
+from collections.abc import Callable, Iterator
+from typing import Any
+
+import pyarrow as pa
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -66,6 +73,24 @@ def drop_stored(spark: SparkSession) -> int:
     return n
 
 
+def release() -> None:
+    """Give memory that a task has freed back to the system, so that idle Python workers stay small."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # only glibc has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(work: Callable[..., Iterator[pa.RecordBatch]]) -> Callable[..., Iterator[pa.RecordBatch]]:
+    """The function of a ``mapInArrow``, whose task ends by giving memory back."""
+
+    @functools.wraps(work)
+    def run(*args: Any) -> Iterator[pa.RecordBatch]:
+        yield from work(*args)
+        release()
+
+    return run
+
+
 def unused(df: DataFrame, *names: str) -> list[str]:
     """Names like the given ones that no column of the table has, whatever its case."""
     taken, out = {c.lower() for c in df.columns}, []

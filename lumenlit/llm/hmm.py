@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenlit.llm import words
-from lumenlit.llm.common import persisted
+from lumenlit.llm.common import persisted, tidy
 
 STATES = 8
 SYMBOLS = 1 << 16
@@ -212,7 +212,7 @@ def counted(training: DataFrame) -> DataFrame:
         if held:
             yield rows(*joined())
 
-    return training.select("text").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return training.select("text").mapInArrow(tidy(count), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def lexicon(counts: DataFrame, ends: int) -> Lexicon:
@@ -252,7 +252,7 @@ def gathered(training: DataFrame, lex: Lexicon, model: Model | None, states: int
         index = np.concatenate((np.arange(-states - 1, 0), used))
         yield pa.RecordBatch.from_arrays([pa.array(index), *(pa.array(table[:, i].copy()) for i in range(states))], ["symbol", *names])
 
-    made = training.select("text").mapInArrow(work, "symbol long, " + ", ".join(f"{c} double" for c in names))
+    made = training.select("text").mapInArrow(tidy(work), "symbol long, " + ", ".join(f"{c} double" for c in names))
     got = made.groupBy("symbol").agg(*(F.sum(c).alias(c) for c in names)).toArrow()  # a row for each symbol
     index, table = got.column("symbol").to_numpy(), np.stack([got.column(c).to_numpy() for c in names], axis=1)
     full = np.zeros((len(lex.unigram) + states + 1, states))
@@ -312,7 +312,7 @@ def scored(docs: DataFrame, counts: DataFrame, lex: Lexicon, model: Model) -> Da
                 yield pa.RecordBatch.from_arrays([pa.array(rows[d[some]]), none, pa.array(k[some].view(np.int64)), pa.array(times[i : i + 200_000].astype(np.int32)), none, none, nothing, nothing], names)
 
     numbered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.monotonically_increasing_id().alias("row"))
-    found = numbered.mapInArrow(work, "row long, doc_id long, key long, times int, n long, known long, words double, symbols double")
+    found = numbered.mapInArrow(tidy(work), "row long, doc_id long, key long, times int, n long, known long, words double, symbols double")
     rare = counts.where(F.col("n") < max(1.0, lex.tokens / KNOWN)).select("key", F.col("n").alias("c"))
     # A document's own row has a key below zero by its number; words that hash below zero can't be confused with it, as times is 0.
     met = found.join(rare, "key", "left")

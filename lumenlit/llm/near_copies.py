@@ -5,8 +5,8 @@ five-word shingles, ``WIDE`` words of 64 bits. Each word has three blocks whose
 are the codewords of a covering code (see ``simhash``): a fingerprint is at home at its
 nearest anchor and is replicated to every anchor within covering radius plus one bit, so
 two that differ in one bit of a block at most surely meet there. Texts of similarity 0.8
-differ in 15 % of the bits; of the twelve blocks at least one is that close in about 97 %
-of such pairs (all of them from 0.85 on), which is the recall of this operator.
+differ in 15 % of the bits; of the fifteen blocks at least one is that close in 98 % of such
+pairs or more (in all of them from 0.85 on), which is the recall of this operator.
 
 Per anchor, homes are compared with all replicas over one word; what differs in more
 than ``LOOSE`` bits goes. An anchor returns a shortest spanning forest of the rest and
@@ -39,20 +39,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenlit.llm import simhash, words
-from lumenlit.llm.common import stored
+from lumenlit.llm.common import release, stored, tidy
 from lumenlit.llm.components import components
 from lumenlit.llm.substrings import rolled
 
 SHINGLE = 5
 SIMILARITY = 0.8
 #: Words of a fingerprint; bits of one word and of all in which texts that may be similar differ at most.
-WIDE = 4
+WIDE = 5
 LOOSE = 17
-CLOSE = 57
+CLOSE = 71
 #: Replicas of an anchor which are compared in one piece, pairs compared in one step, replicas in a group.
 CHUNK = 16_384
-PAIRS = 1 << 20
-GROUP = 1_000_000
+PAIRS = 1 << 18
+GROUP = 500_000
 #: A list with no more rows than this (16 bytes each) is broadcast, a longer one joined.
 BROADCAST_ROWS = 1_000_000
 #: Shingles whose bits are counted in one step, and remembered by a task that compares sets.
@@ -107,7 +107,7 @@ def signed_texts(df: DataFrame, doc_id: str, text: str, shingle: int = SHINGLE)
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(name, pa.int64()), *(pa.array(c) for c in columns), pa.array(n, pa.int64()), pa.array(packed, pa.binary())], names)
 
     docs = df.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("id"), F.xxhash64(text).alias("print"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
-    return docs.mapInArrow(work, "id long, print long, name long, " + ", ".join(f"{w} long" for w in _BITS) + ", n long, packed binary")
+    return docs.mapInArrow(tidy(work), "id long, print long, name long, " + ", ".join(f"{w} long" for w in _BITS) + ", n long, packed binary")
 
 
 def _places(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -125,7 +125,7 @@ def crowded(nodes: DataFrame, chunk: int) -> tuple[np.ndarray, np.ndarray]:
                 keys, n = np.unique(_places(batch.slice(i, 4096))[1], return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n)], ["anchor", "n"])
 
-    many = nodes.select(*_BITS).mapInArrow(count, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") > chunk)
+    many = nodes.select(*_BITS).mapInArrow(tidy(count), "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") > chunk)
     got = many.select("anchor", F.ceil(F.col("n") / chunk).cast("long").alias("parts")).toArrow()
     anchor, parts = got.column("anchor").to_numpy(), got.column("parts").to_numpy()
     order = np.argsort(anchor)
@@ -177,7 +177,7 @@ def _cells(nodes: DataFrame, groups: int, chunk: int) -> DataFrame:
                     data = [cell[a:b], np.packbits(home[a:b]), name[r], bits[r, word[a:b] % WIDE], label[r] if labelled else np.empty(0)]
                     yield pa.RecordBatch.from_arrays([pa.array([group[a]], pa.int32()), *(pa.array([x.tobytes()], pa.binary()) for x in data)], schema=_CELLS)
 
-    return nodes.mapInArrow(deal, "group int, cells binary, homes binary, names binary, bits binary, labels binary")
+    return nodes.mapInArrow(tidy(deal), "group int, cells binary, homes binary, names binary, bits binary, labels binary")
 
 
 def _shortest_forest(left: np.ndarray, right: np.ndarray, far: np.ndarray, n: int) -> np.ndarray:
@@ -262,6 +262,7 @@ def candidates(nodes: DataFrame, chunk: int = CHUNK, group: int = GROUP) -> Data
 
     def meet(table: pa.Table) -> pa.Table:
         a, b = _candidates(table, every)
+        release()
         return pa.table({"a": a, "b": b})
 
     return _cells(nodes, groups, chunk).groupBy("group").applyInArrow(meet, "a long, b long").distinct()
@@ -302,7 +303,7 @@ def decided(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: fl
                 linked.append(common >= similarity * (len(sets[0]) + len(sets[1]) - common) - 1e-9)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
-    compared = met.select("a", "b", "x", "y").mapInArrow(compare, "a long, b long, linked boolean")
+    compared = met.select("a", "b", "x", "y").mapInArrow(tidy(compare), "a long, b long, linked boolean")
     return stored(compared.unionByName(sifted.where("not may").select("a", "b", F.lit(False).alias("linked"))))
 
 

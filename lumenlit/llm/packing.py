@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenlit.llm.common import persisted
+from lumenlit.llm.common import persisted, tidy
 from lumenlit.llm.cutting_stock import plan
 from lumenlit.llm.words import portions
 
@@ -121,7 +121,7 @@ def pieces(df: DataFrame, path: str, doc_id: str = "doc_id", text: str = "text",
             yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in (zip(*rows, strict=True) if rows else [[]] * 5)], names)
 
     docs = df.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("binary").alias("text"))
-    return docs.mapInArrow(cut, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
+    return docs.mapInArrow(tidy(cut), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long")
 
 
 PIECE = ("doc_id", "start", "length", "ids_crc32", "doc_tokens")

@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenlit.llm import words
+from lumenlit.llm.common import release, tidy
 
 MAX_DOCUMENTS = 6000
 MAX_BYTES = 32 << 20
@@ -245,7 +246,7 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
                 cols = [pa.array([features[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()), pa.array([size[a:b].astype("<i8").tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()), pa.array(n), pa.array(labels[part], pa.int32())]
                 yield pa.RecordBatch.from_arrays(cols, ["features", "size", "lines", "label"])
 
-    got = sample.mapInArrow(make, "features binary, size binary, lines long, label int").collect()  # of the sample, so within its bounds
+    got = sample.mapInArrow(tidy(make), "features binary, size binary, lines long, label int").collect()  # of the sample, so within its bounds
     got.sort(key=lambda r: (r["label"], bytes(r["features"])))
     features = np.frombuffer(b"".join(bytes(r["features"]) for r in got), np.float32).reshape(-1, WIDTH)
     size = np.frombuffer(b"".join(bytes(r["size"]) for r in got), "<i8")
@@ -256,6 +257,8 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
 def scored(df: DataFrame, field: Field, text: str = "text", out: str = "score") -> DataFrame:
     """All rows with the score of their whole text; a column named ``out`` is replaced."""
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series(score(texts.tolist(), field), dtype="float64")
+        out = pd.Series(score(texts.tolist(), field), dtype="float64")
+        release()
+        return out
 
     return df.withColumn(out, F.pandas_udf(of, "double")(F.col(text).cast("binary")))

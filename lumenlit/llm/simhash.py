@@ -14,15 +14,10 @@ than ``CHUNK`` are cut into a grid of home chunks and replica chunks, so a task
 holds an unbounded anchor and no link is lost. There are 524,288 anchors at most, which
 bounds the broadcast list of the crowded ones.
 
-``near_duplicates`` can also work on wide fingerprints (``WIDE`` words of 64 bits, each with
-its own anchors), whose distance tells how alike two shingle sets are: sets of Jaccard
-similarity 0.8 differ in 15 % of the bits on average. Links within ``WIDE_BITS`` bits are
-found where a block differs in one bit at most (always up to 17 bits in all) and mostly
-where it differs in two or three.
-
 Defined results: null and white-space texts have fingerprint 0 and are linked like any
 other; texts shorter than a shingle are one shingle; repeated rows share a fingerprint; an
-empty table gives an empty one.
+empty table gives an empty one; other columns of the input, whatever their names, are
+neither read nor returned.
 """
 
 from __future__ import annotations
@@ -51,9 +46,6 @@ CODE = 15
 CHUNK = 8192
 #: Pairs compared in one step.
 PAIRS = 1 << 21
-#: Words of a wide fingerprint, and the bits in which linked ones may differ.
-WIDE = 3
-WIDE_BITS = 34
 #: Shingles whose bits are counted in one step.
 STEP = 1 << 15
 
@@ -82,14 +74,6 @@ def simhash(text: str | None, shingle: int = SHINGLE) -> int:
     return int(simhashes(text, shingle).view("<i8")[0])
 
 
-def node(fingerprints: np.ndarray) -> np.ndarray:
-    """A signed 64-bit name for each row of fingerprint words; that of a single word is the word."""
-    name = fingerprints[:, 0].astype(np.uint64)
-    for i in range(1, fingerprints.shape[1]):
-        name = words.mix(name, i) ^ fingerprints[:, i]
-    return name.view(np.int64)
-
-
 def fingerprint(text: Column, shingle: int = SHINGLE) -> Column:
     """The fingerprint as a long."""
 
@@ -99,16 +83,6 @@ def fingerprint(text: Column, shingle: int = SHINGLE) -> Column:
     return F.pandas_udf(of, "long")(text)
 
 
-def wide_fingerprint(text: Column, shingle: int = SHINGLE) -> Column:
-    """A struct of ``wide``, the fingerprint's ``WIDE`` words as bytes, and ``fp``, a long that names it."""
-
-    def of(texts: pd.Series) -> pd.DataFrame:
-        found = np.stack([simhashes(t, shingle, WIDE) for t in texts]) if len(texts) else np.empty((0, WIDE), np.uint64)
-        return pd.DataFrame({"wide": [x.tobytes() for x in found], "fp": node(found)})
-
-    return F.pandas_udf(of, "wide binary, fp long")(text)
-
-
 def hexed(fingerprint_column: Column) -> Column:
     return F.lpad(F.lower(F.hex(fingerprint_column)), 16, "0")
 
@@ -159,11 +133,7 @@ def anchors(fingerprints: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarra
 
 
 def _words(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
-    """A row of 64-bit words for each fingerprint, be it a long or bytes."""
-    if pa.types.is_integer(column.type):
-        return np.ascontiguousarray(np.asarray(column, np.int64)).view(np.uint64).reshape(-1, 1)
-    data = column.to_pylist()
-    return np.frombuffer(b"".join(data), "<u8").reshape(len(data), -1) if data else np.empty((0, WIDE), np.uint64)
+    return np.ascontiguousarray(np.asarray(column, np.int64)).view(np.uint64)
 
 
 def _replicas(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -209,14 +179,14 @@ def _linked(fp: np.ndarray, key: np.ndarray, home: np.ndarray, most: int) -> tup
     at = np.flatnonzero(home & (size[cell] > 1))
     work = size[cell[at]]
     found_a, found_b, i = [], [], 0
-    name = node(fp)
+    name = fp.view(np.int64)
     cut = np.concatenate(([0], np.cumsum(work)))
     while i < len(at):
-        j = max(i + 1, int(np.searchsorted(cut, cut[i] + PAIRS // fp.shape[1], "right")) - 1)
+        j = max(i + 1, int(np.searchsorted(cut, cut[i] + PAIRS, "right")) - 1)
         mine, n = at[i:j], work[i:j]
         left = np.repeat(mine, n)
         right = np.arange(len(left)) - np.repeat(cut[i:j] - cut[i], n) + np.repeat(start[cell[mine]], n)
-        far = np.bitwise_count(fp[left] ^ fp[right]).sum(axis=1, dtype=np.int64)
+        far = np.bitwise_count(fp[left] ^ fp[right])
         hit = (far <= most) & (far > 0)
         if hit.any():
             x, y = _forest(name[left[hit]], name[right[hit]])
@@ -256,9 +226,9 @@ def _compare(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Record
 
 
 def links(distinct: DataFrame, column: str = "fp", chunk: int = CHUNK, most: int = MAX_BITS) -> DataFrame:
-    """Edges ``a``, ``b`` that connect what is linked among distinct fingerprints (longs, or bytes, whose names they give)."""
+    """Edges ``a``, ``b`` that connect what is linked among distinct fingerprints (longs)."""
     fps = distinct.select(F.col(column).alias("fp"))
-    replicas = fps.mapInArrow(_replicas, f"anchor long, home boolean, fp {fps.schema['fp'].dataType.simpleString()}")
+    replicas = fps.mapInArrow(_replicas, "anchor long, home boolean, fp long")
     crowded = fps.mapInArrow(_counts, "anchor long, n long").groupBy("anchor").agg(F.sum("n").alias("n")).where(F.col("n") > chunk)
     crowded = crowded.select("anchor", F.ceil(F.col("n") / chunk).cast("int").alias("parts"))
     sized = replicas.join(F.broadcast(crowded), "anchor", "left")
@@ -272,23 +242,11 @@ def links(distinct: DataFrame, column: str = "fp", chunk: int = CHUNK, most: int
     return sorted_cells.mapInArrow(lambda batches: _compare(batches, most), "a long, b long")
 
 
-def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, wide: bool = False) -> DataFrame:
-    """``doc_id``, ``print`` (hash of the text), ``fp`` long, ``root`` (smallest fingerprint reachable) and
-    ``component_id`` (smallest id reachable) for each row; with ``wide``, ``fp`` names a wide fingerprint."""
-    found = df.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("print"), (wide_fingerprint if wide else fingerprint)(F.col(text), shingle).alias("fp"))
-    printed = persisted(found.select("doc_id", "print", "fp.fp", "fp.wide") if wide else found)
-    distinct = printed.groupBy("fp").agg(F.min("doc_id").alias("first_id"), *([F.first("wide").alias("wide")] if wide else []))
-    roots = components(links(distinct, "wide", most=WIDE_BITS) if wide else links(distinct), "a", "b")
+def near_duplicates(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE) -> DataFrame:
+    """``doc_id``, ``fp`` long, ``root`` (smallest fingerprint reachable) and ``component_id`` (smallest id reachable) for each row."""
+    printed = persisted(df.select(F.col(doc_id).alias("doc_id"), fingerprint(F.col(text), shingle).alias("fp")))
+    distinct = printed.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+    roots = components(links(distinct), "a", "b")
     labelled = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
     smallest = labelled.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return printed.join(labelled.join(smallest, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "print", "fp", "root", "component_id")
-
-
-def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = SHINGLE, wide: bool = False) -> DataFrame:
-    """The rows of ``df`` without near duplicates: of each component the row of smallest id stays (null ids last)."""
-    last = F.coalesce(F.col(doc_id).cast("long"), F.lit((1 << 63) - 1))
-    found = near_duplicates(df, doc_id, text, shingle, wide)
-    best = found.groupBy("root").agg(F.min(F.struct(F.coalesce(F.col("doc_id").cast("long"), F.lit((1 << 63) - 1)).alias("i"), "print")).alias("b"))
-    best = best.select(F.col("b.i").alias("_id"), F.col("b.print").alias("_print"))
-    keyed = df.withColumns({"_id": last, "_print": F.xxhash64(text)})
-    return keyed.join(best, ["_id", "_print"], "left_semi").dropDuplicates(["_id", "_print"]).drop("_id", "_print")
+    return printed.join(labelled.join(smallest, "root").select("fp", "root", "component_id"), "fp").select("doc_id", "fp", "root", "component_id")

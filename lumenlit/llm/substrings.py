@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lumenlit.llm import words
-from lumenlit.llm.common import stored
+from lumenlit.llm.common import stored, tidy
 
 WINDOW = 20
 BLOCK = 10
@@ -253,7 +253,7 @@ def block_hits(table: DataFrame, bits: int) -> DataFrame:
         order = np.argsort(portion, kind="stable")
         return _told(table.column("group")[0].as_py(), portion[order], hit[order] >> np.uint64(64 - BLOCK_BITS), BLOCK_BITS)
 
-    return table.mapInArrow(blocks, ENTRIES).groupBy("group").applyInArrow(meet, FOUND)
+    return table.mapInArrow(tidy(blocks), ENTRIES).groupBy("group").applyInArrow(meet, FOUND)
 
 
 def late_windows(table: DataFrame, hits: DataFrame, block_bits: int, bits: int) -> DataFrame:
@@ -328,9 +328,9 @@ def substring_dedup(df: DataFrame, doc_id: str = "doc_id", text: str = "text", p
     docs = df.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("id"), F.col(doc_id).cast("long").isNotNull().alias("known"), F.xxhash64(text).alias("print"), F.coalesce(F.col(text), F.lit("")).cast("binary").alias("text"))
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     bits = (int(size) // 6 // group).bit_length()
-    small = docs.mapInArrow(_compressed, "id long, known boolean, print long, packed binary")
+    small = docs.mapInArrow(tidy(_compressed), "id long, known boolean, print long, packed binary")
     ordered = small.repartitionByRange("id", "print").sortWithinPartitions("id", "print", "known")
-    table = stored(ordered.mapInArrow(_portions(portion), PORTIONS))
+    table = stored(ordered.mapInArrow(tidy(_portions(portion)), PORTIONS))
     window_bits = max(0, bits - 1)
     late = late_windows(table, block_hits(table, bits), bits, window_bits).withColumn("bits", F.lit(window_bits))
     return finished(table, late)

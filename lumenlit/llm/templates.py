@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from lumenlit.functions.text import let
 from lumenlit.llm import words
-from lumenlit.llm.common import stored, unused
+from lumenlit.llm.common import stored, tidy, unused
 from lumenlit.llm.components import components
 
 SIMILARITY = 0.8
@@ -87,7 +87,7 @@ def _long(x: np.ndarray) -> pa.Array:
 def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         texts = batch.column("text").to_pylist()
-        for part in words.portions(texts, 2 << 20):
+        for part in words.portions(texts, 1 << 20):
             own = Lines(texts[part])
             ids, prints = batch.column("id").to_numpy()[part], batch.column("print").to_numpy()[part]
             yield pa.RecordBatch.from_arrays([_long(x) for x in (ids[own.text], prints[own.text], own.place, own.h, own.leaf)], ["id", "print", "place", "h", "leaf"])
@@ -99,7 +99,7 @@ def _keyed(df: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row for every line with words: ``id``, ``print`` (hash of the text), ``place``, ``h``, ``leaf`` (hash of length and leading tokens)."""
-    return _keyed(df, doc_id, text).mapInArrow(_find, "id long, print long, place long, h long, leaf long")
+    return _keyed(df, doc_id, text).mapInArrow(tidy(_find), "id long, print long, place long, h long, leaf long")
 
 
 def line_tokens(df: DataFrame, crowded: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -113,7 +113,7 @@ def line_tokens(df: DataFrame, crowded: DataFrame, doc_id: str, text: str) -> Da
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            for part in words.portions(texts, 2 << 20):
+            for part in words.portions(texts, 1 << 20):
                 own = Lines(texts[part])
                 at = np.flatnonzero(slots[own.leaf.view(np.int64) % SLOTS])
                 at = at[np.unique(own.h[at], return_index=True)[1]]
@@ -122,7 +122,7 @@ def line_tokens(df: DataFrame, crowded: DataFrame, doc_id: str, text: str) -> Da
                 flat = token[np.arange(offsets[-1]) - np.repeat(offsets[:-1] - own.begin[at], own.n[at])]
                 yield pa.RecordBatch.from_arrays([_long(own.leaf[at]), _long(own.h[at]), pa.ListArray.from_arrays(offsets, flat)], ["leaf", "h", "t"])
 
-    found = _keyed(df, doc_id, text).select("text").mapInArrow(find, "leaf long, h long, t array<long>")
+    found = _keyed(df, doc_id, text).select("text").mapInArrow(tidy(find), "leaf long, h long, t array<long>")
     return found.join(crowded, "leaf", "left_semi").groupBy("leaf", "h").agg(F.first("t").alias("t"))
 
 
@@ -218,7 +218,7 @@ def generalised(distinct: DataFrame, similarity: float = SIMILARITY, chunk: int
     ``distinct`` has ``leaf``, ``h`` and ``t`` without repeats.
     """
     lined = stored(distinct)
-    keyed = lined.select("leaf", "h", "t").mapInArrow(lambda batches: _pieces(batches, similarity), "key long, h long")
+    keyed = lined.select("leaf", "h", "t").mapInArrow(tidy(lambda batches: _pieces(batches, similarity)), "key long, h long")
     centres = keyed.groupBy("key").agg(F.min("h").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = stored(keyed.join(centres, "key").select("key", "h", "centre", "n"))
     pairs = shared.where("h <> centre").select("h", "centre").distinct()
@@ -234,7 +234,7 @@ def generalised(distinct: DataFrame, similarity: float = SIMILARITY, chunk: int
     cells = F.transform(F.sequence(F.lit(0), parts - 1), lambda i: F.xxhash64("key", F.least(i, mine), F.greatest(i, mine)))
     dealt = rooted.join(mixed, "key").select("h", "root", F.explode(cells).alias("cell")).join(lined, "h")
     dealt = dealt.select("cell", "h", "root", "leaf", "t").repartition("cell").sortWithinPartitions("cell")
-    found = dealt.mapInArrow(lambda batches: _compare(batches, similarity), "a long, b long")
+    found = dealt.mapInArrow(tidy(lambda batches: _compare(batches, similarity)), "a long, b long")
     return components(near.unionByName(found), "a", "b").select(F.col("node").alias("h"), F.col("root").alias("cluster"))
 
 

@@ -2,13 +2,17 @@
 
 import itertools
 import random
+import struct
 from collections import Counter
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from lumenlit.llm import binary_search, components, cutting_stock, hmm, media, mixing, quality, shuffling, simhash, substrings, templates, words
+from lumenlit.llm import binary_search, components, cutting_stock, hmm, media, mixing, near_copies, packing, quality, shuffling, simhash, substrings, templates, words
+
+PATH = public_tokenizers.path("word_bpe_49k.json")
 
 
 def test_container_round_trip():
@@ -33,6 +37,49 @@ def test_media_udfs_keep_other_columns(spark):
     assert got[1].valid and got[1].samples == 1
 
 
+def fragmented():
+    """A file as a streaming encoder writes it: two tracks without samples of their own, then two fragments."""
+    box, full = media._box, media._full
+    u32 = lambda *x: struct.pack(f">{len(x)}I", *x)
+
+    def trak(number, handler, codec, scale):
+        stbl = box(b"stbl", full(b"stsd", u32(1), box(codec, bytes(78))), full(b"stts", u32(0)), full(b"stsc", u32(0)), full(b"stsz", u32(0, 0)), full(b"stco", u32(0)))
+        mdia = box(b"mdia", full(b"mdhd", u32(0, 0, scale, 0, 0)), full(b"hdlr", u32(0), handler, bytes(13)), box(b"minf", stbl))
+        return box(b"trak", full(b"tkhd", u32(0, 0, number, 0, 0), bytes(60)), mdia)
+
+    mvex = box(b"mvex", full(b"trex", u32(1, 1, 512, 7, 0x10000)), full(b"trex", u32(2, 1, 100, 5, 0)))
+    out = box(b"ftyp", b"isom", u32(1)) + box(b"moov", full(b"mvhd", bytes(96)), trak(1, b"vide", b"avc1", 12800), trak(2, b"soun", b"mp4a", 1000), mvex)
+    want = {1: [], 2: []}
+    for k in range(2):
+        video, sound = [40 + k, 7, 9], [5, 5]
+
+        def moof(first):
+            one = box(b"traf", full(b"tfhd", u32(1), flags=0x20000), full(b"trun", u32(3, first, 0), u32(*video), flags=0x205))
+            two = box(b"traf", full(b"tfhd", u32(2), flags=0x20000), full(b"trun", u32(2, first + sum(video)), flags=0x001))
+            return box(b"moof", full(b"mfhd", u32(k + 1)), one, two)
+
+        size = len(moof(0))
+        at = len(out) + size + 8
+        out += moof(size + 8) + box(b"mdat", bytes(range(sum(video) + sum(sound))))
+        want[1].append((at, sum(video), video[0]))
+        want[2].append((at + sum(video), sum(sound), sum(sound)))
+    return out, want
+
+
+def test_tracks_and_fragments(spark):
+    made, want = fragmented()
+    video, sound = media.all_tracks(made)
+    assert (video["track"], video["handler"], video["codec"], video["duration"], video["samples"], video["fragments"], video["keyframes"]) == (1, "vide", "avc1", 6 * 512, 6, 2, 2)
+    assert (sound["track"], sound["handler"], sound["codec"], sound["duration"], sound["samples"], sound["keyframes"]) == (2, "soun", "mp4a", 400, 4, 4)
+    for track, told in ((1, video), (2, sound)):
+        assert [(r["offset"], r["length"]) for r in told["media_ranges"]] == [w[:2] for w in want[track]]
+    assert [(k["offset"], k["length"], k["first_sample"]) for k in video["keyframe_ranges"]] == [(want[1][0][0], 40, 1), (want[1][1][0], 41, 4)]
+    assert media.all_tracks(made[:-3]) is None and media.all_tracks(None) is None
+    df = spark.createDataFrame([(made,), (None,), (b"no media",)], "m binary").select(media.describe_tracks(F.col("m")).alias("t"), media.describe(F.col("m")).alias("d"))
+    got = df.collect()
+    assert [len(r.t) if r.t else 0 for r in got] == [2, 0, 0] and got[0].d.samples == 6 and got[2].d.valid is False
+
+
 def test_every_close_pair_shares_a_home_anchor():
     r = np.random.default_rng(2)
     for _ in range(300):
@@ -47,52 +94,6 @@ def test_every_close_pair_shares_a_home_anchor():
     assert home.sum() == 3 and len(set(key.tolist())) == len(key)
 
 
-def edited(base, changes, r):
-    words = list(base)
-    for at in r.sample(range(len(words)), changes):
-        words[at] = f"other{r.random()}"
-    return " ".join(words)
-
-
-def alike(a, b):
-    a, b = ({tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in (a, b))
-    return len(a & b) / len(a | b)
-
-
-def test_wide_fingerprints_find_similar_texts_and_no_others(spark):
-    r = random.Random(11)
-    bases = [[f"w{r.randrange(2000)}" for _ in range(400)] for _ in range(60)]
-    near = [edited(b, 4, r) for b in bases]
-    far = [edited(b, 40, r) for b in bases]
-    texts = [" ".join(b) for b in bases] + near + far
-    assert all(alike(a, b) > 0.8 for a, b in zip(texts, near, strict=False)) and all(alike(a, b) < 0.5 for a, b in zip(texts, far, strict=False))
-    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {x.doc_id: x.component_id for x in simhash.near_duplicates(df, shingle=5, wide=True).collect()}
-    assert sum(got[60 + i] == i for i in range(60)) >= 57
-    assert sum(got[120 + i] != 120 + i for i in range(60)) <= 3
-    assert all(got[i] == i for i in range(60))
-
-
-def test_wide_links_within_a_block_are_all_found(spark):
-    r = np.random.default_rng(3)
-    base = r.integers(0, 2**63, (20, simhash.WIDE)).astype(np.uint64)
-    rows = [base]
-    for bits in (1, 9, 17):
-        moved = base.copy()
-        for x in moved:
-            for bit in r.choice(64 * simhash.WIDE, bits, replace=False):
-                x[bit // 64] ^= np.uint64(1) << np.uint64(bit % 64)
-        rows.append(moved)
-    fps = np.concatenate(rows)
-    name = simhash.node(fps)
-    df = spark.createDataFrame([(bytearray(x.tobytes()),) for x in fps], "wide binary")
-    for chunk in (simhash.CHUNK, 3):
-        edges = simhash.links(df, "wide", chunk, simhash.WIDE_BITS)
-        root = {x.node: x.root for x in components.components(edges, "a", "b").collect()}
-        group = [root.get(int(n), int(n)) for n in name]
-        assert all(len({group[i + 20 * k] for k in range(4)}) == 1 for i in range(20)) and len(set(group)) == 20
-
-
 def test_bits_of_long_texts_are_counted_in_steps(monkeypatch):
     text = " ".join(str(i * i) for i in range(500))
     whole = simhash.simhashes(text, 4, 2)
@@ -263,7 +264,7 @@ def test_search_in_several_blocks(spark):
     r = random.Random(6)
     df = spark.createDataFrame([(i, r.getrandbits(63)) for i in range(400)], "id long, code long")
     one = {tuple(x) for x in binary_search.top_k(df.where("id % 100 = 0"), df).collect()}
-    many = {tuple(x) for x in binary_search.top_k(df.where("id % 100 = 0"), df, block=70, group=2).collect()}
+    many = {tuple(x) for x in binary_search.top_k(df.where("id % 100 = 0"), df, block=70).collect()}
     assert one == many and len(one) == 40
 
 
@@ -276,6 +277,29 @@ def test_shuffle_spreads_a_crowded_key(spark):
     assert places == list(range(6000))
 
 
+def test_operators_take_clashing_columns(spark, rows):
+    names = ["id", "print", "key", "_key", "_source", "_own", "_salt", "named", "places", "_places", "_id", "_print", "h", "bucket_", "crowded", "row", "root", "best", "name", "first", "group", "size_"]
+    df = spark.createDataFrame(rows[:20], "doc_id long, text string, lang string, source string, n_chars long").withColumn("size", F.length("text").cast("long"))
+    clashing = df.withColumns({n: F.lit(n) for n in names})
+    for run in (
+        lambda x: shuffling.external_shuffle(x, "doc_id", "size"),
+        lambda x: mixing.mix(x),
+        lambda x: templates.drop_recurring_lines(x),
+        lambda x: near_copies.keep_one(x),
+        lambda x: substrings.substring_dedup(x),
+        lambda x: simhash.near_duplicates(x),
+        lambda x: packing.pieces(x, PATH),
+        lambda x: quality.scored(x, quality.Field(np.zeros(quality.WIDTH), np.zeros((2, 2)), (1.0, 0.0))),
+    ):
+        plain, other = run(df), run(clashing)
+        some = [c for c in plain.columns if c in other.columns]
+        assert some == plain.columns
+        assert Counter(map(tuple, other.select(some).collect())) == Counter(map(tuple, plain.collect()))
+        kept = [n for n in names if n in other.columns and n not in plain.columns]
+        if kept:
+            assert {tuple(r) for r in other.select(kept).distinct().collect()} == {tuple(kept)}
+
+
 def test_mixing_keeps_clashing_columns_out(spark):
     df = spark.createDataFrame([(1, "a", 10, 5.0), (2, None, 0, 5.0), (3, "b", 30, 5.0), (3, "b", 30, 5.0)], "doc_id long, source string, size long, target double")
     out = mixing.mix(df)

@@ -1,7 +1,9 @@
 """Every registered query against a plain Python version, on one awkward corpus, and on empty tables."""
 
 import hashlib
+import itertools
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -12,7 +14,7 @@ import pytest
 import xxhash
 
 import corpus_pipeline
-from lumenlit.llm import queries
+from lumenlit.llm import hmm, near_copies, quality, queries, templates
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans({chr(i): chr(i + 32) for i in range(65, 91)})
@@ -60,6 +62,34 @@ def test_hidden_markov_scores(spark, sf_dir, rows):
     assert all(r.score < 0 and math.isfinite(r.score) for r in got)
 
 
+def test_scores_are_the_forward_recursion_over_words(spark, rows, monkeypatch):
+    """The score of each text by a recursion over its words in plain Python, with few symbols and most words in classes."""
+    monkeypatch.setattr(hmm, "SYMBOLS", 64)
+    monkeypatch.setattr(hmm, "KNOWN", 400)
+    df = spark.createDataFrame([(k, t, folds(i) != 1) for k, (i, t, *_) in enumerate(rows) if k != 64], "doc_id long, text string, training boolean")
+    scores, lex, model = hmm.language_scores(df)
+    counts = Counter(w for k, (i, t, *_) in enumerate(rows) if folds(i) != 1 and k != 64 for w in WORD.findall((t or "").translate(LOWER)))
+    assert 5 < lex.symbols < len(counts) / 4 and np.allclose(model.emit.sum(axis=0), 1) and np.allclose(model.step.sum(axis=1), 1)
+    key = {w: hmm.tokens([w.encode()])[0][0] for _, t, *_ in rows for w in WORD.findall((t or "").translate(LOWER))}
+    symbol_of = {k: s for k, s in zip(lex.keys.tolist(), lex.symbol.tolist(), strict=True) if s > 0}
+    own = {w: symbol_of.get(int(k)) for w, k in key.items()}
+    group = {w: int(k) % hmm.CLASSES for w, k in key.items()}
+    mass = Counter()
+    for w, n in counts.items():
+        if own[w] is None:
+            mass[group[w]] += n + 0.5
+    for r in scores.collect():
+        text = rows[r.doc_id][1] or ""
+        state, total = None, 0.0
+        for w in [*WORD.findall(text.translate(LOWER)), None]:
+            symbol = 0 if w is None else own[w] or 1 + lex.symbols + group[w]
+            share = 1.0 if w is None or own[w] else (counts[w] + 0.5) / (mass[group[w]] + 0.5)
+            state = model.emit[symbol] * (model.start if state is None else state @ model.step)
+            total += math.log10(state.sum() * share)
+            state = state / state.sum()
+        assert math.isclose(r.score, total, rel_tol=1e-9, abs_tol=1e-6)
+
+
 def test_shuffle(spark, sf_dir, rows):
     got = RUN["op3_external_shuffle"](spark, sf_dir).collect()
     assert Counter((r.doc_id, r.size, r.text_crc32) for r in got) == Counter((i, len(t.encode()) + 1, zlib.crc32(t.encode())) for i, t in of(rows))
@@ -125,6 +155,37 @@ def test_quality(spark, sf_dir, rows):
     assert max(low) < min(high)
 
 
+def test_quality_is_the_sum_over_all_labellings(spark):
+    """Scores of short texts by summing over every labelling of their lines, and a floor of accuracy on held-out rows."""
+    r = random.Random(5)
+    good = lambda: "\n".join(" ".join(r.choice(("river", "stone", "of", "the", "and", "valley", "light", "were")) for _ in range(r.randint(6, 12))) + "." for _ in range(r.randint(1, 6)))
+    bad = lambda: "\n".join("BUY!! " * r.randint(2, 6) + "$$$ ||| ***" for _ in range(r.randint(1, 6)))
+    made = [(i, bad() if i % 3 == 0 else good(), int(i % 3 != 0)) for i in range(240)]
+    made[7] = (7, "\n".join(bad() for _ in range(900)), 0)  # one very long text doesn't decide the fit
+    df = spark.createDataFrame(made, "doc_id long, text string, label int")
+    field = quality.train(df.where("doc_id < 160"), df.where("doc_id < 160").select("doc_id", "label"))
+    got = {x.doc_id: x.score for x in quality.scored(df, field).where("doc_id >= 160").collect()}
+    assert np.mean([(got[i] >= 0.3) == bool(y) for i, _, y in made[160:]]) >= 0.98
+    for i, text, _ in made[160:180]:
+        features, size, bounds = quality.line_features([text.encode()])
+        emit = features.astype(np.float64) @ field.weights
+        weight = {}
+        for labels in itertools.product((0, 1), repeat=len(emit)):
+            weight[labels] = math.exp(sum(e * y for e, y in zip(emit, labels, strict=True)) + sum(field.steps[a, b] for a, b in itertools.pairwise(labels)))
+        total = sum(weight.values())
+        mean = sum(s * sum(w for y, w in weight.items() if y[k]) / total for k, s in enumerate(size)) / size.sum()
+        mean = min(max(mean, 1e-6), 1 - 1e-6)
+        assert math.isclose(got[i], 1 / (1 + math.exp(-(field.curve[0] * math.log(mean / (1 - mean)) + field.curve[1]))), rel_tol=1e-6)
+
+
+def test_quality_sample_keeps_to_its_bounds(spark):
+    df = spark.createDataFrame([(i, "x" * (1000 if i == 3 else 10), i % 2) for i in range(50)], "doc_id long, text string, label int")
+    labels = df.select("doc_id", "label")
+    take = lambda n, size: [r.text for r in quality.sampled(df, labels, "text", "label", "doc_id", n, size).collect()]
+    assert len(take(20, 10**6)) == 20 and len(take(100, 10**6)) == 50
+    assert len(take(100, 200)) == 20 and len(take(100, 999)) == 49 and max(map(len, take(100, 999))) == 10
+
+
 def test_substrings(spark, sf_dir, rows):
     order = sorted({(math.inf if i is None else i, t) for i, t in of(rows)})
     first: dict[tuple, tuple] = {}
@@ -182,17 +243,9 @@ def test_sql_agrees(spark, sf_dir, name):
 
 
 def brute_lines(docs):
-    """What line dedup keeps of each (id, text)."""
+    """What line dedup keeps of each (id, text): templates count distinct texts."""
     template = lambda x: tuple("<*>" if re.search("[0-9]", w) else w for w in WORD.findall(x))
-    found, context = [], {}
-    for i, t in sorted(set(docs)):
-        own = [(p, template(x)) for p, x in enumerate(t.split("\n"))]
-        own = [x for x in own if x[1]]
-        for k, (p, x) in enumerate(own):
-            around = (own[k - 1][1] if k else None, own[k + 1][1] if k + 1 < len(own) else None)
-            if len(x) >= 4:
-                found.append((i, t, p, x))
-                context.setdefault((x, around), i)
+    found = [(i, t, p, template(x)) for i, t in sorted(set(docs)) for p, x in enumerate(t.split("\n")) if template(x)]
     names = {x: x for _, _, _, x in found}
 
     def root(x):
@@ -200,22 +253,32 @@ def brute_lines(docs):
             x = names[x]
         return x
 
-    lines = sorted(names)
-    for n, a in enumerate(lines):
-        for b in lines[n + 1 :]:
-            if len(a) == len(b) and a[:3] == b[:3] and sum(u == v for u, v in zip(a, b, strict=True)) >= math.ceil(0.8 * len(a) - 1e-9):
+    leaves = defaultdict(list)
+    for x in sorted(names):
+        leaves[len(x), x[:3]].append(x)
+    for leaf in leaves.values():
+        for a, b in itertools.combinations(leaf, 2):
+            if sum(u == v for u, v in zip(a, b, strict=True)) >= math.ceil(0.8 * len(a) - 1e-9):
                 names[root(b)] = root(a)
-    shown = defaultdict(set)
-    for (x, _), i in context.items():
-        shown[root(x)].add(i)
-    drop = {c: min(s) for c, s in shown.items() if len(s) >= 5}
+    texts, first = defaultdict(set), {}
+    for i, t, _, x in found:
+        texts[root(x)].add(t)
+        first[root(x)] = min(first.get(root(x), math.inf), i)
     gone = defaultdict(set)
     for i, t, p, x in found:
-        if root(x) in drop and drop[root(x)] != i:
+        if len(texts[root(x)]) >= 5 and first[root(x)] != i:
             gone[i, t].add(p)
     return {(i, t): "\n".join(x for p, x in enumerate(t.split("\n")) if p not in gone[i, t]) for i, t in docs}
 
 
+def test_blocks_of_lines_recur_line_by_line(spark):
+    """A notice of four lines in twenty documents stays in the first alone."""
+    notice = "this page is made by one\nand only one of us\nwho asks you to keep\nwhat is written down here"
+    df = spark.createDataFrame([(i, f"own words number {chr(97 + i)} {chr(98 + i)} of document {chr(99 + i)}\n{notice}") for i in range(20)], "doc_id long, text string")
+    out = {r.doc_id: r for r in templates.drop_recurring_lines(df).collect()}
+    assert out[0].n_dropped == 0 and all(out[i].n_dropped >= 4 and notice.split("\n")[1] not in out[i].text for i in range(1, 20))
+
+
 def test_templates(spark, sf_dir, rows):
     docs = [(math.inf if i is None else i, t) for i, t in of(rows)]
     kept = brute_lines(docs)
@@ -224,6 +287,28 @@ def test_templates(spark, sf_dir, rows):
     assert sum(r.n_dropped for r in got) >= 5
 
 
+def brute_copies(docs):
+    """How often mixing takes each id."""
+    size = Counter()
+    for _, source, n in docs:
+        size[source] += n
+    names = sorted((s for s in size if s is not None)) + ([None] if None in size else [])
+    weight, capped = {s: 1 + k % 3 for k, s in enumerate(names)}, set()
+    while True:
+        left = sum(size.values()) - sum(3 * size[s] for s in capped)
+        target = {s: 3 * size[s] if s in capped else left * weight[s] / sum(weight[u] for u in names if u not in capped) for s in names}
+        over = {s for s in names if target[s] > 3 * size[s] + 1e-9}
+        if not over:
+            break
+        capped |= over
+    out = Counter()
+    for i, source, _ in docs:
+        rate = min(3.0, target[source] / size[source]) if size[source] else 0.0
+        u = int(hashlib.md5(f"mix-1:{'' if i is None else i}".encode()).hexdigest()[:13], 16) / 2**52
+        out[i] += math.floor(rate) + (u < rate - math.floor(rate))
+    return +out
+
+
 def test_pipeline_against_plain_python(spark, sf_dir):
     """The stages after the classifier, each recomputed from what the stage before kept."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
@@ -237,14 +322,23 @@ def test_pipeline_against_plain_python(spark, sf_dir):
     assert Counter((r.doc_id, r.text or "") for r in lined) == Counter((r.doc_id, kept[k]) for r, k in zip(good, keys, strict=True))
     frame = spark.createDataFrame(lined, docs.schema)
     single = corpus_pipeline.drop_near_duplicates(spark, frame, sf_dir).collect()
-    fps = [fingerprint(r.text or "", 5) for r in lined]
-    alone = {fingerprint(r.text or "", 5) for r in single}
-    assert len(alone) == len(single) and alone <= set(fps)
-    assert all((a ^ b).bit_count() > 4 for a in alone for b in alone if a != b)
+    plain = lambda t: near_copies.normal((t or "").encode())
+    sets = [{tuple(w[k : k + 5]) for k in range(len(w) - 4)} or {tuple(w)} for w in (plain(r.text).split() for r in lined)]
+    group = list(range(len(lined)))
+    for _ in range(len(lined)):
+        before = list(group)
+        for x, y in itertools.combinations(range(len(lined)), 2):
+            if plain(lined[x].text) == plain(lined[y].text) or (all(sets[x]) and all(sets[y]) and len(sets[x] & sets[y]) >= 0.8 * len(sets[x] | sets[y])):
+                group[x] = group[y] = min(group[x], group[y])
+        if group == before:
+            break
+    last = lambda i: math.inf if i is None else i
+    assert Counter(last(r.doc_id) for r in single) == Counter(min(last(lined[k].doc_id) for k in range(len(lined)) if group[k] == g) for g in set(group))
     frame = spark.createDataFrame(single, docs.schema)
     mixed = corpus_pipeline.mix_sources(spark, frame, sf_dir).collect()
+    want = brute_copies([(r.doc_id, r.source, len(WORD.findall(r.text or ""))) for r in single])
     times = Counter(r.doc_id for r in mixed)
-    assert set(times) <= {r.doc_id for r in single} and max(times.values()) <= 3
+    assert times == want
     packed = corpus_pipeline.pack_sequences(spark, spark.createDataFrame(mixed, docs.schema), sf_dir).collect()
     assert Counter(r.doc_id for r in packed if r.start == 0) == times
     assert docs.columns == frame.columns == corpus_pipeline.COLUMNS
