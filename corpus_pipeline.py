@@ -9,13 +9,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlit.llm import mixing, packing, quality, simhash, templates
+from lumenlit.llm import mixing, near_copies, packing, quality, templates
 from lumenlit.llm.common import salt_of_doc, ship, stored
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 TOKENIZER = "word_bpe_49k.json"
-#: Words in a shingle of the near-duplicate stage.
-SHINGLE = 5
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,9 +32,9 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of linked wide fingerprints stays; links mean a similarity of about 0.8 or more."""
+    """One document stays of each group of documents linked by a similarity of 0.8 or more of five-word shingles."""
     ship(spark)
-    return simhash.keep_one(docs, shingle=SHINGLE, wide=True).select(*COLUMNS)
+    return near_copies.keep_one(docs).select(*COLUMNS)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
