@@ -36,7 +36,8 @@ def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="lumenlit", description=__doc__)
     for name in ("candidates", "library", "profile", "as-of"):
         p.add_argument(f"--{name}", required=True)
-    for name in ("history", "works", "out", "config"):
+    p.add_argument("--formats", default="markdown,json")
+    for name in ("history", "works", "judged", "out", "tag", "config"):
         p.add_argument(f"--{name}")
     p.add_argument("--stop-at", choices=recommend.STAGES, default="top")
     p.add_argument("--top-n", type=int)
@@ -55,12 +56,17 @@ def main(argv: list[str] | None = None) -> None:
     known = {f.name for f in fields(recommend.Options)}
     given = merged(settings([a.config] if a.config else []), {k: v for k, v in vars(a).items() if k in known and v is not None})
     options = recommend.Options(as_of=a.as_of).override(**{k: tuple(v) if isinstance(v, list) else v for k, v in given.items()})
-    run = recommend.Recommendation(recommend.with_keys(read(a.candidates)), recommend.with_keys(read(a.library)), a.profile, options, read(a.history), read(a.works))
+    run = recommend.Recommendation(recommend.with_keys(read(a.candidates)), recommend.with_keys(read(a.library)), a.profile, options, read(a.history), read(a.works), read(a.judged))
     df = run.plan(a.stop_at)
     if a.out and a.stop_at == "top":
-        ranked = ranking.batches(df, ranking.rank_order(), options.top_n).withColumn("rank", (F.col("place") + 1).cast("int")).withColumn("url", F.concat(F.lit("https://arxiv.org/abs/"), "arxiv_id"))
-        reporting.write_markdown(ranked, F.lit(a.as_of).cast("timestamp_ntz"), a.as_of, f"{a.out}/report")
-        ranked.drop("batch", "place").coalesce(1).write.mode("overwrite").json(f"{a.out}/json")
+        linked = lambda x: x.withColumn("url", F.concat(F.lit("https://arxiv.org/abs/"), "arxiv_id"))
+        ranked = linked(ranking.batches(df, ranking.rank_order(), options.top_n).withColumn("rank", (F.col("place") + 1).cast("int"))).drop("batch", "place")
+        scored, now = linked(run.plan("scored")), F.lit(a.as_of).cast("timestamp_ntz")
+        counted = reporting.run_stats(scored, options.min_relevance, now).first()
+        stats = {"candidates_raw": run.pools.count(), "candidates_after_dedup": counted["candidates"], "library_total": run.library.count()}
+        profile = {"summary": a.profile, "generated_by": "manual"}
+        lines = reporting.report_lines(ranked, now, a.as_of, stats, profile, scored, weights=options.weights)
+        print("\n".join(reporting.write_report(a.formats.split(","), a.out, a.as_of, a.tag or "", lines, ranked, stats, profile)))
     df.show(10)
 
 

@@ -1,17 +1,19 @@
 """Structure of paper texts as Column expressions: titles, sections, identifiers, years.
 
 A few of the patterns need the last match of many, which ``last_match`` finds with
-``regexp_extract_all``; nothing here leaves the JVM.
+``regexp_extract_all``; only ``titles_alike`` leaves the JVM.
 """
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
 from functools import reduce
 
-from pyspark.sql import Column
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenlit.functions.text import clean_text, let, text_or_empty, truncate
+from lumenlit.functions.text import clean_text, let, strip_latex, text_or_empty, truncate
 
 # File names that aren't papers.
 SKIP_PATTERNS = (
@@ -32,23 +34,46 @@ NOT_PAPERS = (
     r"(?:response|reply|answer|rebuttal)\s+to\s+(?:the\s+)?(?:referee|reviewers?)s?\b", r"referees?['’]?s?\s+report", r"reviewers?['’]?s?\s+comments?",
     r"to\s+cite\s+this\s+article", r"traceback\s*\(most\s+recent\s+call", r"report\s+on\s+the\s+manuscript",
 )
-# Section headings.
+# Section headings, what may stand before and after them.
 NUMBERED = r"(?:\d+\.?[ \t]*|[IVX]{1,4}\.[ \t]*|[A-Z]\.[ \t]*)?"
-TAIL = r"[ \t]*(?:$|[ \t]+(?:(?i:and|to|of|for|in|on|with)\b[ \t]+)?[A-Z(\[:0-9])"
+TAIL = r"[ \t]*(?:$|[ \t]+(?:(?i:and|to|of|for|in|on|with|与|和)\b[ \t]+)?[A-Z(（\[:：0-9])"
 INTRODUCTION = ("INTRODUCTIONS?", "Introductions?", "引言", "前言")
+INTRODUCTION_AND = r"(?:Introduction|引言|前言)[ \t]+(?i:and|与|和)[ \t]+(?i:motivation|background|overview|summary|scope|notation|methods?)"
 CONCLUSION = (
-    "CONCLUSIONS?", "Conclusions?", r"(?:CONCLUDING|Concluding)\s+(?:REMARKS|[Rr]emarks|DISCUSSION|[Dd]iscussion)", r"(?:FINAL|Final)\s+(?:REMARKS|[Rr]emarks)",
-    r"(?i:summary\s+and\s+(?:outlook|conclusions?|discussion|perspectives))", r"(?i:conclusions?\s+and\s+(?:outlook|perspectives?|summary|discussion|future\s+(?:work|directions|prospects)))",
-    r"(?i:discussion\s+and\s+conclusions?)", "OUTLOOK", "Outlook", "结论与展望", "总结与展望", "结论", "总结",
+    "CONCLUSIONS?", "Conclusions?", r"CONCLUDING\s+REMARKS", r"Concluding\s+[Rr]emarks", r"CONCLUDING\s+DISCUSSION", r"Concluding\s+[Dd]iscussion", r"FINAL\s+REMARKS", r"Final\s+[Rr]emarks",
+    r"SUMMARY\s+AND\s+(?:OUTLOOK|CONCLUSIONS?|DISCUSSION|PERSPECTIVES)", r"Summary\s+and\s+(?:outlook|conclusions?|discussion|perspectives)",
+    r"CONCLUSIONS?\s+AND\s+(?:OUTLOOK|PERSPECTIVES?|SUMMARY|DISCUSSION)", r"Conclusions?\s+and\s+(?:outlook|perspectives?|summary|discussion|future\s+(?:work|directions|prospects))",
+    r"DISCUSSION\s+AND\s+CONCLUSIONS?", r"Discussion\s+and\s+conclusions?", "OUTLOOK", "Outlook", "结论与展望", "总结与展望", "结论", "总结",
 )
-CONCLUSION_WIDE = ("SUMMARY", "Summary", "DISCUSSION", "Discussion", "OUTLOOK", "Outlook", "CONCLUDING", "Concluding", "REMARKS", "Remarks", "PERSPECTIVES", "Perspectives", "讨论", "展望")
-STOPS = (r"ACKNOWLEDG\w*", r"Acknowledg\w*", "REFERENCES", "References", "BIBLIOGRAPHY", "Bibliography", r"APPENDIX\w*", r"Appendix\w*", r"(?i:supplemental\s+material)", "致谢", "参考文献", "附录")
+CONCLUSION_WIDE = ("SUMMARY", "Summary", "DISCUSSION", "Discussion", "OUTLOOK", "Outlook", "CONCLUDING", "Concluding", "REMARKS", "Remarks", "PERSPECTIVES", "Perspectives", "总结", "讨论", "展望")
+STOPS = (r"ACKNOWLEDG\w*", r"Acknowledg\w*", "REFERENCES", "References", "BIBLIOGRAPHY", "Bibliography", r"APPENDIX\w*", r"Appendix\w*", r"SUPPLEMENTAL\s+MATERIAL", r"Supplemental\s+[Mm]aterial", "致谢", "参考文献", "附录")
 BIBLIOGRAPHY = r"(?m)^[ \t]*(?:REFERENCES|References|Bibliography|BIBLIOGRAPHY|参考\s*文献|引用文献)[ \t]*$"
 BIB_LINE = r"(?m)^[ \t]*(?:\[\d{1,3}\]|\(\d{1,3}\)|\d{1,3}\.[ \t])[^\n]{0,80}?\b(?:19|20)\d{2}\b"
 # Depths of reading, shallow to deep.
 DEPTHS = ("metadata", "sections", "fulltext")
-# Lines that are no title.
-NOISE = (r"^\s*\d{1,4}\s*$", r"^\s*\d{1,2}\s+\w+\s+\d{4}\s*$", r"(?i)arXiv:\s*\d{4}\.\d{4,5}", r"(?i)^(phys(ical)?\.?\s*rev(iew)?\.?|nature|science|journal of|vol(ume)?\.?\s*\d|pp\.?\s*\d)", r"(?i)https?://|\S+@\S+", r"(?i)jstor|this content downloaded|all use subject to")
+# Lines that are no title, and how short they must be for it (none: any length).
+NOISE = (
+    (r"^\s*\d{1,4}\s*$", None), (r"^\s*\d{1,2}\s+\w+\s+\d{4}\s*$", None), (r"^[^\w一-鿿]{0,3}$", None), (r"(?i)arXiv:\s*\d{4}\.\d{4,5}", 120),
+    (r"(?i)^(?:phys(?:ical)?\.?\s*rev(?:iew)?\.?|nature|science|journal of|j\.\s|vol(?:ume)?\.?\s*\d|no\.?\s*\d|pp\.?\s*\d|\d{1,3}\s*\(\d{4}\))", 90), (r"^[\w.+-]+@[\w.-]+$", None), (r"(?i)^http", None),
+    (r"(?i)JSTOR|This content downloaded|All use subject to|Terms and Conditions of Use|Your use of the \w+ archive|not-for-profit service", None),
+)
+# Openings and endings of texts that are no title, and where other matter begins in one.
+UNTITLED = r"(?i)^(?:untitled|microsoft word|document\d*|pdf|scan|img|-\s*\d|new doc)"
+FILE_ENDING = r"(?i)\.(?:pdf|docx?|tex|dvi)$"
+TITLE_CUT = (
+    r"\s+(?:Authors?\s*:|AUTHORS\s*:)|\s+(?:ABSTRACT|Abstract)\s|\s+\d+\s*(?:Department|Institute|Institut|Laborator|Centre|Center|College|School|Universit|Academy|State\s+Key)\b"
+    r"|\s+[A-Z][A-Za-z'\-]*(?:\s+[A-Z]\.?)?\s+[A-Z][A-Za-z'\-]+\s*[*†‡§¶∗]\s*,"
+)
+# Matter before an abstract that isn't a name, and what ends an abstract.
+FRONT = (
+    r"(?i)@|^\s*\d+\s*(?:Department|Institute|Institut|Laborator|Centre|Center|College|School|Universit|Academy|State Key|Beijing|Shanghai)|^\s*\d+\s*[A-Z]"
+    r"|^\s*(?:Received|Accepted|Published|Submitted)\b|^\s*[†‡§¶∗*]\s*(?:These authors|Corresponding|Electronic)|contributed equally|^\s*[0-9]+(?:,[0-9]+)*\s*$"
+)
+ABSTRACT_HEAD = r"(?:^|\n)\s*(?:Abstract|ABSTRACT|摘要)\s*[:：.\-—]?\s*"
+ABSTRACT_STOP = r"(?:^|\n)\s*(?:\d+\.?\s*)?(?:I\.?\s+)?(?:Introduction|INTRODUCTION|Contents|CONTENTS|Keywords|KEYWORDS|PACS|Pacs|\d+\.\s+[A-Z])"
+BLOCK_STOP = r"(?i)^\s*(?:[IVX]{1,4}\.|[0-9]{1,2}\.?)?\s*(?:INTRODUCTION|Published by the American Physical Society|PACS|Keywords|Contents|©|Copyright|DOI:|https?://)"
+AFFILIATION = r"(?i)\b(?:University|Institute|Department|Laboratory|Lab|Center|Centre|College|School|Academy|Group|Physics|Physical)\b.*"
+PUBLICATION = r"(?:Phys(?:ical)?\.?\s*Rev|Nature|Science|J\.?\s*High\s*Energy|New\s*J\.?\s*Phys)[^\n]{0,80}\(?20\d\d\)?"
 
 
 def is_skipped(basename: Column) -> Column:
@@ -56,13 +81,15 @@ def is_skipped(basename: Column) -> Column:
 
 
 def is_noise_line(line: Column) -> Column:
-    return reduce(lambda a, b: a | b, (line.rlike(p) for p in NOISE)) | (F.length(F.regexp_replace(line, r"[^\p{L}\p{N}]", "")) == 0)
+    t = F.trim(text_or_empty(line))
+    return reduce(lambda a, b: a | b, (t.rlike(p) if most is None else t.rlike(p) & (F.length(t) < most) for p, most in NOISE), F.length(t) < 2)
 
 
 def count_of(c: Column, pattern: str) -> Column:
     return F.regexp_count(c, F.lit(pattern))
 
 
+# The thresholds of the tests below (lengths, shares of characters and words).
 def is_garbled(c: Column) -> Column:
     """Too short, with control characters, or mostly outside words of three letters."""
     return let(clean_text(c), _garbled)
@@ -112,11 +139,16 @@ def body(c: Column) -> Column:
     return F.regexp_extract(text_or_empty(c), r"(?s)\A(.*?)(?:" + BIBLIOGRAPHY + r"|\z)", 1)
 
 
+# The shapes of stamped identifiers and of DOIs.
+STAMPED_ID = r"(?i)arXiv[:\s]*(\d{4}\.\d{4,5}|[a-z][a-z\-]+(?:\.[A-Z]{2})?/\d{7})"
+DOI = r"(?i)\b(10\.\d{4,9}/[-._;()/:A-Z0-9]+)"
+
+
 def head_ids(c: Column) -> tuple[Column, Column]:
     """Stamped identifier and first DOI of the text before the bibliography."""
     text = body(c)
-    stamp = F.lower(F.regexp_extract(text, r"(?i)arXiv[:\s]*(\d{4}\.\d{4,5}|[a-z][a-z\-]+(?:\.[A-Z]{2})?/\d{7})", 1))
-    return stamp, F.regexp_replace(F.regexp_extract(text, r"(?i)\b(10\.\d{4,9}/[-._;()/:A-Z0-9]+)", 1), r"[.,;)]+$", "")
+    stamp = F.lower(F.regexp_extract(text, STAMPED_ID, 1))
+    return stamp, F.regexp_replace(F.regexp_extract(text, DOI, 1), r"[.,;)]+$", "")
 
 
 def _heading(names: tuple[str, ...], tail: str = TAIL) -> str:
@@ -129,7 +161,7 @@ def clean_section(c: Column, limit: int = 1200, least: int = 80) -> Column:
 
 def introduction(c: Column) -> Column:
     """From the first introduction heading to an acknowledgement or reference heading at least 120 characters on."""
-    after = F.regexp_extract(text_or_empty(c), rf"(?s){_heading(INTRODUCTION, '(?=' + TAIL + ')')}(.*)\z", 1)
+    after = F.regexp_extract(text_or_empty(c), rf"(?s){_heading((*INTRODUCTION, INTRODUCTION_AND), '(?=' + TAIL + ')')}(.*)\z", 1)
     return clean_section(F.regexp_extract(after, rf"(?s)\A(.{{0,120}}.*?)(?:(?<=(?s:.{{120}})){_heading(STOPS, '')}|\z)", 1))
 
 
@@ -193,28 +225,173 @@ def read_order(blocks: Column, line: float = 20.0) -> Column:
     return F.array_join(F.transform(F.array_sort(keyed), lambda b: b["text"]), "\n")
 
 
-def title_by_size(spans: Column, page_height: Column) -> Column:
-    """Spans (``y``, ``x``, ``size``, ``text``) of the largest print in the upper 55 % of a page, in reading order."""
+def title_by_size(spans: Column, page_height: Column, gap: float = 60.0) -> Column:
+    """Spans (``y``, ``x``, ``size``, ``text``) of the largest print in the upper 55 % of a page, in reading order, to the first wide gap."""
     upper = F.filter(spans, lambda s: (s["y"] <= 0.55 * page_height) & ~is_noise_line(s["text"]))
     largest = F.array_max(F.transform(upper, lambda s: s["size"]))
     chosen = F.filter(upper, lambda s: s["size"] >= largest - 0.5)
-    return F.substring(clean_text(read_order(chosen, 6.0)), 1, 400)
+    keyed = F.array_sort(F.transform(chosen, lambda s: F.struct(F.bround(s["y"] / 6.0, 0).alias("row"), s["x"].alias("x"), s["y"].alias("y"), s["text"].alias("text"))))
+
+    def near(rows: Column) -> Column:
+        wide = F.transform(rows, lambda r, i: F.when((i > 0) & (r["y"] - F.get(rows, i - 1)["y"] > gap), i))
+        return F.slice(rows, F.lit(1), F.coalesce(F.array_min(wide), F.size(rows)))
+
+    return F.substring(clean_text(F.array_join(F.transform(let(keyed, near), lambda r: r["text"]), " ")), 1, 400)
+
+
+def looks_like_title(c: Column) -> Column:
+    """12 to 400 characters, no noise, no sentence, no file name, with a word of four letters."""
+    t = clean_text(c)
+    ok = F.length(t).between(12, 400) & ~is_noise_line(t) & ~(t.endswith(".") & (F.length(t) > 60)) & t.rlike("[A-Za-z一-鿿]{4,}")
+    return ok & ~t.rlike(UNTITLED) & ~t.rlike(FILE_ENDING) & (F.length(t) - F.length(F.replace(t, F.lit("_"))) < 3)
+
+
+def trimmed_title(c: Column) -> Column:
+    """A title without the authors, addresses or abstract that were read with it."""
+    t = clean_text(c)
+    at = F.length(F.regexp_extract(t, rf"(?s)\A(.*?)(?:{TITLE_CUT})", 1))
+    return F.when(t.rlike(TITLE_CUT) & (at >= 15), F.regexp_replace(F.substring(t, F.lit(1), at), r"[ ,;:\-]+$", "")).otherwise(t)
+
+
+def title_from_filename(path: Column) -> Column:
+    """The file's name without its ending and without "author - year - "."""
+    base = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.[^.]*$", "")
+    named = F.regexp_extract(base, r"^.*?\s+-\s+(?:19|20)\d\d\s+-\s+(.+)$", 1)
+    plain = F.regexp_replace(F.regexp_replace(F.when(named != "", named).otherwise(base), "_+", " "), r"\s+", " ")
+    return F.substring(F.regexp_replace(plain, r"^[ \-_]+|[ \-_]+$", ""), 1, 300)
+
+
+def titles_alike(a: Column, b: Column, least: float = 0.80) -> Column:
+    """One holds the other, or they are as similar as ``least``, by letters and digits alone."""
+
+    def compare(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([bool(u) and bool(v) and (u in v or v in u or SequenceMatcher(None, u, v).ratio() >= least) for u, v in zip(x, y, strict=True)], dtype="bool")
+
+    bare = lambda c: F.regexp_replace(F.lower(text_or_empty(c)), "[^a-z0-9]+", "")
+    return F.pandas_udf(compare, "boolean")(bare(a), bare(b))
+
 
+def chosen_title(meta: Column, guess: Column, alike: Column, path: Column) -> Column:
+    """The title in the file's data if it looks like one and the print doesn't say otherwise, else the print's, else the file's name.
 
-def abstract_of(c: Column) -> Column:
-    """The text after an abstract heading up to the introduction, keywords or the next heading; under 80 characters: none."""
-    got = F.regexp_extract(text_or_empty(c), r"(?s)(?:ABSTRACT|Abstract)[\s.:—-]+(.*?)(?:\n\s*(?:\d+\.?\s*)?(?:I\.?\s+)?(?:Introduction|INTRODUCTION|Contents|Keywords|KEYWORDS|PACS)|\n\s*\d+\.\s+[A-Z]|\z)", 1)
-    t = dehyphenate(clean_text(got))
-    return F.when(F.length(t) >= 80, t).otherwise("")
+    What turns out garbled or a paragraph gives way to the file's name, if that looks like a title.
+    """
+    meta, guess, named = clean_text(meta), text_or_empty(guess), title_from_filename(path)
+    first = F.when(looks_like_title(meta) & ((guess == "") | alike), meta).when(guess != "", guess).when(looks_like_title(meta), meta).otherwise(named)
+    usable = looks_like_title(named) & ~is_garbled(named) & ~is_paragraph(named)
+    return let(trimmed_title(first), lambda t: F.when((is_garbled(t) | is_paragraph(t)) & usable, named).otherwise(t))
+
+
+def excerpt(c: Column, limit: int = 3000) -> Column:
+    """The beginning of a text, hyphens of line ends joined."""
+    return F.when(F.lit(limit > 0), truncate(dehyphenate(clean_text(c)), limit, " …")).otherwise("")
+
+
+def literal_abstract(page: Column) -> Column:
+    """The text after an abstract heading up to the next heading beyond 80 characters; under 80 characters: none."""
+    after = F.regexp_extract(text_or_empty(page), rf"(?s){ABSTRACT_HEAD}(.*)\z", 1)
+    held = F.regexp_extract(after, rf"(?s)\A(.*?)(?:{ABSTRACT_STOP}|\z)", 1)
+    t = dehyphenate(clean_text(F.when(F.length(held) > 80, held).otherwise(after)))
+    return F.when(after.rlike(r"\S") & (F.length(t) >= 80), truncate(t, 2200, " …")).otherwise("")
+
+
+def layout_abstract(blocks: Column) -> Column:
+    """The first prose after the title's block, with the prose that follows it and lines that end it; under 120 characters: none.
+
+    Blocks are folded from first to last: ``on`` says whether the abstract hasn't begun (0), runs (1) or is over (2).
+    """
+    head = F.slice(blocks, 1, 4)
+    found = F.array_position(F.transform(head, lambda b: (F.length(b) >= 12) & ~is_noise_line(b)), True)
+    rest = F.slice(blocks, (found + 1).cast("int"), F.greatest(F.size(blocks), F.lit(1)))
+    start = F.struct(F.lit(0).alias("on"), F.lit("").alias("text"), F.lit(0).alias("size"))
+
+    def step(now: Column, block: Column) -> Column:
+        noise, prose = is_noise_line(block), is_prose(block)
+        loose = ~F.rtrim(now["text"]).rlike(r"[.!?。]$") & (F.length(block) >= 40)
+        over = (now["on"] == 2) | block.rlike(BLOCK_STOP) | ((now["on"] == 1) & (noise | ~(prose | loose)))
+        take = ~over & ~noise & (prose | (now["on"] == 1))
+        text = F.when(take, F.concat_ws(" ", F.nullif(now["text"], F.lit("")), block)).otherwise(now["text"])
+        size = F.when(take, now["size"] + F.length(block)).otherwise(now["size"])
+        on = F.when(over | (take & prose & (size > 2600) & (now["on"] == 1)), 2).when(take, 1).otherwise(now["on"])
+        return F.struct(on.alias("on"), text.alias("text"), size.alias("size"))
+
+    t = dehyphenate(clean_text(F.aggregate(rest, start, step)["text"]))
+    return F.when(F.length(t) >= 120, truncate(t, 2200, " …")).otherwise("")
+
+
+def abstract_of(pages: Column, blocks: Column) -> Column:
+    """The abstract under its heading on the first two pages, else the one that the layout shows."""
+    literal = [F.nullif(literal_abstract(F.get(pages, i)), F.lit("")) for i in (0, 1)]
+    return F.coalesce(*literal, layout_abstract(blocks), F.lit(""))
+
+
+def author_score(c: Column) -> Column:
+    """The share of name-like words in a line; 0 for long lines, capitals only, and lines of lower-case words."""
+    t = clean_text(c)
+    word = lambda w: F.regexp_replace(F.regexp_replace(w, r"[\d*†‡§¶∗]+$", ""), r"^[.,;]+|[.,;]+$", "")
+    words = F.filter(F.transform(F.split(t, r"[\s,;]+"), word), lambda w: w != "")
+
+    def share(w: Column) -> Column:
+        names = F.size(F.filter(w, lambda x: x.rlike(r"^(?:[A-Z][\p{L}\p{N}_'’\-]*|[A-Z]\.)$")))
+        lower = count_of(t, r"(?<![\p{L}\p{N}_])[a-z]{3,}(?![\p{L}\p{N}_])")
+        none = (F.length(t) > 400) | (F.size(w) == 0) | ((count_of(t, r"\p{L}") >= 6) & (F.upper(t) == t)) | (lower > 0.25 * F.size(w))
+        return F.when(none, 0.0).otherwise(names / F.size(w))
+
+    return let(words, share)
 
 
 def author_names(line: Column) -> Column:
-    """Names of 3 to 60 characters of an author line, at most 25, without affiliation marks."""
-    marks = F.regexp_replace(text_or_empty(line), r"[*†‡§¶∗\d]+", " ")
-    names = F.transform(F.split(marks, r"\s*(?:,|;|\band\b|&)\s*"), clean_text)
-    return F.slice(F.filter(names, lambda n: F.length(n).between(3, 60) & ~n.rlike(r"(?i)universit|institut|department|laborator|@")), 1, 25)
+    """Names of 3 to 60 characters of an author line, at most 25, without marks, mail addresses and affiliations."""
+    bare = F.regexp_replace(F.regexp_replace(text_or_empty(line), r"[\w.+-]+@[\w.-]+", " "), AFFILIATION, " ")
+    part = lambda x: F.regexp_replace(clean_text(F.regexp_replace(x, r"[*†‡§¶∗\d]", "")), r"^[ .;,]+|[ .;,]+$", "")
+    names = F.transform(F.split(bare, r",|;|\band\b|&"), part)
+    return F.slice(F.array_distinct(F.filter(names, lambda n: F.length(n).between(3, 60) & n.rlike("[A-Za-z一-鿿]{2,}"))), 1, 25)
+
+
+def authors_of_blocks(blocks: Column, title: Column) -> Column:
+    """Authors from the first of the four blocks after the title's that reads like names, before any abstract."""
+    plain = lambda c: F.lower(strip_latex(c))
+    key = F.substring(plain(title), 1, 25)
+    at = F.array_position(F.transform(blocks, lambda b: (key != "") & (F.instr(plain(b), key) > 0)), True)
+    after = F.slice(blocks, (at + 1).cast("int"), 4)
+    stop = F.array_position(F.transform(after, lambda b: b.rlike(r"^\s*(?:abstract|ABSTRACT|摘要)")), True)
+    ahead = F.when(stop > 0, F.slice(after, F.lit(1), (stop - 1).cast("int"))).otherwise(after)
+    named = F.transform(F.filter(ahead, lambda b: ~is_noise_line(b) & ~b.rlike(FRONT) & (author_score(b) >= 0.60)), author_names)
+    return F.coalesce(F.get(F.filter(named, lambda n: F.size(n) > 0), 0), F.array().cast("array<string>"))
 
 
 def publication_of(head: Column) -> Column:
-    """A journal reference in a page's head."""
-    return F.regexp_extract(text_or_empty(head), r"((?:Phys(?:ical)?\.?\s*Rev(?:iew)?\.?(?:\s*(?:Lett(?:ers)?\.?|[A-EX]))?|Nature(?:\s+(?:Physics|Materials|Communications))?|Science|J\.\s*[A-Z][\w.]*(?:\s+[A-Z][\w.]*)*)\s+\d+[^\n]{0,40}\(\d{4}\))", 1)
+    """A journal reference in a page's head, at most 120 characters."""
+    return F.substring(clean_text(F.regexp_extract(text_or_empty(head), PUBLICATION, 0)), 1, 120)
+
+
+def extracted(df: DataFrame, as_of_year: int, excerpt_chars: int = 3000) -> DataFrame:
+    """What is told of each paper, from what a reader took from its file.
+
+    ``df`` has ``path``, ``pages`` (texts), ``blocks`` (the first page's, in reading order),
+    ``spans`` and ``page_height`` (see ``title_by_size``), ``meta_title``, ``meta_author``,
+    ``created`` and ``depth``. Added are ``status`` (ok or notext), ``title``, ``authors``,
+    ``arxiv_id``, ``doi``, ``year``, ``abstract``, ``publication``, ``intro``,
+    ``conclusion``, ``excerpt`` (by depth) and ``kind``.
+    """
+    deep = F.coalesce(F.nullif(F.col("depth"), F.lit("")), F.lit("sections"))
+    whole, head = F.array_join("pages", "\n"), F.array_join(F.slice("pages", 1, 2), "\n")
+    read = clean_text(whole) != ""
+    guess = F.when(read, title_by_size(F.col("spans"), F.col("page_height"))).otherwise("")
+    df = df.withColumns({"status": F.when(read, "ok").otherwise("notext"), "_guess": F.coalesce(guess, F.lit(""))})
+    df = df.withColumn("_alike", titles_alike(clean_text(F.col("meta_title")), F.col("_guess")))
+    bare = F.when(looks_like_title(F.col("meta_title")), clean_text(F.col("meta_title"))).otherwise(title_from_filename(F.col("path")))
+    df = df.withColumn("title", F.when(F.col("status") == "ok", chosen_title(F.col("meta_title"), F.col("_guess"), F.col("_alike"), F.col("path"))).otherwise(bare))
+    given = F.when(F.length(clean_text(F.col("meta_author"))) < 300, F.slice(F.filter(F.transform(F.split(clean_text(F.col("meta_author")), r";|,|\band\b"), lambda a: F.trim(a)), lambda a: a != ""), 1, 25))
+    seen = authors_of_blocks(F.col("blocks"), F.col("title"))
+    stamp, doi = head_ids(head)
+    df = df.withColumns({
+        "authors": F.when(F.size(seen) > 0, seen).otherwise(F.coalesce(given, F.array().cast("array<string>"))),
+        "arxiv_id": stamp, "doi": F.lower(doi), "abstract": abstract_of(F.col("pages"), F.col("blocks")), "publication": publication_of(head),
+        "intro": F.when(deep != "metadata", introduction(whole)).otherwise(""), "conclusion": F.when(deep != "metadata", conclusion_of_pages(F.col("pages"))).otherwise(""),
+        "excerpt": F.when(deep == "fulltext", excerpt(whole, excerpt_chars)).otherwise(""),
+    })
+    df = df.withColumn("year", paper_year(F.col("arxiv_id"), F.col("created"), head, F.col("path"), as_of_year))
+    unknown = (F.col("title") == "") | ~looks_like_title(F.col("title"))
+    kind = F.when(classify_title(F.col("title")) != "paper", "junk").when(unknown, F.when((F.col("abstract") == "") & (F.col("arxiv_id") == "") & (F.col("doi") == ""), "supplement").otherwise("unknown")).otherwise("paper")
+    return df.withColumn("kind", kind).drop("_guess", "_alike")

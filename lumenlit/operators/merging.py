@@ -52,18 +52,19 @@ def is_preprint_source(name: Column) -> Column:
     return out
 
 
-def enrich(candidates: DataFrame, works: DataFrame, least: float = 0.3, most: int = 6) -> DataFrame:
+def enrich(candidates: DataFrame, works: DataFrame, least: float = 0.3, most: int = 6, where: Column | None = None) -> DataFrame:
     """Citations, concepts and journal from ``works`` (``doi``, ``cited_by``, ``source``, ``concepts``) by DOI.
 
     A candidate's own DOI comes first, else the one its identifier implies. Concepts are
     those of ``least`` score among the first ``most``; a journal is taken only where it is
     blank and the source isn't a preprint server. Of several works with one DOI the most
-    cited counts, then the first by source.
+    cited counts, then the first by source. Rows for which ``where`` doesn't hold aren't looked up.
     """
+    wanted = F.lit(True) if where is None else where
     key = F.when(F.col("doi") != "", F.lower("doi")).when(F.col("arxiv_id") != "", F.concat(F.lit("10.48550/arxiv."), F.lower("arxiv_id")))
     found = works.select(F.lower("doi").alias("_doi"), F.col("cited_by").alias("_cited"), F.col("source").alias("_source"), F.col("concepts").alias("_concepts"), (-F.coalesce("cited_by", F.lit(-1))).alias("_less"))
     found = first_rows(found, "_doi", ["_less", "_source"]).drop("_less")
-    joined = candidates.join(found, key == F.col("_doi"), "left")
+    joined = candidates.join(found, wanted & (key == F.col("_doi")), "left")
     concepts = F.transform(F.filter(F.slice("_concepts", 1, most), lambda c: c["score"] >= least), lambda c: c["display_name"])
     journal = F.when((F.col("journal_ref") == "") & ~is_preprint_source(F.coalesce("_source", F.lit("arxiv"))), F.col("_source")).otherwise(F.col("journal_ref"))
     return joined.withColumns({"citations": F.col("_cited").cast("int"), "concepts": F.coalesce(concepts, F.array().cast("array<string>")), "journal_ref": journal, "enriched": F.col("_doi").isNotNull()}).drop("_doi", "_cited", "_source", "_concepts")

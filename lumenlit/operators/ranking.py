@@ -35,12 +35,31 @@ def per_group_limit(df: DataFrame, group: str, order: list, n: int) -> DataFrame
 
 
 def prefix_within(df: DataFrame, group: str | None, order: list, size: Column, limit: int) -> DataFrame:
-    """Rows from the start of each group while sizes plus one for each parting fit; one row at least."""
+    """Rows from the start of each group while sizes plus one for each parting fit; one row at least.
+
+    Every row takes one at least, so no more than ``limit`` + 1 rows of a group can be
+    looked at; each task brings its own first ones, and only those meet for the sums.
+    """
     keys = [group] if group else [F.lit(1)]
+    if group:
+        few = per_group_limit(df, group, order, limit + 1)
+    else:
+        few = df.orderBy(*order).limit(limit + 1)
     before = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     start = F.coalesce(F.sum(size + 1).over(before), F.lit(0))
     # Sums only grow, so the first row that overflows is followed by none that fits.
-    return df.withColumn("_start", start).where((F.col("_start") == 0) | (F.col("_start") + size <= limit)).drop("_start")
+    return few.withColumn("_start", start).where((F.col("_start") == 0) | (F.col("_start") + size <= limit)).drop("_start")
+
+
+def most_relevant(df: DataFrame, n: int, by: str = "relevance", position: str = "id") -> DataFrame:
+    """The ``n`` rows that are worth a dear step (a judge, a look-up), best first; all of them if there are no more."""
+    return df.orderBy(F.desc(by), position).limit(n)
+
+
+def removed_list(removed: DataFrame, order: str, n: int = 60) -> DataFrame:
+    """The first ``n`` removed rows with ``more``: how many others there are."""
+    total = removed.agg(F.count(F.lit(1)).alias("_all"))
+    return removed.orderBy(order).limit(n).crossJoin(F.broadcast(total)).withColumn("more", F.greatest(F.col("_all") - n, F.lit(0))).drop("_all")
 
 
 def transcript(turns: DataFrame, conversation: str, order: str, text: str, last: int = 12, limit: int = 9000) -> DataFrame:

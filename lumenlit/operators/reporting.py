@@ -2,33 +2,148 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import json
+from collections.abc import Mapping, Sequence
+from typing import Any
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenlit.functions import scoring
-from lumenlit.functions.text import markdown_cell, plain_title
+from lumenlit.functions.text import markdown_cell, plain_title, truncate
+from lumenlit.operators import ranking
 
 # Headings and marks of the report format.
-HEADER = "| # | 论文 | 日期 | 相关 | 时效 | 重要 | 总分 | 引用 | 标记 |"
-RULE = "|---|---|---|---|---|---|---|---|---|"
+HEADER = "| # | 论文 | 提交日期 | 相关性 | 时效性 | 重要性 | 总分 | 引用 | 标记 |"
+RULE = "| ---: | --- | --- | ---: | ---: | ---: | ---: | ---: | --- |"
+TITLE, STAMPED = "# arXiv 相关文献推荐报告", "> 由你的本地文献库自动分析生成 · 生成时间 %s"
+SECTIONS = ("## 一、本次运行概览", "## 二、识别出的研究画像", "## 三、推荐总览", "## 四、逐篇详解", "## 附录")
+WEIGHING = "评分 = 相关性 ×%.2f + 时效性 ×%.2f + 重要程度 ×%.2f"
+STATS = (
+    ("library_total", "文献库总量", "%d 篇"), ("with_text", "其中有摘要 / 全文", "%s 篇"), ("queries_used", "使用的检索式", "%d 条"), ("candidates_raw", "抓取候选论文", "%d 篇"), ("candidates_after_dedup", "排除库中已有后", "%d 篇"),
+    ("candidates_enriched", "获得引用数据", "%d 篇"), ("candidates_analyzed", "完成 AI 解读", "%d 篇"), ("elapsed_sec", "耗时", "%.1f 秒"),
+)
 STAMP = r"生成时间\s*(\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2})"
 FLAG_WORDS = {"🆕新": "新", "⭐经典": "经典", "📖已发表": "已发表"}
 FILE_NAME = r"recommend_(\d{8})_(\d{6})(?:_(.*))?\.md$"
+#: Removed papers and other candidates that the appendix lists.
+REMOVED, OTHERS = 60, 15
 
 
 def table_rows(ranked: DataFrame, as_of: Column) -> DataFrame:
     """``rank`` and ``line``: the table of a report; absent citations show as a dash."""
     number = lambda c, f: F.format_string(f, F.col(c))
-    title = F.concat(F.lit("["), markdown_cell(plain_title(F.col("title"))), F.lit("]("), F.col("url"), F.lit(")"))
+    title = F.concat(F.lit("["), truncate(markdown_cell(plain_title(F.col("title"))), 78), F.lit("]("), F.col("url"), F.lit(")"))
     cells = [F.col("rank").cast("string"), title, F.coalesce(F.date_format("published", "yyyy-MM-dd"), F.lit("—")), number("relevance", "%.2f"), number("recency", "%.2f"), number("importance", "%.2f"), F.concat(F.lit("**"), number("score", "%.3f"), F.lit("**")), F.coalesce(F.col("citations").cast("string"), F.lit("—")), scoring.flags(F.col("published"), F.col("citations"), F.col("journal_ref"), as_of)]
     return ranked.select("rank", F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("line"))
 
 
-def write_markdown(ranked: DataFrame, as_of: Column, stamp: str, path: str) -> None:
-    """A whole report as one text file; ``ranked`` is a top-N of tens of rows."""
-    lines = [f"生成时间 {stamp}", "", HEADER, RULE] + [r["line"] for r in table_rows(ranked, as_of).orderBy("rank").limit(1000).collect()]
+def _given(df: DataFrame, name: str, kind: str) -> Column:
+    return F.col(name) if name in df.columns else F.lit(None).cast(kind)
+
+
+def detail_rows(ranked: DataFrame) -> DataFrame:
+    """``rank``, ``n``, ``line``: the details of each paper; what it lacks leaves no line."""
+    text = lambda c: F.coalesce(_given(ranked, c, "string"), F.lit(""))
+    named = lambda head, value: F.when(value != "", F.concat(F.lit(f"**{head}**: "), value))
+    updated = F.date_format(_given(ranked, "updated", "timestamp_ntz"), "yyyy-MM-dd")
+    published = F.date_format("published", "yyyy-MM-dd")
+    categories = F.array_join(F.slice(_given(ranked, "categories", "array<string>"), 1, 5), ", ")
+    authors = truncate(F.coalesce(F.array_join(_given(ranked, "authors", "array<string>"), ", "), F.lit("")), 200, " 等")
+    meta = F.filter(
+        F.array(
+            named("作者", authors), F.concat(F.lit("**提交**: "), F.coalesce(published, F.lit("—"))), F.when(updated != published, F.concat(F.lit("**最近更新**: "), updated)), named("分类", F.coalesce(categories, F.lit(""))),
+            named("期刊", truncate(plain_title(text("journal_ref")), 120, "")), named("备注", truncate(plain_title(text("comments")), 160, "")), F.concat(F.lit("**引用数**: "), F.col("citations").cast("string")),
+        ),
+        lambda x: x.isNotNull(),
+    )
+    score = lambda head, c: F.concat(F.lit(head), F.format_string("%.2f  ", F.col(c)), scoring.bar(F.col(c)))
+    explained = text("summary") != ""
+    original = F.concat(F.lit("> "), F.replace(truncate(F.coalesce(F.nullif(text("abstract"), F.lit("")), F.lit("（无摘要）")), 900, ""), F.lit("\n"), F.lit(" ")))
+    lines = F.flatten(
+        F.array(
+            F.array(F.lit("---"), F.lit(""), F.concat(F.lit("### "), F.col("rank").cast("string"), F.lit(". "), plain_title(F.col("title"))), F.lit("")),
+            F.array(F.concat(F.lit("**arXiv**: ["), F.col("arxiv_id"), F.lit("]("), F.col("url"), F.lit(") · **PDF**: [下载]("), F.replace(F.col("url"), F.lit("/abs/"), F.lit("/pdf/")), F.lit(")")), F.lit("")),
+            F.array(F.array_join(F.slice(meta, 1, 3), " · "), F.lit("")),
+            F.flatten(F.transform(F.slice(meta, F.lit(4), F.greatest(F.size(meta) - 3, F.lit(0))), lambda m: F.array(m, F.lit("")))),
+            F.array(F.lit("**评分**"), F.lit(""), F.lit("```"), score("相关性   ", "relevance"), score("时效性   ", "recency"), score("重要程度 ", "importance"), F.concat(F.lit("综合得分 "), F.format_string("%.3f", "score")), F.lit("```"), F.lit("")),
+            F.when(text("relevance_reason") != "", F.array(F.concat(F.lit("*相关性判断依据: "), text("relevance_reason"), F.lit("*")), F.lit(""))).otherwise(F.array().cast("array<string>")),
+            F.array(F.lit("#### 📄 内容讲解"), F.lit("")),
+            F.when(explained, F.array(text("summary"), F.lit(""))).otherwise(F.array(F.lit("> 未生成 (未配置 AI, 或该篇解读失败)。以下是原始摘要:"), F.lit(""), original, F.lit(""))),
+            F.when(text("ideas") != "", F.array(F.lit("#### 💡 可以结合的研究方向"), F.lit(""), text("ideas"), F.lit(""))).otherwise(F.array().cast("array<string>")),
+            F.when(explained & (text("abstract") != ""), F.array(F.lit("<details><summary>展开原始摘要</summary>"), F.lit(""), plain_title(text("abstract")), F.lit(""), F.lit("</details>"), F.lit(""))).otherwise(F.array().cast("array<string>")),
+        )
+    )
+    return ranked.select("rank", F.posexplode(lines).alias("n", "line"))
+
+
+def run_stats(candidates: DataFrame, floor: float, as_of: Column) -> DataFrame:
+    """One row: candidates, those above the floor of relevance, famous ones, fresh ones and the best score."""
+    return candidates.agg(F.count(F.lit(1)).alias("candidates"), F.count_if(F.col("relevance") >= floor).alias("above_floor"), F.count_if(scoring.is_famous(F.col("citations"))).alias("famous"), F.count_if(scoring.is_new(F.col("published"), as_of)).alias("fresh"), F.max("score").alias("best"))
+
+
+def report_lines(ranked: DataFrame, as_of: Column, stamp: str, stats: Mapping[str, Any], profile: Mapping[str, Any], candidates: DataFrame, removed: DataFrame | None = None, weights: tuple[float, float, float] = scoring.WEIGHTS) -> DataFrame:
+    """A whole report as ``part``, ``rank``, ``n``, ``line``, to be read in that order.
+
+    ``ranked`` is the top-N with ``rank`` and ``url``; ``candidates`` all that were scored;
+    ``removed`` has ``title`` and ``reason``. Only the appendix is cut, to its fixed lengths.
+    """
     spark = ranked.sparkSession
-    spark.createDataFrame([(i, t) for i, t in enumerate(lines)], "i int, value string").coalesce(1).sortWithinPartitions("i").select("value").write.mode("overwrite").text(path)
+    head = [TITLE, "", STAMPED % stamp, "", SECTIONS[0], "", "| 项目 | 数值 |", "| --- | --- |", *(f"| {name} | {form % stats[key]} |" for key, name, form in STATS if key in stats), ""]
+    if stats.get("ai_calls"):
+        head += ["| AI 调用 / tokens | %d 次 / %d |" % (stats["ai_calls"], stats.get("ai_tokens", 0)), ""]
+    head += [SECTIONS[1], ""]
+    if profile.get("summary"):
+        head += [profile["summary"], ""]
+    for key, name, mark, most in (("topics", "主要研究主题", "、", 15), ("methods", "常用方法", "、", 12), ("keywords", "关键词", ", ", 35)):
+        if profile.get(key):
+            head += [f"**{name}**: " + mark.join(profile[key][:most]), ""]
+    head += ["<sub>画像来源: %s</sub>" % profile.get("generated_by", ""), "", SECTIONS[2], "", WEIGHING % weights, "", HEADER, RULE]
+    fixed = [(0, 0, i, t) for i, t in enumerate(head)] + [(2, 0, i, t) for i, t in enumerate(["", SECTIONS[3], ""])]
+    fixed += [(4, 0, i, t) for i, t in enumerate(["---", "", SECTIONS[4], "", "### 使用的检索式", "", *(f"- `{q}`" for q in profile.get("queries", [])), ""])]
+    part = lambda df, k: df.select(F.lit(k).alias("part"), F.col("rank").cast("int"), F.col("n").cast("int"), "line")
+    out = part(table_rows(ranked, as_of).withColumn("n", F.lit(0)), 1).unionByName(part(detail_rows(ranked), 3))
+    if removed is not None:
+        shown = ranking.removed_list(removed, "title", REMOVED).withColumn("n", F.row_number().over(Window.orderBy("title")))
+        title = truncate(plain_title(F.col("title")), 90)
+        lines = shown.select(F.col("n").alias("rank"), F.lit(0).alias("n"), F.concat(F.lit("- "), title, F.lit(" — *"), "reason", F.lit("*")).alias("line"))
+        count = removed.agg(F.count(F.lit(1)).alias("all")).where("all > 0")
+        told = count.select(F.lit(0).alias("rank"), F.posexplode(F.array(F.concat(F.lit("### 已排除的库内文献 ("), F.col("all").cast("string"), F.lit(" 篇)")), F.lit(""), F.lit("这些论文已经在你的文献库里, 因此不再推荐:"), F.lit(""))).alias("n", "line"))
+        more = count.where(F.col("all") > REMOVED).select(F.lit(REMOVED + 1).alias("rank"), F.lit(0).alias("n"), F.concat(F.lit("- … 另有 "), (F.col("all") - REMOVED).cast("string"), F.lit(" 篇")).alias("line"))
+        for df in (told, lines, more):
+            out = out.unionByName(part(df, 5))
+    rest = ranking.rest_of(candidates, ranked, n=OTHERS).withColumn("rank", F.row_number().over(Window.orderBy(F.desc("relevance"), "id")))
+    link = F.concat(F.lit("- ["), truncate(plain_title(F.col("title")), 80), F.lit("]("), "url", F.lit(") — 相关性 "), F.format_string("%.2f", "relevance"), F.lit(" · "), F.coalesce(F.date_format("published", "yyyy-MM-dd"), F.lit("—")), F.lit(" · "), scoring.flags(F.col("published"), F.col("citations"), F.col("journal_ref"), as_of))
+    out = out.unionByName(part(rest.select("rank", F.lit(0).alias("n"), link.alias("line")), 7))
+    fixed += [(6, 0, i, t) for i, t in enumerate(["", "### 其他值得一看的候选 (按相关性)", ""])]
+    return out.unionByName(spark.createDataFrame(fixed, "part int, rank int, n int, line string"))
+
+
+def write_markdown(lines: DataFrame, path: str) -> None:
+    """A report's lines as one text file, in order; a report is as long as its top-N."""
+    ordered = lines.repartition(1).sortWithinPartitions("part", "rank", "n")
+    ordered.select(F.col("line").alias("value")).write.mode("overwrite").text(path)
+
+
+def write_json(ranked: DataFrame, stamp: str, stats: Mapping[str, Any], profile: Mapping[str, Any], path: str) -> None:
+    """The same as one JSON document: time, counters, profile and the recommendations in order."""
+    fields = F.struct("rank", *(c for c in ranked.columns if c != "rank"))
+    told = ranked.agg(F.to_json(F.array_sort(F.collect_list(fields))).alias("r"))  # the top-N
+    head = json.dumps({"generated_at": stamp, "stats": dict(stats), "profile": dict(profile)}, ensure_ascii=False, default=str)
+    told.select(F.concat(F.lit(head[:-1] + ', "recommendations": '), "r", F.lit("}")).alias("value")).write.mode("overwrite").text(path)
+
+
+def write_report(formats: Sequence[str], folder: str, stamp: str, tag: str, lines: DataFrame, ranked: DataFrame, stats: Mapping[str, Any], profile: Mapping[str, Any]) -> list[str]:
+    """The wanted forms of a report (markdown, json) under names with its time and tag; what was written."""
+    name = f"{folder}/arxiv_recommend_{stamp[:10].replace('-', '')}_{stamp[11:19].replace(':', '')}" + (f"_{tag}" if tag else "")
+    written, wanted = [], {f.lower() for f in formats or ["markdown"]}
+    if wanted & {"markdown", "md"}:
+        write_markdown(lines, f"{name}.md")
+        written.append(f"{name}.md")
+    if "json" in wanted:
+        write_json(ranked, stamp, stats, profile, f"{name}.json")
+        written.append(f"{name}.json")
+    return written
 
 
 def parse_reports(reports: DataFrame, text: str = "text", key: str = "report") -> DataFrame:
@@ -73,17 +188,27 @@ def library_summary(library: DataFrame) -> DataFrame:
 
 def ordinals(df: DataFrame, label: str, order: str) -> DataFrame:
     """Labels made unique: the second of a kind gets ``#2``, the third ``#3``."""
-    from pyspark.sql import Window
-
     n = F.row_number().over(Window.partitionBy(label).orderBy(order))
     return df.withColumn("unique_label", F.when(n == 1, F.col(label)).otherwise(F.concat(F.col(label), F.lit(" #"), n.cast("string"))))
 
 
+#: Known labels that are sent to the tasks at once.
+LABELS = 10_000
+
+
 def repaired_labels(relations: DataFrame, labels: DataFrame) -> DataFrame:
-    """Relations whose label is known, or contains or lies in a known one (the longest wins)."""
-    from pyspark.sql import Window
+    """Relations (``id``, ``label``) whose label is known, or contains or lies in a known one (the longest wins).
 
+    Known labels are sent in blocks of bounded size, each of which gives its best for a relation.
+    """
+    known = labels.select(F.col("label").alias("known")).where("known <> ''").distinct()
+    blocks = max(1, -(-known.count() // LABELS))
     a, b = F.col("label"), F.col("known")
-    joined = relations.join(F.broadcast(labels.select(F.col("label").alias("known"))), (a == b) | F.contains(a, b) | F.contains(b, a))
-    best = Window.partitionBy("id", "label").orderBy(F.desc(a == b), F.desc(F.length(b)), b)
-    return joined.withColumn("_n", F.row_number().over(best)).where("_n = 1").drop("_n")
+    best = F.max_by("known", F.struct((a == b).alias("same"), F.length(b).alias("n"), b.alias("k")))
+    found = None
+    for i in range(blocks):
+        own = known.where(F.pmod(F.xxhash64("known"), F.lit(blocks)) == i)
+        near = relations.where("label <> ''").select("id", "label").distinct().join(F.broadcast(own), (a == b) | F.contains(a, b) | F.contains(b, a))
+        part = near.groupBy("id", "label").agg(best.alias("known"))
+        found = part if found is None else found.unionByName(part)
+    return relations.join(found.groupBy("id", "label").agg(best.alias("known")), ["id", "label"])

@@ -7,18 +7,46 @@ and tf = 1 + ln(count). Only the term table grows with the text, and it is aggre
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import StopWordsRemover
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lumenlit.functions.text import grams, tokens
+from lumenlit.functions.text import grams, strip_latex, tokens
 from lumenlit.operators.graph import shared_folder
 
 
-def english_stop_words() -> list[str]:
-    """Spark's own English list; every operator takes another list as a parameter."""
+# Words that never become keywords of a profile.
+PROFILE_STOPS = (
+    "a an the of and or for in on to with by from at as is are was were be been being this that these those it its we our us they their them he she his her not no nor"
+    " but if then than so such can could may might will would shall should do does did have has had having using used use new novel two three one via under over between within"
+    " results result show shows shown study studies paper present presents presented however thus therefore also more most less least very much many few all any both"
+    " each other others into out up down about which who whom whose what when where why"
+).split()
+
+
+@dataclass(frozen=True)
+class Config:
+    """A named way to fit: how much of the vocabulary stays."""
+
+    min_df: int | float = 1
+    max_df: int | float = 1.0
+    max_features: int | None = None
+
+
+# The three fits.
+RELEVANCE, KEYWORDS, RELATED = Config(), Config(min_df=2, max_features=400), Config(max_features=60_000)
+
+
+def english_stop_words(path: str | None = None) -> list[str]:
+    """Spark's own English list, or the words of a text file (one or more a line) where a longer list is wanted."""
+    if path is not None:
+        spark = SparkSession.active()
+        return sorted({w for r in spark.read.text(path).collect() for w in r["value"].split()})
     return [w for w in StopWordsRemover.loadDefaultStopWords("english") if "'" not in w]
 
 
@@ -53,6 +81,16 @@ def fit(counts: DataFrame, n_docs: int, min_df: int | float = 1, max_df: int | f
     return Fitted(terms.withColumn("idf", F.log((F.lit(n_docs) + 1) / (F.col("df") + 1)) + 1), n_docs)
 
 
+def fitted(counts: DataFrame, n_docs: int, config: Config) -> Fitted:
+    return fit(counts, n_docs, config.min_df, config.max_df, config.max_features)
+
+
+def library_text(title: Column, abstract: Column, context: Column, tags: Column) -> Column:
+    """A library paper's words for retrieval: all it has, tags included, lower-cased without LaTeX."""
+    parts = [F.nullif(c, F.lit("")) for c in (title, abstract, context)] + [F.nullif(F.array_join(tags, " "), F.lit(""))]
+    return F.lower(strip_latex(F.concat_ws(" ", *parts)))
+
+
 def relevance(profile: str, docs: DataFrame, doc_id: str, text: Column, stop: list[str] | None = None, pairs: bool = True) -> DataFrame:
     """``doc``, ``relevance``: cosine with the profile, over the largest, to the power 0.7.
 
@@ -91,36 +129,78 @@ def top_terms(weights: DataFrame, n_pairs: int, n_words: int) -> DataFrame:
     return sums.withColumn("rank", rank).where(F.when(F.col("is_pair"), F.col("rank") <= n_pairs).otherwise(F.col("rank") <= n_words))
 
 
-def related(candidates: DataFrame, library: DataFrame, k: int = 8) -> DataFrame:
+def related(queries: DataFrame, library: DataFrame, k: int = 8) -> DataFrame:
     """``doc``, ``neighbor``, ``rank``, ``similarity``: nearest library rows by cosine above 0, ties by smaller id.
 
-    Both sides are weights of one fit; the join is on terms, so its size is what the
-    vocabulary's pruning (``max_df``, ``max_features``) leaves.
+    Both sides are weights of one fit; a row isn't its own neighbour. ``queries`` is a
+    stated part of the rows, so a term's postings meet its few queries and no more.
     """
     other = library.select(F.col("doc").alias("neighbor"), "term", F.col("w").alias("lw"))
-    pairs = candidates.join(other, "term").groupBy("doc", "neighbor").agg(F.round(F.sum(F.col("w") * F.col("lw")), 6).alias("similarity"))
-    rank = F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("similarity"), "neighbor"))
-    return pairs.where("similarity > 0").withColumn("rank", rank).where(F.col("rank") <= k)
+    pairs = queries.join(other, "term").where("doc <> neighbor").groupBy("doc", "neighbor").agg(F.round(F.sum(F.col("w") * F.col("lw")), 6).alias("similarity"))
+    return _nearest(pairs.where("similarity > 0"), "doc", "similarity", k)
 
 
-def overlap_related(candidates: DataFrame, library: DataFrame, k: int = 8) -> DataFrame:
+def overlap_related(queries: DataFrame, library: DataFrame, k: int = 8) -> DataFrame:
     """The same by the number of shared words of four letters or more; both sides have ``doc`` and ``words`` (distinct)."""
-    left = candidates.select("doc", F.explode("words").alias("word"))
+    left = queries.select("doc", F.explode("words").alias("word"))
     right = library.select(F.col("doc").alias("neighbor"), F.explode("words").alias("word"))
-    pairs = left.join(right, "word").groupBy("doc", "neighbor").agg(F.count(F.lit(1)).alias("shared"))
-    rank = F.row_number().over(Window.partitionBy("doc").orderBy(F.desc("shared"), "neighbor"))
+    return _nearest(left.join(right, "word").where("doc <> neighbor").groupBy("doc", "neighbor").agg(F.count(F.lit(1)).alias("shared")), "doc", "shared", k)
+
+
+def _nearest(pairs: DataFrame, query: str, by: str, k: int) -> DataFrame:
+    """The first ``k`` of each query; Spark keeps as many of each task's before the shuffle."""
+    rank = F.row_number().over(Window.partitionBy(query).orderBy(F.desc(by), "neighbor"))
     return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def vector_related(queries: DataFrame, vectors: DataFrame, k: int = 8) -> DataFrame:
-    """Nearest vectors by cosine for a small stated set of queries, which is broadcast row by row.
+#: Queries that are compared with a block of vectors at once, and vectors in a block.
+QUERIES, BLOCK = 2_000, 100_000
+
 
-    Both have ``id`` and ``v``; a vector isn't its own neighbour.
+def vector_related(queries: DataFrame, vectors: DataFrame, k: int = 8, block: int = BLOCK) -> DataFrame:
+    """Nearest vectors by cosine for a stated set of queries, which may grow with the table.
+
+    Both have ``id`` and ``v``; a vector isn't its own neighbour. Vectors are cut into
+    blocks, each sent once; queries are sent to every block and streamed past it in
+    matrices of bounded size, and a block gives its ``k`` best of each query (rounded to
+    six places, ties by smaller id), so the best of all blocks are exact.
     """
-    norm = lambda v: F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    unit = lambda df: df.select("id", F.transform("v", lambda x: x.cast("double") / norm(F.col("v"))).alias("u"))
-    asked = unit(queries).select(F.col("id").alias("query_id"), F.col("u").alias("q"))
-    dot = F.aggregate(F.zip_with("q", "u", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    pairs = unit(vectors).join(F.broadcast(asked), F.col("id") != F.col("query_id")).select("query_id", F.col("id").alias("neighbor"), F.round(dot, 6).alias("similarity"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("similarity"), "neighbor"))
-    return pairs.withColumn("rank", rank).where(F.col("rank") <= k)
+    blocks = max(1, -(-vectors.count() // block))
+    usable = lambda df: df.where("id is not null and v is not null").select("id", F.col("v").cast("array<double>").alias("v"))
+    held = usable(vectors).select(F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block"), F.lit(0).alias("asked"), "id", "v")
+    asked = usable(queries).select(F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), F.lit(1).alias("asked"), "id", "v")
+    met = held.unionByName(asked).repartition("block").sortWithinPartitions("block", "asked")
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held, matrix = None, [], None
+        unit = lambda m: m / np.maximum(np.sqrt((m * m).sum(axis=1, keepdims=True)), 1e-300)
+        for batch in batches:
+            block, asked, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("block", "asked", "id"))
+            cut = np.append(np.flatnonzero(np.diff(block * 2 + asked, prepend=-1)), len(block))
+            for i, j in ((a, min(a + QUERIES, j)) for i, j in zip(cut[:-1], cut[1:], strict=True) for a in range(i, j, QUERIES)):
+                rows = unit(np.stack(batch.column("v").slice(i, j - i).to_numpy(zero_copy_only=False)))
+                if block[i] != now:
+                    now, held, matrix = block[i], [], None
+                if not asked[i]:
+                    held.append((ids[i:j], rows))
+                    continue
+                if not held:
+                    continue
+                if matrix is None:
+                    own, matrix = (np.concatenate(x) for x in zip(*held, strict=True))
+                    order = np.argsort(own)
+                    own, matrix = own[order], matrix[order]
+                out: list[tuple[int, int, float]] = []
+                step = max(1, 8_000_000 // len(own))
+                for a in range(0, j - i, step):
+                    near = np.round(rows[a : a + step] @ matrix.T, 6) + 0.0
+                    near[own[None, :] == ids[i + a : i + a + step, None]] = -np.inf
+                    for q, line in zip(ids[i + a : i + a + step].tolist(), near, strict=True):
+                        least = np.partition(line, -k)[-k] if len(line) > k else -np.inf
+                        some = np.flatnonzero((line >= least) & (line > -np.inf))
+                        some = some[np.argsort(-line[some], kind="stable")][:k]
+                        out += [(q, int(own[x]), float(line[x])) for x in some]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.float64()), strict=True)], ["query_id", "neighbor", "similarity"])
+
+    return _nearest(met.mapInArrow(search, "query_id long, neighbor long, similarity double"), "query_id", "similarity", k)

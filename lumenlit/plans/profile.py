@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping, Sequence
+from typing import Any
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lumenlit.functions.text import truncate
+from lumenlit.functions.text import distinct_ignoring_case, truncate
 from lumenlit.operators import ranking, tfidf
 
 
@@ -42,3 +45,48 @@ def chosen_queries(manual: list[str], from_model: list[str], from_terms: list[st
         if found:
             return found[: max(limit, len(manual))], source
     return [], "none"
+
+
+#: What a profile is made of, list by list.
+PARTS = ("topics", "methods", "keywords", "subfields")
+# Heads of the digest and how many of each list it shows.
+DIGEST = (("topics", "主要主题: ", "、", 15), ("methods", "常用方法: ", "、", 12), ("keywords", "关键词: ", ", ", 40))
+SUMMARY_HEAD = "研究方向概述: "
+
+
+def merged_groups(results: DataFrame, order: str = "n") -> DataFrame:
+    """Answers about groups of papers as one row: each list of ``PARTS`` in the groups' order, each value once.
+
+    Values are told apart group by group before they are gathered, so a value that many
+    groups name is gathered once.
+    """
+    out = None
+    for part in PARTS:
+        each = results.select(F.col(order).alias("_n"), F.posexplode(part).alias("_i", "_v")).where(F.trim(F.coalesce("_v", F.lit(""))) != "")
+        first = each.groupBy(F.lower(F.trim("_v")).alias("_k")).agg(F.min(F.struct("_n", "_i", F.trim("_v").alias("v"))).alias("_at"))
+        row = first.agg(F.transform(F.array_sort(F.collect_list("_at")), lambda x: x["v"]).alias(part))
+        out = row if out is None else out.crossJoin(row)
+    return out.select(*(distinct_ignoring_case(F.col(p)).alias(p) for p in PARTS))
+
+
+def scoring_digest(profile: DataFrame) -> DataFrame:
+    """``digest`` of each profile (``summary`` and lists) as lines of text; blank parts are left out."""
+    lines = [F.when(F.coalesce("summary", F.lit("")) != "", F.concat(F.lit(SUMMARY_HEAD), "summary"))]
+    lines += [F.when(F.size(c) > 0, F.concat(F.lit(head), F.array_join(F.slice(c, 1, n), mark))) for c, head, mark, n in DIGEST]
+    return profile.withColumn("digest", F.concat_ws("\n", *lines))
+
+
+def decided(model: Mapping[str, Any] | None, heuristic: Mapping[str, Any], manual: Sequence[str], limit: int) -> dict[str, Any]:
+    """A profile from a model's answer, its terms or the heuristic, with the queries to use and where they come from."""
+    data, source = dict(model or {}), "ai"
+    if not data.get("queries") and not data.get("keywords"):
+        data, source = dict(heuristic), "heuristic"
+    elif not data.get("queries"):
+        data["queries"] = queries_from_terms([list(data.get(k) or []) for k in ("keywords", "topics", "methods")], limit)
+        source = "ai+terms"
+        if not data["queries"]:
+            data, source = dict(heuristic), "heuristic"
+    given = [q for q in manual if q and q.strip()]
+    queries = given or [str(q) for q in data.get("queries") or [] if q]
+    once = list({q.strip().lower(): q.strip() for q in reversed(queries) if q.strip()}.values())[::-1]
+    return data | {"queries": once[: max(limit, len(given))], "generated_by": source + ("+manual" if given else "")}

@@ -1,7 +1,8 @@
 """The recommendation pipeline as one lazy DataFrame for each stage.
 
 Stages: library, merged candidates, anti-join with the library, history, enrichment,
-ranking with a relevance floor, top-N. ``Recommendation.plan`` returns the DataFrame of a
+relevance by a judge where one has scored, ranking with a relevance floor, top-N.
+``Recommendation.plan`` returns the DataFrame of a
 stage; all of it is lazy, but for the ids that linkage leaves and the cosines,
 which are checkpointed.
 """
@@ -29,6 +30,8 @@ class Options:
     as_of: str
     top_n: int = 20
     candidate_cap: int = 800
+    judged_cap: int = 300
+    enriched_cap: int = 400
     min_relevance: float = 0.30
     weights: tuple[float, float, float] = scoring.WEIGHTS
     tau_days: float = scoring.TAU_DAYS
@@ -50,7 +53,10 @@ class Options:
 
 @dataclass(frozen=True)
 class Recommendation:
-    """Tables: ``pools`` (arriving candidates), ``library``, and optionally ``history`` and ``works``."""
+    """Tables: ``pools`` (arriving candidates), ``library``, and optionally ``history``, ``works`` and ``judged``.
+
+    ``judged`` has ``id``, ``score`` (0..1) and ``reason``; see ``for_judge`` for whom to ask about.
+    """
 
     pools: DataFrame
     library: DataFrame
@@ -58,6 +64,18 @@ class Recommendation:
     options: Options
     history: DataFrame | None = None
     works: DataFrame | None = None
+    judged: DataFrame | None = None
+
+    def heuristic(self, df: DataFrame) -> DataFrame:
+        """The candidates with ``heuristic``, their similarity to the profile."""
+        o = self.options
+        text = F.concat_ws(" ", strip_latex(F.col("title")), strip_latex(F.col("abstract")))
+        fit = tfidf.relevance(self.profile, df, "id", text, list(o.stop_words), o.bigrams)
+        return df.join(fit.select(F.col("doc").alias("id"), F.col("relevance").alias("heuristic")), "id")
+
+    def for_judge(self) -> DataFrame:
+        """The candidates that a judge is to score: the most similar ``judged_cap``."""
+        return ranking.most_relevant(self.heuristic(self.plan("history")), self.options.judged_cap, "heuristic")
 
     def plan(self, stop_at: str = "top") -> DataFrame:
         if stop_at not in STAGES:
@@ -79,15 +97,19 @@ class Recommendation:
                 df = merging.skip_seen_guarded(df, o.top_n)
         if stop_at == "history":
             return df
+        df = self.heuristic(df)
         if self.works is not None:
-            df = merging.enrich(df, self.works)
+            # Only the most similar are looked up; the others stay as they are.
+            asked = ranking.most_relevant(df, o.enriched_cap, "heuristic").select("id", F.lit(True).alias("_asked"))
+            df = merging.enrich(df.join(asked, "id", "left"), self.works, where=F.coalesce("_asked", F.lit(False))).drop("_asked")
         if stop_at == "enriched":
             return df
-        text = F.concat_ws(" ", strip_latex(F.col("title")), strip_latex(F.col("abstract")))
-        fit = tfidf.relevance(self.profile, df, "id", text, list(o.stop_words), o.bigrams)
-        df = df.join(fit.withColumnRenamed("doc", "id"), "id")
+        judged = self.judged if self.judged is not None else df.select("id", F.lit(None).cast("double").alias("score"), F.lit("").alias("reason")).limit(0)
+        df = df.join(judged.select("id", F.col("score").alias("_judge"), F.col("reason").alias("_why")), "id", "left")
+        relevance, reason = scoring.chosen_relevance(F.col("_judge"), F.col("_why"), F.col("heuristic"))
+        df = df.withColumns({"relevance": relevance, "relevance_reason": reason}).drop("_judge", "_why", "heuristic")
         now = F.lit(o.as_of).cast("timestamp_ntz")
-        df = df.withColumn("recency", F.round(scoring.recency(F.col("published"), now, o.tau_days, o.hard_days), 6))
+        df = df.withColumn("recency", F.round(scoring.recency(F.col("published"), now, o.tau_days, o.hard_days, F.col("updated") if "updated" in df.columns else None), 6))
         df = df.withColumn("importance", F.round(scoring.importance(F.col("citations"), F.col("journal_ref"), F.col("comments"), o.citation_scale, o.venues), 6))
         df = df.withColumn("score", F.round(scoring.combined(F.col("relevance"), F.col("recency"), F.col("importance"), o.weights), 6))
         if stop_at == "scored":

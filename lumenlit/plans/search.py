@@ -77,3 +77,21 @@ def search_table(papers: DataFrame, query: str, categories: Sequence[str] = (),
 def by_ids(papers: DataFrame, ids: DataFrame) -> DataFrame:
     """The papers with given identifiers (column ``arxiv_id``), each once."""
     return papers.join(ids.select("arxiv_id").distinct(), "arxiv_id", "left_semi")
+
+
+def library_search(records: DataFrame, query: str) -> DataFrame:
+    """Library records that hold the text anywhere: title, file, publication, identifiers, authors, tags of either kind."""
+    lists = [F.array_join(c, " ") for c in ("authors", "tags", "auto_tags") if c in records.columns]
+    plain = [F.coalesce(F.col(c), F.lit("")) for c in ("title", "file", "publication", "arxiv_id", "doi") if c in records.columns]
+    return _holding(records, F.concat_ws(" ", *plain, *lists), query)
+
+
+def run_search(items: DataFrame, query: str) -> DataFrame:
+    """Items of a past run that hold the text in title, authors, journal, flags or rank."""
+    plain = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("title", "authors", "journal", "flags", "rank")]
+    return _holding(items, F.concat_ws(" ", *plain), query)
+
+
+def _holding(df: DataFrame, hay: Column, query: str) -> DataFrame:
+    wanted = query.strip().lower()
+    return df.where(F.contains(F.lower(hay), F.lit(wanted))) if wanted else df

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lumenlit.functions.text import arxiv_id, arxiv_version, clean_text, distinct_ignoring_case, rfc822
@@ -49,7 +49,7 @@ def parse_atom(df: DataFrame, xml: str = "xml", query: str = "query") -> DataFra
 
 def parse_rss(df: DataFrame, xml: str = "xml", category: str = "category", types: tuple[str, ...] | None = ANNOUNCED) -> DataFrame:
     """Items of feeds, with the feed's own category added; other announcement types go."""
-    e = df.select(F.col(category).alias("feed"), F.explode(F.from_xml(_bare(F.col(xml)), RSS, {"mode": "PERMISSIVE"})["channel"]["item"]).alias("e"))
+    e = df.select(F.col(category).alias("feed"), F.posexplode(F.from_xml(_bare(F.col(xml)), RSS, {"mode": "PERMISSIVE"})["channel"]["item"]).alias("place", "e"))
     text = clean_text(F.regexp_replace(F.regexp_replace(unescape(F.col("e.description")), r"(?is)^\s*arXiv:\S+\s+Announce Type:\s*\S+\s*", ""), r"(?i)^\s*Abstract:\s*", ""))
     identifier = F.coalesce(F.nullif(arxiv_id(F.col("e.link")), F.lit("")), arxiv_id(F.col("e.guid")))
     own = F.get("e.category", 0)
@@ -64,11 +64,27 @@ def parse_rss(df: DataFrame, xml: str = "xml", category: str = "category", types
         F.coalesce(own, F.col("feed")).alias("primary_category"),
         F.concat(F.lit("公告类型: "), F.col("e.announce_type")).alias("comments"),
         F.concat(F.lit("<RSS> "), F.col("feed"), F.lit(" 最新公告")).alias("query"),
+        "place",
     )
     out = out.where((F.col("arxiv_id") != "") & (F.col("title") != ""))
     return out if types is None else out.where(F.col("announce_type").isin(*types))
 
 
+def scan_feeds(feeds: DataFrame, per_category: int = 0, types: tuple[str, ...] | None = ANNOUNCED) -> DataFrame:
+    """Announcements of many feeds (``category``, ``xml``), one feed for each category.
+
+    A feed that failed (null or broken XML) gives none and stops nothing; of a category no
+    more than ``per_category`` items are taken, in the feed's order (0: all of them).
+    """
+    once = feeds.groupBy(F.trim("category").alias("category")).agg(F.min("xml").alias("xml")).where("category <> ''")
+    found = parse_rss(once, types=types)
+    if not per_category:
+        return found
+    feed = F.regexp_extract("query", r"^<RSS> (.*) 最新公告$", 1)
+    place = F.row_number().over(Window.partitionBy(feed).orderBy("place"))
+    return found.withColumn("_n", place).where(F.col("_n") <= per_category).drop("_n")
+
+
 def decode_events(lines: DataFrame, reply: str = "reply", order: str = "n", line: str = "line") -> DataFrame:
     """One row for each streamed reply: ``thinking``, ``answer``, tokens in and out, first ``error``.
 

@@ -10,12 +10,15 @@ from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenlit.functions.extract import is_skipped
+from lumenlit.functions.text import clean_text
+from lumenlit.operators import reporting
 
 # Folders that are never read.
+RUN_FILE = reporting.FILE_NAME
 PRUNED = (r"\.[^/]*", "node_modules", "__pycache__", r"\.trash")
 
 
@@ -27,6 +30,17 @@ def scan_pdfs(spark: SparkSession, folders: list[str], recursive: bool = True, s
     return found.where(~is_skipped(F.element_at(F.split("path", "/"), -1))) if skip else found
 
 
+def scan_enabled(spark: SparkSession, folders: list[dict[str, Any]], skip: bool = True) -> DataFrame:
+    """The files of the folders that are switched on (``path``, ``enabled``, ``recursive``), each file once."""
+    found = None
+    for deep in (True, False):
+        some = [f["path"] for f in folders if f.get("enabled", True) and f.get("recursive", True) == deep]
+        if some:
+            part = scan_pdfs(spark, some, deep, skip)
+            found = part if found is None else found.unionByName(part)
+    return spark.createDataFrame([], "path string, size long, mtime timestamp") if found is None else found.dropDuplicates(["path"])
+
+
 def with_hash(spark: SparkSession, paths: list[str]) -> DataFrame:
     """``path``, ``sha1`` of whole files."""
     return spark.read.format("binaryFile").load(paths).select("path", F.sha1("content").alias("sha1"))
@@ -55,6 +69,27 @@ def read_reports(spark: SparkSession, folder: str) -> DataFrame:
     return files.select(F.col("_metadata.file_path").alias("report"), F.col("value").alias("text"))
 
 
+def list_runs(reports: DataFrame, items: DataFrame) -> DataFrame:
+    """Past runs, the newest first: ``report``, ``generated_at``, ``items`` (how many) and ``label``.
+
+    ``reports`` has ``report`` (path), ``text`` and, where files are listed, ``mtime`` as text;
+    ``items`` are those of ``reporting.parse_reports``. Only files that are named like a report
+    count; a report without its time is placed by its file's, and named by its name's.
+    """
+    named = reports.where(F.element_at(F.split("report", "/"), -1).rlike(RUN_FILE))
+    counted = items.groupBy("report").agg(F.count(F.lit(1)).alias("n"))
+    made = F.regexp_extract("text", reporting.STAMP, 1)
+    runs = named.join(counted, "report", "left").withColumns({"generated_at": made, "items": F.coalesce("n", F.lit(0))})
+    runs = runs.withColumn("label", reporting.run_label(F.col("report"), F.col("generated_at"), F.col("items")))
+    when = F.coalesce(F.nullif(F.col("generated_at"), F.lit("")), F.col("mtime") if "mtime" in reports.columns else F.lit(""), F.lit(""))
+    return runs.orderBy(F.desc(when), "report").select("report", "generated_at", "items", "label")
+
+
+def memo_key(prompt: Column, model: Column, options: Column) -> Column:
+    """The key under which the answer to a request is kept: what is asked, of whom and how, white space aside."""
+    return F.sha2(F.concat_ws("\u0001", clean_text(prompt), F.coalesce(model, F.lit("")), F.coalesce(options, F.lit(""))), 256)
+
+
 def memoised(keys: DataFrame, cache: DataFrame, answer: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Answers (``key``, ``value``) from a cache table, and from ``answer`` only for keys it lacks."""
     known = cache.join(keys.select("key").distinct(), "key", "left_semi")

@@ -1,3 +1,4 @@
+import json
 import math
 import random
 from collections import Counter
@@ -5,9 +6,10 @@ from difflib import SequenceMatcher
 
 from pyspark.sql import functions as F
 
+from lumenlit.functions import scoring
 from lumenlit.operators import linkage, merging, ranking, reporting, state, tfidf
-from lumenlit.plans import recommend, search
-from lumenlit.sources import feeds
+from lumenlit.plans import profile, recommend, search
+from lumenlit.sources import feeds, files
 
 PAPER = "id long, arxiv_id string, doi string, norm_title string"
 
@@ -252,3 +254,66 @@ def test_conversations_and_index_lookups(spark):
     assert state.current_index(index, 7).count() == 4 and state.current_index(index, 8).count() == 0
     mixed = index.unionByName(index.withColumn("version", F.lit(6)))
     assert state.current_index(mixed, 7).count() == 0
+
+
+def test_a_whole_report_is_read_back(spark, tmp_path):
+    as_of = F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
+    rows = [(i, i, f"2401.{i:05d}", f"A title | of $x$ number {i}", "abs " * 30, "2024-01-02", ["Ada L", "Alan T"], ["cs.LG", "stat.ML"], "PRL 1" if i == 1 else "", None if i == 2 else 7 * i, 0.5, 0.25, 0.125, 0.4, "judged" if i == 1 else "", "why so" if i == 1 else "", f"https://arxiv.org/abs/2401.{i:05d}") for i in range(1, 4)]
+    names = "id int, rank int, arxiv_id string, title string, abstract string, published string, authors array<string>, categories array<string>, journal_ref string, citations int, relevance double, recency double, importance double, score double, relevance_reason string, summary string, url string"
+    ranked = spark.createDataFrame(rows, names).withColumn("published", F.col("published").cast("timestamp_ntz"))
+    others = ranked.unionByName(ranked.withColumn("id", F.col("id") + 100).withColumn("title", F.lit("Another one")))
+    removed = spark.createDataFrame([(f"t{i:03d}", "title") for i in range(70)], "title string, reason string")
+    stats, profile = {"library_total": 9, "elapsed_sec": 1.25, "ai_calls": 2, "ai_tokens": 30}, {"summary": "S", "topics": ["a", "b"], "queries": ["q"], "generated_by": "ai"}
+    lines = reporting.report_lines(ranked, as_of, "2024-02-01 10:11:12", stats, profile, others, removed)
+    written = reporting.write_report(["markdown", "json"], str(tmp_path), "2024-02-01 10:11:12", "x", lines, ranked, stats, profile)
+    assert [w.rsplit("/", 1)[1] for w in written] == ["arxiv_recommend_20240201_101112_x.md", "arxiv_recommend_20240201_101112_x.json"]
+    text = "\n".join(r.value for r in spark.read.text(written[0]).collect())
+    assert "| 文献库总量 | 9 篇 |" in text and "| 耗时 | 1.2 秒 |" in text and "**主要研究主题**: a、b" in text and "另有 10 篇" in text and text.count("- [Another one]") == 3
+    assert text.index("## 三、推荐总览") < text.index("### 1. ") < text.index("### 3. ") < text.index("## 附录") < text.index("已排除的库内文献 (70 篇)")
+    report = spark.createDataFrame([(written[0], text)], "report string, text string")
+    back = {r["rank"]: r for r in reporting.parse_reports(report).collect()}
+    assert set(back) == {1, 2, 3} and back[1].title == "A title | of x number 1" and back[1].authors == "Ada L, Alan T" and back[1].categories == ["cs.LG", "stat.ML"] and back[2].citations is None and back[1].date == "2024-01-02"
+    runs = files.list_runs(report.unionByName(spark.createDataFrame([("/o/arxiv_recommend_20250101_000000.md", "no stamp"), ("/o/notes.md", "x")], "report string, text string")), reporting.parse_reports(report)).collect()
+    assert [r.generated_at for r in runs] == ["2024-02-01 10:11:12", ""] and runs[0].label == "2024-02-01 10:11:12 · 3 篇 · x" and runs[1].label == "2025-01-01 00:00:00 · 0 篇"
+    told = json.loads(spark.read.text(written[1]).first().value)
+    assert told["stats"]["library_total"] == 9 and [r["rank"] for r in told["recommendations"]] == [1, 2, 3]
+
+
+def test_profiles(spark):
+    results = spark.createDataFrame([(2, ["Spin", "new"], ["QMC"], ["k"], []), (1, ["spin ", "Chains"], [], None, ["cm"])], "n int, topics array<string>, methods array<string>, keywords array<string>, subfields array<string>")
+    one = profile.merged_groups(results).first()
+    assert (one.topics, one.methods, one.keywords, one.subfields) == (["spin", "Chains", "new"], ["QMC"], ["k"], ["cm"])
+    digest = profile.scoring_digest(spark.createDataFrame([("S", [f"t{i}" for i in range(20)], [], ["k"])], "summary string, topics array<string>, methods array<string>, keywords array<string>")).first().digest
+    assert digest.split("\n") == ["研究方向概述: S", "主要主题: " + "、".join(f"t{i}" for i in range(15)), "关键词: k"]
+    heuristic = {"queries": ["h"], "keywords": ["h"]}
+    assert profile.decided(None, heuristic, [], 5)["generated_by"] == "heuristic" and profile.decided({"queries": ["a", "A", "b"]}, heuristic, [], 5)["queries"] == ["a", "b"]
+    terms = profile.decided({"keywords": ["spin", "自旋"]}, heuristic, [], 5)
+    assert terms["queries"] == ["spin"] and terms["generated_by"] == "ai+terms" and profile.decided({"keywords": ["自旋"]}, heuristic, [], 5)["generated_by"] == "heuristic"
+    by_hand = profile.decided({"queries": ["a"]}, heuristic, ["x", " ", "y"], 1)
+    assert by_hand["queries"] == ["x", "y"] and by_hand["generated_by"] == "ai+manual"
+
+
+def test_searches_labels_and_feeds(spark):
+    records = spark.createDataFrame([("Spin", "f1.pdf", "PRL", "", "", ["Ada"], ["mine"], ["arXiv"]), ("Other", "g.pdf", "", "", "", [], [], [])], "title string, file string, publication string, arxiv_id string, doi string, authors array<string>, tags array<string>, auto_tags array<string>")
+    assert [r.title for r in search.library_search(records, " ARXIV").collect()] == ["Spin"] and search.library_search(records, " ").count() == 2
+    items = spark.createDataFrame([(1, "T", "Ada", None, "新"), (12, "U", None, "J", None)], "rank int, title string, authors string, journal string, flags string")
+    assert [r["rank"] for r in search.run_search(items, "12").collect()] == [12]
+    relations = spark.createDataFrame([(1, "phases"), (1, "unknown"), (2, "spin"), (3, "")], "id int, label string")
+    got = {(r.id, r.label): r.known for r in reporting.repaired_labels(relations, spark.createDataFrame([("phase",), ("spin",), ("spin glass",), ("",)], "label string")).collect()}
+    assert got == {(1, "phases"): "phase", (2, "spin"): "spin"}
+    feed = spark.createDataFrame([("a", RSS), ("b", None), ("c", "<broken"), ("", RSS)], "category string, xml string")
+    assert {r.arxiv_id for r in feeds.scan_feeds(feed, types=None).collect()} == {"2401.00001", "2401.00002"}
+    assert [r.arxiv_id for r in feeds.scan_feeds(feed, 1, None).collect()] == ["2401.00001"]
+
+
+def test_judged_relevance_and_prefilters(spark):
+    rows = [(i, 0, i, f"title number {i} about spin", "text of spin chains " * (1 + i % 3), f"24{i:02d}.00001", "", "cs", None, None, "", "") for i in range(12)]
+    cols = "id long, pool int, row long, title string, abstract string, arxiv_id string, doi string, category string, published timestamp, citations int, journal_ref string, comments string"
+    pools = recommend.with_keys(spark.createDataFrame(rows, cols), ascii_only=True)
+    judged = spark.createDataFrame([(3, 0.99, "good"), (4, 0.0, None)], "id long, score double, reason string")
+    works = spark.createDataFrame([(f"10.48550/arXiv.24{i:02d}.00001", 10 + i, "PRL", [("c", 0.5)]) for i in range(12)], "doi string, cited_by int, source string, concepts array<struct<display_name: string, score: double>>")
+    options = recommend.Options(as_of="2024-01-01 00:00:00", min_relevance=0.0, fuzzy=False, enriched_cap=5, judged_cap=4)
+    run = recommend.Recommendation(pools, pools.limit(0), "spin chains", options, works=works, judged=judged)
+    out = {r.id: r for r in run.plan("scored").collect()}
+    assert out[3].relevance == 0.99 and out[3].relevance_reason == "good" and out[4].relevance == 0.0 and out[5].relevance_reason == scoring.HEURISTIC_REASON
+    assert sum(r.enriched for r in out.values()) == 5 and run.for_judge().count() == 4
