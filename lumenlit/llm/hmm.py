@@ -42,7 +42,8 @@ CLASSES = 1024
 ROUNDS = 2
 #: Weight, in tokens, of the unigram model in each state's emissions.
 PRIOR = 200.0
-#: Bytes of text walked side by side.
+#: Texts taken out of an Arrow batch at once, and bytes of text walked side by side.
+STEP = 2048
 PORTION = 6 << 20
 
 
@@ -183,10 +184,12 @@ def begun(unigram: np.ndarray, starts: np.ndarray, steps: np.ndarray, emits: np.
 
 
 def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, slice, list]]:
-    for batch in batches:
-        texts = batch.column("text").to_pylist()
-        for part in words.portions(texts, PORTION):
-            yield batch, part, texts[part]
+    for whole in batches:
+        for i in range(0, whole.num_rows, STEP):
+            batch = whole.slice(i, STEP)
+            texts = batch.column("text").to_pylist()
+            for part in words.portions(texts, PORTION):
+                yield batch, part, texts[part]
 
 
 def counted(training: DataFrame) -> DataFrame:

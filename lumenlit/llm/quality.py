@@ -25,10 +25,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from lumenlit.llm import words
 from lumenlit.llm.common import release, tidy
@@ -38,6 +38,8 @@ MAX_BYTES = 32 << 20
 #: Lines that a document counts as at most in the fit.
 MAX_LINES = 20
 THRESHOLD = 0.3
+#: Texts taken out of an Arrow batch at once.
+STEP = 512
 #: Shape features of a line, each repeated for the line before and after.
 SHAPE = ("bias", "bytes", "words", "capitals", "marks", "exclaims", "bars", "symbols", "digits", "again", "distinct", "word_length", "ended", "empty", "repeated")
 WIDTH = 3 * len(SHAPE) + 2
@@ -208,7 +210,7 @@ def fit(features: np.ndarray, size: np.ndarray, bounds: np.ndarray, label: np.nd
 
 def score(texts: list[bytes | None], field: Field) -> np.ndarray:
     out = []
-    for part in words.portions(texts):
+    for part in words.portions(texts, 1 << 20):
         features, size, bounds = line_features(texts[part])
         good, _, _ = marginals(features.astype(np.float64) @ field.weights, bounds, field.steps)
         raw = field.curve[0] * _logit(_mean(good, size, bounds)) + field.curve[1]
@@ -239,12 +241,13 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, labels = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for part in words.portions(texts):
-                features, size, bounds = line_features(texts[part])
-                n = np.diff(bounds)
-                cols = [pa.array([features[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()), pa.array([size[a:b].astype("<i8").tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()), pa.array(n), pa.array(labels[part], pa.int32())]
-                yield pa.RecordBatch.from_arrays(cols, ["features", "size", "lines", "label"])
+            for i in range(0, batch.num_rows, STEP):
+                texts, labels = (batch.column(c).slice(i, STEP).to_pylist() for c in (0, 1))
+                for part in words.portions(texts):
+                    features, size, bounds = line_features(texts[part])
+                    n = np.diff(bounds)
+                    cols = [pa.array([features[a:b].tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()), pa.array([size[a:b].astype("<i8").tobytes() for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary()), pa.array(n), pa.array(labels[part], pa.int32())]
+                    yield pa.RecordBatch.from_arrays(cols, ["features", "size", "lines", "label"])
 
     got = sample.mapInArrow(tidy(make), "features binary, size binary, lines long, label int").collect()  # of the sample, so within its bounds
     got.sort(key=lambda r: (r["label"], bytes(r["features"])))
@@ -256,9 +259,10 @@ def train(docs: DataFrame, labels: DataFrame, text: str = "text", label: str = "
 
 def scored(df: DataFrame, field: Field, text: str = "text", out: str = "score") -> DataFrame:
     """All rows with the score of their whole text; a column named ``out`` is replaced."""
-    def of(texts: pd.Series) -> pd.Series:
-        out = pd.Series(score(texts.tolist(), field), dtype="float64")
+
+    def of(texts: pa.Array) -> pa.Array:
+        found = [score(texts.slice(i, STEP).to_pylist(), field) for i in range(0, len(texts), STEP)]
         release()
-        return out
+        return pa.array(np.concatenate(found) if found else np.zeros(0), pa.float64())
 
-    return df.withColumn(out, F.pandas_udf(of, "double")(F.col(text).cast("binary")))
+    return df.withColumn(out, arrow_udf(of, "double")(F.col(text).cast("binary")))

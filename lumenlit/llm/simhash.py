@@ -25,11 +25,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.functions import arrow_udf
 
 from lumenlit.llm import words
 from lumenlit.llm.common import persisted
@@ -77,10 +77,10 @@ def simhash(text: str | None, shingle: int = SHINGLE) -> int:
 def fingerprint(text: Column, shingle: int = SHINGLE) -> Column:
     """The fingerprint as a long."""
 
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([simhash(t, shingle) for t in texts], dtype="int64")
+    def of(texts: pa.Array) -> pa.Array:
+        return pa.array([simhash(t.as_py(), shingle) for t in texts], pa.int64())
 
-    return F.pandas_udf(of, "long")(text)
+    return arrow_udf(of, "long")(text)
 
 
 def hexed(fingerprint_column: Column) -> Column:

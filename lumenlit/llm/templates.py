@@ -84,12 +84,19 @@ def _long(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == np.uint64 else x.astype(np.int64))
 
 
-def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[bytes | None], pa.RecordBatch]]:
+    """Some texts at a time, so that a batch is never there twice."""
     for batch in batches:
-        texts = batch.column("text").to_pylist()
+        for i in range(0, batch.num_rows, 1024):
+            some = batch.slice(i, 1024)
+            yield some.column("text").to_pylist(), some
+
+
+def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for texts, some in _texts(batches):
         for part in words.portions(texts, 1 << 20):
             own = Lines(texts[part])
-            ids, prints = batch.column("id").to_numpy()[part], batch.column("print").to_numpy()[part]
+            ids, prints = some.column("id").to_numpy()[part], some.column("print").to_numpy()[part]
             yield pa.RecordBatch.from_arrays([_long(x) for x in (ids[own.text], prints[own.text], own.place, own.h, own.leaf)], ["id", "print", "place", "h", "leaf"])
 
 
@@ -111,8 +118,7 @@ def line_tokens(df: DataFrame, crowded: DataFrame, doc_id: str, text: str) -> Da
     slots[[r[0] for r in crowded.select(F.pmod("leaf", F.lit(SLOTS))).distinct().collect()]] = True  # SLOTS rows at most
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
+        for texts, _ in _texts(batches):
             for part in words.portions(texts, 1 << 20):
                 own = Lines(texts[part])
                 at = np.flatnonzero(slots[own.leaf.view(np.int64) % SLOTS])
