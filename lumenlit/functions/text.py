@@ -34,7 +34,7 @@ def text_or_empty(c: Column) -> Column:
 
 
 def strip_latex(c: Column) -> Column:
-    """Maths and commands become spaces, braces and backslashes too."""
+    """Maths and commands become spaces, braces and backslashes too (the pattern is a fixed value)."""
     commands = F.regexp_replace(text_or_empty(c), r"\$[^$]*\$|\\(?:[a-zA-Z]+|.)", " ")
     return F.translate(commands, "{}\\", "   ")
 
@@ -136,9 +136,11 @@ def split_tags(c: Column) -> Column:
 
 
 def distinct_ignoring_case(c: Column) -> Column:
-    """Trimmed values, the first spelling of each, in order; blanks and nulls go."""
+    """Trimmed values, the first spelling of each, in order; blanks and nulls go. Sorted twice, so long lists cost little more."""
     values = F.filter(F.transform(c, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != ""))
-    return let(values, lambda v: let(F.transform(v, lambda x: F.lower(x)), lambda keys: F.filter(v, lambda x, i: F.array_position(keys, F.lower(x)) == i + 1)))
+    keyed = F.array_sort(F.transform(values, lambda x, i: F.struct(F.lower(x).alias("k"), i.alias("i"), x.alias("x"))))
+    first = let(keyed, lambda rows: F.filter(rows, lambda e, i: (i == 0) | (F.get(rows, i - 1)["k"] != e["k"])))
+    return F.transform(F.array_sort(F.transform(first, lambda e: F.struct(e["i"].alias("i"), e["x"].alias("x")))), lambda e: e["x"])
 
 
 def int_or_null(c: Column) -> Column:
@@ -162,10 +164,22 @@ def short_label(title: Column, authors: Column, year: Column) -> Column:
     return F.when((first != "") & year.isNotNull(), F.concat_ws(" ", last, year.cast("string"))).when(first != "", first).otherwise(F.substring(title, 1, 40))
 
 
-def author_line(c: Column, limit: int = 3) -> Column:
-    """Up to ``limit`` authors, and a mark if there are more."""
-    shown = F.array_join(F.slice(c, 1, limit), ", ")
-    return F.when(F.size(c) > limit, F.concat(shown, F.lit(" 等"))).when(F.size(c) > 0, shown).otherwise("—")
+def shown_date(published: Column, updated: Column) -> Column:
+    """The first date, else that of the last update, else a dash."""
+    return F.coalesce(F.date_format(published, "yyyy-MM-dd"), F.date_format(updated, "yyyy-MM-dd"), F.lit("—"))
+
+
+def author_line(c: Column, limit: int = 1) -> Column:
+    """Up to ``limit`` authors, and a mark if there are more; a dash for none."""
+    named = F.filter(F.transform(c, lambda a: F.trim(a)), lambda a: a != "")
+    shown = F.array_join(F.slice(named, 1, limit), ", ")
+    return F.when(F.size(named) > limit, F.concat(shown, F.lit(" 等"))).when(F.size(named) > 0, shown).otherwise("—")
+
+
+def shown_journal(c: Column, limit: int = 24) -> Column:
+    """A journal reference, cut to ``limit``; a dash for none."""
+    text = F.trim(text_or_empty(c))
+    return F.when(text == "", "—").otherwise(truncate(text, limit))
 
 
 def elapsed(seconds: Column) -> Column:

@@ -100,7 +100,7 @@ def history_with_reports(history: DataFrame, items: DataFrame) -> DataFrame:
 def items_with_history(items: DataFrame, history: DataFrame) -> DataFrame:
     """Report items (``arxiv_id`` and what they tell) with the explanation and counts that the history has of the paper."""
     known = history.select(F.col("arxiv_id").alias("_id"), "summary", "ideas", "analyzed", "times", "last_at")
-    joined = items.where(F.coalesce("arxiv_id", F.lit("")) != "").join(known, F.col("arxiv_id") == F.col("_id"), "left")
+    joined = items.where(F.trim(F.coalesce(F.col("arxiv_id").cast("string"), F.lit(""))) != "").join(known, F.col("arxiv_id") == F.col("_id"), "left")
     return joined.withColumns({
         "summary": F.coalesce("summary", F.lit("")), "ideas": F.coalesce("ideas", F.lit("")), "analyzed": F.coalesce("analyzed", F.lit(False)),
         "seen_before": F.col("_id").isNotNull(), "seen_times": F.coalesce("times", F.lit(0)), "last_recommended": F.col("last_at"),

@@ -25,7 +25,7 @@ VENUES = ("src1", "src7")
 
 #: Read by Spark and DuckDB alike.
 PAPERS = r"""
-SELECT d.doc_id AS id, left(split_part(d.text, chr(10), 1), 180) AS title, substr(d.text, length(split_part(d.text, chr(10), 1)) + 2) AS abstract, d.lang AS category, d.source,
+SELECT d.doc_id AS id, left(split_part(d.text, chr(10), 1), 180) AS title, substr(d.text, length(left(split_part(d.text, chr(10), 1), 180)) + 1) AS abstract, d.lang AS category, d.source,
   CASE WHEN d.doc_id % 13 = 0 THEN '' ELSE concat('2', CAST(k % 5 AS VARCHAR(9)), lpad(CAST(k % 12 + 1 AS VARCHAR(9)), 2, '0'), '.', lpad(CAST(k % 100000 AS VARCHAR(9)), 5, '0')) END AS arxiv_id,
   CASE WHEN d.doc_id % 4 = 0 THEN concat('10.1000/x', CAST(j AS VARCHAR(20))) ELSE '' END AS doi,
   CASE WHEN d.doc_id % 17 = 0 THEN NULL WHEN d.doc_id % 97 = 0 THEN CAST(DATE '2024-02-11' AS TIMESTAMP) ELSE CAST(DATE '2024-02-01' - CAST(d.doc_id % 1500 AS INT) AS TIMESTAMP) END AS published,
@@ -128,7 +128,7 @@ contained AS (
 
 
 def _options(**given: object) -> recommend.Options:
-    return recommend.Options(as_of=AS_OF, candidate_cap=0, venues=VENUES, stop_words=STOP, fuzzy=False, bigrams=False, min_relevance=0.05).override(**given)
+    return recommend.Options(as_of=AS_OF, candidate_cap=0, venues=VENUES, stop_words=STOP, fuzzy=False, min_relevance=0.05).override(**given)
 
 
 def _profile(spark: SparkSession, sf_dir: str) -> str:
@@ -136,8 +136,9 @@ def _profile(spark: SparkSession, sf_dir: str) -> str:
 
 
 _RELEVANCE = f"""
-docs AS (SELECT id, {kept_sql(strip_sql('title') + " || ' ' || " + strip_sql('abstract'))} AS words FROM pool
+said AS (SELECT id, {kept_sql(strip_sql('title') + " || ' ' || " + strip_sql('abstract'))} AS k FROM pool
   UNION ALL SELECT -1, {kept_sql('text')} FROM (SELECT text FROM benchmark ORDER BY item_id LIMIT 1)),
+docs AS (SELECT id, {grams_sql('k')} AS words FROM said),
 tf AS (SELECT id, term, count(*) AS n FROM (SELECT id, unnest(words) AS term FROM docs) GROUP BY id, term),
 idf AS (SELECT term, ln(((SELECT count(*) FROM docs) + 1.0) / (count(*) + 1.0)) + 1 AS idf FROM tf GROUP BY term),
 w AS (SELECT id, term, (1 + ln(n)) * idf AS w FROM tf JOIN idf USING (term)),
@@ -177,12 +178,17 @@ def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.clean_text(F.col("text"))).alias("clean_md5"))
 
 
-def _cut_sql(sep: str, rest: str) -> str:
-    n = len(sep)
-    return f"CASE WHEN contains(h, '{sep}') AND length(h) - instr(reverse(h), '{sep[::-1]}') - {n} + 1 > 72.0 THEN rtrim(left(h, CAST(length(h) - instr(reverse(h), '{sep[::-1]}') - {n} + 2 AS INT))) || '…' ELSE {rest} END"
+def truncated_sql(t: str, limit: int, mark: str = "…") -> str:
+    """``text.truncate``: cut after a separator beyond 60 % of the limit."""
+    h = f"left({t}, {limit})"
+    out = f"rtrim({h}) || '{mark}'"
+    for sep in reversed(text.CUTS):
+        last = f"length({h}) - instr(reverse({h}), '{sep[::-1]}') - {len(sep)} + 1"
+        out = f"CASE WHEN contains({h}, '{sep}') AND {last} > {0.6 * limit} THEN rtrim(left({h}, CAST({last} + 1 AS INT))) || '{mark}' ELSE {out} END"
+    return f"CASE WHEN length({t}) <= {limit} THEN {t} ELSE {out} END"
 
 
-@query("WITH c AS (SELECT doc_id, text, left(text, 120) AS h FROM documents) SELECT doc_id, CASE WHEN length(text) <= 120 THEN text ELSE " + _cut_sql(". ", _cut_sql("。", _cut_sql("; ", _cut_sql(", ", "rtrim(h) || '…'")))) + " END AS short FROM c")
+@query(f"SELECT doc_id, {truncated_sql('text', 120)} AS short FROM documents")
 def truncate_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", text.truncate(F.col("text"), 120).alias("short"))
 
@@ -212,16 +218,16 @@ def parse_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     return papers(spark, sf_dir).select("id", text.parse_year(F.expr(_YEAR_FORM), 2024).alias("year"))
 
 
-@query("WITH c AS (SELECT doc_id, replace(replace(replace(left(replace(text, chr(10), ' '), 300), ',', ';'), '，', ';'), '；', ';') AS tags FROM documents), t AS (SELECT doc_id, list_transform(list_filter(list_transform(string_split(tags, ';'), lambda t: trim(t)), lambda t: t <> ''), lambda t: left(t, 40)) AS a FROM c) SELECT doc_id, array_to_string(list_filter(a, lambda t, i: list_position(a, t) = i)[1:20], '|') AS tags FROM t")
+@query("WITH c AS (SELECT doc_id, replace(replace(replace(replace(text, chr(10), ' '), ',', ';'), '，', ';'), '；', ';') AS tags FROM documents), u AS (SELECT doc_id, i, left(trim(t), 40) AS t FROM (SELECT doc_id, unnest(string_split(tags, ';')) AS t, generate_subscripts(string_split(tags, ';'), 1) AS i FROM c) WHERE trim(t) <> ''), f AS (SELECT doc_id, t, min(i) AS i FROM u GROUP BY doc_id, t), r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS n FROM f) SELECT d.doc_id, coalesce(string_agg(t, '|' ORDER BY i), '') AS tags FROM documents d LEFT JOIN (SELECT * FROM r WHERE n <= 20) r USING (doc_id) GROUP BY d.doc_id")
 def split_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = F.substring(F.replace(F.col("text"), F.lit("\n"), F.lit(" ")), 1, 300)
+    raw = F.replace(F.col("text"), F.lit("\n"), F.lit(" "))
     return table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.split_tags(raw), "|").alias("tags"))
 
 
-@query("WITH w AS (SELECT doc_id, string_split(replace(left(text, 400), chr(10), ' '), ' ') AS a FROM documents), t AS (SELECT doc_id, list_filter(a, lambda x: trim(x) <> '') AS a FROM w) SELECT doc_id, array_to_string(list_filter(a, lambda x, i: list_position(list_transform(a, lambda y: lower(y)), lower(x)) = i), ' ') AS words FROM t")
+@query("WITH w AS (SELECT doc_id, string_split(replace(text, chr(10), ' '), ' ') AS a FROM documents), u AS (SELECT doc_id, unnest(a) AS x, generate_subscripts(a, 1) AS i FROM w), f AS (SELECT doc_id, min(i) AS i, arg_min(trim(x), i) AS x FROM u WHERE trim(x) <> '' GROUP BY doc_id, lower(trim(x))) SELECT doc_id, md5(coalesce(string_agg(x, ' ' ORDER BY i), '')) AS words_md5 FROM documents LEFT JOIN f USING (doc_id) GROUP BY doc_id")
 def dedupe_preserve(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = F.split(F.replace(F.substring("text", 1, 400), F.lit("\n"), F.lit(" ")), " ")
-    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(text.distinct_ignoring_case(words), " ").alias("words"))
+    words = F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.array_join(text.distinct_ignoring_case(words), " ")).alias("words_md5"))
 
 
 # --- TF-IDF ---------------------------------------------------------------------------
@@ -249,7 +255,7 @@ def tfidf_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_PAPERS}, pool AS (SELECT * FROM papers), {_RELEVANCE} SELECT id, relevance FROM rel")
 def heuristic_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
     body = F.concat_ws(" ", text.strip_latex(F.col("title")), text.strip_latex(F.col("abstract")))
-    return tfidf.relevance(_profile(spark, sf_dir), papers(spark, sf_dir), "id", body, list(STOP), pairs=False).select(F.col("doc").alias("id"), "relevance")
+    return tfidf.relevance(_profile(spark, sf_dir), papers(spark, sf_dir), "id", body, list(STOP)).select(F.col("doc").alias("id"), "relevance")
 
 
 @query(f"WITH {_COUNTS}, v AS (SELECT term, ln(((SELECT count(*) FROM documents) + 1.0) / (df + 1.0)) + 1 AS idf FROM (SELECT term, count(*) AS df, sum(n) AS t FROM tf GROUP BY term HAVING count(*) >= 2 ORDER BY t DESC, term LIMIT 400)), w AS (SELECT id, term, (1 + ln(n)) * idf AS w FROM tf JOIN v USING (term)), s AS (SELECT term, round(sum(u), 6) AS weight FROM (SELECT term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS u FROM w) GROUP BY term), r AS (SELECT term, weight, contains(term, ' ') AS p, row_number() OVER (PARTITION BY contains(term, ' ') ORDER BY weight DESC, term) AS rank FROM s) SELECT term, weight, CAST(rank AS INT) AS rank FROM r WHERE rank <= CASE WHEN p THEN 30 ELSE 15 END")
@@ -257,23 +263,23 @@ def top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return profile.keywords(papers(spark, sf_dir), "id", F.col("abstract"), list(STOP)).select("term", "weight", "rank")
 
 
-@query(f"WITH {_COUNTS}, v AS (SELECT term, ln(((SELECT count(*) FROM documents) + 1.0) / (count(*) + 1.0)) + 1 AS idf FROM tf GROUP BY term HAVING count(*) BETWEEN 2 AND 0.1 * (SELECT count(*) FROM documents)), r AS (SELECT id, term, (1 + ln(n)) * idf AS w FROM tf JOIN v USING (term)), w AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM r), p AS (SELECT a.id, b.id AS neighbor, round(sum(a.w * b.w), 6) AS similarity FROM w a JOIN w b ON a.term = b.term AND a.id % 5 <> 0 AND b.id % 5 = 0 GROUP BY a.id, b.id) SELECT id, neighbor, similarity, CAST(row_number() OVER (PARTITION BY id ORDER BY similarity DESC, neighbor) AS INT) AS rank FROM p WHERE similarity > 0 QUALIFY rank <= 8")
+@query(f"WITH {_COUNTS}, v AS (SELECT term, ln(((SELECT count(*) FROM documents) + 1.0) / (df + 1.0)) + 1 AS idf FROM (SELECT term, count(*) AS df, sum(n) AS t FROM tf GROUP BY term ORDER BY t DESC, term LIMIT 60000)), r AS (SELECT id, term, (1 + ln(n)) * idf AS w FROM tf JOIN v USING (term)), w AS (SELECT id, term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS w FROM r), p AS (SELECT a.id, b.id AS neighbor, round(sum(a.w * b.w), 6) AS similarity FROM w a JOIN w b ON a.term = b.term AND a.id % 100 = 0 AND a.id <> b.id GROUP BY a.id, b.id) SELECT id, neighbor, similarity, CAST(row_number() OVER (PARTITION BY id ORDER BY similarity DESC, neighbor) AS INT) AS rank FROM p WHERE similarity > 0 QUALIFY rank <= 8")
 def related_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = _abstract_counts(spark, sf_dir)
-    weights = tfidf.fit(counts, table(spark, sf_dir, "documents").count(), min_df=2, max_df=0.1).transform(counts)
-    return tfidf.related(weights.where("doc % 5 <> 0"), weights.where("doc % 5 = 0")).select(F.col("doc").alias("id"), "neighbor", "similarity", "rank")
+    weights = tfidf.fitted(counts, table(spark, sf_dir, "documents").count(), tfidf.RELATED).transform(counts)
+    return tfidf.related(weights.where("doc % 100 = 0"), weights).select(F.col("doc").alias("id"), "neighbor", "similarity", "rank")
 
 
-@query(f"WITH {_PAPERS}, w AS (SELECT DISTINCT id, t FROM (SELECT id, unnest(string_split({norm_sql('title')}, ' ')) AS t FROM papers) WHERE length(t) >= 4), p AS (SELECT a.id, b.id AS neighbor, count(*) AS shared FROM w a JOIN w b ON a.t = b.t AND a.id % 5 <> 0 AND b.id % 5 = 0 GROUP BY a.id, b.id) SELECT id, neighbor, shared, CAST(row_number() OVER (PARTITION BY id ORDER BY shared DESC, neighbor) AS INT) AS rank FROM p QUALIFY rank <= 8")
+@query(f"WITH {_PAPERS}, w AS (SELECT DISTINCT id, t FROM (SELECT id, unnest(string_split({norm_sql('title')}, ' ')) AS t FROM papers) WHERE length(t) >= 4), p AS (SELECT a.id, b.id AS neighbor, count(*) AS shared FROM w a JOIN w b ON a.t = b.t AND a.id % 100 = 0 AND a.id <> b.id GROUP BY a.id, b.id) SELECT id, neighbor, shared, CAST(row_number() OVER (PARTITION BY id ORDER BY shared DESC, neighbor) AS INT) AS rank FROM p QUALIFY rank <= 8")
 def keyword_overlap_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
-    words = lambda df: df.select(F.col("id").alias("doc"), text.significant_tokens(F.col("norm_title"), 4).alias("words"))
-    return tfidf.overlap_related(words(candidates(spark, sf_dir)), words(library(spark, sf_dir))).select(F.col("doc").alias("id"), "neighbor", "shared", "rank")
+    words = recommend.with_keys(papers(spark, sf_dir)).select(F.col("id").alias("doc"), text.significant_tokens(F.col("norm_title"), 4).alias("words"))
+    return tfidf.overlap_related(words.where("doc % 100 = 0"), words).select(F.col("doc").alias("id"), "neighbor", "shared", "rank")
 
 
-@query("WITH u AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), n AS (SELECT id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS l FROM u), p AS (SELECT q.id AS query_id, r.id AS neighbor, round(list_sum(list_transform(list_zip(q.v, r.v), lambda z: (z[1] / q.l) * (z[2] / r.l))), 6) AS similarity FROM n q JOIN n r ON q.id < 5 AND r.id <> q.id) SELECT query_id, neighbor, similarity, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, neighbor) AS INT) AS rank FROM p QUALIFY rank <= 8")
+@query("WITH u AS (SELECT vec_id AS id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings), n AS (SELECT id, v, sqrt(list_sum(list_transform(v, lambda x: x * x))) AS l FROM u), p AS (SELECT q.id AS query_id, r.id AS neighbor, round(list_sum(list_transform(list_zip(q.v, r.v), lambda z: (z[1] / q.l) * (z[2] / r.l))), 6) AS similarity FROM n q JOIN n r ON q.id % 100 = 0 AND r.id <> q.id) SELECT query_id, neighbor, similarity, CAST(row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, neighbor) AS INT) AS rank FROM p QUALIFY rank <= 8")
 def embedding_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
-    return tfidf.vector_related(vectors.where("id < 5"), vectors).select("query_id", "neighbor", "similarity", "rank")
+    return tfidf.vector_related(vectors.where("id % 100 = 0"), vectors).select("query_id", "neighbor", "similarity", "rank")
 
 
 # --- linkage --------------------------------------------------------------------------
@@ -310,7 +316,7 @@ def self_dedup_absorb(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkage.absorbed(own, linkage.self_components(own, similar=False), ["title", "doi", "journal_ref"])
 
 
-@query(f"WITH {_PAPERS}, k AS (SELECT *, {norm_sql('title')} AS nt FROM papers), a AS (SELECT * FROM k QUALIFY row_number() OVER (PARTITION BY CASE WHEN arxiv_id = '' THEN chr(0) || id ELSE lower(arxiv_id) END ORDER BY id) = 1) SELECT id FROM a QUALIFY row_number() OVER (PARTITION BY CASE WHEN nt = '' THEN chr(0) || id ELSE nt END ORDER BY id) = 1")
+@query(f"WITH RECURSIVE {_PAPERS}, k AS (SELECT id, lower(arxiv_id) AS a, {norm_sql('title')} AS t, row_number() OVER (ORDER BY id) AS n FROM papers), pass(n, ids, titles, kept, id) AS (SELECT 0, CAST([] AS VARCHAR[]), CAST([] AS VARCHAR[]), false, CAST(NULL AS BIGINT) UNION ALL SELECT k.n, CASE WHEN ok AND a <> '' THEN list_append(ids, a) ELSE ids END, CASE WHEN ok AND t <> '' THEN list_append(titles, t) ELSE titles END, ok, k.id FROM (SELECT k.*, p.ids, p.titles, NOT (a <> '' AND list_contains(p.ids, a)) AND NOT (t <> '' AND list_contains(p.titles, t)) AS ok FROM pass p JOIN k ON k.n = p.n + 1) k) SELECT id FROM pass WHERE kept")
 def candidate_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linkage.first_wins(recommend.with_keys(papers(spark, sf_dir)), ["arxiv_id", "norm_title"], "id").select("id")
 
@@ -394,18 +400,18 @@ def budget_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- enrichment -----------------------------------------------------------------------
 
 
-@query(f"WITH {_PAPERS} SELECT p.id, CAST(w.quality * (w.doc_id % 300) AS INT) AS citations, CASE WHEN p.journal_ref = '' AND w.doc_id IS NOT NULL AND w.doc_id % 3 <> 0 THEN 'J' || (w.doc_id % 3) ELSE p.journal_ref END AS journal_ref, w.doc_id IS NOT NULL AS enriched FROM papers p LEFT JOIN labels w ON p.doi = '10.1000/x' || w.doc_id")
+@query(f"WITH {_PAPERS} SELECT p.id, CAST(w.quality * (w.doc_id % 300) AS INT) AS citations, CASE WHEN p.journal_ref = '' AND w.doc_id IS NOT NULL AND w.doc_id % 3 <> 0 THEN 'J' || (w.doc_id % 3) ELSE p.journal_ref END AS journal_ref, w.doc_id IS NOT NULL AS enriched, CASE WHEN w.doc_id % 2 = 0 THEN 'c' WHEN w.doc_id IS NOT NULL THEN 'c|e' ELSE '' END AS concepts FROM papers p LEFT JOIN labels w ON p.doi = '10.1000/x' || w.doc_id")
 def enrich_left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels")
     source = F.when(F.col("doc_id") % 3 == 0, "arXiv (Cornell)").otherwise(F.concat(F.lit("J"), (F.col("doc_id") % 3).cast("string")))
-    works = labels.select(F.concat(F.lit("10.1000/X"), F.col("doc_id").cast("string")).alias("doi"), (F.col("quality") * (F.col("doc_id") % 300)).alias("cited_by"), source.alias("source"), F.array(F.struct(F.lit("c").alias("display_name"), F.lit(0.5).alias("score"))).alias("concepts"))
-    return merging.enrich(papers(spark, sf_dir), works).select("id", "citations", "journal_ref", "enriched")
+    works = labels.select(F.concat(F.lit("10.1000/X"), F.col("doc_id").cast("string")).alias("doi"), (F.col("quality") * (F.col("doc_id") % 300)).alias("cited_by"), source.alias("source"), F.array(*(F.struct(F.lit(n).alias("display_name"), x.alias("score")) for n, x in (("c", F.lit(0.5)), ("d", F.lit(0.29)), ("e", F.when(F.col("doc_id") % 2 == 0, 0.1).otherwise(0.3)), *(("f", F.lit(0.1)),) * 3, ("g", F.lit(0.9))))).alias("concepts"))
+    return merging.enrich(papers(spark, sf_dir), works).select("id", "citations", "journal_ref", "enriched", F.array_join("concepts", "|").alias("concepts"))
 
 
-@query(f"WITH {_PAPERS}, o AS (SELECT id, min(nullif(category, '')) AS c FROM papers GROUP BY id) SELECT id, CASE WHEN doi <> '' THEN doi ELSE coalesce(o.c, '') END AS doi FROM papers JOIN o USING (id)")
+@query(f"WITH {_PAPERS}, o AS (SELECT category, arg_min(doi, row) AS d, arg_min(journal_ref, row) AS j FROM papers WHERE id % 3 = 1 GROUP BY category) SELECT id, CASE WHEN doi <> '' THEN doi ELSE coalesce(o.d, '') END AS doi, CASE WHEN journal_ref <> '' THEN journal_ref ELSE coalesce(o.j, '') END AS journal_ref FROM papers LEFT JOIN o USING (category)")
 def fill_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = papers(spark, sf_dir)
-    return merging.fill_blanks(df, df.select("id", F.col("category").alias("doi")), "id", ["doi"]).select("id", "doi")
+    return merging.fill_blanks(df, df.where("id % 3 = 1"), "category", ["doi", "journal_ref"], ["row"]).select("id", "doi", "journal_ref")
 
 
 def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -588,7 +594,7 @@ def library_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_PLAIN} SELECT count(*) AS candidates, count(*) FILTER (relevance >= 0.3) AS above_floor, count(*) FILTER (citations >= 50) AS famous, count(*) FILTER ({age_sql('published')} <= 120) AS fresh, max(score) AS best FROM final")
 def run_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _scored(spark, sf_dir)
-    return df.agg(F.count(F.lit(1)).alias("candidates"), F.count_if(F.col("relevance") >= 0.3).alias("above_floor"), F.count_if(scoring.is_famous(F.col("citations"))).alias("famous"), F.count_if(scoring.is_new(F.col("published"), _now())).alias("fresh"), F.max("score").alias("best"))
+    return reporting.run_stats(df, 0.3, _now())
 
 
 def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -599,11 +605,13 @@ def _ranked(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TABLE = rf"""t AS (SELECT *, row_number() OVER (ORDER BY score DESC, relevance DESC, coalesce(citations, 0) DESC, id) AS rank FROM final QUALIFY rank <= 30)"""
 
 
-@query(f"WITH {_PLAIN}, {_TABLE} SELECT CAST(rank AS INT) AS rank, '| ' || rank || ' | [' || trim(replace(replace(trim(replace(title, '$', '')), '|', '\\|'), chr(10), ' ')) || '](https://arxiv.org/abs/' || arxiv_id || ') | ' || coalesce(strftime(published, '%Y-%m-%d'), '—') || ' | ' || coalesce(CAST(citations AS VARCHAR), '—') AS line FROM t".replace("'\\\\|'", "'\\|'"))
+_CELL = "trim(replace(replace(trim(replace(title, '$', '')), '|', '\\|'), chr(10), ' '))"
+_FLAGS = f"coalesce(nullif(concat_ws(' ', CASE WHEN {age_sql('published')} <= 120 THEN '🆕新' END, CASE WHEN citations >= 50 THEN '⭐经典' END, CASE WHEN journal_ref <> '' THEN '📖已发表' END), ''), '—')"
+
+
+@query(f"WITH {_PLAIN}, {_TABLE} SELECT CAST(rank AS INT) AS rank, '| ' || rank || ' | [' || {truncated_sql(_CELL, 78)} || '](https://arxiv.org/abs/' || arxiv_id || ') | ' || coalesce(strftime(published, '%Y-%m-%d'), '—') || printf(' | %.2f | %.2f | %.2f | **%.3f** | ', relevance, recency, importance, score) || coalesce(CAST(citations AS VARCHAR), '—') || ' | ' || {_FLAGS} || ' |' AS line FROM t")
 def report_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    line = reporting.table_rows(_ranked(spark, sf_dir), _now())
-    cells = F.split("line", r" \| ")
-    return line.select("rank", F.concat_ws(" | ", F.slice(cells, 1, 3), F.get(cells, 7)).alias("line"))
+    return reporting.table_rows(_ranked(spark, sf_dir), _now())
 
 
 @query(f"WITH {_PLAIN}, {_TABLE} SELECT CAST(rank AS INT) AS rank, 'https://arxiv.org/abs/' || arxiv_id AS url, strftime(published, '%Y-%m-%d') AS date, citations FROM t WHERE NOT contains(title, ']')")
@@ -627,10 +635,10 @@ def search_expr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return papers(spark, sf_dir).where(found & F.col("category").isin("en", "de")).select("id")
 
 
-@query(f"WITH {_PAPERS} SELECT id FROM papers WHERE contains(lower(concat_ws(' ', title, source, category, doi, arxiv_id)), 'src1 en')")
+@query(f"WITH {_PAPERS} SELECT id FROM papers WHERE contains(lower(concat_ws(' ', title, source || '.pdf', journal_ref, arxiv_id, doi, category || ' ' || source, 't1', comments)), 'src1 t1')")
 def library_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    hay = F.lower(F.concat_ws(" ", "title", "source", "category", "doi", "arxiv_id"))
-    return papers(spark, sf_dir).where(hay.contains("src1 en")).select("id")
+    df = papers(spark, sf_dir).withColumns({"file": F.concat("source", F.lit(".pdf")), "publication": F.col("journal_ref"), "authors": F.array("category", "source"), "tags": F.array(F.lit("t1")), "auto_tags": F.array("comments")})
+    return search.library_search(df, " Src1 T1 ").select("id")
 
 
 @query(f"WITH {_FILES}, d AS (SELECT coalesce(l.path, i.path) AS path, l.path IS NOT NULL AS here, i.path IS NOT NULL AS known, i.covers FROM listing l FULL JOIN idx i ON l.path = i.path) SELECT count(*) FILTER (here) AS on_disk, count(*) FILTER (known) AS indexed, count(*) FILTER (here AND NOT known) AS pending, count(*) FILTER (here AND known AND NOT covers) AS shallower FROM d")
@@ -666,3 +674,6 @@ ORACLE_SQL["search_table"] = ORACLE_SQL["search_table"].replace("FROM papers WHE
 def lookup_by_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = papers(spark, sf_dir)
     return search.by_ids(df, df.where("id % 50 = 0 and arxiv_id <> ''")).select("id")
+
+
+from lumenlit import queries_runs, queries_text  # noqa: E402, F401  (they register themselves)
