@@ -23,11 +23,10 @@ def digest(library: DataFrame, line: Column, order: list, limit: int = 40_000) -
     return ranking.prefix_within(library.withColumn("line", line), None, order, F.length("line"), limit)
 
 
-def keywords(library: DataFrame, doc_id: str, text: Column, stop: list[str], n: int = 30, max_features: int = 400, min_df: int = 2) -> DataFrame:
+def keywords(library: DataFrame, doc_id: str, text: Column, stop: list[str] | None = None, n: int = 30, config: tfidf.Config = tfidf.KEYWORDS) -> DataFrame:
     """The library's heaviest pairs of words, then half as many single words."""
-    counts = tfidf.term_counts(library, doc_id, text, stop)
-    fitted = tfidf.fit(counts, library.count(), min_df=min_df, max_features=max_features)
-    return tfidf.top_terms(fitted.transform(counts), n, n // 2)
+    counts = tfidf.term_counts(library, doc_id, text, tfidf.PROFILE_STOPS if stop is None else stop)
+    return tfidf.top_terms(tfidf.fitted(counts, library.count(), config).transform(counts), n, n // 2)
 
 
 def queries_from_terms(groups: list[list[str]], limit: int) -> list[str]:

@@ -65,7 +65,7 @@ def read_pages(files: DataFrame, reader: Callable[[bytes], list[str]]) -> DataFr
 
 def read_reports(spark: SparkSession, folder: str) -> DataFrame:
     """``report`` (path) and ``text`` of past reports, one row for each file."""
-    files = spark.read.option("wholetext", "true").option("pathGlobFilter", "*recommend_*.md").text(folder)
+    files = spark.read.option("pathGlobFilter", "*recommend_*.md").text(folder, wholetext=True)
     return files.select(F.col("_metadata.file_path").alias("report"), F.col("value").alias("text"))
 
 

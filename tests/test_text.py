@@ -42,7 +42,7 @@ def test_truncate(spark):
 def test_lists(spark):
     assert one(spark, text.split_tags, " a, b；a;;c，" + "x" * 50) == ["a", "b", "c", "x" * 40]
     assert one(spark, text.distinct_ignoring_case, ["A", " a", "", None, "b"], "array<string>") == ["A", "b"]
-    assert one(spark, text.author_line, ["a", "b", "c", "d"], "array<string>") == "a, b, c 等"
+    assert one(spark, lambda c: text.author_line(c, 3), ["a", "b", "c", "d"], "array<string>") == "a, b, c 等"
     assert one(spark, lambda c: text.grams(text.tokens(c), ["the"]), "The red of the fox") == ["red", "of", "fox", "red of", "of fox"]
 
 
