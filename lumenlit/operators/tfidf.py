@@ -23,7 +23,7 @@ from lumenlit.operators.graph import shared_folder
 # Words that never become keywords of a profile.
 PROFILE_STOPS = (
     "a an the of and or for in on to with by from at as is are was were be been being this that these those it its we our us they their them he she his her not no nor"
-    " but if then than so such can could may might will would shall should do does did have has had having using used use new novel two three one via under over between within"
+    " but if then than so such can could may might will would shall should do does did have has had using used use new novel two three one via under over between within"
     " results result show shows shown study studies paper present presents presented however thus therefore also more most less least very much many few all any both"
     " each other others into out up down about which who whom whose what when where why"
 ).split()
