@@ -86,8 +86,11 @@ BAND = 1.25
 
 def fuzzy_pairs(left: DataFrame, right: DataFrame, similar: bool = True) -> DataFrame:
     """``a``, ``b``, ``rule`` (4 contained, 5 similar), ``ratio`` for pairs that share a significant word."""
+    # Titles with their words are read for each rule and side, so they are kept.
+    shared_folder(left)
+    left, right = (df.select("id", "arxiv_id", "doi", "norm_title").checkpoint() for df in (left, right))
     counts = _ranked_words(left, right)
-    x, y = _with_words(left, counts), _with_words(right, counts)
+    x, y = _with_words(left, counts).checkpoint(), _with_words(right, counts).checkpoint()
     found = _contained(x, y, "a", "b", False).unionByName(_contained(y, x, "b", "a", True)).distinct()
     found = found.select("a", "b", F.lit(4).alias("rule"), F.lit(None).cast("double").alias("ratio"))
     if not similar:
