@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from string import ascii_lowercase, ascii_uppercase
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlit.llm import binary_search, hmm, media, mixing, packing, quality, shuffling, simhash, substrings, templates
+from lumenlit.llm import binary_search, dialogue, hmm, media, merkle, mixing, packing, quality, shuffling, simhash, substrings, templates, token_counts
 from lumenlit.llm.common import documents, salt_of_doc, ship
+from lumenlit.session import spread
 
 ORACLE_SQL: dict[str, str] = {}
 
@@ -141,6 +143,33 @@ SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY distance
 FROM pairs QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY distance, neighbor_id) <= 10
 """
 
+
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    fields = [F.col(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    lowered = F.translate("text", ascii_uppercase, ascii_lowercase)
+    tampered = F.crc32(F.col("doc_id").cast("string")) % 5 == 0
+    leaf = merkle.leaf(*fields, F.col("text"))
+    claim = F.when(tampered, merkle.leaf(*fields, lowered)).otherwise(leaf)
+    leaves = documents(spark, sf_dir).select(F.col("source").alias("tree"), F.col("doc_id").alias("id"), leaf.alias("digest"), claim.alias("claim"))
+    told = merkle.manifest(leaves)
+    return told.select(F.col("id").alias("doc_id"), "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+def op12_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    ship(spark)
+    counts = token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"))
+    return counts.withColumn("over_limit", F.col("n_tokens") > 1024)
+
+
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship(spark)
+    turns = spread(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+    return dialogue.repaired(dialogue.damaged(turns), turns.select("conv_id").distinct())
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_columns": op1_media_columns,
     "op2_hidden_markov_scores": op2_hidden_markov_scores,
@@ -152,4 +181,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mix": op8_source_mix,
     "op10_multi_index_hashing": op10_multi_index_hashing,
     "op9_log_template_lines": op9_log_template_lines,
+    "op11_merkle_manifest": op11_merkle_manifest,
+    "op12_token_counts": op12_token_counts,
+    "op13_conversation_repair": op13_conversation_repair,
 }
