@@ -3,6 +3,7 @@ import random
 import pytest
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
+TURNS = "conv_id long, turn long, role string, text string"
 
 
 def corpus(seed: int = 5, n: int = 60) -> list[tuple]:
@@ -29,16 +30,35 @@ def corpus(seed: int = 5, n: int = 60) -> list[tuple]:
     return rows
 
 
+def dialogues(seed: int = 11, n: int = 120) -> list[tuple]:
+    """Random conversations: odd roles, nulls, repeats, turns with one number, and a long one."""
+    r = random.Random(seed)
+    rows = []
+    for c in range(n):
+        for turn in range(r.randint(1, 9) if c != 5 else 60):
+            role = r.choice(("user", "assistant")) if r.random() < 0.4 else ("user", "assistant")[turn % 2]
+            role = r.choice(("system", "tool", "", None, "User", "ünder")) if r.random() < 0.12 else role
+            text = r.choice(("yes.", "no", "why?", "well\n", " \t", "", "a. b", "ja! \x0b", "é.", None, f"{c} {turn}."))
+            rows.append((c if c != 9 else None, None if r.random() < 0.05 else turn + (turn > 3) * (c % 3), role, text))
+    return rows + [(1000 + i, 0, "user", "all alone.") for i in range(60)]
+
+
 @pytest.fixture(scope="session")
 def rows():
     return corpus()
 
 
 @pytest.fixture(scope="session")
-def sf_dir(spark, rows, tmp_path_factory):
+def turns():
+    return dialogues()
+
+
+@pytest.fixture(scope="session")
+def sf_dir(spark, rows, turns, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("tables"))
     r = random.Random(3)
     spark.createDataFrame(rows, DOCS).repartition(3).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame(turns, TURNS).repartition(3).write.parquet(f"{folder}/conversations.parquet")
     labels = [(i, 0 if i % 10 == 8 else 1, 0) for i in range(60)] + [(None, 1, 0), (3, None, None), (999, 1, 1)]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     vectors = [(i, [r.gauss(0, 1) for _ in range(64)], 0) for i in range(301)] + [(400, None, 0), (None, [1.0] * 64, 0)]
@@ -51,6 +71,7 @@ def sf_dir(spark, rows, tmp_path_factory):
 def empty_dir(spark, tmp_path_factory):
     folder = str(tmp_path_factory.mktemp("empty"))
     spark.createDataFrame([], DOCS).write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([], TURNS).write.parquet(f"{folder}/conversations.parquet")
     spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     spark.createDataFrame([], "vec_id long, embedding array<float>, label int").write.parquet(f"{folder}/embeddings.parquet")
     return folder
