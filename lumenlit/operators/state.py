@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -174,22 +174,47 @@ def set_tags(tags: DataFrame, changes: DataFrame) -> DataFrame:
     return kept.unionByName(changes.where(F.coalesce(F.trim("tags"), F.lit("")) != "").select(*tags.columns))
 
 
-def plan_scan(listing: DataFrame, index: DataFrame, wanted_depth: str) -> DataFrame:
-    """What to do with each file: ``reuse``, ``move``, ``parse`` or ``missing``.
+def settle_early(listing: DataFrame, index: DataFrame, wanted_depth: str) -> DataFrame:
+    """``path``, ``action`` and ``undecided``, from sizes and times alone.
 
-    ``listing`` has path, size, mtime, sha1; ``index`` the same with status and depth. A
-    file whose size and time are as stored is reused if it was read deeply enough; else
-    the newest readable row of the same content is moved to it; else it is parsed.
+    A file whose size and time are as stored is reused (``reuse``) if it was read deeply
+    enough and is to be read again (``deepen``) if it wasn't; rows without a file are
+    ``missing``; all others are to be read (``parse``). What is to be read is undecided
+    until its content is known. ``listing`` has path, size, mtime; ``index`` the same with status and depth.
     """
+    joined = listing.select("path", "size", "mtime").alias("l").join(index.alias("i"), "path", "full_outer")
+    here = F.col("l.size").isNotNull()
+    same = (F.col("l.size") == F.col("i.size")) & (F.col("l.mtime") == F.col("i.mtime")) & F.col("i.status").isin("ok", "notext", "skipped")
     covers = depth_covers(F.col("i.depth"), F.lit(wanted_depth))
-    same = (F.col("l.size") == F.col("i.size")) & (F.col("l.mtime") == F.col("i.mtime")) & F.col("i.status").isin("ok", "notext", "skipped") & covers
-    readable = index.where(F.col("status").isin("ok", "notext") & depth_covers(F.col("depth"), F.lit(wanted_depth)))
-    content = readable.groupBy("sha1").agg(F.max_by("path", F.struct("mtime", "path")).alias("from_path"))
-    joined = listing.alias("l").join(index.alias("i"), "path", "full_outer")
-    here, known = F.col("l.size").isNotNull(), F.col("i.size").isNotNull()
-    state = joined.select("path", F.col("l.sha1").alias("sha1"), F.when(~here, "missing").when(known & same, "reuse").alias("action"))
-    moved = state.join(content, "sha1", "left")
-    return moved.select("path", F.coalesce("action", F.when(F.col("from_path").isNotNull(), "move").otherwise("parse")).alias("action"), F.when(F.col("action").isNull(), F.col("from_path")).alias("from_path"))
+    action = F.when(~here, "missing").when(same & covers, "reuse").when(same, "deepen").otherwise("parse")
+    return joined.select("path", action.alias("action")).withColumn("undecided", F.col("action").isin("deepen", "parse"))
+
+
+def settle_late(early: DataFrame, hashes: DataFrame, index: DataFrame, wanted_depth: str) -> DataFrame:
+    """``path``, ``action``, ``from_path`` and ``sha1``, with the contents of the undecided files.
+
+    ``hashes`` has ``path`` and ``sha1`` of those, null where a file can't be read
+    (``failed``). Of a content's readable rows the one seen last counts: if it was read
+    deeply enough, it is moved (``move``) to the file.
+    """
+    readable = index.where(F.col("status").isin("ok", "notext") & (F.coalesce("sha1", F.lit("")) != ""))
+    newest = readable.groupBy("sha1").agg(F.max_by(F.struct("path", "depth"), F.struct("seen_at", "path")).alias("_row"))
+    known = newest.where(depth_covers(F.col("_row.depth"), F.lit(wanted_depth))).select("sha1", F.col("_row.path").alias("from_path"))
+    told = hashes.select("path", "sha1", F.lit(True).alias("_told")).join(known, "sha1", "left")
+    joined = early.join(told, "path", "left")
+    action = F.when(~F.col("undecided"), F.col("action")).when(F.col("_told") & F.col("sha1").isNull(), "failed").when(F.col("from_path").isNotNull(), "move").otherwise(F.col("action"))
+    return joined.select("path", action.alias("action"), "from_path", "sha1")
+
+
+def plan_scan(listing: DataFrame, index: DataFrame, wanted_depth: str, hashed: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What to do with each file, in two phases: ``reuse``, ``move``, ``deepen``, ``parse``, ``failed`` or ``missing``.
+
+    ``hashed`` gets a table of the ``path`` of the files that sizes and times leave
+    undecided, and returns their ``path`` and ``sha1``; no other file is opened
+    (``files.hash_files`` reads them in the tasks).
+    """
+    early = settle_early(listing, index, wanted_depth)
+    return settle_late(early, hashed(early.where("undecided").select("path")), index, wanted_depth)
 
 
 def mark_missing(index: DataFrame, listing: DataFrame) -> DataFrame:
@@ -199,7 +224,7 @@ def mark_missing(index: DataFrame, listing: DataFrame) -> DataFrame:
 
 
 def scan_stats(plan: DataFrame) -> DataFrame:
-    return plan.agg(F.count(F.lit(1)).alias("total"), *(F.count_if(F.col("action") == a).alias(a) for a in ("reuse", "move", "parse", "missing")))
+    return plan.agg(F.count(F.lit(1)).alias("total"), *(F.count_if(F.col("action") == a).alias(a) for a in ("reuse", "move", "deepen", "parse", "failed", "missing")))
 
 
 def newest_by(df: DataFrame, key: str, order: list) -> DataFrame:

@@ -485,18 +485,47 @@ def digest_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _files(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.col("n_chars").alias("size"), (F.col("doc_id") * 10).alias("mtime"), F.md5("text").alias("sha1"))
-    listing = docs.where("path % 10 <> 9")
-    index = docs.where("path % 10 <> 8").select("path", F.when(F.col("path") % 7 == 0, F.col("size") + 1).otherwise(F.col("size")).alias("size"), "mtime", "sha1", F.when(F.col("path") % 11 == 0, "error").otherwise("ok").alias("status"), F.when(F.col("path") % 4 == 0, "metadata").when(F.col("path") % 4 == 1, "fulltext").otherwise("sections").alias("depth"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), F.col("n_chars").alias("size"), (F.col("doc_id") * 10).alias("mtime"), F.md5("text").alias("sha1"), (F.col("doc_id") * 7 % 1000).alias("seen_at"))
+    listing = docs.where("path % 10 <> 9").drop("seen_at")
+    index = docs.where("path % 10 <> 8").select("path", F.when(F.col("path") % 7 == 0, F.col("size") + 1).otherwise(F.col("size")).alias("size"), "mtime", "sha1", "seen_at", F.when(F.col("path") % 11 == 0, "error").otherwise("ok").alias("status"), F.when(F.col("path") % 4 == 0, "metadata").when(F.col("path") % 4 == 1, "fulltext").otherwise("sections").alias("depth"))
     return listing, index
 
 
-_FILES = "f AS (SELECT doc_id AS path, n_chars AS size, doc_id * 10 AS mtime, md5(text) AS sha1 FROM documents), listing AS (SELECT * FROM f WHERE path % 10 <> 9), idx AS (SELECT path, CASE WHEN path % 7 = 0 THEN size + 1 ELSE size END AS size, mtime, sha1, CASE WHEN path % 11 = 0 THEN 'error' ELSE 'ok' END AS status, path % 4 <> 0 AS covers FROM f WHERE path % 10 <> 8)"
+_FILES = "f AS (SELECT doc_id AS path, n_chars AS size, doc_id * 10 AS mtime, md5(text) AS sha1, doc_id * 7 % 1000 AS seen_at FROM documents), listing AS (SELECT * FROM f WHERE path % 10 <> 9), idx AS (SELECT path, CASE WHEN path % 7 = 0 THEN size + 1 ELSE size END AS size, mtime, sha1, seen_at, CASE WHEN path % 11 = 0 THEN 'error' ELSE 'ok' END AS status, path % 4 <> 0 AS covers FROM f WHERE path % 10 <> 8)"
 
 
-@query(f"WITH {_FILES}, c AS (SELECT sha1, last(path ORDER BY mtime, path) AS from_path FROM idx WHERE status = 'ok' AND covers GROUP BY sha1), j AS (SELECT coalesce(l.path, i.path) AS path, l.sha1, CASE WHEN l.path IS NULL THEN 'missing' WHEN l.size = i.size AND l.mtime = i.mtime AND i.status = 'ok' AND i.covers THEN 'reuse' END AS action FROM listing l FULL JOIN idx i ON l.path = i.path) SELECT path, coalesce(action, CASE WHEN from_path IS NOT NULL THEN 'move' ELSE 'parse' END) AS action, CASE WHEN action IS NULL THEN from_path END AS from_path FROM j LEFT JOIN c ON j.sha1 = c.sha1")
+def _contents(spark: SparkSession, sf_dir: str):
+    """Hashes the contents of the files it is asked for, and of no others; every 23rd can't be read."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("path"), "text")
+    readable = F.when(F.col("path") % 23 != 5, F.md5("text"))
+    return lambda paths: paths.join(docs, "path").select("path", readable.alias("sha1"))
+
+
+_PLAN = f"""{_FILES}, early AS (
+  SELECT coalesce(l.path, i.path) AS path, l.sha1 AS content, CASE WHEN l.path IS NULL THEN 'missing' WHEN l.size = i.size AND l.mtime = i.mtime AND i.status = 'ok' THEN CASE WHEN i.covers THEN 'reuse' ELSE 'deepen' END ELSE 'parse' END AS first
+  FROM listing l FULL JOIN idx i ON l.path = i.path
+), newest AS (SELECT sha1, last(path ORDER BY seen_at, path) AS from_path, last(covers ORDER BY seen_at, path) AS covers FROM idx WHERE status = 'ok' GROUP BY sha1
+), plan AS (
+  SELECT path, CASE WHEN first IN ('missing', 'reuse') THEN first WHEN path % 23 = 5 THEN 'failed' WHEN from_path IS NOT NULL THEN 'move' ELSE first END AS action,
+    CASE WHEN first IN ('deepen', 'parse') AND path % 23 <> 5 THEN from_path END AS from_path, CASE WHEN first IN ('deepen', 'parse') AND path % 23 <> 5 THEN content END AS sha1
+  FROM early LEFT JOIN (SELECT * FROM newest WHERE covers) n ON early.content = n.sha1
+)"""
+
+
+@query(f"WITH {_PLAN} SELECT path, action, from_path, sha1 FROM plan")
 def incremental_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return state.plan_scan(*_files(spark, sf_dir), "sections")
+    return state.plan_scan(*_files(spark, sf_dir), "sections", _contents(spark, sf_dir))
+
+
+@query(f"WITH {_PLAN} SELECT count(*) FILTER (path IN (SELECT path FROM listing)) AS files, count(*) FILTER (first IN ('deepen', 'parse')) AS undecided, count(*) FILTER (first IN ('deepen', 'parse')) AS hashed, coalesce(CAST(sum((SELECT size FROM listing l WHERE l.path = early.path)) FILTER (first IN ('deepen', 'parse')) AS BIGINT), 0) AS bytes FROM early")
+def late_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many files the second phase opens, counted from its own rows, and how many characters those have."""
+    listing, index = _files(spark, sf_dir)
+    early = state.settle_early(listing, index, "sections")
+    hashes = _contents(spark, sf_dir)(early.where("undecided").select("path"))
+    told = early.join(listing.select("path", "size"), "path", "left").join(hashes.select("path", F.lit(1).alias("opened")), "path", "left")
+    opened = F.col("opened").isNotNull()
+    return told.agg(F.count("size").alias("files"), F.count_if("undecided").alias("undecided"), F.count_if(opened).alias("hashed"), F.coalesce(F.sum(F.when(opened, F.col("size"))), F.lit(0)).alias("bytes"))
 
 
 @query(f"WITH {_FILES} SELECT path, CASE WHEN path IN (SELECT path FROM listing) THEN status ELSE 'missing' END AS status FROM idx")

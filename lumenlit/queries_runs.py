@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lumenlit.functions import scoring, text
 from lumenlit.operators import linkage, merging, ranking, reporting, state, tfidf
 from lumenlit.plans import profile, recommend, search
-from lumenlit.queries import _HISTORY, _PAPERS, _PLAIN, AS_OF, STOP, VENUES, _files, _FILES, _history, _now, _profile, _scored, age_sql, candidates, library, norm_sql, papers, query, table
+from lumenlit.queries import _HISTORY, _PAPERS, _PLAIN, AS_OF, STOP, VENUES, _contents, _files, _FILES, _PLAN, _history, _now, _profile, _scored, age_sql, candidates, library, norm_sql, papers, query, table
 from lumenlit.sources import feeds, files
 
 # --- feeds ----------------------------------------------------------------------------
@@ -275,9 +275,9 @@ def rebuild_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return same.unionByName(state.current_index(versioned, 4).select(F.lit("other").alias("version"), "path"))
 
 
-@query(f"WITH {_FILES}, j AS (SELECT coalesce(l.path, i.path) AS path, l.sha1, CASE WHEN l.path IS NULL THEN 'missing' WHEN l.size = i.size AND l.mtime = i.mtime AND i.status = 'ok' AND i.covers THEN 'reuse' WHEN l.sha1 IN (SELECT sha1 FROM idx WHERE status = 'ok' AND covers) THEN 'move' ELSE 'parse' END AS action FROM listing l FULL JOIN idx i ON l.path = i.path) SELECT count(*) AS total, count(*) FILTER (action = 'reuse') AS reuse, count(*) FILTER (action = 'move') AS move, count(*) FILTER (action = 'parse') AS parse, count(*) FILTER (action = 'missing') AS missing FROM j")
+@query(f"WITH {_PLAN} SELECT count(*) AS total, {', '.join(f"count(*) FILTER (action = '{a}') AS {a}" for a in ('reuse', 'move', 'deepen', 'parse', 'failed', 'missing'))} FROM plan")
 def scan_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return state.scan_stats(state.plan_scan(*_files(spark, sf_dir), "sections"))
+    return state.scan_stats(state.plan_scan(*_files(spark, sf_dir), "sections", _contents(spark, sf_dir)))
 
 
 @query("SELECT c_custkey AS key, CASE WHEN c_custkey % 3 = 0 THEN 'kept' ELSE 'asked' END AS value FROM customer")

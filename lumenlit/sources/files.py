@@ -6,16 +6,21 @@ page texts``); it runs in the tasks, a file at a time.
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
-from typing import Any
+from typing import Any, BinaryIO
+from urllib.parse import unquote
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenlit.functions.extract import is_skipped
 from lumenlit.functions.text import clean_text
 from lumenlit.operators import reporting
+from lumenlit.session import spread
 
 # Folders that are never read.
 RUN_FILE = reporting.FILE_NAME
@@ -41,9 +46,40 @@ def scan_enabled(spark: SparkSession, folders: list[dict[str, Any]], skip: bool
     return spark.createDataFrame([], "path string, size long, mtime timestamp") if found is None else found.dropDuplicates(["path"])
 
 
-def with_hash(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """``path``, ``sha1`` of whole files."""
-    return spark.read.format("binaryFile").load(paths).select("path", F.sha1("content").alias("sha1"))
+#: Bytes of a file that a task holds at once.
+BLOCK = 1 << 20
+
+
+def opened(path: str) -> BinaryIO:
+    """A file of any store that Arrow can reach by its address, for reading."""
+    if ":" not in path or path.startswith("file:"):
+        return open("/" + unquote(path.removeprefix("file:").lstrip("/")), "rb")
+    store, inner = pa.fs.FileSystem.from_uri(path)
+    return store.open_input_stream(inner)
+
+
+def hash_files(paths: DataFrame, opener: Callable[[str], BinaryIO] = opened) -> DataFrame:
+    """``path``, ``sha1`` of whole files, null where one can't be read.
+
+    The files are named by a table, so those that another plan has left are opened and no
+    others; tasks read them a block at a time, whatever their size.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            told: list[str | None] = []
+            for path in batch.column(0).to_pylist():
+                try:
+                    digest = hashlib.sha1()
+                    with opener(path) as file:
+                        while block := file.read(BLOCK):
+                            digest.update(block)
+                    told.append(digest.hexdigest())
+                except (OSError, pa.ArrowException):
+                    told.append(None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(told, pa.string())], ["path", "sha1"])
+
+    return spread(paths.select("path")).mapInArrow(work, "path string, sha1 string")
 
 
 def read_pages(files: DataFrame, reader: Callable[[bytes], list[str]]) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from lumenlit import __main__ as command
 from lumenlit.functions import text
-from lumenlit.operators import reporting
+from lumenlit.operators import reporting, state
 from lumenlit.sources import files
 from lumenlit.streaming import announcements
 
@@ -20,10 +20,19 @@ def test_folders_of_papers(spark, tmp_path):
     found = files.scan_enabled(spark, folders)
     assert sorted(r.path.rsplit("/", 1)[1] for r in found.collect()) == ["four.pdf", "one.pdf", "three.pdf", "two.PDF"]
     assert files.scan_enabled(spark, [{"path": "x", "enabled": False}]).count() == 0
+
+
+def test_files_are_hashed_from_a_table_a_block_at_a_time(spark, tmp_path, monkeypatch):
     import hashlib
 
-    paths = [r.path for r in found.collect() if r.path.endswith("one.pdf")]
-    assert files.with_hash(spark, paths).first().sha1 == hashlib.sha1(b"a/one.pdf").hexdigest()
+    monkeypatch.setattr(files, "BLOCK", 3)
+    (tmp_path / "one two.pdf").write_bytes(b"0123456789")
+    (tmp_path / "kept.pdf").write_bytes(b"kept")
+    listed = files.scan_pdfs(spark, [str(tmp_path)])
+    index = listed.where(F.col("path").contains("kept")).select("path", "size", "mtime", F.lit("s").alias("sha1"), F.lit("ok").alias("status"), F.lit("fulltext").alias("depth"), F.lit(1).alias("seen_at"))
+    listing = listed.unionByName(spark.sql("SELECT '/no/such.pdf' AS path, 1L AS size, current_timestamp() AS mtime"))
+    plan = {r.path.rsplit("/", 1)[1].replace("%20", " "): (r.action, r.sha1) for r in state.plan_scan(listing, index, "sections", files.hash_files).collect()}
+    assert plan == {"one two.pdf": ("parse", hashlib.sha1(b"0123456789").hexdigest()), "kept.pdf": ("reuse", None), "such.pdf": ("failed", None)}
 
 
 def test_readers_and_reports(spark, tmp_path):

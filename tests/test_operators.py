@@ -102,12 +102,26 @@ def test_history_rules(spark):
     assert state.fingerprint(None) == "" and len(state.fingerprint({"queries": ["q"]})) == 16
 
 
-def test_scan_plan(spark):
-    listing = spark.createDataFrame([("a", 1, 1, "h1"), ("b", 2, 2, "h2"), ("c", 3, 3, "h3"), ("d", 4, 4, "h9")], "path string, size long, mtime long, sha1 string")
-    index = spark.createDataFrame([("a", 1, 1, "h1", "ok", "sections"), ("old", 2, 1, "h2", "ok", "fulltext"), ("c", 3, 3, "h3", "ok", "metadata")], "path string, size long, mtime long, sha1 string, status string, depth string")
-    plan = {r.path: (r.action, r.from_path) for r in state.plan_scan(listing, index, "sections").collect()}
-    assert plan == {"a": ("reuse", None), "b": ("move", "old"), "c": ("parse", None), "d": ("parse", None), "old": ("missing", None)}
+def test_scan_plan_opens_undecided_files_only(spark):
+    listing = spark.createDataFrame([("a", 1, 1), ("b", 2, 2), ("c", 3, 3), ("d", 4, 4), ("e", 5, 5), ("f", 6, 6), ("g", 7, 7)], "path string, size long, mtime long")
+    rows = [("a", 1, 1, "h1", "ok", "sections", 1), ("old", 2, 1, "h2", "ok", "fulltext", 1), ("c", 3, 3, "h3", "ok", "metadata", 1), ("e", 5, 4, "h5", "ok", "fulltext", 1)]
+    rows += [("x", 9, 9, "h6", "ok", "fulltext", 1), ("y", 9, 9, "h6", "ok", "metadata", 2), ("z", 9, 9, "h9", "error", "fulltext", 3)]
+    index = spark.createDataFrame(rows, "path string, size long, mtime long, sha1 string, status string, depth string, seen_at long")
+    contents, opened = {"b": "h2", "c": "h3", "d": "h9", "e": None, "f": "h6", "g": "h1"}, []
+
+    def hashed(paths):
+        opened.extend(r.path for r in paths.collect())
+        return spark.createDataFrame([(p, contents[p]) for p in opened], "path string, sha1 string")
+
+    plan = {r.path: (r.action, r.from_path) for r in state.plan_scan(listing, index, "sections", hashed).collect()}
+    assert plan == {
+        "a": ("reuse", None), "b": ("move", "old"), "c": ("deepen", None), "d": ("parse", None), "e": ("failed", None),
+        "f": ("parse", None), "g": ("move", "a"), "old": ("missing", None), "x": ("missing", None), "y": ("missing", None), "z": ("missing", None),
+    }  # f: the row of its content that was seen last was read less deeply
+    assert sorted(opened) == ["b", "c", "d", "e", "f", "g"]
     assert {r.path: r.status for r in state.mark_missing(index, listing).collect()}["old"] == "missing"
+    whole = state.plan_scan(listing, index.limit(0), "sections", lambda paths: paths.withColumn("sha1", F.lit("h")))
+    assert {r.action for r in whole.collect()} == {"parse"} and state.scan_stats(whole).first().parse == 7
 
 
 def test_merge_keeps_first_and_longest(spark):
