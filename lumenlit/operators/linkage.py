@@ -4,16 +4,19 @@ Tables have ``id`` (position: the smaller wins), ``arxiv_id``, ``doi`` and ``nor
 (normalised, blank if unknown). The three equal-key rules are left joins with the first
 library row of each key; the fuzzy rules compare only titles that share a word of five
 letters or more. A contained title brings only its rarest inner word, which any title that
-contains it has; similar ones meet by word and band of length. Titles travel with the
-word, a pair comes from its rarest common word alone, and every cheap bound comes before
-the ratio's Arrow UDF.
+contains it has; similar ones meet by word and band of length, those of a hot word only
+where their characters allow the ratio. A pair comes from its rarest common word alone,
+and every cheap bound comes before the ratio's Arrow UDF.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -82,6 +85,78 @@ def _contained(short: DataFrame, long: DataFrame, a: str, b: str, strictly: bool
 
 #: Letters in a band of length; similar titles lie in the same or in neighbouring bands of their own width.
 BAND = 1.25
+#: Pairs of a word and band up to which Spark joins its titles; beyond, they are compared in blocks of so many titles.
+JOINED, BLOCK = 20_000, 2_048
+#: Characters are counted in so many kinds.
+KINDS = 64
+
+
+def word_pairs(x: DataFrame, y: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Titles that share a word and a band of length, as rows of both (``x``, ``y``, ``token``), those of hot words apart.
+
+    Titles of a word and band that make few pairs are joined. Where a word is hot its titles
+    are cut into blocks, and every two blocks are compared in a task by how often their
+    titles have each character: those counts alone bound the ratio, as no character can be
+    matched more often than both have it. Only pairs that pass leave the task, so a word
+    that all titles have costs a product of two small matrices for two blocks, and no row.
+    """
+    # Similar titles differ in length by less than BAND, so each meets its own band and the next ones.
+    band = F.floor(F.log(F.greatest(F.length("norm_title"), F.lit(1))) / F.log(F.lit(BAND))).cast("int")
+    p = x.withColumn("band", F.explode(F.array(band - 1, band, band + 1))).withColumn("token", F.explode("words"))
+    q = y.withColumn("band", band).withColumn("token", F.explode("words"))
+    sizes = p.groupBy("token", "band").agg(F.count(F.lit(1)).alias("m")).join(q.groupBy("token", "band").agg(F.count(F.lit(1)).alias("n")), ["token", "band"])
+    hot = F.col("m") * F.col("n") > JOINED
+    few = p.join(sizes.where(~hot).select("token", "band"), ["token", "band"]).alias("x").join(q.withColumnRenamed("token", "_token").withColumnRenamed("band", "_band").alias("y"), (F.col("token") == F.col("_token")) & (F.col("band") == F.col("_band")))
+    pairs = hot_pairs(p, q, sizes.where(hot))
+    return few, pairs.join(x.alias("x"), F.col("a") == F.col("x.id")).join(y.alias("y"), F.col("b") == F.col("y.id"))
+
+
+def hot_pairs(p: DataFrame, q: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Pairs of the words and bands of ``sizes`` (with ``m`` and ``n`` titles) whose characters allow the ratio."""
+    blocks = lambda n: F.ceil(F.col(n) / BLOCK).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
+    own = lambda n: F.pmod(F.xxhash64("id"), blocks(n)).cast("int")
+    spread_ = lambda df: df.join(sizes, ["token", "band"])
+    left = spread_(p).withColumn("i", own("m")).select("token", "band", "i", each("n").alias("j"), F.lit(0).alias("side"), "id", "norm_title")
+    right = spread_(q).withColumn("j", own("n")).select("token", "band", each("m").alias("i"), "j", F.lit(1).alias("side"), "id", "norm_title")
+    cell = ["token", "band", "i", "j"]
+    met = left.unionByName(right.select(left.columns)).repartition(*cell).sortWithinPartitions(*cell, "side")
+    kind = p.schema["id"].dataType.simpleString()
+    kinds, close, close_short, short_title = KINDS, CLOSE, CLOSE_SHORT, SHORT_TITLE
+
+    def unary(titles: list[str], most: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """A row of noughts and ones for each title: its first, second, ... character of each kind."""
+        size = np.fromiter(map(len, titles), np.int64, len(titles))
+        codes = np.frombuffer("".join(titles).encode("utf-32-le"), np.uint32) % kinds
+        counts = np.bincount(np.repeat(np.arange(len(titles)), size) * kinds + codes, minlength=len(titles) * kinds).reshape(-1, kinds)
+        most = counts.max(axis=0) if most is None else most
+        return np.concatenate([counts[:, k : k + 1] > np.arange(n) for k, n in enumerate(most)], axis=1).astype(np.float32), size, most
+
+    def compared(now: tuple, first: list, second: list) -> pa.RecordBatch:
+        u, m, most = unary([t for _, t in first])
+        v, n, _ = unary([t for _, t in second], most)
+        total = m[:, None] + n[None, :]
+        least = np.where(m < short_title, close_short, close)[:, None]
+        i, j = np.nonzero(2.0 * (u @ v.T) + 1e-3 >= least * total)
+        columns = [pa.array([first[k][0] for k in i]), pa.array([second[k][0] for k in j]), pa.array([now[0]] * len(i), pa.string())]
+        return pa.RecordBatch.from_arrays([columns[0].cast(types[0]), columns[1].cast(types[0]), columns[2]], ["a", "b", "token"])
+
+    types: list[pa.DataType] = []
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, ([], [])
+        for batch in batches:
+            types[:] = [batch.column("id").type]
+            for token, band, i, j, side, id_, title in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if now != (token, band, i, j):
+                    if held[0] and held[1]:
+                        yield compared(now, *held)
+                    now, held = (token, band, i, j), ([], [])
+                held[side].append((id_, title))
+        if held[0] and held[1]:
+            yield compared(now, *held)
+
+    return met.mapInArrow(work, f"a {kind}, b {kind}, token string")
 
 
 def fuzzy_pairs(left: DataFrame, right: DataFrame, similar: bool = True) -> DataFrame:
@@ -95,21 +170,17 @@ def fuzzy_pairs(left: DataFrame, right: DataFrame, similar: bool = True) -> Data
     found = found.select("a", "b", F.lit(4).alias("rule"), F.lit(None).cast("double").alias("ratio"))
     if not similar:
         return found
-    # Similar titles differ in length by less than BAND, so each meets its own band and the next ones.
-    band = F.floor(F.log(F.greatest(F.length("norm_title"), F.lit(1))) / F.log(F.lit(BAND))).cast("int")
-    p = x.withColumn("band", F.explode(F.array(band - 1, band, band + 1))).withColumn("token", F.explode("words")).alias("x")
-    q = y.withColumn("band", band).withColumn("token", F.explode("words")).alias("y")
     t, u = F.col("x.norm_title"), F.col("y.norm_title")
     short, long = F.when(F.length(t) <= F.length(u), t).otherwise(u), F.when(F.length(t) <= F.length(u), u).otherwise(t)
     limit = F.when(F.length(t) < SHORT_TITLE, CLOSE_SHORT).otherwise(CLOSE)
     # No ratio can pass twice the shorter length over both lengths.
     bound = 2.0 * F.length(short) / (F.length(t) + F.length(u))
-    rarest = F.col("x.token") == F.get(F.array_intersect("x.words", "y.words"), 0)
-    meet = p.join(q, (F.col("x.token") == F.col("y.token")) & (F.col("x.band") == F.col("y.band"))).where(rarest & ~conflict("x", "y"))
+    rarest = F.col("token") == F.get(F.array_intersect("x.words", "y.words"), 0)
     # Another part of a series isn't contained, but may still be similar.
     inside = (F.instr(long, short) > 0) & (F.length(short) >= CONTAINED_LENGTH) & ~is_series(short, long)
-    near = meet.where((F.abs(F.length(t) - F.length(u)) <= F.greatest(F.lit(20.0), 0.35 * F.length(t))) & (bound >= limit) & ~inside)
-    scored = near.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), limit.alias("limit"), title_ratio(t, u).alias("ratio")).where("ratio >= limit")
+    near = rarest & ~conflict("x", "y") & (F.abs(F.length(t) - F.length(u)) <= F.greatest(F.lit(20.0), 0.35 * F.length(t))) & (bound >= limit) & ~inside
+    few, hot = (pairs.where(near).select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), limit.alias("limit"), t.alias("t"), u.alias("u")) for pairs in word_pairs(x, y))
+    scored = few.unionByName(hot).select("a", "b", "limit", title_ratio(F.col("t"), F.col("u")).alias("ratio")).where("ratio >= limit")
     return found.unionByName(scored.select("a", "b", F.lit(5).alias("rule"), "ratio"))
 
 

@@ -4,6 +4,7 @@ import random
 from collections import Counter
 from difflib import SequenceMatcher
 
+import pytest
 from pyspark.sql import functions as F
 
 from lumenlit.functions import scoring
@@ -205,7 +206,10 @@ def test_first_wins_in_order(spark):
     assert linkage.first_wins(df.limit(0), ["a", "t"], "n").count() == 0
 
 
-def test_fuzzy_pairs_against_all_pairs(spark):
+@pytest.mark.parametrize("joined", [0, 20_000])
+def test_fuzzy_pairs_against_all_pairs(spark, monkeypatch, joined):
+    monkeypatch.setattr(linkage, "JOINED", joined)  # 0: every word is hot
+    monkeypatch.setattr(linkage, "BLOCK", 7)
     r = random.Random(9)
     vocabulary = ["quantum", "lattice", "spin", "of", "the", "models", "frustrated", "magnets", "dynamics", "in", "two", "dimensions", "part", "ii", "networks", "tensor"]
     titles = [" ".join(r.choice(vocabulary) for _ in range(r.randint(2, 11))) for _ in range(70)]
@@ -230,6 +234,26 @@ def test_fuzzy_pairs_against_all_pairs(spark):
     assert got == want and set(want.values()) == {4, 5} and len(want) > 8
 
 
+def test_a_word_of_all_titles_makes_few_pairs(spark, monkeypatch):
+    """Titles that all share one word: the similar ones are found, and few others leave the blocks."""
+    r = random.Random(3)
+    say = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(60))
+    counts = []
+    monkeypatch.setattr(linkage, "JOINED", 0)
+    for n in (600, 1200, 2400):
+        titles = [f"lattice {' '.join(say().split())} é{chr(0x1F600 + i % 3)}" for i in range(n)]
+        titles += [t[:30] + "x" + t[31:] for t in titles[: n // 10]]
+        rows = papers(spark, [(i, "", "", t) for i, t in enumerate(titles)]).withColumn("words", F.array(F.lit("lattice")))
+        few, hot = linkage.word_pairs(rows, rows)
+        assert few.count() == 0
+        pairs = hot.select("a", "b").distinct().collect()
+        counts.append(len(pairs))
+        assert {(i, n + i) for i in range(n // 10)} <= {(p.a, p.b) for p in pairs}
+        # Of n * n pairs the copies and each title with itself are left, and a handful more.
+        assert len(pairs) <= 1.5 * len(titles) + 50
+    assert counts[2] < 2.3 * counts[1] < 5.3 * counts[0]
+
+
 def test_explanations_reach_unknown_papers(spark):
     old = spark.createDataFrame([("a", 1, 0.5, False, "", "", "", "T", "r1", None, None)], "arxiv_id string, times int, best_score double, analyzed boolean, summary string, ideas string, profile_fp string, title string, report string, first_at timestamp, last_at timestamp")
     new = spark.createDataFrame([("a", "x", "r2", "why", "i", "fp"), ("b", "New", "r2", "because", "", "fp"), (" ", "", "", "z", "", "")], "arxiv_id string, title string, report string, summary string, ideas string, profile_fp string")
