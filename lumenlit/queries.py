@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenlit.functions import extract, scoring, text
-from lumenlit.operators import linkage, merging, ranking, reporting, state, tfidf
+from lumenlit.operators import linkage, merging, nearest, ranking, reporting, state, tfidf
 from lumenlit.plans import profile, recommend, search
 from lumenlit.session import spread
 from lumenlit.sources import feeds
@@ -267,7 +267,7 @@ def top_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 def related_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = _abstract_counts(spark, sf_dir)
     weights = tfidf.fitted(counts, table(spark, sf_dir, "documents").count(), tfidf.RELATED).transform(counts)
-    return tfidf.related(weights.where("doc % 100 = 0"), weights).select(F.col("doc").alias("id"), "neighbor", "similarity", "rank")
+    return nearest.nearest(weights.where("doc % 100 = 0"), weights).select(F.col("doc").alias("id"), "neighbor", "similarity", "rank")
 
 
 @query(f"WITH {_PAPERS}, w AS (SELECT DISTINCT id, t FROM (SELECT id, unnest(string_split({norm_sql('title')}, ' ')) AS t FROM papers) WHERE length(t) >= 4), p AS (SELECT a.id, b.id AS neighbor, count(*) AS shared FROM w a JOIN w b ON a.t = b.t AND a.id % 100 = 0 AND a.id <> b.id GROUP BY a.id, b.id) SELECT id, neighbor, shared, CAST(row_number() OVER (PARTITION BY id ORDER BY shared DESC, neighbor) AS INT) AS rank FROM p QUALIFY rank <= 8")

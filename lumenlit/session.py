@@ -1,8 +1,18 @@
-"""Reading tables so that the work spreads over the cluster."""
+"""Reading tables so that the work spreads over the cluster, and letting its Python workers import this package."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import os
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def ship(spark: SparkSession) -> None:
+    """Let Python workers import this package from the folder it was loaded from."""
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    env = spark.sparkContext.environment
+    if root not in env.get("PYTHONPATH", "").split(os.pathsep):
+        env["PYTHONPATH"] = os.pathsep.join(filter(None, [root, env.get("PYTHONPATH", "")]))
 
 
 def spread(df: DataFrame) -> DataFrame:

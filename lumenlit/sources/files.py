@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from lumenlit.functions.extract import is_skipped
 from lumenlit.functions.text import clean_text
 from lumenlit.operators import reporting
-from lumenlit.session import spread
+from lumenlit.session import ship, spread
 
 # Folders that are never read.
 RUN_FILE = reporting.FILE_NAME
@@ -79,6 +79,7 @@ def hash_files(paths: DataFrame, opener: Callable[[str], BinaryIO] = opened) ->
                     told.append(None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(told, pa.string())], ["path", "sha1"])
 
+    ship(paths.sparkSession)
     return spread(paths.select("path")).mapInArrow(work, "path string, sha1 string")
 
 

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenlit.functions import scoring
-from lumenlit.operators import linkage, merging, ranking, reporting, state, tfidf
+from lumenlit.operators import linkage, merging, nearest, ranking, reporting, state, tfidf
 from lumenlit.plans import profile, recommend, search
 from lumenlit.sources import feeds, files
 
@@ -355,3 +355,25 @@ def test_judged_relevance_and_prefilters(spark):
     out = {r.id: r for r in run.plan("scored").collect()}
     assert out[3].relevance == 0.99 and out[3].relevance_reason == "good" and out[4].relevance == 0.0 and out[5].relevance_reason == scoring.HEURISTIC_REASON
     assert sum(r.enriched for r in out.values()) == 5 and run.for_judge().count() == 4
+
+
+def test_bounds_lose_no_neighbour_and_spare_most_postings(spark):
+    """Skewed terms, groups of like rows, ties and equal rows: the rows of the plain join, from far fewer postings."""
+    r = random.Random(12)
+    word = lambda: f"t{int(r.paretovariate(0.5))}"
+    texts = []
+    for _ in range(100):
+        own = [word() for _ in range(30)]
+        texts += [" ".join(w if r.random() < 0.8 else word() for w in own) for _ in range(6)]
+    texts += texts[:40]  # equal rows
+    df = spark.createDataFrame(list(enumerate(texts)), "doc long, text string")
+    counts = df.select("doc", F.explode(F.split("text", " ")).alias("term")).groupBy("doc", "term").agg(F.count(F.lit(1)).alias("n"))
+    weights = tfidf.fit(counts, len(texts)).transform(counts).checkpoint()
+    some = weights.where("doc % 10 = 0").unionByName(spark.createDataFrame([(5000, "nowhere", 1.0)], "doc long, term string, w double"))
+    want = Counter(map(tuple, tfidf.related(some, weights, 5).select("doc", "neighbor", "rank", "similarity").collect()))
+    for block in (50, 10_000):
+        assert Counter(map(tuple, nearest.nearest(some, weights, 5, block).select("doc", "neighbor", "rank", "similarity").collect())) == want
+    told = nearest.searched(some, weights, 5, 100).agg(F.sum("read").alias("read"), F.sum("postings").alias("postings")).first()
+    plain = some.join(weights.select("term"), "term").count()
+    assert told.postings == plain and told.read < plain / 2
+    assert nearest.nearest(some.limit(0), weights).count() == 0 and nearest.nearest(some, weights.limit(0)).count() == 0
