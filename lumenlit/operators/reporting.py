@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -192,23 +193,71 @@ def ordinals(df: DataFrame, label: str, order: str) -> DataFrame:
     return df.withColumn("unique_label", F.when(n == 1, F.col(label)).otherwise(F.concat(F.col(label), F.lit(" #"), n.cast("string"))))
 
 
-#: Known labels that are sent to the tasks at once.
-LABELS = 10_000
+#: Known labels in an automaton, and letters of the pieces by which labels inside known ones are found.
+LABELS, PIECE = 200_000, 4
 
 
-def repaired_labels(relations: DataFrame, labels: DataFrame) -> DataFrame:
-    """Relations (``id``, ``label``) whose label is known, or contains or lies in a known one (the longest wins).
+def _longest_inside(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """``label``, ``known``: the longest known label that a label contains.
 
-    Known labels are sent in blocks of bounded size, each of which gives its best for a relation.
+    Known labels are cut into blocks, each of which a task makes into an Aho-Corasick
+    automaton; labels are streamed past every block and read once there, whatever it holds.
     """
-    known = labels.select(F.col("label").alias("known")).where("known <> ''").distinct()
     blocks = max(1, -(-known.count() // LABELS))
+    held = known.select(F.pmod(F.xxhash64("known"), F.lit(blocks)).alias("block"), F.lit(0).alias("asked"), F.col("known").alias("text"))
+    each = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block")
+    # A block and its share of the labels is one group; the labels of few blocks are dealt out, with the block to each share.
+    shares = max(1, asked.sparkSession.sparkContext.defaultParallelism // blocks)
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(shares - 1).cast("long"))).alias("share")
+    met = held.select("block", every, "asked", "text").unionByName(asked.select(each, F.pmod(F.xxhash64("label"), F.lit(shares)).alias("share"), F.lit(1).alias("asked"), F.col("label").alias("text")))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        now, automaton = None, None
+        for batch in batches:
+            labels, found = [], []
+            for *place, asked, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if place != now:
+                    now, automaton = place, ahocorasick.Automaton(ahocorasick.STORE_ANY)
+                if not asked:
+                    automaton.add_word(text, text)
+                    continue
+                if automaton.kind == ahocorasick.TRIE:
+                    automaton.make_automaton()
+                inside = max(((len(k), k) for _, k in automaton.iter(text)), default=None) if automaton.kind == ahocorasick.AHOCORASICK else None
+                if inside:
+                    labels.append(text)
+                    found.append(inside[1])
+            yield pa.RecordBatch.from_arrays([pa.array(labels, pa.string()), pa.array(found, pa.string())], ["label", "known"])
+
+    return met.repartition("block", "share").sortWithinPartitions("block", "share", "asked").mapInArrow(search, "label string, known string")
+
+
+def _longest_around(asked: DataFrame, known: DataFrame) -> DataFrame:
+    """``label``, ``known``: the longest known label that a label lies in.
+
+    Known labels are indexed by their pieces of up to ``PIECE`` letters. A label that short
+    is a piece itself, whose longest known label is an aggregate; a longer one meets the
+    known labels that have the rarest of its pieces, and none if one of them has no known label.
+    """
+    pieces = lambda c, n: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - n + 1, F.lit(1))), lambda i: F.substring(c, i, F.lit(n))))
+    whole = known.select("known", F.explode(pieces(F.col("known"), PIECE)).alias("piece"))
+    short = known.select("known", F.explode(F.array_distinct(F.flatten(F.array(*(pieces(F.col("known"), n) for n in range(1, PIECE)))))).alias("piece"))
+    longest = whole.unionByName(short).groupBy("piece").agg(F.max_by("known", F.struct(F.length("known"), "known")).alias("known"))
+    few = asked.where(F.length("label") <= PIECE).join(longest, F.col("label") == F.col("piece")).select("label", "known")
+    counts = whole.groupBy("piece").agg(F.count(F.lit(1)).alias("n"))
+    own = asked.where(F.length("label") > PIECE).select("label", F.explode(pieces(F.col("label"), PIECE)).alias("piece")).join(counts, "piece", "left")
+    rarest = own.groupBy("label").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "piece")).alias("least")).where("least.n > 0").select("label", F.col("least.piece").alias("piece"))
+    met = rarest.join(whole, "piece").where(F.contains("known", "label"))
+    return few.unionByName(met.groupBy("label").agg(F.max_by("known", F.struct(F.length("known"), "known")).alias("known")))
+
+
+def repaired_labels(relations: DataFrame, labels: DataFrame) -> DataFrame:
+    """Relations (``id``, ``label``) whose label is known, or contains or lies in a known one (the longest wins)."""
+    known = labels.select(F.col("label").alias("known")).where("known <> ''").distinct()
+    asked = relations.where("label <> ''").select("label").distinct()
     a, b = F.col("label"), F.col("known")
     best = F.max_by("known", F.struct((a == b).alias("same"), F.length(b).alias("n"), b.alias("k")))
-    found = None
-    for i in range(blocks):
-        own = known.where(F.pmod(F.xxhash64("known"), F.lit(blocks)) == i)
-        near = relations.where("label <> ''").select("id", "label").distinct().join(F.broadcast(own), (a == b) | F.contains(a, b) | F.contains(b, a))
-        part = near.groupBy("id", "label").agg(best.alias("known"))
-        found = part if found is None else found.unionByName(part)
-    return relations.join(found.groupBy("id", "label").agg(best.alias("known")), ["id", "label"])
+    found = _longest_inside(asked, known).unionByName(_longest_around(asked, known)).groupBy("label").agg(best.alias("known"))
+    return relations.join(found, "label").select("id", "label", "known", *(c for c in relations.columns if c not in ("id", "label")))

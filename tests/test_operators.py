@@ -377,3 +377,21 @@ def test_bounds_lose_no_neighbour_and_spare_most_postings(spark):
     plain = some.join(weights.select("term"), "term").count()
     assert told.postings == plain and told.read < plain / 2
     assert nearest.nearest(some.limit(0), weights).count() == 0 and nearest.nearest(some, weights.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("block", [5, 200_000])
+def test_labels_are_repaired_by_the_longest(spark, monkeypatch, block):
+    monkeypatch.setattr(reporting, "LABELS", block)
+    r = random.Random(6)
+    word = lambda n: "".join(r.choice("abcé😀") for _ in range(n))
+    known = {word(r.randint(1, 12)) for _ in range(60)} | {""}
+    asked = [(i, r.choice((word(r.randint(0, 14)), r.choice(sorted(known)), word(2) + r.choice(sorted(known)), r.choice(sorted(known))[1:7]))) for i in range(400)]
+    want = {}
+    for i, label in asked:
+        found = [k for k in known if k and label and (k in label or label in k)]
+        if found:
+            want[i, label] = max(found, key=lambda k: (k == label, len(k), k.encode()))
+    df = reporting.repaired_labels(spark.createDataFrame([*asked, (900, None)], "id int, label string"), spark.createDataFrame([(k,) for k in sorted(known)] * 2, "label string"))
+    assert {(x.id, x.label): x.known for x in df.collect()} == want and len(want) > 200
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan and "CartesianProduct" not in plan
