@@ -705,4 +705,4 @@ def lookup_by_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return search.by_ids(df, df.where("id % 50 = 0 and arxiv_id <> ''")).select("id")
 
 
-from lumenlit import queries_runs, queries_text  # noqa: E402, F401  (they register themselves)
+from lumenlit import queries_runs, queries_text, queries_time  # noqa: E402, F401  (they register themselves)
