@@ -61,7 +61,7 @@ NOISE = (
 UNTITLED = r"(?i)^(?:untitled|microsoft word|document\d*|pdf|scan|img|-\s*\d|new doc)"
 FILE_ENDING = r"(?i)\.(?:pdf|docx?|tex|dvi)$"
 TITLE_CUT = (
-    r"\s+(?:Authors?\s*:|AUTHORS\s*:)|\s+(?:ABSTRACT|Abstract)\s|\s+\d+\s*(?:Department|Institute|Institut|Laborator|Centre|Center|College|School|Universit|Academy|State\s+Key)\b"
+    r"\s+(?:Authors?\s*:|AUTHORS\s*:)|\s+(?:ABSTRACT|Abstract|ABSTRACT\s*:)\s|\s+\d+\s*(?:Department|Institute|Institut|Laborator|Centre|Center|College|School|Universit|Academy|State\s+Key)\b"
     r"|\s+[A-Z][A-Za-z'\-]*(?:\s+[A-Z]\.?)?\s+[A-Z][A-Za-z'\-]+\s*[*†‡§¶∗]\s*,"
 )
 # Matter before an abstract that isn't a name, and what ends an abstract.

@@ -7,9 +7,11 @@ plain ASCII.
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
 from collections.abc import Callable
+from html.entities import html5
 
 import pandas as pd
 from pyspark.sql import Column
@@ -143,6 +145,47 @@ def distinct_ignoring_case(c: Column) -> Column:
     return F.transform(F.array_sort(F.transform(first, lambda e: F.struct(e["i"].alias("i"), e["x"].alias("x")))), lambda e: e["x"])
 
 
+def _character(code: Column) -> Column:
+    """The character of a number as a web page means it: Windows's where a control code is meant, nothing for no character."""
+    windows = {i: bytes([i]).decode("cp1252", "replace") for i in range(0x80, 0xA0)}
+    meant = F.from_json(F.lit(json.dumps({str(i): c if c != "\ufffd" else chr(i) for i, c in windows.items()} | {"0": "\ufffd", "13": "\r"})), "map<string,string>")
+    low, plane = code % 0x10000, F.hex(code)
+    none = ((code < 0x20) & ~code.isin(9, 10, 12)) | code.between(0x7F, 0x9F) | code.between(0xFDD0, 0xFDEF) | low.isin(0xFFFE, 0xFFFF)
+    short, long = F.decode(F.unhex(F.lpad(plane, 4, "0")), "UTF-16BE"), F.decode(F.unhex(F.lpad(plane, 8, "0")), "UTF-32")
+    bad = code.isNull() | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF)
+    return F.when(bad, "\ufffd").when((code < 0xA0) & F.try_element_at(meant, code.cast("string")).isNotNull(), F.try_element_at(meant, code.cast("string"))).when(none, "").when(code < 0x10000, short).otherwise(long)
+
+
+def unescape(c: Column) -> Column:
+    """A text with its HTML entities resolved once: by name, with or without semicolon, and by number.
+
+    The text is cut at ``&`` and each part's beginning looked up; the names are those of
+    the standard library's table, which is one constant of the plan.
+    """
+    names = F.from_json(F.lit(json.dumps(html5)), "map<string,string>")
+    # Names that need no semicolon may be the beginning of a longer word; the longest one counts.
+    open_names = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
+
+    def resolved(part: Column) -> Column:
+        number = F.regexp_extract(part, r"^#([0-9]+|[xX][0-9a-fA-F]+);?", 0)
+        digits = F.regexp_replace(number, "[#;]", "")
+        code = F.when(F.lower(digits).startswith("x"), F.conv(F.substring(digits, 2, 1 << 20), 16, 10)).otherwise(digits).try_cast("long")
+        name = F.regexp_extract(part, r"^[^\t\n\f <&#;]{1,32};?", 0)
+        begin = F.regexp_extract(part, f"^(?:{open_names})", 0)
+        after = lambda x: F.substring(part, F.length(x) + 1, F.length(part))
+        whole = F.try_element_at(names, name)
+        return (
+            F.when(number != "", F.concat(_character(code), after(number)))
+            .when((name != "") & whole.isNotNull(), F.concat(whole, after(name)))
+            .when(begin != "", F.concat(F.try_element_at(names, begin), after(begin)))
+            .otherwise(F.concat(F.lit("&"), part))
+        )
+
+    parts = F.split(c, "&")
+    rest = F.array_join(F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(1))), resolved), "")
+    return F.when(c.contains("&"), F.concat(F.get(parts, 0), rest)).otherwise(c)
+
+
 def int_or_null(c: Column) -> Column:
     """A whole number in a text, else null ("3.0" counts, "3.5" and "true" don't)."""
     number = c.try_cast("double")

@@ -29,13 +29,28 @@ def keywords(library: DataFrame, doc_id: str, text: Column, stop: list[str] | No
     return tfidf.top_terms(tfidf.fitted(counts, library.count(), config).transform(counts), n, n // 2)
 
 
+# The lists that give queries, in order, and how many words a query has at most.
+TERM_LISTS, QUERY_WORDS = ("queries", "keywords", "methods", "topics"), 6
+
+
 def queries_from_terms(groups: list[list[str]], limit: int) -> list[str]:
-    """Distinct terms with ASCII letters and six words at most, group after group."""
+    """Distinct terms with ASCII letters, cut to six words, group after group; one at least where there is any."""
     seen: dict[str, str] = {}
-    for term in (t.strip() for g in groups for t in g):
-        if any(c.isascii() and c.isalpha() for c in term) and len(term.split()) <= 6:
-            seen.setdefault(term.lower(), term)
-    return list(seen.values())[:limit]
+    for term in (str(t).strip() for g in groups for t in g):
+        if any(c.isascii() and c.isalpha() for c in term):
+            words = term.split()
+            cut = " ".join(words[:QUERY_WORDS]) if len(words) > QUERY_WORDS else term
+            seen.setdefault(cut.lower(), cut)
+    return list(seen.values())[: max(1, limit)]
+
+
+def term_queries(profiles: DataFrame, limit: int) -> Column:
+    """The same of profiles as rows, whose columns are ``TERM_LISTS`` (arrays of texts, nulls allowed)."""
+    every = F.concat(*(F.coalesce(F.col(c), F.array().cast("array<string>")) for c in TERM_LISTS))
+    english = F.filter(F.transform(every, lambda t: F.regexp_replace(t, r"^\s+|\s+$", "")), lambda t: t.rlike("[A-Za-z]"))
+    words = lambda t: F.split(t, r"\s+")
+    cut = F.transform(english, lambda t: F.when(F.size(words(t)) > QUERY_WORDS, F.array_join(F.slice(words(t), 1, QUERY_WORDS), " ")).otherwise(t))
+    return F.slice(distinct_ignoring_case(cut), 1, max(1, limit))
 
 
 def chosen_queries(manual: list[str], from_model: list[str], from_terms: list[str], limit: int) -> tuple[list[str], str]:
@@ -81,11 +96,14 @@ def decided(model: Mapping[str, Any] | None, heuristic: Mapping[str, Any], manua
     if not data.get("queries") and not data.get("keywords"):
         data, source = dict(heuristic), "heuristic"
     elif not data.get("queries"):
-        data["queries"] = queries_from_terms([list(data.get(k) or []) for k in ("keywords", "topics", "methods")], limit)
+        data["queries"] = queries_from_terms([list(data.get(k) or []) for k in TERM_LISTS], limit)
         source = "ai+terms"
         if not data["queries"]:
             data, source = dict(heuristic), "heuristic"
     given = [q for q in manual if q and q.strip()]
     queries = given or [str(q) for q in data.get("queries") or [] if q]
-    once = list({q.strip().lower(): q.strip() for q in reversed(queries) if q.strip()}.values())[::-1]
-    return data | {"queries": once[: max(limit, len(given))], "generated_by": source + ("+manual" if given else "")}
+    once: dict[str, str] = {}
+    for q in queries:
+        if q.strip():
+            once.setdefault(q.strip().lower(), q.strip())
+    return data | {"queries": list(once.values())[: max(limit, len(given))], "generated_by": source + ("+manual" if given else "")}

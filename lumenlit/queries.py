@@ -445,7 +445,10 @@ def history_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
 _UPSERT = _HISTORY.replace("FROM h GROUP BY", """FROM h WHERE "at" < TIMESTAMP '2000-01-01' GROUP BY""") + """, b AS (SELECT * FROM h WHERE "at" >= TIMESTAMP '2000-01-01' QUALIFY row_number() OVER (PARTITION BY arxiv_id ORDER BY "at" DESC, report DESC) = 1)"""
 
 
-@query(f"""WITH {_UPSERT} SELECT coalesce(o.arxiv_id, b.arxiv_id) AS arxiv_id, coalesce(o.first_at, b."at") AS first_at, coalesce(b."at", o.last_at) AS last_at, coalesce(o.times, 0) + CAST(b.arxiv_id IS NOT NULL AS INT) AS times, greatest(o.best_score, b.score) AS best_score, coalesce(b.report, o.report) AS report, coalesce(o.analyzed, false) OR coalesce(b.analyzed, false) AS analyzed, CASE WHEN coalesce(b.analyzed, false) OR o.arxiv_id IS NULL THEN b.summary ELSE o.summary END AS summary FROM hist o FULL JOIN b ON o.arxiv_id = b.arxiv_id""")
+_UPSERTED = f"""WITH {_UPSERT} SELECT coalesce(o.arxiv_id, b.arxiv_id) AS arxiv_id, coalesce(o.first_at, b."at") AS first_at, coalesce(b."at", o.last_at) AS last_at, coalesce(o.times, 0) + CAST(b.arxiv_id IS NOT NULL AS INT) AS times, greatest(o.best_score, b.score) AS best_score, coalesce(b.report, o.report) AS report, coalesce(o.analyzed, false) OR coalesce(b.analyzed, false) AS analyzed, CASE WHEN coalesce(b.analyzed, false) OR o.arxiv_id IS NULL THEN b.summary ELSE o.summary END AS summary FROM hist o FULL JOIN b ON o.arxiv_id = b.arxiv_id"""
+
+
+@query(_UPSERTED)
 def history_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = _history(spark, sf_dir)
     blank = {c: F.lit("") for c in ("title", "ideas", "authors", "published", "journal", "categories", "profile_fp")} | {"citations": F.lit(None).cast("int")}

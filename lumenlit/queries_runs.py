@@ -48,7 +48,7 @@ def parse_atom_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _rss(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _plain(spark, sf_dir).where("arxiv_id <> ''")
     item = F.concat(
-        F.lit("<item><title>"), _xml("title"), F.lit("</title><link>https://arxiv.org/abs/"), "arxiv_id", F.lit("</link><description>arXiv:1 Announce Type: new Abstract: of "), "source",
+        F.lit("<item><title>"), _xml("title"), F.lit("</title><link>https://arxiv.org/abs/"), "arxiv_id", F.lit("</link><description>arXiv:1 Announce Type: new Abstract: of "), "source", F.lit(" caf&amp;eacute; &amp;ndash; &amp;#233; &amp;#x27;q&amp;#x27; &amp;notit; &amp;amp;lt; &amp;unknown;"),
         F.lit("</description><category>"), "category", F.lit("</category><pubDate>"), F.coalesce(F.date_format("published", "EEE, dd MMM yyyy HH:mm:ss"), F.lit("never")),
         F.lit(" -0500</pubDate><arxiv:announce_type>"), F.element_at(F.array(*map(F.lit, ("new", "cross", "replace", "new"))), (F.col("id") % 4 + 1).cast("int")), F.lit("</arxiv:announce_type><dc:creator>A B</dc:creator></item>"),
     )
@@ -58,16 +58,23 @@ def _rss(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ITEMS = f"WITH {_PAPERS}, r AS (SELECT *, CASE id % 4 WHEN 1 THEN 'cross' WHEN 2 THEN 'replace' ELSE 'new' END AS kind FROM papers WHERE arxiv_id <> '' AND id % 11 <> 3 AND {_line(_TITLE)} <> '')"
 
 
-@query(f"{_ITEMS} SELECT lower(arxiv_id) AS arxiv_id, 'cat' || id AS feed, {_line(_TITLE)} AS title, 'of ' || source AS abstract, published, kind AS announce_type, 'cat' || id || '|' || category AS categories FROM r WHERE kind IN ('new', 'cross')")
+@query(f"{_ITEMS} SELECT lower(arxiv_id) AS arxiv_id, 'cat' || id AS feed, {_line(_TITLE)} AS title, 'of ' || source || ' café – é ''q'' ¬it; &lt; &unknown;' AS abstract, published, kind AS announce_type, 'cat' || id || '|' || category AS categories FROM r WHERE kind IN ('new', 'cross')")
 def parse_rss_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     feed = F.regexp_extract("query", r"^<RSS> (.*) 最新公告$", 1)
     return feeds.parse_rss(_rss(spark, sf_dir)).select("arxiv_id", feed.alias("feed"), "title", "abstract", "published", "announce_type", F.array_join("categories", "|").alias("categories"))
 
 
-@query(f"{_ITEMS} SELECT 'cat' || id AS feed, lower(arxiv_id) AS arxiv_id FROM r WHERE kind IN ('new', 'cross')")
+_FEEDS = f"{_ITEMS}, placed AS (SELECT 'f' || id % 40 AS feed, lower(arxiv_id) AS arxiv_id, min((id // 40) % 3) AS place FROM r WHERE kind IN ('new', 'cross') GROUP BY ALL)"
+
+
+@query(f"{_FEEDS} SELECT feed, arxiv_id, place FROM placed QUALIFY row_number() OVER (PARTITION BY feed ORDER BY place, arxiv_id) <= 5")
 def scan_rss_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
-    failed = spark.createDataFrame([("catX", None), ("", "<rss/>")], "category string, xml string")
-    return feeds.scan_feeds(_rss(spark, sf_dir).unionByName(failed), 1).select(F.regexp_extract("query", r"^<RSS> (.*) 最新公告$", 1).alias("feed"), "arxiv_id")
+    """Forty categories of many feeds each, whose items stand at one of three places; five papers of each category."""
+    failed = spark.createDataFrame([("catX", None), ("", "<rss/>"), ("catX", "<rss><channel><item>")], "category string, xml string")
+    i = F.regexp_extract("category", r"(\d+)$", 1).cast("long")
+    blank = F.repeat(F.lit("<item><title>none</title></item>"), (F.floor(i / 40) % 3).cast("int"))
+    rows = _rss(spark, sf_dir).select(F.concat(F.lit(" f"), (i % 40).cast("string"), F.lit(" ")).alias("category"), F.replace("xml", F.lit("<channel>"), F.concat(F.lit("<channel>"), blank)).alias("xml"))
+    return feeds.scan_feeds(rows.unionByName(failed), 5).select("feed", "arxiv_id", F.col("place").cast("long").alias("place"))
 
 
 # --- candidates and scores --------------------------------------------------------------
@@ -368,3 +375,18 @@ def announced_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     return state.replay(events).select(F.col("arxiv_id").alias("user_id"), "first_at", F.col("times").alias("n"))
 
 
+
+
+@query("SELECT c_custkey, array_to_string(list_filter([CASE WHEN c_custkey % 3 = 0 THEN 'q ' || c_mktsegment END, c_name, 'one two three four five six', lower(c_mktsegment)], lambda x: x IS NOT NULL)[1:3], '|') AS queries FROM customer")
+def profile_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Queries of profiles whose lists hold long terms, repeats in other letters and terms without a Latin letter."""
+    c = table(spark, sf_dir, "customer")
+    none = F.array().cast("array<string>")
+    profiles = c.select(
+        "c_custkey",
+        F.when(F.col("c_custkey") % 3 == 0, F.array(F.concat(F.lit("q "), "c_mktsegment"))).when(F.col("c_custkey") % 3 == 1, none).alias("queries"),
+        F.array("c_name", F.concat(F.lit(" one two  three four five six seven "), F.col("c_custkey").cast("string"))).alias("keywords"),
+        F.array(F.lower("c_mktsegment"), F.lit("符号问题")).alias("methods"),
+        F.array(F.lit("123"), F.col("c_mktsegment")).alias("topics"),
+    )
+    return profiles.select("c_custkey", F.array_join(profile.term_queries(profiles, 3), "|").alias("queries"))

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lumenlit.operators import temporal
-from lumenlit.queries import _FILES, _PAPERS, _files, papers, query, table
+from lumenlit.operators import state, temporal, versions
+from lumenlit.operators.graph import shared_folder
+from lumenlit.queries import _FILES, _PAPERS, _UPSERTED, _files, _history, papers, query, table
+from lumenlit.queries_runs import _ITEMS, _TITLE, _line, _rss
+from lumenlit.sources import readers
 
 _NTZ = "timestamp_ntz"
 
@@ -78,3 +83,32 @@ def run_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Candidates of a run by year, category and source, drilled down."""
     df = papers(spark, sf_dir).withColumn("year", F.year("published").cast("long"))
     return temporal.levels(df, ["year", "category", "source"], [F.count(F.lit(1)).alias("n"), F.count_distinct("source").alias("sources"), F.coalesce(F.sum("citations"), F.lit(0)).alias("citations")], drill=True)
+
+
+# --- tables that are written first --------------------------------------------------------
+
+
+def _folder(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """A new folder that all executors share."""
+    shared_folder(table(spark, sf_dir, "nation"))
+    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"{_ITEMS} SELECT 'f' || id % 40 AS feed, lower(arxiv_id) AS arxiv_id, {_line(_TITLE)} AS title, published FROM r WHERE kind = 'new'")
+def announced_from_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New announcements of feeds that were written as files, a folder for each category."""
+    number = F.regexp_extract("category", r"(\d+)$", 1).cast("long") % 40
+    folder = _folder(spark, sf_dir, "feeds")
+    _rss(spark, sf_dir).select(F.concat(F.lit("f"), number.cast("string")).alias("category"), F.col("xml").alias("value")).write.partitionBy("category").text(folder)
+    return readers.read_feeds(spark, folder, ("new",), lines=True).select("feed", "arxiv_id", "title", "published")
+
+
+@query(_UPSERTED)
+def bucketed_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The history of one version in buckets, with a batch merged into it."""
+    events = _history(spark, sf_dir)
+    blank = {c: F.lit("") for c in ("title", "ideas", "authors", "published", "journal", "categories", "profile_fp")} | {"citations": F.lit(None).cast("int")}
+    buckets, folder = max(32, int(spark.conf.get("spark.sql.shuffle.partitions"))), _folder(spark, sf_dir, "history")
+    versions.saved(state.replay(events.where("at < '2000-01-01'")).withColumns(blank), folder, 1, buckets)
+    batch = state.newest_by(events.where("at >= '2000-01-01'"), "arxiv_id", [F.desc("at"), F.desc("report")]).withColumns(blank)
+    return versions.upserted(spark, folder, 1, batch, buckets).select("arxiv_id", "first_at", "last_at", "times", "best_score", "report", "analyzed", "summary")

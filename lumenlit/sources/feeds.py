@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenlit.functions.text import arxiv_id, arxiv_version, clean_text, distinct_ignoring_case, rfc822
+from lumenlit.functions.text import arxiv_id, arxiv_version, clean_text, distinct_ignoring_case, rfc822, unescape
 
 ATOM = "STRUCT<entry: ARRAY<STRUCT<id: STRING, title: STRING, summary: STRING, published: STRING, updated: STRING, author: ARRAY<STRUCT<name: STRING>>, comment: STRING, journal_ref: STRING, doi: STRING, primary_category: STRUCT<_term: STRING>, category: ARRAY<STRUCT<_term: STRING>>>>>"
 RSS = "STRUCT<channel: STRUCT<item: ARRAY<STRUCT<title: STRING, link: STRING, guid: STRING, description: STRING, category: ARRAY<STRING>, pubDate: STRING, announce_type: STRING, creator: ARRAY<STRING>>>>>"
@@ -18,12 +18,6 @@ def _bare(xml: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(xml, r"(</?)[A-Za-z][\w.-]*:", "$1"), r"\sxmlns(?::\w+)?=\"[^\"]*\"", "")
 
 
-def unescape(c: Column) -> Column:
-    for entity, plain in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&nbsp;", " "), ("&amp;", "&")):
-        c = F.replace(c, F.lit(entity), F.lit(plain))
-    return c
-
-
 def parse_atom(df: DataFrame, xml: str = "xml", query: str = "query") -> DataFrame:
     """Entries of API replies; those without an identifier or title go, and bad XML gives none."""
     e = df.select(query, F.explode(F.from_xml(_bare(F.col(xml)), ATOM, {"mode": "PERMISSIVE"})["entry"]).alias("e"))
@@ -49,40 +43,48 @@ def parse_atom(df: DataFrame, xml: str = "xml", query: str = "query") -> DataFra
 
 def parse_rss(df: DataFrame, xml: str = "xml", category: str = "category", types: tuple[str, ...] | None = ANNOUNCED) -> DataFrame:
     """Items of feeds, with the feed's own category added; other announcement types go."""
-    e = df.select(F.col(category).alias("feed"), F.posexplode(F.from_xml(_bare(F.col(xml)), RSS, {"mode": "PERMISSIVE"})["channel"]["item"]).alias("place", "e"))
-    text = clean_text(F.regexp_replace(F.regexp_replace(unescape(F.col("e.description")), r"(?is)^\s*arXiv:\S+\s+Announce Type:\s*\S+\s*", ""), r"(?i)^\s*Abstract:\s*", ""))
-    identifier = F.coalesce(F.nullif(arxiv_id(F.col("e.link")), F.lit("")), arxiv_id(F.col("e.guid")))
-    own = F.get("e.category", 0)
-    out = e.select(
+    items = F.from_xml(_bare(F.col(xml)), RSS, {"mode": "PERMISSIVE"})["channel"]["item"]
+    e = df.select(F.col(category).alias("feed"), F.posexplode(items).alias("place", "e")).select("feed", "place", "e.*")
+    return announced(e if types is None else e.where(F.col("announce_type").isin(*types)))
+
+
+def announced(items: DataFrame) -> DataFrame:
+    """Items of feeds as papers: ``feed``, ``place`` and the fields of ``RSS``'s items; those without identifier or title go."""
+    text = clean_text(F.regexp_replace(F.regexp_replace(unescape(F.col("description")), r"(?is)^\s*arXiv:\S+\s+Announce Type:\s*\S+\s*", ""), r"(?i)^\s*Abstract:\s*", ""))
+    identifier = F.coalesce(F.nullif(arxiv_id(F.col("link")), F.lit("")), arxiv_id(F.col("guid")))
+    own = F.get("category", 0)
+    out = items.select(
         identifier.alias("arxiv_id"),
-        clean_text(unescape(F.col("e.title"))).alias("title"),
+        clean_text(F.col("title")).alias("title"),
         text.alias("abstract"),
-        F.filter(F.transform("e.creator", clean_text), lambda a: a != "").alias("authors"),
-        rfc822(F.col("e.pubDate")).alias("published"),
-        F.col("e.announce_type").alias("announce_type"),
-        distinct_ignoring_case(F.concat(F.array(F.col("feed")), F.coalesce("e.category", F.array().cast("array<string>")))).alias("categories"),
+        F.filter(F.transform("creator", clean_text), lambda a: a != "").alias("authors"),
+        rfc822(F.col("pubDate")).alias("published"),
+        "announce_type",
+        distinct_ignoring_case(F.concat(F.array(F.col("feed")), F.coalesce("category", F.array().cast("array<string>")))).alias("categories"),
         F.coalesce(own, F.col("feed")).alias("primary_category"),
-        F.concat(F.lit("公告类型: "), F.col("e.announce_type")).alias("comments"),
+        F.concat(F.lit("公告类型: "), F.col("announce_type")).alias("comments"),
         F.concat(F.lit("<RSS> "), F.col("feed"), F.lit(" 最新公告")).alias("query"),
+        "feed",
         "place",
     )
-    out = out.where((F.col("arxiv_id") != "") & (F.col("title") != ""))
-    return out if types is None else out.where(F.col("announce_type").isin(*types))
+    return out.where((F.col("arxiv_id") != "") & (F.col("title") != ""))
 
 
 def scan_feeds(feeds: DataFrame, per_category: int = 0, types: tuple[str, ...] | None = ANNOUNCED) -> DataFrame:
-    """Announcements of many feeds (``category``, ``xml``), one feed for each category.
+    """Announcements of many feeds (``category``, ``xml``); all feeds of a category count.
 
-    A feed that failed (null or broken XML) gives none and stops nothing; of a category no
-    more than ``per_category`` items are taken, in the feed's order (0: all of them).
+    A feed that failed (null or broken XML) gives none and stops nothing. A paper counts
+    once in a category, at its first place; of a category no more than ``per_category``
+    papers are taken, by place, then by identifier (0: all of them).
     """
-    once = feeds.groupBy(F.trim("category").alias("category")).agg(F.min("xml").alias("xml")).where("category <> ''")
-    found = parse_rss(once, types=types)
-    if not per_category:
-        return found
-    feed = F.regexp_extract("query", r"^<RSS> (.*) 最新公告$", 1)
-    place = F.row_number().over(Window.partitionBy(feed).orderBy("place"))
-    return found.withColumn("_n", place).where(F.col("_n") <= per_category).drop("_n")
+    named = feeds.withColumn("category", F.trim("category")).where("category <> ''")
+    found = parse_rss(named, types=types)
+    again = F.row_number().over(Window.partitionBy("feed", "arxiv_id").orderBy("place", "title"))
+    found = found.withColumn("_n", again).where(F.col("_n") == 1)
+    if per_category:
+        place = F.row_number().over(Window.partitionBy("feed").orderBy("place", "arxiv_id"))
+        found = found.withColumn("_n", place).where(F.col("_n") <= per_category)
+    return found.drop("_n")
 
 
 def decode_events(lines: DataFrame, reply: str = "reply", order: str = "n", line: str = "line") -> DataFrame:

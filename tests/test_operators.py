@@ -395,3 +395,27 @@ def test_labels_are_repaired_by_the_longest(spark, monkeypatch, block):
     assert {(x.id, x.label): x.known for x in df.collect()} == want and len(want) > 200
     plan = df._jdf.queryExecution().executedPlan().toString()
     assert "NestedLoop" not in plan and "CartesianProduct" not in plan
+
+
+def test_queries_from_terms_in_python_and_in_columns(spark):
+    chinese = {"topics": ["符号问题", "量子临界"], "methods": ["张量网络"], "keywords": ["sign problem", "disorder operator"]}
+    long = " ".join(f"word{i}" for i in range(20))
+    cases = [chinese, {"topics": ["符号问题"], "methods": [], "keywords": []}, {}, chinese | {"queries": ["DQMC", "Sign Problem"]}, {"keywords": [long, f" {long} "], "methods": ["m", "M "], "topics": ["t"]}]
+    want = [["sign problem", "disorder operator"], [], [], ["DQMC", "Sign Problem", "disorder operator"], [" ".join(long.split()[:6]), "m", "t"]]
+    lists = [[c.get(k) for k in profile.TERM_LISTS] for c in cases]
+    assert [profile.queries_from_terms([x or [] for x in c], 18) for c in lists] == want
+    assert len(profile.queries_from_terms([chinese["keywords"]], 0)) == 1  # never none where there is one
+    df = spark.createDataFrame([(i, *c) for i, c in enumerate(lists)], "i int, " + ", ".join(f"{k} array<string>" for k in profile.TERM_LISTS))
+    assert [r.q for r in df.orderBy("i").select(profile.term_queries(df, 18).alias("q")).collect()] == want
+    assert profile.decided({"queries": ["a", "b", "A"], "keywords": []}, {}, [], 5)["queries"] == ["a", "b"]
+    by_terms = profile.decided({"topics": ["spin"], "keywords": ["chain"], "methods": ["dmrg"]}, {}, [], 2)
+    assert by_terms["queries"] == ["chain", "dmrg"] and by_terms["generated_by"] == "ai+terms"
+
+
+def test_all_feeds_of_a_category_count_and_the_cap_acts(spark):
+    xml = lambda *ids: "<rss><channel>" + "".join(f"<item><title>T{i}</title><link>arxiv.org/abs/2401.{i:05d}</link></item>" for i in ids) + "</channel></rss>"
+    feed = spark.createDataFrame([("a", xml(1, 2, 3)), (" a ", xml(4, 2)), ("b", xml(1)), ("a", None)], "category string, xml string")
+    found = lambda n: sorted((r.feed, int(r.arxiv_id[-2:])) for r in feeds.scan_feeds(feed, n, None).collect())
+    assert found(0) == [("a", 1), ("a", 2), ("a", 3), ("a", 4), ("b", 1)]
+    assert found(2) == [("a", 1), ("a", 4), ("b", 1)]  # the first places, by identifier
+    assert found(3) == [("a", 1), ("a", 2), ("a", 4), ("b", 1)]

@@ -96,3 +96,15 @@ def test_scores(spark):
     ).first()
     assert (row.none, row.old, row.future, row.blank, row.full, row.famous) == (0.3, 0.0, 1.0, 0.0, 1.0, False)
     assert row.bar == "██" + "░" * 8
+
+
+def test_entities_are_resolved_as_in_a_browser(spark):
+    import html
+    import random
+    from html.entities import html5
+
+    r = random.Random(1)
+    odd = ["#233;", "#xE9", "#x27;", "#0;", "#128;", "#x99;", "#xFEFF;", "#xD800;", "#1114112;", "#99999999999999999999;", "#x1F600;", "#11;", "#13;", "#xFFFE;", "#127;", "#", "#x", "", "amp;lt;", "notit;", "lt", "ltx", " ", "é", "ampersand"]
+    texts = ["".join(r.choice(("&", "&", " ", "x", ";")) + r.choice(odd + list(html5)) for _ in range(r.randint(0, 6))) for _ in range(2000)]
+    df = spark.createDataFrame([*((t,) for t in texts), (None,)], "t string").select("t", text.unescape(F.col("t")).alias("u"))
+    assert [(x.t, x.u) for x in df.collect()] == [*((t, html.unescape(t)) for t in texts), (None, None)]
