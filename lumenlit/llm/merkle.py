@@ -29,9 +29,8 @@ from lumenlit.llm.common import stored, tidy
 from lumenlit.llm.ordered import positions
 
 FANOUT = 16
-#: Levels in a block.
+#: Levels in a block, by default.
 HEIGHT = 3
-SPAN = FANOUT**HEIGHT
 #: Bytes of a digest as hexadecimal text.
 DIGEST = 64
 
@@ -46,10 +45,10 @@ def digest(data: bytes) -> bytes:
     return sha256(data).hexdigest().encode()
 
 
-def levels(leaves: bytes, members: int) -> list[np.ndarray]:
+def levels(leaves: bytes, members: int, height: int = HEIGHT) -> list[np.ndarray]:
     """The digest matrices of a block, from its leaves to its top; ``members`` are the whole tree's leaves."""
     out = [np.frombuffer(leaves, np.uint8).reshape(-1, DIGEST)]
-    while members > 1 and len(out) <= HEIGHT:
+    while members > 1 and len(out) <= height:
         now = out[-1]
         whole = len(now) // FANOUT
         rows = [*now[: whole * FANOUT].reshape(whole, FANOUT * DIGEST), *([now[whole * FANOUT :]] if len(now) % FANOUT else [])]
@@ -81,9 +80,9 @@ def opened_path(text: bytes, shape: bytes) -> list[tuple[bytes, bytes]]:
     return [(text[at[i] : at[i + 1]], text[at[i + 1] : at[i + 2]]) for i in range(0, len(shape), 2)]
 
 
-def _blocks(nodes: DataFrame) -> DataFrame:
+def _blocks(nodes: DataFrame, height: int) -> DataFrame:
     """A row for each aligned block: ``tree``, ``block``, ``members``, ``ids``, ``leaves``, ``claims``, ``top``."""
-    types = {f.name: f.dataType for f in nodes.schema}
+    types, span = {f.name: f.dataType for f in nodes.schema}, FANOUT**height
     out = StructType([StructField("tree", types["tree"])]).add("block", "long").add("members", "long")
     out = out.add("ids", ArrayType(types["id"])).add("leaves", "binary").add("claims", "binary").add("top", "binary")
 
@@ -91,25 +90,25 @@ def _blocks(nodes: DataFrame) -> DataFrame:
         rows = rows.sort_by("position")
         leaves, claims = (b"".join(rows.column(c).to_pylist()) for c in ("digest", "claim"))
         members, first = rows.column("members")[0].as_py(), rows.column("position")[0].as_py()
-        columns = [rows.column("tree").slice(0, 1).combine_chunks(), pa.array([first // SPAN]), pa.array([members]), pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows.column("id").combine_chunks())]
-        columns += [pa.array([x], pa.binary()) for x in (leaves, claims, levels(leaves, members)[-1].tobytes())]
+        columns = [rows.column("tree").slice(0, 1).combine_chunks(), pa.array([first // span]), pa.array([members]), pa.ListArray.from_arrays(pa.array([0, len(rows)], pa.int32()), rows.column("id").combine_chunks())]
+        columns += [pa.array([x], pa.binary()) for x in (leaves, claims, levels(leaves, members, height)[-1].tobytes())]
         return pa.Table.from_arrays(columns, [f.name for f in out])
 
-    return nodes.groupBy("tree", F.floor(F.col("position") / SPAN).alias("_block")).applyInArrow(block, out)
+    return nodes.groupBy("tree", F.floor(F.col("position") / span).alias("_block")).applyInArrow(block, out)
 
 
-def grown(leaves: DataFrame) -> tuple[list[DataFrame], DataFrame]:
+def grown(leaves: DataFrame, height: int = HEIGHT) -> tuple[list[DataFrame], DataFrame]:
     """The blocks of each round from the leaves up, and the roots: ``tree``, ``digest``.
 
     ``leaves`` has ``tree``, ``id``, ``position``, ``members``, ``digest`` and ``claim`` (64 bytes each).
     """
-    rounds, nodes = [], leaves
+    rounds, nodes, span = [], leaves, FANOUT**height
     largest = leaves.agg(F.max("members")).first()[0] or 1
     while not rounds or largest > 1:
-        rounds.append(stored(_blocks(nodes)))
-        members = F.ceil(F.col("members") / SPAN).cast("long").alias("members")
+        rounds.append(stored(_blocks(nodes, height)))
+        members = F.ceil(F.col("members") / span).cast("long").alias("members")
         nodes = rounds[-1].select("tree", F.col("block").alias("id"), F.col("block").alias("position"), members, F.col("top").alias("digest"), F.col("top").alias("claim"))
-        largest = -(-largest // SPAN)
+        largest = -(-largest // span)
     return rounds, nodes.select("tree", "digest")
 
 
@@ -118,9 +117,9 @@ TOLD = ("leaf", "subroot", "root", "proof_sha256", "folded_root")
 PATH = ("siblings", "shape")
 
 
-def walked(block: dict) -> list[tuple[bytes, bytes]]:
+def walked(block: dict, height: int) -> list[tuple[bytes, bytes]]:
     """The packed path of each leaf of a block to the root: its siblings here, then what lies above the block."""
-    matrices = levels(block["leaves"], block["members"])
+    matrices = levels(block["leaves"], block["members"], height)
     paths = [(block["siblings"], block["shape"])]
     for level in reversed(matrices[:-1]):  # each node's path is its siblings and its parent's path
         own = (packed_path([siblings(level, node)]) for node in range(len(level)))
@@ -128,7 +127,7 @@ def walked(block: dict) -> list[tuple[bytes, bytes]]:
     return paths
 
 
-def passed_down(rounds: list[DataFrame], above: DataFrame, paths: bool = True, told: bool = False) -> DataFrame:
+def passed_down(rounds: list[DataFrame], above: DataFrame, paths: bool = True, told: bool = False, height: int = HEIGHT) -> DataFrame:
     """``tree``, ``id`` and ``position`` of every leaf, with the columns of ``PATH`` or ``TOLD`` as asked.
 
     ``above`` has a row for each tree: ``tree``, ``subroot``, ``root``, ``siblings``, ``shape``.
@@ -146,14 +145,14 @@ def passed_down(rounds: list[DataFrame], above: DataFrame, paths: bool = True, t
                 for i in range(batch.num_rows):
                     row = {c: batch.column(c)[i].as_py() for c in ("block", "members", "leaves", "claims", "subroot", "root", "siblings", "shape")}
                     cut = [slice(a, a + DIGEST) for a in range(0, len(row["leaves"]), DIGEST)]
-                    found, n = walked(row), len(cut)
+                    found, n = walked(row, height), len(cut)
                     made = {"leaf": [row["leaves"][c] for c in cut], "subroot": [row["subroot"]] * n, "root": [row["root"]] * n}
                     made |= dict(zip(PATH, map(list, zip(*found, strict=True)), strict=True))
                     if "folded_root" in columns:
                         made["proof_sha256"] = [digest(text) for text, _ in found]
                         made["folded_root"] = [folded(row["claims"][c], opened_path(*path)) for c, path in zip(cut, found, strict=True)]
                     tree = batch.column("tree").take(pa.array([i] * n, pa.int32()))
-                    position = pa.array(np.arange(n) + row["block"] * SPAN, pa.int64())
+                    position = pa.array(np.arange(n) + row["block"] * FANOUT**height, pa.int64())
                     arrays = [pa.array(made[c], pa.binary()) for c in columns]
                     arrays = [x.cast(pa.string()) if out[c].dataType == StringType() else x for c, x in zip(columns, arrays, strict=True)]
                     yield pa.RecordBatch.from_arrays([tree, batch.column("ids")[i].values, position, *arrays], out.names)
@@ -164,7 +163,7 @@ def passed_down(rounds: list[DataFrame], above: DataFrame, paths: bool = True, t
     return above
 
 
-def manifest(leaves: DataFrame, paths: bool = False) -> DataFrame:
+def manifest(leaves: DataFrame, paths: bool = False, height: int = HEIGHT) -> DataFrame:
     """``tree``, ``id``, ``position`` in the tree, ``leaf``, ``subroot``, ``root``, ``proof_sha256`` and ``folded_root`` of every row.
 
     ``leaves`` has ``tree`` (the group), ``id`` (its order), ``digest`` and ``claim``: the
@@ -173,10 +172,10 @@ def manifest(leaves: DataFrame, paths: bool = False) -> DataFrame:
     in one text, and ``shape``: how many of them come before and after the node at each level, a byte each.
     """
     some = stored(leaves.select("tree", "id", F.col("digest").cast("binary").alias("digest"), F.col("claim").cast("binary").alias("claim")))
-    rounds, subroots = grown(positions(some, "tree", ["id", "digest"]))
+    rounds, subroots = grown(positions(some, "tree", ["id", "digest"]), height)
     one, nothing = F.lit(0).cast("long"), F.lit(b"")
-    upper, root = grown(positions(subroots.select(one.alias("tree"), F.col("tree").alias("id"), "digest", F.col("digest").alias("claim")), "tree", ["id"]))
+    upper, root = grown(positions(subroots.select(one.alias("tree"), F.col("tree").alias("id"), "digest", F.col("digest").alias("claim")), "tree", ["id"]), height)
     top = root.select("tree", nothing.alias("subroot"), F.col("digest").alias("root"), nothing.alias("siblings"), nothing.alias("shape"))
-    over = passed_down(upper, top)
+    over = passed_down(upper, top, height=height)
     over = over.select(F.col("id").alias("tree"), *(F.col(c).cast("binary").alias(n) for c, n in (("leaf", "subroot"), ("root", "root"), ("siblings", "siblings"), ("shape", "shape"))))
-    return passed_down(rounds, over, paths, told=True)
+    return passed_down(rounds, over, paths, told=True, height=height)

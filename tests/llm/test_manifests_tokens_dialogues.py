@@ -66,16 +66,14 @@ def test_manifest(spark, sf_dir, rows):
     assert {v for *_, v in found} == {True, False}
 
 
-def test_manifest_of_many_blocks_and_sources(spark, monkeypatch):
+def test_manifest_of_many_blocks_and_sources(spark):
     """One hot source of several rounds of small blocks, a lone row, and more sources than one run holds."""
-    monkeypatch.setattr(merkle, "HEIGHT", 1)
-    monkeypatch.setattr(merkle, "SPAN", 16)
     r = random.Random(4)
     rows = [(i, r.choice(("Abc", "dé", None)), "en", "hot" if i % 3 else f"s{i % 40}", i) for i in range(900)] + [(1, "x", None, "alone", None)]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     fields = [df.doc_id, df.source, df.lang, df.n_chars]
     leaves = df.select(df.source.alias("tree"), df.doc_id.alias("id"), merkle.leaf(*fields, df.text).alias("digest"), merkle.leaf(*fields, df.text).alias("claim"))
-    got = merkle.manifest(leaves, paths=True).collect()
+    got = merkle.manifest(leaves, paths=True, height=1).collect()
     want = Counter((i, leaf, sub, root, proof) for i, leaf, sub, root, proof, _, _ in brute_manifest(rows))
     assert Counter((x.id, x.leaf, x.subroot, x.root, x.proof_sha256) for x in got) == want
     for x in got:  # the siblings themselves lead to the root
