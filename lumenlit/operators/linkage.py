@@ -57,17 +57,17 @@ def conflict(a: DataFrame | str, b: str) -> Column:
     return differ("arxiv_id") | differ("doi")
 
 
-def _ranked_words(left: DataFrame, right: DataFrame) -> DataFrame:
-    """Significant words of both tables with how many titles have them."""
-    word = lambda df: df.select(F.explode(significant_tokens(F.col("norm_title"))).alias("token"))
-    return word(left).unionByName(word(right)).groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-
-
-def _with_words(df: DataFrame, counts: DataFrame) -> DataFrame:
-    """Rows with ``words``: their significant words, the rarest first."""
-    each = df.select("id", F.explode(significant_tokens(F.col("norm_title"))).alias("token")).join(counts, "token")
-    words = each.groupBy("id").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "token"))), lambda x: x["token"]).alias("words"))
-    return df.select("id", "arxiv_id", "doi", "norm_title").join(words, "id")
+def _with_words(left: DataFrame, right: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The titles of both tables with ``words``: their significant words, the rarest in both tables first."""
+    columns = ["id", "arxiv_id", "doi", "norm_title"]
+    shared_folder(left)
+    # Titles are read for their words, for how many have each, and with their words, so they are kept; so is the result.
+    both = left.select(F.lit(0).alias("side"), *columns).unionByName(right.select(F.lit(1).alias("side"), *columns)).checkpoint()
+    each = both.select("side", "id", F.explode(significant_tokens(F.col("norm_title"))).alias("token"))
+    counts = each.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    words = each.join(counts, "token").groupBy("side", "id").agg(F.transform(F.array_sort(F.collect_list(F.struct("df", "token"))), lambda x: x["token"]).alias("words"))
+    told = both.join(words, ["side", "id"]).checkpoint()
+    return told.where("side = 0").drop("side"), told.where("side = 1").drop("side")
 
 
 def _contained(short: DataFrame, long: DataFrame, a: str, b: str, strictly: bool) -> DataFrame:
@@ -161,11 +161,7 @@ def hot_pairs(p: DataFrame, q: DataFrame, sizes: DataFrame) -> DataFrame:
 
 def fuzzy_pairs(left: DataFrame, right: DataFrame, similar: bool = True) -> DataFrame:
     """``a``, ``b``, ``rule`` (4 contained, 5 similar), ``ratio`` for pairs that share a significant word."""
-    # Titles with their words are read for each rule and side, so they are kept.
-    shared_folder(left)
-    left, right = (df.select("id", "arxiv_id", "doi", "norm_title").checkpoint() for df in (left, right))
-    counts = _ranked_words(left, right)
-    x, y = _with_words(left, counts).checkpoint(), _with_words(right, counts).checkpoint()
+    x, y = _with_words(left, right)
     found = _contained(x, y, "a", "b", False).unionByName(_contained(y, x, "b", "a", True)).distinct()
     found = found.select("a", "b", F.lit(4).alias("rule"), F.lit(None).cast("double").alias("ratio"))
     if not similar:
@@ -184,13 +180,18 @@ def fuzzy_pairs(left: DataFrame, right: DataFrame, similar: bool = True) -> Data
     return found.unionByName(scored.select("a", "b", F.lit(5).alias("rule"), "ratio"))
 
 
-def match_library(candidates: DataFrame, library: DataFrame, similar: bool = True) -> DataFrame:
-    """All candidate ids with ``library_id`` and ``rule`` (1 identifier, 2 DOI, 3 title, 4 contained, 5 similar), or nulls."""
+def match_library(candidates: DataFrame, library: DataFrame, similar: bool = True, contained: bool = True) -> DataFrame:
+    """All candidate ids with ``library_id`` and ``rule`` (1 identifier, 2 DOI, 3 title, 4 contained, 5 similar), or nulls.
+
+    Without ``similar`` the fifth rule isn't tried, without ``contained`` neither of the fuzzy ones.
+    """
     auto = F.when(F.col("arxiv_id") != "", F.concat(F.lit("10.48550/arxiv."), F.lower("arxiv_id")))
     keys = candidates.select("id", F.lower("arxiv_id").alias("k1"), F.lower("doi").alias("k2"), auto.alias("k2b"), "norm_title")
     lookup = lambda df, key, column, name: df.join(first_of(library, column).withColumnsRenamed({"_key": f"_{name}", "_hit": name}), F.col(key) == F.col(f"_{name}"), "left").drop(f"_{name}")
     hit = lookup(lookup(lookup(lookup(keys, "k1", "arxiv_id", "r1"), "k2", "doi", "r2"), "k2b", "doi", "r2b"), "norm_title", "norm_title", "r3")
     exact = hit.select("id", F.coalesce("r1", "r2", "r2b", "r3").alias("exact"), F.when(F.col("r1").isNotNull(), 1).when(F.coalesce("r2", "r2b").isNotNull(), 2).when(F.col("r3").isNotNull(), 3).alias("rule"))
+    if not contained:
+        return exact.select("id", F.col("exact").alias("library_id"), "rule")
     rest = candidates.join(exact.where("exact is null").select("id"), "id", "left_semi")
     best = Window.partitionBy("a").orderBy("rule", F.desc_nulls_last("ratio"), "b")
     fuzzy = fuzzy_pairs(rest, library, similar).withColumn("n", F.row_number().over(best)).where("n = 1").select(F.col("a").alias("id"), "b", F.col("rule").alias("frule"))

@@ -56,6 +56,10 @@ def term_counts(docs: DataFrame, doc_id: str, text: Column, stop: list[str] | No
     return terms.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("n"))
 
 
+class NothingLeft(ValueError):
+    """No term is left of a fit's documents, or none could be."""
+
+
 @dataclass(frozen=True)
 class Fitted:
     """``vocabulary``: term, df, tf, idf; ``n_docs`` counts all documents, with or without terms."""
@@ -63,6 +67,12 @@ class Fitted:
     vocabulary: DataFrame
     n_docs: int
 
+    def required(self) -> Fitted:
+        """The fit, or an error if no term is left; looks for one row, where a plan alone says nothing."""
+        if self.vocabulary.isEmpty():
+            raise NothingLeft("no term is left: lower min_df or raise max_df")
+        return self
+
     def transform(self, counts: DataFrame) -> DataFrame:
         """``doc``, ``term``, ``w``: normalised weights; terms outside the vocabulary are dropped."""
         raw = counts.join(self.vocabulary.select("term", "idf"), "term").withColumn("w", (1 + F.log("n")) * F.col("idf"))
@@ -72,8 +82,13 @@ class Fitted:
 
 
 def fit(counts: DataFrame, n_docs: int, min_df: int | float = 1, max_df: int | float = 1.0, max_features: int | None = None) -> Fitted:
-    """Whole numbers bound document counts, fractions shares; ties in ``max_features`` go to the smaller term."""
+    """Whole numbers bound document counts, fractions shares; ties in ``max_features`` go to the smaller term.
+
+    Bounds that exclude each other are an error at once; an empty vocabulary is one if it is ``required``.
+    """
     bound = lambda x: x * n_docs if isinstance(x, float) else x
+    if n_docs and bound(max_df) < bound(min_df):
+        raise NothingLeft("max_df allows fewer documents than min_df asks for")
     terms = counts.groupBy("term").agg(F.count(F.when(F.col("n") > 0, 1)).alias("df"), F.sum("n").alias("tf"))
     terms = terms.where((F.col("df") >= bound(min_df)) & (F.col("df") <= bound(max_df)))
     if max_features is not None:

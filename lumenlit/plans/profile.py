@@ -24,9 +24,13 @@ def digest(library: DataFrame, line: Column, order: list, limit: int = 40_000) -
 
 
 def keywords(library: DataFrame, doc_id: str, text: Column, stop: list[str] | None = None, n: int = 30, config: tfidf.Config = tfidf.KEYWORDS) -> DataFrame:
-    """The library's heaviest pairs of words, then half as many single words."""
+    """The library's heaviest pairs of words, then half as many single words; none where the fit leaves nothing."""
     counts = tfidf.term_counts(library, doc_id, text, tfidf.PROFILE_STOPS if stop is None else stop)
-    return tfidf.top_terms(tfidf.fitted(counts, library.count(), config).transform(counts), n, n // 2)
+    try:
+        fit = tfidf.fitted(counts, library.count(), config)
+    except tfidf.NothingLeft:
+        counts, fit = counts.limit(0), tfidf.fit(counts.limit(0), 0)
+    return tfidf.top_terms(fit.transform(counts), n, n // 2)
 
 
 # The lists that give queries, in order, and how many words a query has at most.

@@ -19,6 +19,7 @@ from lumenlit.functions import scoring
 from lumenlit.functions.text import normalize_title, strip_latex
 from lumenlit.operators import linkage, merging, ranking, tfidf
 from lumenlit.operators.graph import shared_folder
+from lumenlit.plans import search
 
 STAGES = ("candidates", "new", "history", "enriched", "scored", "ranked", "top")
 
@@ -42,6 +43,14 @@ class Options:
     skip_seen: bool = True
     fuzzy: bool = True
     bigrams: bool = True
+    #: Search expressions, any of which a candidate must meet (none: all), and categories that it must have one of.
+    queries: tuple[str, ...] = ()
+    categories: tuple[str, ...] = ()
+    #: Candidates are the announcements of the categories on the day of ``as_of`` or after; expressions don't count.
+    subscribe: bool = False
+    use_history: bool = True
+    use_works: bool = True
+    use_judged: bool = True
 
     def override(self, **given: Any) -> Options:
         """Options with what was given; None leaves a value as it is."""
@@ -77,12 +86,32 @@ class Recommendation:
         """The candidates that a judge is to score: the most similar ``judged_cap``."""
         return ranking.most_relevant(self.heuristic(self.plan("history")), self.options.judged_cap, "heuristic")
 
+    def searched(self) -> DataFrame:
+        """The arriving candidates that the run asks for: by expressions and categories, or by subscription."""
+        o, df = self.options, self.pools
+        names = [n for n in sorted(set(search.FIELDS.values())) if n in df.columns]
+        if o.subscribe:
+            if not o.categories:
+                raise ValueError("a subscription needs a category")
+            day = F.to_date(F.lit(o.as_of).cast("timestamp_ntz"))
+            arrived = F.coalesce(*(F.col(c) for c in ("announced", "published") if c in df.columns))
+            return df.where(F.col("category").isin(*o.categories) & (F.to_date(arrived) >= day))
+        if o.categories:
+            df = df.where(F.col("category").isin(*o.categories))
+        if o.queries:
+            found = F.lit(False)
+            for q in o.queries:
+                found = found | search.predicate(q, {n: F.col(n) for n in names})
+            df = df.where(found)
+        return df
+
     def plan(self, stop_at: str = "top") -> DataFrame:
         if stop_at not in STAGES:
             raise ValueError(f"no stage {stop_at}")
         o = self.options
         # The cap is by arrival and comes before anything that scores.
-        df = self.pools.orderBy("pool", "row").limit(o.candidate_cap) if o.candidate_cap else self.pools
+        df = self.searched()
+        df = df.orderBy("pool", "row").limit(o.candidate_cap) if o.candidate_cap else df
         if stop_at == "candidates":
             return df
         # What linkage leaves is kept as ids, since every later stage reads it more than once.
@@ -91,20 +120,20 @@ class Recommendation:
         df = df.join(new, "id", "left_semi")
         if stop_at == "new":
             return df
-        if self.history is not None:
+        if self.history is not None and o.use_history:
             df = merging.with_history(df, self.history)
             if o.skip_seen:
                 df = merging.skip_seen_guarded(df, o.top_n)
         if stop_at == "history":
             return df
         df = self.heuristic(df)
-        if self.works is not None:
+        if self.works is not None and o.use_works:
             # Only the most similar are looked up; the others stay as they are.
             asked = ranking.most_relevant(df, o.enriched_cap, "heuristic").select("id", F.lit(True).alias("_asked"))
             df = merging.enrich(df.join(asked, "id", "left"), self.works, where=F.coalesce("_asked", F.lit(False))).drop("_asked")
         if stop_at == "enriched":
             return df
-        judged = self.judged if self.judged is not None else df.select("id", F.lit(None).cast("double").alias("score"), F.lit("").alias("reason")).limit(0)
+        judged = self.judged if self.judged is not None and o.use_judged else df.select("id", F.lit(None).cast("double").alias("score"), F.lit("").alias("reason")).limit(0)
         df = df.join(judged.select("id", F.col("score").alias("_judge"), F.col("reason").alias("_why")), "id", "left")
         relevance, reason = scoring.chosen_relevance(F.col("_judge"), F.col("_why"), F.col("heuristic"))
         df = df.withColumns({"relevance": relevance, "relevance_reason": reason}).drop("_judge", "_why", "heuristic")

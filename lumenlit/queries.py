@@ -270,6 +270,29 @@ def related_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest(weights.where("doc % 100 = 0"), weights).select(F.col("doc").alias("id"), "neighbor", "similarity", "rank")
 
 
+_KEYWORDS = kept_sql("abstract").replace(_STOP, "(" + ", ".join(f"'{w}'" for w in tfidf.PROFILE_STOPS) + ")")
+
+
+@query(f"WITH {_PAPERS}, kept AS (SELECT id, {_KEYWORDS} AS k FROM papers), tf AS (SELECT id, term, count(*) AS n FROM (SELECT id, unnest({grams_sql('k')}) AS term FROM kept) GROUP BY id, term), v AS (SELECT term, ln(((SELECT count(*) FROM documents) + 1.0) / (df + 1.0)) + 1 AS idf FROM (SELECT term, count(*) AS df, sum(n) AS t FROM tf GROUP BY term HAVING count(*) >= 2 ORDER BY t DESC, term LIMIT 400)), w AS (SELECT id, term, (1 + ln(n)) * idf AS w FROM tf JOIN v USING (term)), s AS (SELECT term, round(sum(u), 6) AS weight FROM (SELECT term, w / sqrt(sum(w * w) OVER (PARTITION BY id)) AS u FROM w) GROUP BY term), r AS (SELECT term, weight, contains(term, ' ') AS p, row_number() OVER (PARTITION BY contains(term, ' ') ORDER BY weight DESC, term) AS rank FROM s) SELECT term, weight, CAST(rank AS INT) AS rank FROM r WHERE rank <= CASE WHEN p THEN 18 ELSE 9 END")
+def profile_keywords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keywords without the words that never become any."""
+    return profile.keywords(papers(spark, sf_dir), "id", F.col("abstract"), n=18).select("term", "weight", "rank")
+
+
+@query(f"WITH {_PAPERS} SELECT id, category FROM papers WHERE (category IN ('en', 'fr')) AND (regexp_matches(title || ' ' || abstract, '(?i)(^|[^\\p{{L}}\\p{{N}}_])the($|[^\\p{{L}}\\p{{N}}_])') OR regexp_matches(title, '(?i)(^|[^\\p{{L}}\\p{{N}}_])de la($|[^\\p{{L}}\\p{{N}}_])'))")
+def asked_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates that meet one of two expressions and have one of two categories."""
+    options = _options(queries=("abs:the OR ti:the", 'ti:"de la"'), categories=("en", "fr"))
+    return recommend.Recommendation(papers(spark, sf_dir), library(spark, sf_dir), "", options).plan("candidates").select("id", "category")
+
+
+@query(f"WITH {_PAPERS} SELECT id, published FROM papers WHERE category IN ('de', 'fr') AND published >= TIMESTAMP '2023-01-30'")
+def subscribed_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The announcements of a category from a day on, expressions aside."""
+    options = _options(queries=("ti:nothing",), categories=("de", "fr"), subscribe=True).override(as_of="2023-01-30 12:00:00")
+    return recommend.Recommendation(papers(spark, sf_dir), library(spark, sf_dir), "", options).plan("candidates").select("id", "published")
+
+
 @query(f"WITH {_PAPERS}, w AS (SELECT DISTINCT id, t FROM (SELECT id, unnest(string_split({norm_sql('title')}, ' ')) AS t FROM papers) WHERE length(t) >= 4), p AS (SELECT a.id, b.id AS neighbor, count(*) AS shared FROM w a JOIN w b ON a.t = b.t AND a.id % 100 = 0 AND a.id <> b.id GROUP BY a.id, b.id) SELECT id, neighbor, shared, CAST(row_number() OVER (PARTITION BY id ORDER BY shared DESC, neighbor) AS INT) AS rank FROM p QUALIFY rank <= 8")
 def keyword_overlap_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = recommend.with_keys(papers(spark, sf_dir)).select(F.col("id").alias("doc"), text.significant_tokens(F.col("norm_title"), 4).alias("words"))
@@ -287,7 +310,7 @@ def embedding_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {LINKED} SELECT id, coalesce(r1, r2, r2b, r3) AS library_id, CASE WHEN r1 IS NOT NULL THEN 1 WHEN coalesce(r2, r2b) IS NOT NULL THEN 2 WHEN r3 IS NOT NULL THEN 3 END AS rule FROM exact WHERE coalesce(r1, r2, r2b, r3) IS NOT NULL")
 def library_exact_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return linkage.match_library(candidates(spark, sf_dir), library(spark, sf_dir), similar=False).where("rule <= 3").select("id", "library_id", "rule")
+    return linkage.match_library(candidates(spark, sf_dir), library(spark, sf_dir), contained=False).where("rule <= 3").select("id", "library_id", "rule")
 
 
 @query(f"WITH {LINKED} SELECT e.id, min(c.b) AS library_id FROM exact e JOIN contained c ON c.a = e.id AND c.b % 5 = 0 WHERE coalesce(r1, r2, r2b, r3) IS NULL GROUP BY e.id")

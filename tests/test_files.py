@@ -1,7 +1,9 @@
 """Folders of files, the command line, streams of announcements."""
 
+import datetime as dt
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from lumenlit import __main__ as command
@@ -55,7 +57,19 @@ def test_readers_and_reports(spark, tmp_path):
 
 def test_settings():
     assert command.merged({"a": {"b": 1, "c": 2}, "d": 3}, {"a": {"b": None, "c": 5}, "e": 6}) == {"a": {"b": 1, "c": 5}, "d": 3, "e": 6}
-    assert command.settings(["/nowhere/x.json"]) == {}
+    assert command.settings(["/nowhere/x.json"], {}) == {}
+
+
+def test_settings_are_mended(tmp_path):
+    path = tmp_path / "s.json"
+    path.write_text(json.dumps({"pdf_folders": None, "ai": {"api_key": " ", "api_key_env": "OWN"}, "top_n": 3}))
+    assert command.settings([str(path)], {"OWN": " k "}) == {"pdf_folders": [], "ai": {"api_key": " ", "api_key_env": "OWN", "key": "k"}, "top_n": 3}
+    path.write_text(json.dumps({"pdf_folders": "x", "ai": {"api_key": "mine"}}))
+    assert command.settings([str(path)], {command.KEY_VARIABLE: "k"}) == {"pdf_folders": [], "ai": {"api_key": "mine", "key": "mine"}}
+    assert command.settings([], {command.KEY_VARIABLE: "k"}) == {"ai": {"key": "k"}}
+    path.write_text("{")
+    with pytest.raises(ValueError, match="no JSON"):
+        command.settings([str(path)])
 
 
 def test_command_line(spark, tmp_path, monkeypatch):
@@ -73,6 +87,32 @@ def test_command_line(spark, tmp_path, monkeypatch):
     assert [r["rank"] for r in told["recommendations"]] == [1, 2, 3, 4]
 
 
+def test_command_line_options(spark, tmp_path, monkeypatch, capsys):
+    monkeypatch.setattr(spark, "stop", lambda: None)
+    rows = [(i, 0, i, f"title number {i} about spin chains", "text of spin chains", f"24{i:02d}.00001", "", "cs" if i % 2 else "ph", dt.datetime(2024, 2, 1 + i // 6), 7 * i, "", "") for i in range(12)]
+    cols = "id long, pool int, row long, title string, abstract string, arxiv_id string, doi string, category string, published timestamp, citations int, journal_ref string, comments string"
+    spark.createDataFrame(rows, cols).write.parquet(f"{tmp_path}/c")
+    spark.createDataFrame([], cols).write.parquet(f"{tmp_path}/l")
+    (tmp_path / "pdf").mkdir()
+    (tmp_path / "pdf" / "one.pdf").write_bytes(b"1")
+    base = ["--candidates", f"{tmp_path}/c", "--library", f"{tmp_path}/l", "--profile", "spin chains", "--as-of", "2024-02-02 08:00:00", "--no-fuzzy"]
+    shown = []
+    monkeypatch.setattr(type(spark.range(1)), "show", lambda df, *a: shown.append([tuple(r) for r in df.collect()]))
+    run = lambda *more: (command.main([*base, *more]), sorted(r[0] for r in shown[-1]))[1]
+    assert run("--stage", "candidates") == list(range(12))
+    assert run("--stage", "candidates", "--categories", "ph") == [0, 2, 4, 6, 8, 10]
+    assert run("--stage", "candidates", "--queries", "ti:3", "ti:5 AND ti:chains", "--categories", "cs") == [3, 5]
+    assert run("--stage", "candidates", "--subscribe", "--categories", "cs", "--queries", "ti:3") == [7, 9, 11]
+    assert run("--stage", "candidates", "--folders", f"{tmp_path}/pdf", "--refresh-pdf", "--depth", "fulltext") == list(range(12))
+    assert shown[-2][0][0] == 1  # one file is planned
+    with pytest.raises(ValueError, match="category"):
+        run("--stage", "candidates", "--subscribe")
+    with pytest.raises(SystemExit):
+        command.main(["--version"])
+    options = command.parser().parse_args([*base, "--no-history", "--no-enrich", "--refresh", "--no-fulltext"])
+    assert (options.use_history, options.use_works, options.use_judged, options.depth) == (False, False, False, "sections")
+
+
 def test_daily_counts(spark):
     df = spark.createDataFrame([("a", "2024-01-01 05:00:00", "new"), ("b", "2024-01-01 06:00:00", "new"), ("c", "2024-01-02 05:00:00", "cross")], "arxiv_id string, at string, announce_type string").withColumn("at", F.col("at").cast("timestamp"))
     got = {(str(r.day.start), r.announce_type): r.n for r in announcements.daily_counts(df).collect()}

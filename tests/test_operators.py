@@ -419,3 +419,15 @@ def test_all_feeds_of_a_category_count_and_the_cap_acts(spark):
     assert found(0) == [("a", 1), ("a", 2), ("a", 3), ("a", 4), ("b", 1)]
     assert found(2) == [("a", 1), ("a", 4), ("b", 1)]  # the first places, by identifier
     assert found(3) == [("a", 1), ("a", 2), ("a", 4), ("b", 1)]
+
+
+def test_a_fit_that_leaves_nothing_is_an_error(spark):
+    df = spark.createDataFrame([(1, "spin chain"), (2, "other words")], "id long, text string")
+    counts = tfidf.term_counts(df, "id", F.col("text"), [], False)
+    assert tfidf.fit(counts, 2).required().vocabulary.count() == 4
+    with pytest.raises(tfidf.NothingLeft):
+        tfidf.fit(counts, 2, min_df=2).required()
+    with pytest.raises(tfidf.NothingLeft):
+        tfidf.fit(counts, 2, min_df=2, max_df=0.5)
+    assert profile.keywords(df, "id", F.col("text")).count() == 0  # its callers go on without
+    assert profile.keywords(df.limit(0), "id", F.col("text")).count() == 0
