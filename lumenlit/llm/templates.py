@@ -16,9 +16,14 @@ tokens after the leading ones, so each distinct line of a leaf that may recur is
 its pieces. First the lines of a key are compared with its least line, which brings most
 of a template together; then, in each key whose lines are still of several groups, every
 line with every line of another group. So templates are the connected components of all
-pairs that agree, whichever other lines share a key. Keys of more than ``CHUNK`` lines
-are cut into a grid of cells. Counting happens before any join, so a line that millions
-of documents share is one row from each task.
+pairs that agree, whichever other lines share a key. A key of more than ``CELL`` lines is
+split first: what its lines don't have in common yet may still differ in d places, so it
+is cut into d + 1 pieces again, one of which any two lines that agree share; and so on. Where
+no more than d places are left, all lines agree, and are linked to the least of them
+without comparing any. So a key's cost grows with its lines, not with its pairs. Only
+where pieces would multiply beyond ``SPREAD`` (lines of very many tokens) are keys of more than
+``CHUNK`` lines cut into a grid of cells. Counting happens before any join, so a line
+that millions of documents share is one row from each task.
 
 Defined results: null texts stay null and empty ones empty, without lines; blank lines
 stay; rows with equal id and text are one document and all get its result; null ids come
@@ -45,6 +50,9 @@ DEPTH = 3
 MIN_DOCS = 5
 #: Slots of the filter that tells tasks which leaves may recur (one byte each).
 SLOTS = 1 << 20
+#: Lines of a key above which it is split, and pieces that a line may come to in that way.
+CELL = 512
+SPREAD = 64
 #: Lines of a key which are compared in one piece, and tokens compared in one step.
 CHUNK = 4096
 STEP = 1 << 21
@@ -148,7 +156,7 @@ def _allowed(n: np.ndarray, similarity: float) -> np.ndarray:
     return n - np.ceil(n * similarity - 1e-9).astype(np.int64)
 
 
-def _pieces(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+def _pieces(batches: Iterator[pa.RecordBatch], similarity: float, numbered: bool = False) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(0, batch.num_rows, 1024):
             part = batch.slice(i, 1024)
@@ -166,7 +174,44 @@ def _pieces(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa
             value = sums[first + (at + 1) * rest // pieces[row]] - sums[first + at * rest // pieces[row]]
             leaf = part.column("leaf").to_numpy().view(np.uint64)[row]
             key = words.mix(value + words.mix(leaf + at.astype(np.uint64), 31), 37)
-            yield pa.RecordBatch.from_arrays([_long(key), _long(part.column("h").to_numpy()[row])], ["key", "h"])
+            columns = [_long(key), _long(part.column("h").to_numpy()[row])]
+            if numbered:
+                columns.append(pa.ListArray.from_arrays(np.arange(len(at) + 1, dtype=np.int32), pa.array(at.astype(np.int32))))
+            yield pa.RecordBatch.from_arrays(columns, ["key", "h", "path"][: len(columns)])
+
+
+def _open_places(size: int, pieces: int, path: list[int]) -> np.ndarray:
+    """The places of a line that a key says nothing of: all but the leading ones and the pieces of its path."""
+    rest = np.arange(min(size, DEPTH), size)
+    for at in path:
+        rest = np.delete(rest, slice(at * len(rest) // pieces, (at + 1) * len(rest) // pieces))
+    return rest
+
+
+_SPLIT = ["key", "h", "root", "path", "whole", "more"]
+
+
+def _split(batches: Iterator[pa.RecordBatch], similarity: float, spread: int) -> Iterator[pa.RecordBatch]:
+    """Keys of the pieces of what is open; ``whole`` if no more is open then than may differ, ``more`` if they may be split again."""
+    for batch in batches:
+        token, start, n = _tokens(batch.column("t"))
+        key, h, root = (batch.column(c).to_numpy() for c in ("key", "h", "root"))
+        paths = batch.column("path").to_pylist()
+        alike: dict[tuple, list[int]] = {}
+        for i, path in enumerate(paths):
+            alike.setdefault((int(n[i]), *path), []).append(i)
+        for (size, *path), rows in alike.items():
+            row, may = np.array(rows), int(_allowed(np.array([size]), similarity)[0])
+            rest = _open_places(size, may + 1, path)
+            mixed = words.mix(token[start[row][:, None] + rest].view(np.uint64) + rest.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), 29)
+            for at in range(may + 1):
+                piece = slice(at * len(rest) // (may + 1), (at + 1) * len(rest) // (may + 1))
+                value = mixed[:, piece].sum(axis=1, dtype=np.uint64)
+                made = words.mix(key[row].view(np.uint64) + words.mix(value + np.uint64(at), 43), 47)
+                whole = len(rest) - (piece.stop - piece.start) <= may
+                more = (may + 1) ** (len(path) + 2) <= spread
+                same = lambda x, k=len(row): pa.array([x] * k)
+                yield pa.RecordBatch.from_arrays([_long(made), _long(h[row]), _long(root[row]), pa.array([[*path, at]] * len(row), pa.list_(pa.int32())), same(whole), same(more)], _SPLIT)
 
 
 def _agreeing(table: pa.Table, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -234,16 +279,44 @@ def generalised(distinct: DataFrame, similarity: float = SIMILARITY, chunk: int
     near = stored(checked.where(same >= F.ceil(F.size("t") * similarity - 1e-9)).select(F.col("h").alias("a"), F.col("centre").alias("b")))
     rooted = shared.join(components(near, "a", "b").withColumnRenamed("node", "h"), "h", "left").select("key", "h", "n", F.coalesce("root", "h").alias("root"))
     mixed = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
-    parts = F.ceil(F.col("n") / chunk).cast("int")
-    mine = F.pmod(F.xxhash64("h"), parts).cast("int")
-    # A cell of the grid has two chunks of a key's lines, so any two lines meet.
-    cells = F.transform(F.sequence(F.lit(0), parts - 1), lambda i: F.xxhash64("key", F.least(i, mine), F.greatest(i, mine)))
-    dealt = rooted.join(mixed, "key").select("h", "root", F.explode(cells).alias("cell")).join(lined, "h")
-    dealt = dealt.select("cell", "h", "root", "leaf", "t").repartition("cell").sortWithinPartitions("cell")
-    found = dealt.mapInArrow(tidy(lambda batches: _compare(batches, similarity)), "a long, b long")
+    open_ = stored(rooted.join(mixed, "key").select("key", "h", "root", "n"))
+    cell = CELL
+    found = _compared(open_.where(F.col("n") <= cell).select(F.col("key").alias("cell"), "h", "root"), lined, similarity)
+    crowded = open_.where(F.col("n") > cell)
+    if not crowded.isEmpty():
+        found = found.unionByName(_crowded_links(crowded, lined, similarity, cell, chunk))
     return components(near.unionByName(found), "a", "b").select(F.col("node").alias("h"), F.col("root").alias("cluster"))
 
 
+def _compared(cells: DataFrame, lined: DataFrame, similarity: float) -> DataFrame:
+    """``a``, ``b``: lines of a cell of different groups that agree, by comparing all of a cell's."""
+    dealt = cells.join(lined, "h").select("cell", "h", "root", "leaf", "t").repartition("cell").sortWithinPartitions("cell")
+    return dealt.mapInArrow(tidy(lambda batches: _compare(batches, similarity)), "a long, b long")
+
+
+def _crowded_links(crowded: DataFrame, lined: DataFrame, similarity: float, cell: int, chunk: int) -> DataFrame:
+    """``a``, ``b``: links that join what agrees among the lines of crowded keys (``key``, ``h``, ``root``)."""
+    kind = "key long, h long, root long, path array<int>, whole boolean, more boolean"
+    pieces = lined.select("leaf", "h", "t").mapInArrow(tidy(lambda batches: _pieces(batches, similarity, True)), "key long, h long, path array<int>")
+    now, links, split, spread = pieces.join(crowded.select("key", "h", "root"), ["key", "h"]), None, True, SPREAD
+    while split:
+        made = stored(now.join(lined.select("h", "t"), "h").select("key", "h", "root", "path", "t").mapInArrow(tidy(lambda batches: _split(batches, similarity)), kind))
+        keys = made.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("centre"), F.min("root").alias("a"), F.max("root").alias("b")).where("n > 1 and a <> b")
+        met = stored(made.join(keys.select("key", "n", "centre"), "key"))
+        few, again = (F.col("n") <= cell) & ~F.col("whole"), (F.col("n") > cell) & ~F.col("whole")
+        new = met.where("whole and h <> centre").select(F.col("h").alias("a"), F.col("centre").alias("b"))
+        new = new.unionByName(_compared(met.where(few).select(F.col("key").alias("cell"), "h", "root"), lined, similarity))
+        # A cell of the grid has two chunks of a key's lines, so any two lines meet.
+        parts = F.ceil(F.col("n") / chunk).cast("int")
+        mine = F.pmod(F.xxhash64("h"), parts).cast("int")
+        grid = F.transform(F.sequence(F.lit(0), parts - 1), lambda i: F.xxhash64("key", F.least(i, mine), F.greatest(i, mine)))  # noqa: B023
+        new = new.unionByName(_compared(met.where(again & ~F.col("more")).select("h", "root", F.explode(grid).alias("cell")), lined, similarity))
+        links = new if links is None else links.unionByName(new)
+        now = met.where(again & F.col("more")).select("key", "h", "root", "path")
+        split = not now.isEmpty()
+    return links
+
+
 def recurring(df: DataFrame, found: DataFrame, doc_id: str = "doc_id", text: str = "text", min_docs: int = MIN_DOCS, similarity: float = SIMILARITY) -> DataFrame:
     """Lines to drop: ``h``, ``cluster``, ``documents``, and ``first_id``, the document that keeps them.
 

@@ -12,6 +12,7 @@ import duckdb
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from lumenlit.llm import hmm, near_copies, quality, queries, templates
@@ -287,6 +288,45 @@ def test_templates(spark, sf_dir, rows):
     assert sum(r.n_dropped for r in got) >= 5
 
 
+@pytest.mark.parametrize(("cell", "spread", "chunk"), [(2, 64, 4096), (3, 1, 5), (4, 9, 4)])
+def test_crowded_keys_are_split_and_lose_no_link(spark, monkeypatch, cell, spread, chunk):
+    """Lines of few words, so that keys are crowded at every step, against all pairs."""
+    monkeypatch.setattr(templates, "CELL", cell)
+    monkeypatch.setattr(templates, "SPREAD", spread)
+    r = random.Random(cell)
+    rows, seen = [], set()
+    for size, n in ((5, 40), (6, 60), (10, 80), (14, 60), (25, 40)):
+        base = [[r.randrange(3) for _ in range(size - 3)] for _ in range(4)]
+        for _ in range(n):
+            rest = [r.randrange(4) if r.random() < 0.3 else x for x in r.choice(base)]
+            line = (1, 2, 3, *rest)
+            if line not in seen:
+                seen.add(line)
+                rows.append((size, len(rows), list(line)))
+    df = spark.createDataFrame(rows, "leaf long, h long, t array<long>")
+    group = {h: h for _, h, _ in rows}
+
+    def root(x):
+        while group[x] != x:
+            x = group[x]
+        return x
+
+    for (_, a, u), (_, b, v) in itertools.combinations(rows, 2):
+        if len(u) == len(v) and sum(x == y for x, y in zip(u, v, strict=True)) >= math.ceil(0.8 * len(u) - 1e-9) and root(a) != root(b):
+            group[max(root(a), root(b))] = min(root(a), root(b))
+    want = {h: root(h) for _, h, _ in rows if root(h) != h}
+    assert {x.h: x.cluster for x in templates.generalised(df, chunk=chunk).collect()} == want and len(want) > 100
+
+
+def test_a_crowded_key_costs_its_lines_and_not_its_pairs(spark, monkeypatch):
+    """Thousands of lines that have all but two tokens in common and don't agree: no two are compared."""
+    compared = []
+    monkeypatch.setattr(templates, "_compared", lambda cells, lined, similarity: compared.append(cells.groupBy("cell").count().agg({"count": "max"}).first()[0]) or cells.select(F.col("h").alias("a"), F.col("h").alias("b")).limit(0))
+    df = spark.createDataFrame([(1, k, [7, 8, 9, 10, 1000 + k, 900_000 + k]) for k in range(8000)], "leaf long, h long, t array<long>")
+    assert templates.generalised(df).count() == 0
+    assert all(n is None or n <= templates.CELL for n in compared)
+
+
 def brute_copies(docs):
     """How often mixing takes each id."""
     size = Counter()
