@@ -300,7 +300,7 @@ def _crowded_links(crowded: DataFrame, lined: DataFrame, similarity: float, cell
     pieces = lined.select("leaf", "h", "t").mapInArrow(tidy(lambda batches: _pieces(batches, similarity, True)), "key long, h long, path array<int>")
     now, links, split, spread = pieces.join(crowded.select("key", "h", "root"), ["key", "h"]), None, True, SPREAD
     while split:
-        made = stored(now.join(lined.select("h", "t"), "h").select("key", "h", "root", "path", "t").mapInArrow(tidy(lambda batches: _split(batches, similarity)), kind))
+        made = stored(now.join(lined.select("h", "t"), "h").select("key", "h", "root", "path", "t").mapInArrow(tidy(lambda batches: _split(batches, similarity, spread)), kind))
         keys = made.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("centre"), F.min("root").alias("a"), F.max("root").alias("b")).where("n > 1 and a <> b")
         met = stored(made.join(keys.select("key", "n", "centre"), "key"))
         few, again = (F.col("n") <= cell) & ~F.col("whole"), (F.col("n") > cell) & ~F.col("whole")
