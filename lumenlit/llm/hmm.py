@@ -17,8 +17,9 @@ classes, for which rare words are joined to their counts; only words that make u
 
 A word is known by 54 bits of a hash and its class. Defined results: null and empty texts
 are the end token alone; without training rows the counts are zero and states uniform;
-repeated rows score alike; texts of any length are read whole; other columns of the
-input, whatever their names, are neither read nor returned.
+repeated rows score alike; texts of any length are read whole, very long ones in parts
+that are walked side by side; other columns of the input, whatever their names, are
+neither read nor returned.
 """
 
 from __future__ import annotations
@@ -45,6 +46,9 @@ PRIOR = 200.0
 #: Texts taken out of an Arrow batch at once, and bytes of text walked side by side.
 STEP = 2048
 PORTION = 6 << 20
+#: Bytes of a long text whose words are taken at once; symbols of a text above which it is
+#: walked in parts, and symbols of these whose states are kept at once.
+BLOCK, LONG, SIDE = 4 << 20, 1 << 17, 1 << 19
 
 
 @dataclass(frozen=True)
@@ -76,17 +80,37 @@ class Model:
     emit: np.ndarray  # a row for each symbol, a column for each state
 
 
-def tokens(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
-    """Keys of all words (class in the lowest bits), and the index of each text's first word."""
-    raw, first = words.buffer(texts)
-    data = words.LOWER[raw]
+def _keys(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all words of some bytes (class in the lowest bits), and where they begin."""
+    data = words.LOWER[data]
     a, b = words.spans(data)
     tail = np.zeros(len(a), np.uint64)
     for i in (1, 2, 3):
         inside = b - i >= a
         tail = tail << np.uint64(8) | np.where(inside, data[np.maximum(b - i, 0)], 0).astype(np.uint64)
-    key = words.hashes(data, a, b) & ~np.uint64(CLASSES - 1) | words.mix(tail, 7) % np.uint64(CLASSES)
-    return key, np.searchsorted(a, first)
+    return words.hashes(data, a, b) & ~np.uint64(CLASSES - 1) | words.mix(tail, 7) % np.uint64(CLASSES), a
+
+
+def _cuts(text: bytes) -> Iterator[np.ndarray]:
+    """A text in blocks of about ``BLOCK`` bytes that end in white space."""
+    at = 0
+    while at < len(text):
+        stop = min(at + BLOCK, len(text))
+        while stop < len(text) and not words.SPACE[text[stop - 1]]:
+            some = np.flatnonzero(words.SPACE[np.frombuffer(text, np.uint8, min(BLOCK, len(text) - stop), stop)])
+            stop = stop + int(some[0]) + 1 if len(some) else min(stop + BLOCK, len(text))
+        yield np.frombuffer(text, np.uint8, stop - at, at)
+        at = stop
+
+
+def tokens(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of all words (class in the lowest bits), and the index of each text's first word."""
+    if len(texts) == 1 and len(texts[0] or b"") > BLOCK:  # a long text is taken apart
+        key = np.concatenate([_keys(block)[0] for block in _cuts(texts[0])])
+        return key, np.array([0, len(key)])
+    raw, first = words.buffer(texts)
+    key, begin = _keys(raw)
+    return key, np.searchsorted(begin, first)
 
 
 def _find(lexicon: Lexicon, key: np.ndarray) -> np.ndarray:
@@ -115,8 +139,23 @@ def _walk(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, bounds[:-1][order], np.searchsorted(-length[order], -np.arange(longest), "left")
 
 
+def _apart(bounds: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
+    """Which texts are walked side by side, and begin and end of the long ones."""
+    long = np.flatnonzero(np.diff(bounds) > LONG)
+    return long, [(int(bounds[i]), int(bounds[i + 1])) for i in long]
+
+
 def forward(model: Model, symbol: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     """log10 probability of each text's symbols."""
+    long, spans = _apart(bounds)
+    if len(long):
+        short = np.delete(np.arange(len(bounds) - 1), long)
+        out = np.empty(len(bounds) - 1)
+        out[long] = [Parts(model, symbol[a:b]).log10 for a, b in spans]
+        if len(short):
+            some = np.concatenate([symbol[bounds[i] : bounds[i + 1]] for i in short])
+            out[short] = forward(model, some, np.concatenate(([0], np.cumsum(np.diff(bounds)[short]))))
+        return out
     order, begin, still = _walk(bounds)
     scale = np.empty(len(symbol))
     now = np.empty((0, len(model.start)))
@@ -129,8 +168,92 @@ def forward(model: Model, symbol: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.add.reduceat(np.log10(scale), bounds[:-1]) if len(bounds) > 1 else np.zeros(0)
 
 
+class Parts:
+    """The recursions over one long text, cut into about as many parts as each has symbols.
+
+    The parts' step matrices are multiplied side by side, which gives what enters each part
+    from either end; so a text takes steps in the order of the square root of its length,
+    and no more than ``SIDE`` symbols have their states' weights kept at once.
+    """
+
+    def __init__(self, model: Model, symbol: np.ndarray) -> None:
+        # The first symbol comes from the start, each other one from a step.
+        self.model, self.symbol, n, k = model, symbol, len(symbol) - 1, len(model.start)
+        first = model.start * model.emit[symbol[0]]
+        self.length = max(1, int(np.ceil(np.sqrt(n))))
+        self.count, self.n = -(-n // self.length), n
+        self.group = max(1, SIDE // self.length)
+        product, worth = np.empty((self.count, k, k)), np.zeros(self.count)
+        for a, b in self.groups():
+            now = np.broadcast_to(np.eye(k), (b - a, k, k))
+            for t in range(self.length):
+                emit, there = self.emitted(a, b, t)
+                new = (now.reshape(-1, k) @ model.step).reshape(now.shape) * emit[:, None, :]
+                total = new.sum(axis=(1, 2))
+                now = np.where(there[:, None, None], new / total[:, None, None], now)
+                worth[a:b] += np.where(there, np.log10(total), 0.0)
+            product[a:b] = now
+        self.enter, self.leave = np.ones((self.count + 1, k)), np.ones((self.count + 1, k))
+        self.enter[0] = first / first.sum()
+        logs = [np.log10(first.sum()), worth.sum()]
+        for i in range(self.count):
+            ahead = self.enter[i] @ product[i]
+            logs.append(np.log10(ahead.sum()))
+            self.enter[i + 1] = ahead / ahead.sum()
+        for i in range(self.count - 1, -1, -1):
+            back = product[i] @ self.leave[i + 1]
+            self.leave[i] = back / back.sum()
+        self.log10 = float(sum(logs))
+
+    def groups(self) -> Iterator[tuple[int, int]]:
+        return ((a, min(a + self.group, self.count)) for a in range(0, self.count, self.group))
+
+    def emitted(self, a: int, b: int, t: int) -> tuple[np.ndarray, np.ndarray]:
+        """The states' emissions of symbol ``t`` of some parts, and which of them have one."""
+        place = np.arange(a, b) * self.length + t
+        return self.model.emit[self.symbol[1 + np.minimum(place, self.n - 1)]], place < self.n
+
+    def expected(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        step, k = self.model.step, len(self.model.start)
+        starts = self.enter[0] * self.leave[0]
+        starts = starts / starts.sum()
+        steps, emits = np.zeros((k, k)), np.zeros((len(self.model.emit), k))
+        emits[self.symbol[0]] += starts
+        for a, b in self.groups():
+            alpha = np.empty((self.length + 1, b - a, k))
+            alpha[0] = self.enter[a:b]
+            for t in range(self.length):
+                emit, there = self.emitted(a, b, t)
+                new = (alpha[t] @ step) * emit
+                alpha[t + 1] = np.where(there[:, None], new / new.sum(axis=1, keepdims=True), alpha[t])
+            beta = self.leave[a + 1 : b + 1]
+            for t in range(self.length - 1, -1, -1):
+                emit, there = self.emitted(a, b, t)
+                ahead = emit * beta
+                both = ((alpha[t] @ step) * ahead).sum(axis=1)
+                at = np.flatnonzero(there)
+                steps += (alpha[t][at] / both[at, None]).T @ ahead[at]
+                state = alpha[t + 1] * beta
+                alpha[t + 1] = state / state.sum(axis=1, keepdims=True)  # from here on the symbol's states
+                back = ahead @ step.T
+                beta = np.where(there[:, None], back / back.sum(axis=1, keepdims=True), beta)
+            first, last = a * self.length, min(b * self.length, self.n)
+            held = alpha[1:].transpose(1, 0, 2).reshape(-1, k)[: last - first]
+            some = self.symbol[1 + first : 1 + last]
+            emits += np.stack([np.bincount(some, held[:, i], len(emits)) for i in range(k)], axis=1)
+        return starts, steps * step, emits
+
+
 def expected(model: Model, symbol: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Expected counts of starts, steps and emissions, by forward and backward recursions."""
+    long, spans = _apart(bounds)
+    if len(long):
+        found = [Parts(model, symbol[a:b]).expected() for a, b in spans]
+        short = np.delete(np.arange(len(bounds) - 1), long)
+        if len(short):
+            some = np.concatenate([symbol[bounds[i] : bounds[i + 1]] for i in short])
+            found.append(expected(model, some, np.concatenate(([0], np.cumsum(np.diff(bounds)[short])))))
+        return tuple(sum(x) for x in zip(*found, strict=True))
     order, begin, still = _walk(bounds)
     k = len(model.start)
     alpha, scale = np.empty((len(symbol), k)), np.empty(len(symbol))
@@ -169,9 +292,9 @@ def planes(symbols: int, states: int) -> np.ndarray:
 def parted(unigram: np.ndarray, states: int, symbol: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Counts of starts, steps and emissions if every document is in one state from end to end."""
     side = planes(len(unigram), states)
-    value = np.add.reduceat(side[symbol] - unigram @ side, bounds[:-1], axis=0)
-    state = (value > 0) @ (1 << np.arange(side.shape[1])) % states
     length = np.diff(bounds)
+    value = np.stack([np.add.reduceat(side[:, i][symbol], bounds[:-1]) - length * (unigram @ side[:, i]) for i in range(side.shape[1])], axis=1)
+    state = (value > 0) @ (1 << np.arange(side.shape[1])) % states
     emits = np.bincount(symbol * states + np.repeat(state, length), minlength=len(unigram) * states).reshape(-1, states)
     return np.bincount(state, minlength=states).astype(float), np.diag(np.bincount(state, length - 1, states)), emits.astype(float)
 
