@@ -16,9 +16,9 @@ tokens after the leading ones, so each distinct line of a leaf that may recur is
 its pieces. First the lines of a key are compared with its least line, which brings most
 of a template together; then, in each key whose lines are still of several groups, every
 line with every line of another group. So templates are the connected components of all
-pairs that agree, whichever other lines share a key. A key of more than ``CELL`` lines is
-split first: what its lines don't have in common yet may still differ in d places, so it
-is cut into d + 1 pieces again, one of which any two lines that agree share; and so on. Where
+pairs that agree, whichever other lines share a key. A key of more than ``CELL`` lines for
+each of d + 1 pieces is split first: what its lines don't have in common yet may still
+differ in d places, so it is cut into d + 1 pieces again, one of which any two lines that agree share; and so on. Where
 no more than d places are left, all lines agree, and are linked to the least of them
 without comparing any. So a key's cost grows with its lines, not with its pairs. Only
 where pieces would multiply beyond ``SPREAD`` (lines of very many tokens) are keys of more than
@@ -50,8 +50,9 @@ DEPTH = 3
 MIN_DOCS = 5
 #: Slots of the filter that tells tasks which leaves may recur (one byte each).
 SLOTS = 1 << 20
-#: Lines of a key above which it is split, and pieces that a line may come to in that way.
-CELL = 512
+#: Lines of a key, for each of the pieces it would be split into, up to which comparing all costs less
+#: than splitting; and pieces that a line may come to in that way.
+CELL = 2048
 SPREAD = 64
 #: Lines of a key which are compared in one piece, and tokens compared in one step.
 CHUNK = 4096
@@ -188,7 +189,7 @@ def _open_places(size: int, pieces: int, path: list[int]) -> np.ndarray:
     return rest
 
 
-_SPLIT = ["key", "h", "root", "path", "whole", "more"]
+_SPLIT = ["key", "h", "root", "path", "may", "whole", "more"]
 
 
 def _split(batches: Iterator[pa.RecordBatch], similarity: float, spread: int) -> Iterator[pa.RecordBatch]:
@@ -211,7 +212,7 @@ def _split(batches: Iterator[pa.RecordBatch], similarity: float, spread: int) ->
                 whole = len(rest) - (piece.stop - piece.start) <= may
                 more = (may + 1) ** (len(path) + 2) <= spread
                 same = lambda x, k=len(row): pa.array([x] * k)
-                yield pa.RecordBatch.from_arrays([_long(made), _long(h[row]), _long(root[row]), pa.array([[*path, at]] * len(row), pa.list_(pa.int32())), same(whole), same(more)], _SPLIT)
+                yield pa.RecordBatch.from_arrays([_long(made), _long(h[row]), _long(root[row]), pa.array([[*path, at]] * len(row), pa.list_(pa.int32())), pa.array([may] * len(row), pa.int32()), same(whole), same(more)], _SPLIT)
 
 
 def _agreeing(table: pa.Table, similarity: float) -> tuple[np.ndarray, np.ndarray]:
@@ -281,38 +282,44 @@ def generalised(distinct: DataFrame, similarity: float = SIMILARITY, chunk: int
     mixed = rooted.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("key")
     open_ = stored(rooted.join(mixed, "key").select("key", "h", "root", "n"))
     cell = CELL
-    found = _compared(open_.where(F.col("n") <= cell).select(F.col("key").alias("cell"), "h", "root"), lined, similarity)
-    crowded = open_.where(F.col("n") > cell)
+    # A line may differ in one place at least, so a key this small is small whatever its lines' length.
+    small = open_.where(F.col("n") <= 2 * cell)
+    crowded = open_.where(F.col("n") > 2 * cell)
     if not crowded.isEmpty():
-        found = found.unionByName(_crowded_links(crowded, lined, similarity, cell, chunk))
-    return components(near.unionByName(found), "a", "b").select(F.col("node").alias("h"), F.col("root").alias("cluster"))
-
-
-def _compared(cells: DataFrame, lined: DataFrame, similarity: float) -> DataFrame:
-    """``a``, ``b``: lines of a cell of different groups that agree, by comparing all of a cell's."""
-    dealt = cells.join(lined, "h").select("cell", "h", "root", "leaf", "t").repartition("cell").sortWithinPartitions("cell")
+        may = F.size("t") - F.ceil(F.size("t") * similarity - 1e-9).cast("int")
+        sized = stored(crowded.join(lined.select("h", may.alias("may")), "h"))
+        large = F.col("n") > cell * (F.col("may") + 1)
+        small = small.unionByName(sized.where(~large).select("key", "h", "root", "n"))
+        links = _crowded_links(sized.where(large).select("key", "h", "root"), lined, similarity, cell, chunk)
+        return components(near.unionByName(_compared(small, lined, similarity, chunk)).unionByName(links), "a", "b").select(F.col("node").alias("h"), F.col("root").alias("cluster"))
+    return components(near.unionByName(_compared(small, lined, similarity, chunk)), "a", "b").select(F.col("node").alias("h"), F.col("root").alias("cluster"))
+
+
+def _compared(rows: DataFrame, lined: DataFrame, similarity: float, chunk: int) -> DataFrame:
+    """``a``, ``b``: lines of a key (``key``, ``h``, ``root``, and ``n`` lines) of different groups that agree, by comparing all."""
+    parts = F.ceil(F.col("n") / chunk).cast("int")
+    mine = F.pmod(F.xxhash64("h"), parts).cast("int")
+    # A cell of the grid has two chunks of a key's lines, so any two lines meet.
+    grid = F.transform(F.sequence(F.lit(0), parts - 1), lambda i: F.xxhash64("key", F.least(i, mine), F.greatest(i, mine)))
+    dealt = rows.select("h", "root", F.explode(grid).alias("cell")).join(lined, "h")
+    dealt = dealt.select("cell", "h", "root", "leaf", "t").repartition("cell").sortWithinPartitions("cell")
     return dealt.mapInArrow(tidy(lambda batches: _compare(batches, similarity)), "a long, b long")
 
 
 def _crowded_links(crowded: DataFrame, lined: DataFrame, similarity: float, cell: int, chunk: int) -> DataFrame:
     """``a``, ``b``: links that join what agrees among the lines of crowded keys (``key``, ``h``, ``root``)."""
-    kind = "key long, h long, root long, path array<int>, whole boolean, more boolean"
+    kind = "key long, h long, root long, path array<int>, may int, whole boolean, more boolean"
     pieces = lined.select("leaf", "h", "t").mapInArrow(tidy(lambda batches: _pieces(batches, similarity, True)), "key long, h long, path array<int>")
-    now, links, split, spread = pieces.join(crowded.select("key", "h", "root"), ["key", "h"]), None, True, SPREAD
+    now, links, split, spread = pieces.join(crowded, ["key", "h"]), None, True, SPREAD
     while split:
         made = stored(now.join(lined.select("h", "t"), "h").select("key", "h", "root", "path", "t").mapInArrow(tidy(lambda batches: _split(batches, similarity, spread)), kind))
         keys = made.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("centre"), F.min("root").alias("a"), F.max("root").alias("b")).where("n > 1 and a <> b")
         met = stored(made.join(keys.select("key", "n", "centre"), "key"))
-        few, again = (F.col("n") <= cell) & ~F.col("whole"), (F.col("n") > cell) & ~F.col("whole")
+        large = F.col("more") & (F.col("n") > cell * (F.col("may") + 1))
         new = met.where("whole and h <> centre").select(F.col("h").alias("a"), F.col("centre").alias("b"))
-        new = new.unionByName(_compared(met.where(few).select(F.col("key").alias("cell"), "h", "root"), lined, similarity))
-        # A cell of the grid has two chunks of a key's lines, so any two lines meet.
-        parts = F.ceil(F.col("n") / chunk).cast("int")
-        mine = F.pmod(F.xxhash64("h"), parts).cast("int")
-        grid = F.transform(F.sequence(F.lit(0), parts - 1), lambda i: F.xxhash64("key", F.least(i, mine), F.greatest(i, mine)))  # noqa: B023
-        new = new.unionByName(_compared(met.where(again & ~F.col("more")).select("h", "root", F.explode(grid).alias("cell")), lined, similarity))
+        new = new.unionByName(_compared(met.where(~F.col("whole") & ~large).select("key", "h", "root", "n"), lined, similarity, chunk))
         links = new if links is None else links.unionByName(new)
-        now = met.where(again & F.col("more")).select("key", "h", "root", "path")
+        now = met.where(~F.col("whole") & large).select("key", "h", "root", "path")
         split = not now.isEmpty()
     return links
 
