@@ -4,9 +4,11 @@ Every distinct text (lower-cased, white space aside) has a wide SimHash of its s
 five-word shingles, ``WIDE`` words of 64 bits. Each word has three blocks whose anchors
 are the codewords of a covering code (see ``simhash``): a fingerprint is at home at its
 nearest anchor and is replicated to every anchor within covering radius plus one bit, so
-two that differ in one bit of a block at most surely meet there. Texts of similarity 0.8
-differ in 15 % of the bits; of the fifteen blocks at least one is that close in 98 % of such
-pairs or more (in all of them from 0.85 on), which is the recall of this operator.
+two that differ in one bit of a block at most surely meet there, and others may. That is
+no guarantee for every pair: texts of similarity 0.8 differ in 15 % of the bits. Of 1,500
+pairs of random sets of 60 and of 300 shingles each, 99.6 % and 99.8 % met at similarity
+0.8, 100 % and 99.7 % at 0.825 and all at 0.85; ``LOOSE`` and ``CLOSE`` lost one of these
+9,000 pairs. That is this operator's recall; what it finds is exact.
 
 Per anchor, homes are compared with all replicas over one word; what differs in more
 than ``LOOSE`` bits goes. An anchor returns a shortest spanning forest of the rest and
@@ -46,9 +48,9 @@ from lumenlit.llm.substrings import rolled
 SHINGLE = 5
 SIMILARITY = 0.8
 #: Words of a fingerprint; bits of one word and of all in which texts that may be similar differ at most.
-WIDE = 5
-LOOSE = 17
-CLOSE = 71
+WIDE = 7
+LOOSE = 18
+CLOSE = 100
 #: Replicas of an anchor which are compared in one piece, pairs compared in one step, replicas in a group.
 CHUNK = 16_384
 PAIRS = 1 << 18
