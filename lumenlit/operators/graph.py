@@ -1,4 +1,10 @@
-"""Connected components for linkage, by alternating large-star and small-star steps."""
+"""Connected components of a graph given as a table of edges.
+
+Alternating large-star and small-star steps, each a grouping and a join, until the edges
+stop changing; every round is checkpointed in the shared folder, so a lost executor costs
+one round. No neighbourhood is ever collected: a hub's smallest neighbour is an aggregate,
+and its edges are rewritten row by row in a join that Spark may split.
+"""
 
 from __future__ import annotations
 
@@ -16,32 +22,41 @@ def shared_folder(df: DataFrame) -> None:
         spark.sparkContext.setCheckpointDir(folder or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
 
 
-def _moved(pairs: DataFrame, own: DataFrame) -> DataFrame:
-    """Each pair's far end with the smallest neighbour of its near end (column ``m``)."""
-    return own.join(pairs.groupBy("u").agg(F.min("v").alias("m")), "u")
+def _large_star(edges: DataFrame) -> DataFrame:
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+    return both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+
+
+def _small_star(edges: DataFrame) -> DataFrame:
+    least = edges.groupBy("u").agg(F.min("v").alias("m"))
+    moved = edges.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return moved.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
 
-def smallest_reachable(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
-    """``id``, ``component`` for all rows of ``nodes`` (column ``id``); ``edges`` has ``a`` and ``b``.
+def components(edges: DataFrame, a: str, b: str, max_rounds: int = 60) -> DataFrame:
+    """``node`` and ``root`` (the smallest node of its component) for nodes other than their root.
 
-    Every round hangs a node's larger neighbours, then its smaller ones, on the smallest
-    one, and is checkpointed; distances shrink by half or more, so rounds are few. A hub's
-    edges are counted down to its smallest neighbour before the join, which Spark may split.
+    Nulls and loops are ignored; repeated edges count once; no edges give no rows.
     """
-    shared_folder(nodes)
-    now = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct().checkpoint()
-    sign = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
-    before = sign(now)
+    shared_folder(edges)
+    now = edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct().checkpoint()
+    print_of = lambda df: tuple(df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+    before = print_of(now)
     for _ in range(max_rounds):
-        both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = _moved(both, both.where("v > u")).select(F.col("v").alias("u"), F.least("u", "m").alias("v")).where("u <> v").distinct()
-        small = _moved(large, large).select("v", "m", "u")
-        now = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).where("u <> v").distinct().checkpoint()
-        after = sign(now)
+        if not before[0]:
+            break
+        now = _small_star(_large_star(now)).checkpoint()
+        after = print_of(now)
         if after == before:
             break
         before = after
     else:
         raise RuntimeError("components did not settle")
-    roots = now.groupBy(F.col("u").alias("id")).agg(F.min("v").alias("_root"))
-    return nodes.select("id").join(roots, "id", "left").select("id", F.coalesce("_root", "id").alias("component"))
+    return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+
+
+def smallest_reachable(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """``id``, ``component`` for all rows of ``nodes`` (column ``id``); ``edges`` has ``a`` and ``b``."""
+    roots = components(edges, "a", "b")
+    return nodes.select("id").join(roots, nodes["id"] == F.col("node"), "left").select("id", F.coalesce("root", "id").alias("component"))
