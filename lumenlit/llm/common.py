@@ -55,14 +55,19 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def drop_stored(spark: SparkSession) -> int:
-    """Delete the tables that this session's queries have stored so far, once their results are written."""
+def stored_tables() -> int:
+    """How many tables this session's queries have stored so far; ``drop_stored`` takes it as ``since``."""
+    return len(_stored)
+
+
+def drop_stored(spark: SparkSession, since: int = 0, keep: int = 0) -> int:
+    """Delete the tables stored since a moment but for the last ``keep``, once nothing reads them any more."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    n = len(_stored)
-    while _stored:
-        path = jvm.org.apache.hadoop.fs.Path(_stored.pop())
+    gone = _stored[since : len(_stored) - keep]
+    for path in map(jvm.org.apache.hadoop.fs.Path, gone):
         path.getFileSystem(conf).delete(path, True)
-    return n
+    del _stored[since : len(_stored) - keep]
+    return len(gone)
 
 
 def release() -> None:

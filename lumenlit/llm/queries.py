@@ -170,6 +170,89 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialogue.repaired(dialogue.damaged(turns), turns.select("conv_id").distinct())
 
 
+def _crc_sql(text: str) -> str:
+    """The unsigned crc32 of an ASCII text, bit by bit."""
+    bit = "CASE WHEN u % 2 = 1 THEN xor(u // 2, 3988292384) ELSE u // 2 END"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), list_transform(string_split({text}, ''), lambda c: CAST(ascii(c) AS BIGINT))), lambda a, b: list_reduce(list_prepend(xor(a, b), CAST([0, 0, 0, 0, 0, 0, 0, 0] AS BIGINT[])), lambda u, i: {bit})), 4294967295)"
+
+
+def _manifest_sql(depth: int = 4) -> str:
+    """Trees of ``16 ** depth`` leaves at most, level by level."""
+    told = lambda c: f"coalesce(CAST(octet_length(encode(CAST({c} AS VARCHAR))) AS VARCHAR) || ':' || CAST({c} AS VARCHAR), '-')"
+    head = " || ".join(told(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    crc = _crc_sql("CAST(doc_id AS VARCHAR)")
+    ctes = [
+        f"d AS (SELECT doc_id, source, sha256({head} || {told('text')}) AS leaf, CASE WHEN {crc} % 5 = 0 THEN sha256({head} || {told(lower)}) END AS tampered FROM documents)",
+        "p AS (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS s, row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY source) AS n, row_number() OVER () AS rid FROM d)",
+        "a0 AS (SELECT s AS tree, idx AS pos, n, leaf AS h FROM p)"]
+    # Nodes of each level; a tree that has one node left keeps it.
+    grow = lambda k, x: f"{x}{k + 1} AS (SELECT tree, pos // 16 AS pos, (n + 15) // 16 AS n, CASE WHEN n = 1 THEN any_value(h) ELSE sha256(string_agg(h, '' ORDER BY pos)) END AS h FROM {x}{k} GROUP BY tree, pos // 16, n)"
+    ctes += [grow(k, "a") for k in range(depth)]
+    ctes.append(f"b0 AS (SELECT 0 AS tree, tree AS pos, count(*) OVER () AS n, h FROM a{depth})")
+    ctes += [grow(k, "b") for k in range(depth)]
+    ctes.append("c0 AS (SELECT rid, s AS tree, idx, s, coalesce(tampered, leaf) AS f, '' AS sib FROM p)")
+    for k in range(2 * depth):
+        x, j = ("a", k) if k < depth else ("b", k - depth)
+        if k == depth:
+            ctes.append(f"e0 AS (SELECT rid, 0 AS tree, s AS idx, s, f, sib FROM c{k})")
+        src = f"c{k}" if k != depth else "e0"
+        ctes.append(f"c{k + 1} AS (SELECT c.rid, c.tree, c.idx // 16 AS idx, c.s, CASE WHEN any_value(l.n) = 1 THEN c.f ELSE sha256(string_agg(CASE WHEN l.pos = c.idx THEN c.f ELSE l.h END, '' ORDER BY l.pos)) END AS f, c.sib || coalesce(string_agg(l.h, '' ORDER BY l.pos) FILTER (l.pos <> c.idx), '') AS sib FROM {src} c JOIN {x}{j} l ON l.tree = c.tree AND l.pos // 16 = c.idx // 16 GROUP BY c.rid, c.tree, c.idx, c.s, c.f, c.sib)")
+    return "WITH " + ", ".join(ctes) + f" SELECT p.doc_id, p.leaf, r.h AS subroot, t.h AS root, sha256(c.sib) AS proof_sha256, c.f AS folded_root, c.f = t.h AS verified FROM p JOIN c{2 * depth} c USING (rid) JOIN a{depth} r ON r.tree = p.s CROSS JOIN b{depth} t"
+
+
+ORACLE_SQL["op11_merkle_manifest"] = _manifest_sql()
+
+
+def _repair_sql() -> str:
+    """The cheapest edits by a table over (turns done, state), a turn in each round."""
+    crc = _crc_sql("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")
+    def f(k, cost, letter):  # twelve digits of cost, then the audit: the least text is the cheapest, then the least audit
+        return f"printf('%012d', CAST(left({k}, 12) AS BIGINT) + {cost}) || substr({k}, 13) || '{letter}'"
+    x2 = f"least(s2, {f('s0', 3, 'I')}, {f('s1', 3, 'I')}, {f('s3', 3, 'I')})"
+    closed = lambda src: f"SELECT *, least(s3, {f('t2', 3, 'I')}) AS t3 FROM (SELECT *, {x2} AS t2 FROM {src})"
+    may = "r.kind NOT IN ('blank', 'duplicate')"
+    e = "CASE WHEN r.kind = 'truncated' THEN 3 ELSE 0 END"
+    k = lambda s, on: f"CASE WHEN {may} AND r.i = '{on}' THEN {f(s, e, 'K')} END"
+    r = lambda s: f"CASE WHEN {may} THEN {f(s, '3 + ' + e, 'R')} END"
+    new = {
+        "s0": f("s0", 4, "D"),
+        "s1": f"least({f('s1', 4, 'D')}, {k('s0', 's')})",
+        "s2": f"least({f('t2', 4, 'D')}, {k('s0', 'u')}, {k('s1', 'u')}, {k('t3', 'u')}, {r('s0')}, {r('s1')}, {r('t3')})",
+        "s3": f"least({f('t3', 4, 'D')}, {k('t2', 'a')}, {r('t2')})",
+    }
+    step = ", ".join(f"{v} AS {n}" for n, v in new.items())
+    trimmed = "rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+    return f"""WITH RECURSIVE damaged AS (
+  SELECT conv_id, turn, CASE WHEN lot = 4 THEN 'user' ELSE role END AS role, CASE lot WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(CASE WHEN lot = 3 THEN [1, 2] ELSE [1] END) AS time
+  FROM (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc} % 20 AS lot FROM conversations) WHERE lot <> 0
+), everyone AS (SELECT conv_id, row_number() OVER (ORDER BY conv_id NULLS FIRST) AS c FROM (SELECT DISTINCT conv_id FROM conversations)
+), placed AS (
+  SELECT e.c, d.turn, d.role, d.text, row_number() OVER (PARTITION BY e.c ORDER BY d.turn NULLS FIRST, d.role, sha256(d.text)) AS p, {trimmed} AS said FROM damaged d JOIN everyone e ON d.conv_id IS NOT DISTINCT FROM e.conv_id
+), rows AS (
+  SELECT *, left(role, 1) AS i, CASE WHEN said = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY p) > 1 THEN 'duplicate' WHEN right(said, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS kind, left(lag(role) OVER (PARTITION BY c ORDER BY p), 1) || left(role, 1) AS pair FROM placed
+), counted AS (
+  SELECT c, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (kind = 'blank') AS blank, count(*) FILTER (kind = 'duplicate') AS duplicate, count(*) FILTER (kind = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM rows GROUP BY c
+), walk(c, p, s0, s1, s2, s3) AS (
+  SELECT c, CAST(0 AS BIGINT), '000000000000', CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR) FROM counted
+  UNION ALL
+  SELECT w.c, w.p + 1, {step} FROM ({closed("walk")}) w JOIN rows r ON r.c = w.c AND r.p = w.p + 1
+), best AS (
+  SELECT w.c, least(s0, t3) AS k FROM ({closed("walk")}) w JOIN counted n ON n.c = w.c AND n.n = w.p
+), told(c, audit, z, p, state, said) AS (
+  SELECT c, substr(k, 13), CAST(0 AS BIGINT), CAST(0 AS BIGINT), 0, CAST([] AS VARCHAR[]) FROM best
+  UNION ALL
+  SELECT t.c, t.audit, t.z + 1, t.p + CAST(substr(t.audit, t.z + 1, 1) <> 'I' AS INT),
+    CASE WHEN substr(t.audit, t.z + 1, 1) = 'D' THEN t.state WHEN substr(t.audit, t.z + 1, 1) = 'K' AND r.i = 's' THEN 1 WHEN t.state = 2 THEN 3 ELSE 2 END,
+    CASE substr(t.audit, t.z + 1, 1) WHEN 'D' THEN t.said WHEN 'K' THEN list_append(t.said, r.role || ':' || r.text) WHEN 'R' THEN list_append(t.said, CASE WHEN t.state = 2 THEN 'assistant:' ELSE 'user:' END || r.text) ELSE list_append(t.said, CASE WHEN t.state = 2 THEN 'assistant:' ELSE 'user:' END) END
+  FROM told t LEFT JOIN rows r ON r.c = t.c AND r.p = t.p + 1 WHERE t.z < length(t.audit)
+)
+SELECT e.conv_id, coalesce(n.gaps, 0) AS gaps, coalesce(n.blank, 0) AS blank, coalesce(n.duplicate, 0) AS duplicate, coalesce(n.truncated, 0) AS truncated, coalesce(n.illegal, 0) AS illegal, coalesce(CAST(left(b.k, 12) AS BIGINT), 0) AS cost, coalesce(t.audit, '') AS audit, sha256(coalesce(array_to_string(t.said, chr(10)), '')) AS repaired_sha256
+FROM everyone e LEFT JOIN counted n USING (c) LEFT JOIN best b USING (c) LEFT JOIN told t ON t.c = e.c AND t.z = length(t.audit)"""
+
+
+ORACLE_SQL["op13_conversation_repair"] = _repair_sql()
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_media_columns": op1_media_columns,
     "op2_hidden_markov_scores": op2_hidden_markov_scores,

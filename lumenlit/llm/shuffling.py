@@ -4,11 +4,12 @@ Pass one scatters whole records uniformly into memory-sized buckets by a seeded
 their key; pass two gives each bucket to one task, puts it in a fixed order and
 Fisher-Yates shuffles it (Spark's seeded ``shuffle``, whose stream is the seed plus the
 number of the partition, here the number of the bucket). The buckets one after another
-are a uniform permutation of the table; it depends on the records and the seed only, so
-a task that runs again on another executor gives the same rows.
+are a uniform permutation of the table. Without crowded keys it depends on the records
+and the seed only; a task that runs again on another executor gives the same rows.
 
 Keys that many rows share (nulls, repeated rows) are found by a count and spread over
-all buckets by the place of the row in the input. Columns must be orderable. An empty
+all buckets by the place of the row in the input, so where these rows go depends on how
+the input is laid out in files as well. Columns must be orderable. An empty
 table gives an empty one; rows that are equal stay as many as they are; other columns may
 have any names. A bucket is a task: at 100 TB raise ``bucket_bytes`` to what a task can
 sort (1 GB makes 100,000 of them).
@@ -66,5 +67,5 @@ def shards(shuffled: DataFrame, n_shards: int) -> DataFrame:
 
 
 def write_shards(sharded: DataFrame, path: str) -> None:
-    """One folder for each shard, its records in slot order within each file."""
-    sharded.sortWithinPartitions("shard", "slot").write.partitionBy("shard").mode("overwrite").parquet(path)
+    """One folder for each shard, its records in slot order; each task writes a range of one shard, or of two."""
+    sharded.repartitionByRange("shard", "slot").sortWithinPartitions("shard", "slot").write.partitionBy("shard").mode("overwrite").parquet(path)

@@ -33,7 +33,7 @@ from pyspark.sql.functions import arrow_udf
 
 from lumenlit.llm import words
 from lumenlit.llm.common import persisted
-from lumenlit.llm.components import components
+from lumenlit.operators.graph import components
 
 SHINGLE = 4
 SEED = 42

@@ -43,7 +43,7 @@ from pyspark.sql import functions as F
 from lumenlit.functions.text import let
 from lumenlit.llm import words
 from lumenlit.llm.common import stored, tidy, unused
-from lumenlit.llm.components import components
+from lumenlit.operators.graph import components
 
 SIMILARITY = 0.8
 DEPTH = 3

@@ -234,7 +234,7 @@ def test_mixing(spark, sf_dir, rows):
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_sql_agrees(spark, sf_dir, name):
     con = duckdb.connect()
-    for t in ("documents", "labels", "embeddings"):
+    for t in ("documents", "labels", "embeddings", "conversations"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{sf_dir}/{t}.parquet/*.parquet'")
     df = RUN[name](spark, sf_dir)
     told = con.execute(queries.ORACLE_SQL[name])
