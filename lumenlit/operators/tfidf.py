@@ -51,8 +51,14 @@ def english_stop_words(path: str | None = None) -> list[str]:
 
 
 def term_counts(docs: DataFrame, doc_id: str, text: Column, stop: list[str] | None = None, pairs: bool = True) -> DataFrame:
-    """``doc``, ``term``, ``n``."""
-    terms = docs.select(F.col(doc_id).alias("doc"), F.explode(grams(tokens(text), stop or [], pairs)).alias("term"))
+    """``doc``, ``term``, ``n``.
+
+    Texts are dealt out by document before they are taken apart, so a document's terms are
+    counted where they are made: its text crosses the network, and not every one of its terms.
+    """
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # given, as texts are small beside their terms
+    dealt = docs.select(F.col(doc_id).alias("doc"), text.alias("_text")).repartition(parts, "doc")
+    terms = dealt.select("doc", F.explode(grams(tokens(F.col("_text")), stop or [], pairs)).alias("term"))
     return terms.groupBy("doc", "term").agg(F.count(F.lit(1)).alias("n"))
 
 
