@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from lumenlit.functions import scoring
 from lumenlit.functions.text import markdown_cell, plain_title, truncate
-from lumenlit.operators import ranking
+from lumenlit.operators import ranges, ranking
 
 # Headings and marks of the report format.
 HEADER = "| # | 论文 | 提交日期 | 相关性 | 时效性 | 重要性 | 总分 | 引用 | 标记 |"
@@ -188,9 +188,10 @@ def library_summary(library: DataFrame) -> DataFrame:
 
 
 def ordinals(df: DataFrame, label: str, order: str) -> DataFrame:
-    """Labels made unique: the second of a kind gets ``#2``, the third ``#3``."""
-    n = F.row_number().over(Window.partitionBy(label).orderBy(order))
-    return df.withColumn("unique_label", F.when(n == 1, F.col(label)).otherwise(F.concat(F.col(label), F.lit(" #"), n.cast("string"))))
+    """Labels made unique: the second of a kind gets ``#2``, the third ``#3``; a label of any number of rows is numbered by ranges."""
+    n = F.col("number")
+    counted = ranges.numbered(df, [label], [order])
+    return counted.withColumn("unique_label", F.when(n == 1, F.col(label)).otherwise(F.concat(F.col(label), F.lit(" #"), n.cast("string")))).drop("number")
 
 
 #: Known labels in an automaton, and letters of the pieces by which labels inside known ones are found.

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lumenlit.operators.graph import shared_folder
+from lumenlit.operators import ranges
 
 
 def as_of(left: DataFrame, right: DataFrame, key: str, at: str, values: list[str]) -> DataFrame:
@@ -23,15 +23,12 @@ def as_of(left: DataFrame, right: DataFrame, key: str, at: str, values: list[str
     takes many of them. Each range carries the last value along its rows; what a range begins
     with is the last value that the ranges before it leave for its key. No name of ``left`` is taken by ``values``.
     """
-    shared_folder(left)
     value = F.struct(*values)
     least = right.where(F.col(key).isNotNull() & F.col(at).isNotNull()).groupBy(F.col(key).alias("_key"), F.col(at).alias("_at")).agg(F.max(value).alias("_value"))
     rest = F.struct(*left.columns)
     told = least.select("_key", "_at", F.lit(0).alias("_side"), "_value", F.lit(None).cast(left.select(rest.alias("r")).schema["r"].dataType).alias("_row"))
     asked = left.select(F.col(key).alias("_key"), F.col(at).alias("_at"), F.lit(1).alias("_side"), F.lit(None).cast(told.schema["_value"].dataType).alias("_value"), rest.alias("_row"))
-    order = ["_key", "_at", "_side"]
-    dealt = told.unionByName(asked).repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_seq", F.monotonically_increasing_id())
-    dealt = dealt.withColumn("_range", F.shiftright("_seq", 33)).checkpoint()
+    dealt = ranges.dealt(told.unionByName(asked), ["_key", "_at", "_side"])
     along = Window.partitionBy("_range", "_key").orderBy("_seq").rowsBetween(Window.unboundedPreceding, 0)
     within = dealt.withColumn("_held", F.last("_value", ignorenulls=True).over(along)).where("_side = 1")
     left_by = dealt.where("_side = 0").groupBy("_range", "_key").agg(F.max_by("_value", "_seq").alias("_left"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lumenlit.functions import scoring, text
-from lumenlit.operators import linkage, merging, ranking, reporting, state, tfidf
+from lumenlit.operators import linkage, merging, ranges, ranking, reporting, state, tfidf
 from lumenlit.plans import profile, recommend, search
 from lumenlit.queries import _HISTORY, _PAPERS, _PLAIN, AS_OF, STOP, VENUES, _contents, _files, _FILES, _PLAN, _history, _now, _profile, _scored, age_sql, candidates, library, norm_sql, papers, query, table
 from lumenlit.sources import feeds, files
@@ -241,9 +241,7 @@ def report_items_with_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH c AS (SELECT *, row_number() OVER (ORDER BY conv_id, turn) AS id FROM conversations), n AS (SELECT conv_id, role, text, id + (SELECT max(id) FROM c WHERE turn < 3) AS id FROM c WHERE turn >= 3 AND trim(text) <> '') SELECT id, conv_id, role, md5(text) AS text_md5 FROM c WHERE turn < 3 UNION ALL SELECT id, conv_id, role, md5(text) FROM n")
 def append_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window
-
-    turns = table(spark, sf_dir, "conversations").withColumn("id", F.row_number().over(Window.orderBy("conv_id", "turn")).cast("long")).select("id", "conv_id", "role", "text", "turn")
+    turns = ranges.numbered(table(spark, sf_dir, "conversations"), [], ["conv_id", "turn"]).select(F.col("number").alias("id"), "conv_id", "role", "text", "turn")
     old, new = turns.where("turn < 3").drop("turn"), turns.where("turn >= 3").drop("turn")
     return state.append_turns(old, new, "conv_id", "id", "text").select("id", "conv_id", "role", F.md5("text").alias("text_md5"))
 

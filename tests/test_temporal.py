@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lumenlit.operators import temporal
+from lumenlit.operators import ranges, temporal
 
 T0 = dt.datetime(2024, 1, 1)
 
@@ -59,3 +59,15 @@ def test_levels_keep_nulls_of_the_data_apart(spark):
     got = {(r.s, r.n, r.level): r.v for r in temporal.levels(df, ["s", "n"], [F.sum("v").alias("v")]).collect()}
     assert got[None, 1, 0] == 3.0 and got[None, 1, 2] == 5.0 and got[None, None, 1] == 3.0 and got[None, None, 3] == 9.0
     assert {r.level for r in temporal.levels(df, ["s", "n"], [F.sum("v").alias("v")], drill=True).collect()} == {0, 1, 3}
+
+
+def test_numbers_of_a_hot_group_and_of_a_whole_table(spark):
+    rows = [("hot" if i % 3 else None if i % 2 else "b", i * 7 % 101, i) for i in range(1000)]
+    df = spark.createDataFrame(rows, "g string, o int, i int")
+    for group in (["g"], []):
+        found = {}
+        for r in ranges.numbered(df, group, ["o", "i"]).collect():
+            found.setdefault(r.g if group else "", []).append((r.number, r.o, r.i))
+        for some in found.values():
+            assert [n for n, _, _ in sorted(some)] == list(range(1, len(some) + 1)) and [x[1:] for x in sorted(some)] == sorted(x[1:] for x in some)
+        assert sum(map(len, found.values())) == 1000
