@@ -31,6 +31,15 @@ def fingerprint(profile: Mapping[str, Sequence[str] | str] | None) -> str:
     return hashlib.sha1(canonical.encode()).hexdigest()[:16]
 
 
+def fingerprint_of(queries: Column, topics: Column, methods: Column, keywords: Column, summary: Column) -> Column:
+    """The same of profiles as rows (lists of texts and a text); a null part is written as null."""
+    quoted = lambda x: F.regexp_replace(F.to_json(F.array(x)), r"^\[|\]$", "")
+    parts = lambda c: F.coalesce(F.concat(F.lit("["), F.array_join(F.transform(c, quoted), ", "), F.lit("]")), F.lit("null"))
+    text = F.coalesce(quoted(summary), F.lit("null"))
+    told = [F.lit('{"k": '), parts(keywords), F.lit(', "m": '), parts(methods), F.lit(', "q": '), parts(queries), F.lit(', "s": '), F.when(summary.isNull(), "null").otherwise(text), F.lit(', "t": '), parts(topics), F.lit("}")]
+    return F.substring(F.sha1(F.concat(*told)), 1, 16)
+
+
 def replay(events: DataFrame) -> DataFrame:
     """A history from all its events: ``arxiv_id``, ``at``, ``score``, ``report``, ``analyzed``, ``summary``.
 

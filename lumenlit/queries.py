@@ -586,17 +586,57 @@ def _sectioned(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", body.alias("body"))
 
 
-@query()
+# RE2 has no look-ahead and knows words of ASCII only: accented letters are parted from plain ones by a mark that
+# belongs to words, and the usual heads from their hyphens by one that doesn't.
+_HEADS = "|".join(extract.HYPHEN_HEADS)
+_ACCENTED = "[À-ÖØ-öø-ɏ]"
+
+
+def joined_sql(source: str, c: str) -> str:
+    """CTEs ``a``, ``m`` and ``j`` that join the broken words of a column."""
+    return (
+        rf"a AS (SELECT doc_id, regexp_replace(regexp_replace({c}, '({_ACCENTED})([A-Za-z])', '\1' || chr(2) || '_\2', 'g'), '([A-Za-z])({_ACCENTED})', '\1_' || chr(2) || '\2', 'g') AS t FROM {source}), "
+        rf"m AS (SELECT doc_id, regexp_replace(t, '(?i)\b({_HEADS})-', '\1' || chr(1) || '-', 'g') AS t FROM a), "
+        rf"j AS (SELECT doc_id, replace(replace(replace(regexp_replace(t, '\b([A-Za-z]{{3,}})-\s+([a-z]{{3,}})\b', '\1\2', 'g'), chr(1), ''), chr(2) || '_', ''), '_' || chr(2), '') AS t FROM m)"
+    )
+
+
+def section_sql(body: str, name: str) -> str:
+    return f"WITH b AS (SELECT doc_id, {clean_sql('s')} AS t FROM (SELECT doc_id, {body} AS s FROM documents)), {joined_sql('b', 't')} SELECT doc_id, CASE WHEN length(t) < 80 THEN '' ELSE {truncated_sql('t', 1200, ' …')} END AS {name} FROM j"
+
+
+_REST = "text || chr(10) || '2. Results' || chr(10) || text || chr(10) || 'Conclusions and outlook' || chr(10) || text"
+_LIST = "chr(10) || 'References' || chr(10) || '[1] A. Author, Some Journal 12 (2001)'"
+
+
+@query(section_sql(f"{_REST} || CASE WHEN length({_REST}) + 2 < 120 THEN {_LIST} ELSE '' END", "introduction"))
 def section_intro(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sectioned(spark, sf_dir).select("doc_id", extract.introduction(F.col("body")).alias("introduction"))
 
 
-@query()
+@query(section_sql("text", "conclusion"))
 def section_conclusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sectioned(spark, sf_dir).select("doc_id", extract.conclusion(F.col("body")).alias("conclusion"))
 
 
-@query()
+_PAGE = "CASE WHEN k = 44 AND doc_id % 2 = 0 THEN 'Discussion' || chr(10) || text ELSE 'Filler number ' || k || ' of this paper.' END"
+_FROM = "CASE doc_id % 4 WHEN 0 THEN 43 WHEN 1 THEN 32 WHEN 2 THEN 10 ELSE 3 END"
+
+
+@query(
+    f"WITH s AS (SELECT doc_id, text, {_FROM} AS p FROM documents), u AS (SELECT doc_id * 2 AS doc_id, CASE WHEN p > 5 THEN text || chr(10) || array_to_string(list_transform(range(p + 1, 46), lambda k: {_PAGE}), chr(10)) ELSE '' END AS x FROM s UNION ALL SELECT doc_id * 2 + 1, CASE WHEN doc_id % 2 = 0 THEN text || chr(10) || 'Filler number 45 of this paper.' ELSE '' END FROM s), "
+    f"b AS (SELECT doc_id, {clean_sql('x')} AS t FROM u), {joined_sql('b', 't')}, c AS (SELECT doc_id, CASE WHEN length(t) >= 80 THEN {truncated_sql('t', 1200, ' …')} END AS t FROM j) SELECT doc_id // 2 AS doc_id, coalesce(max(t) FILTER (doc_id % 2 = 0), max(t) FILTER (doc_id % 2 = 1), '') AS conclusion FROM c GROUP BY doc_id // 2"
+)
+def conclusion_by_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conclusions of papers of 45 pages: in the last 6, 16 or 40 pages, before them, or under a wider heading alone."""
+    page = F.when((F.col("k") == 44) & (F.col("doc_id") % 2 == 0), F.concat(F.lit("Discussion\n"), "text")).when(F.col("k") == F.expr(_FROM), F.concat(F.lit("Conclusions\n"), "text"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.explode(F.sequence(F.lit(1), F.lit(45))).alias("k"))
+    pages = docs.select("doc_id", "k", page.otherwise(F.concat(F.lit("Filler number "), F.col("k").cast("string"), F.lit(" of this paper."))).alias("page"))
+    listed = pages.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "page"))), lambda x: x["page"]).alias("pages"))
+    return listed.select("doc_id", extract.conclusion_of_pages(F.col("pages")).alias("conclusion"))
+
+
+@query(rf"WITH b AS (SELECT doc_id, regexp_replace(text, '([a-z]{{4}})([a-z]{{4}})', '\1- \2', 'g') AS t FROM documents), {joined_sql('b', 't')} SELECT doc_id, t AS joined FROM j")
 def dehyphenate(spark: SparkSession, sf_dir: str) -> DataFrame:
     broken = F.regexp_replace("text", "([a-z]{4})([a-z]{4})", "$1- $2")
     return table(spark, sf_dir, "documents").select("doc_id", extract.dehyphenate(broken).alias("joined"))

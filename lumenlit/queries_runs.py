@@ -388,3 +388,12 @@ def profile_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.array(F.lit("123"), F.col("c_mktsegment")).alias("topics"),
     )
     return profiles.select("c_custkey", F.array_join(profile.term_queries(profiles, 3), "|").alias("queries"))
+
+
+@query("""SELECT c_custkey, left(sha1('{"k": ["' || c_name || '", "a \\"b\\" ' || c_custkey || '"], "m": [], "q": ' || CASE WHEN c_custkey % 3 = 0 THEN '["' || lower(c_mktsegment) || '"]' ELSE 'null' END || ', "s": "über ' || c_mktsegment || '", "t": ["' || c_mktsegment || '"]}'), 16) AS fingerprint FROM customer""")
+def profile_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    segment, none = F.col("c_mktsegment"), F.array().cast("array<string>")
+    named = F.array("c_name", F.concat(F.lit('a "b" '), F.col("c_custkey").cast("string")))
+    asked = F.when(F.col("c_custkey") % 3 == 0, F.array(F.lower(segment)))
+    return c.select("c_custkey", state.fingerprint_of(asked, F.array(segment), none, named, F.concat(F.lit("über "), segment)).alias("fingerprint"))

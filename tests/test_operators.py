@@ -431,3 +431,11 @@ def test_a_fit_that_leaves_nothing_is_an_error(spark):
         tfidf.fit(counts, 2, min_df=2, max_df=0.5)
     assert profile.keywords(df, "id", F.col("text")).count() == 0  # its callers go on without
     assert profile.keywords(df.limit(0), "id", F.col("text")).count() == 0
+
+
+def test_fingerprints_of_rows_are_those_of_mappings(spark):
+    profiles = [{"queries": ["a", 'b "c"'], "topics": [], "methods": ["é\\n"], "keywords": None, "summary": "s\nt"}, {"queries": None, "topics": ["x"], "methods": None, "keywords": ["k"], "summary": None}, {"queries": [], "topics": [], "methods": [], "keywords": [], "summary": ""}]
+    lists = ("queries", "topics", "methods", "keywords")
+    df = spark.createDataFrame([(i, *(p[k] for k in lists), p["summary"]) for i, p in enumerate(profiles)], "i int, " + ", ".join(f"{k} array<string>" for k in lists) + ", summary string")
+    got = [r.f for r in df.orderBy("i").select(state.fingerprint_of(*(F.col(k) for k in (*lists, "summary"))).alias("f")).collect()]
+    assert got == [state.fingerprint(p) for p in profiles]
