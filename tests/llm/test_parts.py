@@ -10,7 +10,8 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from lumenlit.llm import binary_search, components, cutting_stock, hmm, media, mixing, near_copies, packing, quality, shuffling, simhash, substrings, templates, words
+from lumenlit.llm import binary_search, cutting_stock, hmm, media, mixing, near_copies, packing, quality, shuffling, simhash, substrings, templates, words
+from lumenlit.operators import graph
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -132,7 +133,7 @@ def test_crowded_anchors_lose_nothing(spark):
 def test_components_of_a_chain_and_a_hub(spark):
     chain = [(i, i + 1) for i in range(40)]
     hub = [(100, i) for i in range(101, 180)]
-    got = {r.node: r.root for r in components.components(spark.createDataFrame([*chain, *hub, (7, 7), (3, 2)], "a long, b long"), "a", "b").collect()}
+    got = {r.node: r.root for r in graph.components(spark.createDataFrame([*chain, *hub, (7, 7), (3, 2)], "a long, b long"), "a", "b").collect()}
     assert got == {i: 0 for i in range(1, 41)} | {i: 100 for i in range(101, 180)}
 
 
