@@ -326,8 +326,9 @@ def frequent(df: DataFrame, path: str, text: str = "text", most: int = FREQUENT)
     while n > MERGED:
         out, n = out.groupBy(F.floor(F.col("part") / MERGED).alias("_group")).applyInArrow(merged, schema), -(-n // MERGED)
     total = Summary(most)
-    for row in out.toLocalIterator():  # MERGED summaries at most
-        total.add([bytes(p) for p in row["pieces"]], row["counts"])
+    for batch in out.toArrow().to_batches():  # MERGED summaries at most
+        for pieces, counts in zip(batch.column("pieces"), batch.column("counts"), strict=True):
+            total.add(pieces.as_py(), counts.as_py())
     return sorted(total.counts)
 
 
