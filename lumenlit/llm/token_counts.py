@@ -6,7 +6,7 @@ bytes of many texts at once, with one look-up for all of them:
 
 1. the first tier is a broadcast hash table of the frequent pre-tokens' lengths. Each task
    sums up its rows in a Misra-Gries summary of at most ``FREQUENT`` pre-tokens, and
-   summaries are merged by 64; whatever makes up more than 1 in ``FREQUENT`` of all
+   summaries are merged by ``MERGED``; whatever makes up more than 1 in ``FREQUENT`` of all
    pre-tokens of the table is in the result, and nothing larger than that is sent.
 2. what the table lacks is looked up in the Python worker's cache, which lives on from
    task to task, and is encoded once where that lacks it too.
@@ -51,7 +51,7 @@ LONGEST = 64
 #: Bytes of text that are worked on together, and of a text after which it is cut.
 STEP = 2 << 20
 #: Summaries that are merged at once.
-MERGED = 64
+MERGED = 16
 SPACE, LETTER, NUMBER, OTHER, END, UNKNOWN = range(6)
 #: A byte that UTF-8 never has parts the texts.
 BREAK = 0xFF
