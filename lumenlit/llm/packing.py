@@ -32,7 +32,7 @@ LENGTH = 4096
 UNIT = 8
 END = 2
 #: Words whose ids a Python worker remembers (about 25 bytes each).
-REMEMBERED = 600_000
+REMEMBERED = 1_200_000
 #: Texts taken out of an Arrow batch at once.
 STEP = 1024
 #: Closing marks that such a tokenizer parts from the letters before them.
