@@ -68,6 +68,32 @@ def within(points: DataFrame, spans: DataFrame, at: str, begin: str, end: str, k
     return dealt.join(met, ["_class", "_bin", *(keys or [])]).where((F.col(begin) <= F.col(at)) & (F.col(at) < F.col(end))).drop("_class", "_bin")
 
 
+def held_totals(points: DataFrame, spans: DataFrame, at: str, begin: str, end: str, id_: str) -> DataFrame:
+    """``begin``, ``end``, ``n``, ``earliest`` and ``total`` (of the whole numbers ``id_``) of the points that each distinct span holds.
+
+    The same as totals over the pairs of ``within``, without any pair: points and edges of spans are one ordered
+    stream, dealt into ranges with running totals, and a span's totals are those at its end less those at its
+    beginning. Spans that hold nothing are left out. Time grows with points and spans and not with what they share.
+    """
+    some = spans.where(F.col(begin) < F.col(end)).select(F.col(begin).alias("_begin"), F.col(end).alias("_end")).distinct()
+    known = points.where(F.col(at).isNotNull()).groupBy(F.col(at).alias("_at")).agg(F.count(F.lit(1)).alias("_n"), F.sum(id_).alias("_sum"))
+    edges = some.select(F.explode(F.array("_begin", "_end")).alias("_at")).distinct()  # an edge stands before the points of its time
+    stream = edges.select("_at", F.lit(0).alias("_side"), F.lit(0).cast("long").alias("_n"), F.lit(None).cast("long").alias("_sum"))
+    dealt = ranges.dealt(stream.unionByName(known.select("_at", F.lit(1).alias("_side"), "_n", "_sum")), ["_at", "_side"])
+    point = F.when(F.col("_side") == 1, F.col("_at"))
+    shares = dealt.groupBy("_range").agg(F.sum("_n").alias("_rn"), F.sum("_sum").alias("_rsum"), F.min(point).alias("_rat"))
+    by = Window.orderBy("_range")  # a row for each range
+    before, after = by.rowsBetween(Window.unboundedPreceding, -1), by.rowsBetween(1, Window.unboundedFollowing)
+    carried = shares.select("_range", F.coalesce(F.sum("_rn").over(before), F.lit(0)).alias("_bn"), F.coalesce(F.sum("_rsum").over(before), F.lit(0)).alias("_bsum"), F.min("_rat").over(after).alias("_later"))
+    along = Window.partitionBy("_range").orderBy("_seq").rowsBetween(Window.unboundedPreceding, 0)
+    back = Window.partitionBy("_range").orderBy(F.desc("_seq")).rowsBetween(Window.unboundedPreceding, 0)
+    told = dealt.select("_range", "_side", "_at", F.sum("_n").over(along).alias("_n"), F.coalesce(F.sum("_sum").over(along), F.lit(0)).alias("_sum"), F.min(point).over(back).alias("_next"))
+    marks = told.where("_side = 0").join(F.broadcast(carried), "_range").select("_at", (F.col("_n") + F.col("_bn")).alias("_n"), (F.col("_sum") + F.col("_bsum")).alias("_sum"), F.coalesce("_next", "_later").alias("_next"))
+    named = lambda p: marks.select(*(F.col(c).alias(p + c) for c in marks.columns))
+    both = some.join(named("b"), F.col("_begin") == F.col("b_at")).join(named("e"), F.col("_end") == F.col("e_at")).where(F.col("e_n") > F.col("b_n"))
+    return both.select(F.col("_begin").alias(begin), F.col("_end").alias(end), (F.col("e_n") - F.col("b_n")).alias("n"), F.col("b_next").alias("earliest"), (F.col("e_sum") - F.col("b_sum")).alias("total"))
+
+
 def watermarked(rows: DataFrame, at: str, batch: str, delay: str, lag: int = 1) -> DataFrame:
     """Rows with ``watermark``: the latest time of all batches that are ``lag`` or more before theirs, less ``delay``.
 

@@ -42,8 +42,9 @@ def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 def announcements_in_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each run the announcements that its span holds."""
     events = table(spark, sf_dir, "events").select("event_id", F.col("ts").cast(_NTZ).alias("ts"))
-    held = temporal.within(events, _runs(spark, sf_dir), "ts", "first", "last")
-    return held.groupBy("run").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("earliest"), F.sum("event_id").alias("ids"))
+    runs = _runs(spark, sf_dir)
+    held = runs.join(temporal.held_totals(events, runs, "ts", "first", "last", "event_id"), ["first", "last"])
+    return held.groupBy("run").agg(F.sum("n").alias("n"), F.min("earliest").alias("earliest"), F.sum("total").alias("ids"))
 
 
 _ARRIVED = "e AS (SELECT event_id, user_id, event_type, date_trunc('hour', ts) AS batch, CAST(ts AS TIMESTAMP) - to_minutes(event_id * 7 % 97 * CASE WHEN event_id % 13 = 5 THEN 8 ELSE 1 END) AS \"at\" FROM events), b AS (SELECT batch, max(max(\"at\")) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - INTERVAL 2 HOURS AS mark FROM e GROUP BY batch), m AS (SELECT * FROM e JOIN b USING (batch))"

@@ -54,6 +54,24 @@ def test_spans_of_all_lengths_hold_their_points(spark, kind):
     assert "CartesianProduct" not in bins
 
 
+@pytest.mark.parametrize("kind", ["timestamp", "timestamp_ntz"])
+def test_totals_of_spans_need_no_pairs(spark, kind):
+    """Totals are those of the pairs, also where every span holds every point; what the plan joins are spans and edges."""
+    r = random.Random(9)
+    points = [(i, r.choice((None, r.randrange(300)))) for i in range(500)]
+    spans = [(s, s + r.choice((0, -3, 1, 7, 100, 4000))) for s in (r.randrange(-20, 320) for _ in range(90))] + [(-50, 400)] * 3 + [(None, 3), (2, None), (5, 6)]
+    p = spark.createDataFrame([(i, minutes(t)) for i, t in points], f"p long, t {kind}")
+    q = spark.createDataFrame([(minutes(a), minutes(b)) for a, b in spans], f"a {kind}, b {kind}")
+    want = {}
+    for a, b in {x for x in spans if None not in x}:
+        held = [(t, i) for i, t in points if t is not None and a <= t < b]
+        if held:
+            want[minutes(a), minutes(b)] = (len(held), minutes(min(held)[0]), sum(i for _, i in held))
+    totals = temporal.held_totals(p, q, "t", "a", "b", "p")
+    assert {(x.a, x.b): (x.n, x.earliest, x.total) for x in totals.collect()} == want and totals.count() == len(want) > 40
+    assert temporal.held_totals(p, q.limit(0), "t", "a", "b", "p").count() == 0 and temporal.held_totals(p.limit(0), q, "t", "a", "b", "p").count() == 0
+
+
 def test_levels_keep_nulls_of_the_data_apart(spark):
     df = spark.createDataFrame([("x", 1, 2.0), (None, 1, 3.0), ("x", 2, 4.0)], "s string, n int, v double")
     got = {(r.s, r.n, r.level): r.v for r in temporal.levels(df, ["s", "n"], [F.sum("v").alias("v")]).collect()}
