@@ -439,3 +439,21 @@ def test_fingerprints_of_rows_are_those_of_mappings(spark):
     df = spark.createDataFrame([(i, *(p[k] for k in lists), p["summary"]) for i, p in enumerate(profiles)], "i int, " + ", ".join(f"{k} array<string>" for k in lists) + ", summary string")
     got = [r.f for r in df.orderBy("i").select(state.fingerprint_of(*(F.col(k) for k in (*lists, "summary"))).alias("f")).collect()]
     assert got == [state.fingerprint(p) for p in profiles]
+
+
+def test_neighbours_by_shared_words_need_no_pairs(spark):
+    """Equal to counting every pair, ties by smaller id, over several blocks; no join makes a row for two documents."""
+    r = random.Random(4)
+    docs = [(i, r.sample(["hot", "warm", *(f"w{j}" for j in range(12))], r.randrange(0, 6)) + ["all"] * (i % 3 > 0)) for i in range(300)]
+    df = spark.createDataFrame(docs, "doc long, words array<string>")
+    want = {}
+    for i, a in docs:
+        if i % 10 == 0:
+            near = sorted((-len(set(a) & set(b)), j) for j, b in docs if j != i and set(a) & set(b))[:8]
+            want |= {(i, j): (-n, k + 1) for k, (n, j) in enumerate(near)}
+    for block in (tfidf.SHORT_BLOCK, 70):
+        before, tfidf.SHORT_BLOCK = tfidf.SHORT_BLOCK, block
+        found = tfidf.overlap_related(df.where("doc % 10 = 0"), df)
+        tfidf.SHORT_BLOCK = before
+        assert {(x.doc, x.neighbor): (x.shared, x["rank"]) for x in found.collect()} == want
+    assert "MapInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
