@@ -463,7 +463,7 @@ def test_counts_of_terms_are_shuffled_once(spark):
     """What is summed over a term and what is joined to it read one exchange."""
     docs = spark.createDataFrame([(i, f"word{i % 3} other words of {i % 5}x") for i in range(40)], "id long, t string")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
-    counts = tfidf.term_counts(docs, "id", F.col("t"), ["of"])
+    counts = tfidf.by_term(tfidf.term_counts(docs, "id", F.col("t"), ["of"]))
     plan = tfidf.fit(counts, 40).transform(counts)._jdf.queryExecution().executedPlan().toString()
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert "ReusedExchange" in plan and plan.count("regexp_extract_all") <= 2, plan
