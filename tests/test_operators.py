@@ -234,6 +234,32 @@ def test_fuzzy_pairs_against_all_pairs(spark, monkeypatch, joined):
     assert got == want and set(want.values()) == {4, 5} and len(want) > 8
 
 
+def test_ratio_behind_its_bounds(spark):
+    """A ratio below what is asked may be 0, all others stay."""
+    r = random.Random(21)
+    say = lambda n: "".join(r.choice("abcdeé ") for _ in range(n))
+    firsts = [say(r.choice([1, 40, 63, 64, 65, 127, 128, 129, 190])) for _ in range(200)]
+    pairs = [(t, t[: len(t) // 3] + r.choice(["", "x", "abc"]) + t[len(t) // 3 + r.randint(0, 6) :]) for t in firsts] + [(t, say(len(t))) for t in firsts] + [("", ""), ("", "a")]
+    df = spark.createDataFrame(pairs, "a string, b string").select("a", "b", linkage.title_ratio(F.col("a"), F.col("b"), 0.9).alias("r"))
+    kept = 0
+    for row in df.collect():
+        ratio = SequenceMatcher(None, row.a, row.b).ratio()
+        assert row.r == ratio if ratio >= 0.9 else row.r in (0.0, ratio)
+        kept += ratio >= 0.9
+    assert kept > 100
+
+
+def test_copies_are_classes(spark):
+    """Copies of two similar titles: a row for each copy and each link of classes, not their product."""
+    t = "frustrated magnets on a lattice in two dimensions and their dynamics"
+    left = [(i, "", "", t) for i in range(50)]
+    right = [(100 + i, "", f"10.1/{i % 2}", t + "s") for i in range(60)]
+    out = [tuple(r) for r in linkage.class_pairs(papers(spark, left), papers(spark, right)).collect()]
+    assert sorted(r[:3] for r in out if r[2]) == [(0, 100, 4), (0, 101, 4)]
+    assert sorted(r[:2] for r in out if not r[2]) == [(i, 0) for i in range(1, 50)] + [(i, 100 + i % 2) for i in range(102, 160)]
+    assert linkage.fuzzy_pairs(papers(spark, left), papers(spark, right)).count() == 3000
+
+
 def test_a_word_of_all_titles_makes_few_pairs(spark, monkeypatch):
     """Titles that all share one word: the similar ones are found, and few others leave the blocks."""
     r = random.Random(3)
