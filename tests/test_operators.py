@@ -260,6 +260,49 @@ def test_copies_are_classes(spark):
     assert linkage.fuzzy_pairs(papers(spark, left), papers(spark, right)).count() == 3000
 
 
+def _alike(seed):
+    """Rows of few titles, many of them alike or contained, with and without identifiers."""
+    r = random.Random(seed)
+    bases = ["frustrated magnets on a lattice in two dimensions", "tensor networks for strongly correlated electrons", "quantum dynamics of cold atoms in a trap"]
+    say = lambda: r.choice(bases) + r.choice(["", "", "s", " ii", " and beyond it", " part two"])
+    return [(i, r.choice(["", f"A{r.randint(0, 60)}", f"a{i + 100}"]), r.choice(["", "", f"10.1/{r.randint(0, 60)}", f"10.2/{i}"]), say()) for i in range(80)]
+
+
+def _fuzzy_rule(a, b):
+    if any(a[k] and b[k] and a[k].lower() != b[k].lower() for k in (1, 2)):
+        return None
+    short, long = sorted((a[3], b[3]), key=len)
+    if len(short) >= 40 and short in long and not __import__("re").match(linkage.SERIES, long[long.index(short) + len(short) :]):
+        return 4, 0.0
+    ratio = SequenceMatcher(None, a[3], b[3]).ratio()
+    return (5, -ratio) if ratio >= (0.95 if len(a[3]) < 40 else 0.9) and abs(len(a[3]) - len(b[3])) <= max(20, 0.35 * len(a[3])) else None
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_components_of_copies(spark, monkeypatch, seed):
+    """Rows that are alike by any rule, where titles have many rows: an edge for each row's key and each two titles."""
+    rows, edges = _alike(seed), []
+    root = {x[0]: x[0] for x in rows}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    pairs = 0
+    for a in rows:
+        for b in rows[: a[0]]:
+            fuzzy = _fuzzy_rule(a, b) is not None
+            pairs += fuzzy
+            if fuzzy or any(a[k] and a[k].lower() == b[k].lower() for k in (1, 2, 3)):
+                x, y = sorted((find(a[0]), find(b[0])))
+                root[y] = x
+    reach = linkage.smallest_reachable
+    monkeypatch.setattr(linkage, "smallest_reachable", lambda nodes, links: edges.append(links.count()) or reach(nodes, links))
+    assert {x.id: x.component for x in linkage.self_components(papers(spark, rows)).collect()} == {i: find(i) for i in root}
+    assert edges[0] < pairs
+
+
 def test_a_word_of_all_titles_makes_few_pairs(spark, monkeypatch):
     """Titles that all share one word: the similar ones are found, and few others leave the blocks."""
     r = random.Random(3)
