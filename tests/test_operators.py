@@ -303,6 +303,24 @@ def test_components_of_copies(spark, monkeypatch, seed):
     assert edges[0] < pairs
 
 
+@pytest.mark.parametrize("seed", [3, 4])
+def test_matches_of_copies(spark, monkeypatch, seed):
+    """The best row for each candidate, where titles have many rows: titles are paired once."""
+    rows, counts = _alike(seed), []
+    own, asked = rows[::2], [x for x in rows[1::2]]
+    own = [x for x in own if "beyond" not in x[3] and not x[3].endswith("s")]
+    want = {}
+    for c in asked:
+        keys = [[b[0] for b in own if c[k] and b[k].lower() == c[k].lower()] for k in (1, 2, 3)]
+        hit = next(((min(k), n) for n, k in enumerate(keys, 1) if k), None)
+        near = [(*rule, b[0]) for b in own if hit is None and (rule := _fuzzy_rule(c, b))]
+        want[c[0]] = hit or ((min(near)[2], min(near)[0]) if near else (None, None))
+    pairs = linkage.title_pairs
+    monkeypatch.setattr(linkage, "title_pairs", lambda *a, **k: counts.append((out := pairs(*a, **k)).count()) or out)
+    assert {x.id: (x.library_id, x.rule) for x in linkage.match_library(papers(spark, asked), papers(spark, own)).collect()} == want
+    assert {rule for _, rule in want.values()} >= {3, 4, None} and counts[0] <= len({x[3] for x in own}) * len({x[3] for x in asked})
+
+
 def test_a_word_of_all_titles_makes_few_pairs(spark, monkeypatch):
     """Titles that all share one word: the similar ones are found, and few others leave the blocks."""
     r = random.Random(3)
