@@ -321,6 +321,17 @@ def test_matches_of_copies(spark, monkeypatch, seed):
     assert {rule for _, rule in want.values()} >= {3, 4, None} and counts[0] <= len({x[3] for x in own}) * len({x[3] for x in asked})
 
 
+def test_copies_left_by_the_library(spark, monkeypatch):
+    """Copies of a title like one of the library: those in conflict with all its rows are left, and one pair of titles is made."""
+    t, counts = "frustrated magnets on a lattice in two dimensions and their dynamics", []
+    own = papers(spark, [(i, f"A{i}", "", t + "s") for i in range(30)])
+    asked = papers(spark, [(100 + i, f"B{i}" if i % 2 else "", "", t) for i in range(30)])
+    pairs = linkage.title_pairs
+    monkeypatch.setattr(linkage, "title_pairs", lambda *a, **k: counts.append((out := pairs(*a, **k)).count()) or out)
+    assert sorted(x.id for x in linkage.not_in_library(asked, own).collect()) == [100 + i for i in range(1, 30, 2)]
+    assert counts == [1]
+
+
 def test_a_word_of_all_titles_makes_few_pairs(spark, monkeypatch):
     """Titles that all share one word: the similar ones are found, and few others leave the blocks."""
     r = random.Random(3)
