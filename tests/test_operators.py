@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lumenlit.functions import scoring
-from lumenlit.operators import linkage, merging, nearest, ranking, reporting, state, tfidf
+from lumenlit.operators import linkage, merging, nearest, packed_terms, ranking, reporting, state, tfidf
 from lumenlit.plans import profile, recommend, search
 from lumenlit.sources import feeds, files
 
@@ -565,3 +565,37 @@ def test_counts_of_terms_are_shuffled_once(spark):
     plan = tfidf.fit(counts, 40).transform(counts)._jdf.queryExecution().executedPlan().toString()
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert "ReusedExchange" in plan and plan.count("regexp_extract_all") <= 2, plan
+
+
+def _rows_shuffled(spark, group):
+    store, tracker = spark.sparkContext._jsc.sc().statusStore(), spark.sparkContext.statusTracker()
+    stages = {i for job in tracker.getJobIdsForGroup(group) for i in tracker.getJobInfo(job).stageIds}
+    return sum(store.lastStageAttempt(i).shuffleWriteRecords() for i in stages)
+
+
+@pytest.mark.parametrize("pairs", [True, False])
+def test_relevance_shuffles_no_row_for_each_term(spark, monkeypatch, pairs):
+    """Many slices and shares, against plain Python; before, each document and term was a row of a shuffle (6,000 words here)."""
+    monkeypatch.setattr(packed_terms, "SLICE", 700)
+    monkeypatch.setattr(packed_terms, "SHARE_DOCS", 5)
+    rng = random.Random(5)
+    docs = [" ".join("the" if rng.random() < 0.3 else f"w{int(rng.paretovariate(0.4)) % 5000}é" for _ in range(n)) for n in [300] * 18 + [1, 2, 900, 0]] + ["the of", None]
+    df = spark.createDataFrame(list(enumerate(docs)), "id int, t string")
+    profile, stop = "the w1é w1é w2é unheard w1é w2é", ["the", "of"]
+
+    def terms(text):
+        w = [x for x in (text or "").split() if x not in stop and len(x) > 1]
+        return Counter(w + ([f"{a} {b}" for a, b in zip(w, w[1:], strict=False)] if pairs else []))
+
+    counts, n = [terms(d) for d in docs], len(docs) + 1
+    df_of = Counter(t for c in [*counts, terms(profile)] for t in c)
+    weights = lambda c: {t: (1 + math.log(k)) * (math.log((n + 1) / (df_of[t] + 1)) + 1) for t, k in c.items()}
+    asked = weights(terms(profile))
+    cosine = [sum(x * asked.get(t, 0.0) for t, x in w.items()) / math.sqrt(sum(x * x for x in w.values()) or 1.0) for w in map(weights, counts)]
+    spark.sparkContext.setJobGroup(f"relevance {pairs}", "")
+    try:
+        got = {r.id: r.relevance for r in tfidf.relevance(profile, df, "id", F.col("t"), stop, pairs).select(F.col("doc").alias("id"), "relevance").collect()}
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert got == {i: pytest.approx(round(min(1.0, (c / max(cosine)) ** 0.7), 4), abs=1.01e-4) for i, c in enumerate(cosine)}
+    assert _rows_shuffled(spark, f"relevance {pairs}") < 1500
