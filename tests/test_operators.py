@@ -455,6 +455,16 @@ def test_judged_relevance_and_prefilters(spark):
     assert sum(r.enriched for r in out.values()) == 5 and run.for_judge().count() == 4
 
 
+def test_no_cap_looks_all_up(spark):
+    rows = [(i, 0, i, f"title number {i}", "spin chains", "", f"10.1/{i}", "cs", None, None, "", "") for i in range(12)]
+    cols = "id long, pool int, row long, title string, abstract string, arxiv_id string, doi string, category string, published timestamp, citations int, journal_ref string, comments string"
+    pools = recommend.with_keys(spark.createDataFrame(rows, cols), ascii_only=True)
+    works = spark.createDataFrame([(f"10.1/{i}", 10 + i, "PRL", [("c", 0.5)]) for i in range(12)], "doi string, cited_by int, source string, concepts array<struct<display_name: string, score: double>>")
+    options = recommend.Options(as_of="2024-01-01 00:00:00", min_relevance=0.0, fuzzy=False, candidate_cap=0, enriched_cap=0)
+    out = recommend.Recommendation(pools, pools.limit(0), "spin chains", options, works=works).plan("scored").collect()
+    assert {r.id: r.citations for r in out} == {i: 10 + i for i in range(12)}
+
+
 def test_bounds_lose_no_neighbour_and_spare_most_postings(spark):
     """Skewed terms, groups of like rows, ties and equal rows: the rows of the plain join, from far fewer postings."""
     r = random.Random(12)
