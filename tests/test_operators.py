@@ -1,5 +1,6 @@
 import json
 import math
+import os
 import random
 from collections import Counter
 from difflib import SequenceMatcher
@@ -7,8 +8,9 @@ from difflib import SequenceMatcher
 import pytest
 from pyspark.sql import functions as F
 
+from lumenlit import queries
 from lumenlit.functions import scoring
-from lumenlit.operators import linkage, merging, nearest, packed_terms, ranking, reporting, state, tfidf
+from lumenlit.operators import linkage, merging, nearest, packed_terms, packed_weights, ranking, reporting, state, tfidf
 from lumenlit.plans import profile, recommend, search
 from lumenlit.sources import feeds, files
 
@@ -609,3 +611,31 @@ def test_relevance_shuffles_no_row_for_each_term(spark, monkeypatch, pairs):
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert got == {i: pytest.approx(round(min(1.0, (c / max(cosine)) ** 0.7), 4), abs=1.01e-4) for i, c in enumerate(cosine)}
     assert _rows_shuffled(spark, f"relevance {pairs}") < 1500
+
+
+@pytest.mark.parametrize("pairs", [True, False])
+def test_packed_weights_are_those_of_the_fit(spark, monkeypatch, pairs):
+    """Many slices and shares, documents of several rows, without text or id, and longer than a slice: the rows of the long tables."""
+    monkeypatch.setattr(packed_terms, "SLICE", 700)
+    monkeypatch.setattr(packed_terms, "SHARE_DOCS", 5)
+    rng = random.Random(6)
+    docs = [(i % 40, " ".join("the" if rng.random() < 0.3 else f"w{int(rng.paretovariate(0.4)) % 500}é" for _ in range(rng.choice((0, 1, 200, 900))))) for i in range(50)]
+    for rows in ([*docs, (90, None), (None, "w1é w2é"), (None, "w2é w3é")], docs[:40]):
+        df = spark.createDataFrame(rows, "id int, t string")
+        counts = tfidf.term_counts(df, "id", F.col("t"), ["the"], pairs)
+        words = df.select(F.col("id").alias("doc"), F.regexp_extract_all(F.coalesce("t", F.lit("")), F.lit(r"\w\p{L}?[\p{L}\d]*"), 0).alias("words"))
+        for least in (1, 3):
+            want = {(r.doc, r.term): r.w for r in tfidf.fit(counts, len(rows), min_df=least).transform(counts).collect()}
+            got = packed_weights.weights(words, len(rows), ["the"], pairs, least).collect()
+            assert len(got) == len(want) and {(r.doc, r.term): r.w for r in got} == {k: pytest.approx(v, rel=1e-12) for k, v in want.items()}
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_weights_shuffle_no_row_for_each_term(spark):
+    """Before, each of the documents' terms was a row of a shuffle, twice."""
+    spark.sparkContext.setJobGroup("weights", "")
+    try:
+        given = queries.QUERIES["tfidf_weights"](spark, "/root/testdata/sf0.001").agg(F.count("w").alias("n")).first().n
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert given > 20_000 and _rows_shuffled(spark, "weights") < 1500
