@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from lumenlit import queries
 from lumenlit.functions import scoring
-from lumenlit.operators import linkage, merging, nearest, packed_terms, packed_weights, ranking, reporting, state, tfidf
+from lumenlit.operators import linkage, merging, nearest, packed_nearest, packed_terms, packed_weights, ranking, reporting, state, tfidf
 from lumenlit.plans import profile, recommend, search
 from lumenlit.sources import feeds, files
 
@@ -639,3 +639,39 @@ def test_weights_shuffle_no_row_for_each_term(spark):
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert given > 20_000 and _rows_shuffled(spark, "weights") < 1500
+
+
+@pytest.mark.parametrize(("block", "common"), [(40, 0.1), (40_000, 2.0), (40_000, 0.02)])
+def test_packed_neighbours_are_those_of_the_plain_join(spark, monkeypatch, block, common):
+    """Groups of like rows, equal rows, documents of several rows, without an id, without terms, and longer than a slice."""
+    monkeypatch.setattr(packed_terms, "SLICE", 900)
+    monkeypatch.setattr(packed_terms, "SHARE_DOCS", 20)
+    monkeypatch.setattr(packed_weights, "ASKED_SLICE", 200)
+    monkeypatch.setattr(packed_nearest, "BLOCK", block)
+    monkeypatch.setattr(packed_nearest, "COMMON", common)
+    r = random.Random(13)
+    word = lambda: f"t{int(r.paretovariate(0.5)) % 9999}"
+    texts = []
+    for _ in range(40):
+        own = [word() for _ in range(30)]
+        texts += [" ".join(w if r.random() < 0.8 else word() for w in own) for _ in range(5)]
+    rows = [*enumerate([*texts, *texts[:30], "", " ".join(word() for _ in range(1000))]), (7, texts[9]), (10, texts[3]), (None, texts[0]), (500, "alone"), (None, texts[5])]
+    df = spark.createDataFrame(rows, "id int, t string")
+    counts = tfidf.term_counts(df, "id", F.col("t"), ["t1"])
+    weights = tfidf.fit(counts, len(rows)).transform(counts)
+    want = Counter(map(tuple, tfidf.related(weights.where("doc % 10 = 0"), weights, 5).select("doc", "neighbor", "rank", "similarity").collect()))
+    words = df.select(F.col("id").alias("doc"), F.regexp_extract_all("t", F.lit(r"\w+"), 0).alias("words"), (F.col("id") % 10 == 0).alias("asked"))
+    found = packed_nearest.nearest(words, len(rows), ["t1"], k=5).select("doc", "neighbor", "rank", "similarity")
+    assert Counter(map(tuple, found.collect())) == want and len(want) > 100
+    assert packed_nearest.nearest(words.withColumn("asked", F.lit(False)), len(rows), []).count() == 0 and packed_nearest.nearest(words.limit(0), 0, []).count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no test tables")
+def test_related_rows_shuffle_no_row_for_each_term(spark):
+    """Before, each of the documents' terms was a row of a shuffle, and each pair that shares a heavy term one too."""
+    spark.sparkContext.setJobGroup("related", "")
+    try:
+        assert queries.QUERIES["related_knn"](spark, "/root/testdata/sf0.001").count() > 10
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert _rows_shuffled(spark, "related") < 2500
