@@ -616,7 +616,7 @@ def test_relevance_shuffles_no_row_for_each_term(spark, monkeypatch, pairs):
 @pytest.mark.parametrize("pairs", [True, False])
 def test_packed_weights_are_those_of_the_fit(spark, monkeypatch, pairs):
     """Many slices and shares, documents of several rows, without text or id, and longer than a slice: the rows of the long tables."""
-    monkeypatch.setattr(packed_terms, "SLICE", 700)
+    monkeypatch.setattr(packed_weights, "SLICE", 700)
     monkeypatch.setattr(packed_terms, "SHARE_DOCS", 5)
     rng = random.Random(6)
     docs = [(i % 40, " ".join("the" if rng.random() < 0.3 else f"w{int(rng.paretovariate(0.4)) % 500}é" for _ in range(rng.choice((0, 1, 200, 900))))) for i in range(50)]
@@ -644,7 +644,7 @@ def test_weights_shuffle_no_row_for_each_term(spark):
 @pytest.mark.parametrize(("block", "common"), [(40, 0.1), (40_000, 2.0), (40_000, 0.02)])
 def test_packed_neighbours_are_those_of_the_plain_join(spark, monkeypatch, block, common):
     """Groups of like rows, equal rows, documents of several rows, without an id, without terms, and longer than a slice."""
-    monkeypatch.setattr(packed_terms, "SLICE", 900)
+    monkeypatch.setattr(packed_weights, "SLICE", 900)
     monkeypatch.setattr(packed_terms, "SHARE_DOCS", 20)
     monkeypatch.setattr(packed_weights, "ASKED_SLICE", 200)
     monkeypatch.setattr(packed_nearest, "BLOCK", block)
